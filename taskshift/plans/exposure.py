@@ -144,8 +144,8 @@ def wage_quartile_bins(us_emp: DataFrame) -> DataFrame:
     qs = weighted_quantiles(us_emp, WAGE, "jobs", probs, [f"b{i}" for i in range(len(probs))])
     br = qs.select(F.array(*[f"b{i}" for i in range(len(probs))]).alias("br")).scalar()
     breaks = [F.element_at(br, i + 1) for i in range(len(probs))]
-    b = interval_bin(WAGE, breaks)
-    g = us_emp.groupBy(b.alias("earnings_bin")).agg(F.count(F.lit(1)).alias("n"))
+    binned = us_emp.select(interval_bin(WAGE, breaks).alias("earnings_bin"))
+    g = binned.groupBy("earnings_bin").agg(F.count(F.lit(1)).alias("n"))
     return g.select("earnings_bin", F.element_at(br, F.col("earnings_bin")).alias("lower"),
                     F.element_at(br, F.col("earnings_bin") + 1).alias("upper"), "n")
 
