@@ -5,14 +5,23 @@ window with an empty ``partitionBy()``, which pulls every row into one task.
 ``prefix_sum`` instead:
 
 1. range-partitions the rows on the (total) sort order, so each partition
-   holds one contiguous slice and a hot key value is split like any other;
-2. computes the running total inside each slice (window on the partition id);
-3. adds the sum of all earlier slices, taken from a table with one row per
-   partition (its size is the partition count, a proven bound, so it is
+   holds one contiguous slice of it and a hot key value is split like any
+   other, and stamps each row with its partition id;
+2. checkpoints that frame (reliable checkpoint in the cluster's shared
+   ``spark.checkpoint.dir``), so the partition ids are fixed data: the two
+   consumers below, and any recomputation after an executor loss, read the
+   same assignment instead of re-sampling range bounds;
+3. computes the running total inside each slice (window on the slice id),
+   and adds the total of all earlier slices, taken from a table with one
+   row per slice (its size is the partition count, a proven bound, so it is
    broadcast).
 
 The sort order must be total (add unique tie-breakers), which also makes the
-result deterministic and safe to recompute after an executor loss.
+result deterministic. It is meant for pre-aggregated frames (distinct values,
+occupation rows), not raw fact rows.
+
+Order specs are a column name (ascending, nulls first) or a tuple
+``(name, ascending, nulls_last)``.
 """
 
 from __future__ import annotations
@@ -22,11 +31,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taskshift.session import cut_lineage
+
 _PID = "__pid"
 
 
-def _order(cols: Sequence) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
+def _spec(o) -> tuple[str, bool, bool]:
+    if isinstance(o, str):
+        return o, True, False
+    name, asc, nulls_last = o
+    return name, bool(asc), bool(nulls_last)
+
+
+def sort_cols(order: Sequence) -> list[Column]:
+    out = []
+    for name, asc, nl in map(_spec, order):
+        c = F.col(name)
+        if asc:
+            out.append(c.asc_nulls_last() if nl else c.asc_nulls_first())
+        else:
+            out.append(c.desc_nulls_last() if nl else c.desc_nulls_first())
+    return out
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:
@@ -38,13 +63,15 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
 def prefix_sum(df: DataFrame, order: Sequence, value, name: str,
                partitions: int | None = None) -> DataFrame:
     """Inclusive running total of ``value`` over a total ``order`` (distributed)."""
-    order = _order(order)
     val = F.col(value) if isinstance(value, str) else value
     cols = df.columns
-    ranged = (df.repartitionByRange(_partitions(df, partitions), *order)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn("__v", val))
-    inside = Window.partitionBy(_PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order_cols = sort_cols(order)
+    ranged = (df.withColumn("__v", val)
+              .repartitionByRange(_partitions(df, partitions), *order_cols)
+              .withColumn(_PID, F.spark_partition_id()))
+    ranged = cut_lineage(ranged)
+    inside = Window.partitionBy(_PID).orderBy(*order_cols).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("__local", F.sum("__v").over(inside))
     earlier = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (ranged.groupBy(_PID).agg(F.sum("__v").alias("__ptot"))
@@ -61,16 +88,18 @@ def global_row_number(df: DataFrame, order: Sequence, name: str = "rank",
 
 def rank_within(df: DataFrame, partition: Sequence[str], order: Sequence, name: str = "rank") -> DataFrame:
     """Row number inside each partition (use on aggregated, small partitions)."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*_order(order))).cast("bigint"))
+    w = Window.partitionBy(*partition).orderBy(*sort_cols(order))
+    return df.withColumn(name, F.row_number().over(w).cast("bigint"))
 
 
 def stacked_midpoint(df: DataFrame, partition: Sequence[str], order: Sequence, value: str,
                      name: str = "label_pos") -> DataFrame:
     """Midpoint of each segment when values are stacked in ``order`` per partition."""
-    w = Window.partitionBy(*partition).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*partition).orderBy(*sort_cols(order)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(name, F.sum(value).over(w) - F.col(value) / 2)
 
 
 def top_k(df: DataFrame, order: Sequence, k: int) -> DataFrame:
     """Preview of the first ``k`` rows of an order (TakeOrderedAndProject)."""
-    return df.orderBy(*_order(order)).limit(k)
+    return df.orderBy(*sort_cols(order)).limit(k)

@@ -35,14 +35,14 @@ def cumulative_by_group(df: DataFrame, keys: Sequence[str], x: str, weight: Colu
     keys = list(keys)
     w = F.lit(1).cast("bigint") if weight is None else weight
     dist = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(w).alias("__c"))
-    korder = [F.col(k).asc_nulls_first() for k in keys]
+    korder = [(k, True, False) for k in keys]
     if not keys:
-        rows = prefix_sum(dist, [F.col(x).asc()], "__c", "__cum")
+        rows = prefix_sum(dist, [(x, True, False)], "__c", "__cum")
         return rows.withColumn("__n", dist.agg(F.sum("__c")).scalar())
     totals = dist.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     ends = prefix_sum(totals, korder, "__n", "__gend")
     starts = ends.select(*keys, "__n", (F.col("__gend") - F.col("__n")).alias("__gstart"))
-    rows = prefix_sum(dist, korder + [F.col(x).asc()], "__c", "__cg")
+    rows = prefix_sum(dist, korder + [(x, True, False)], "__c", "__cg")
     rows = join_null_safe(rows, starts, keys, "inner")
     return rows.select(*keys, x, "__c", (F.col("__cg") - F.col("__gstart")).alias("__cum"), "__n")
 

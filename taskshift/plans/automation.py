@@ -108,7 +108,7 @@ def category_by_task_type(classified: DataFrame) -> DataFrame:
     """Share of each category within each task type, with the stacked label position."""
     g = classified.groupBy("task_type", "ai_cat").agg(F.count(F.lit(1)).alias("n"))
     g = share_within(g, ["task_type"], "n", "pct")
-    return stacked_midpoint(g, ["task_type"], [F.col("ai_cat").desc()], "pct", "label_pos")
+    return stacked_midpoint(g, ["task_type"], [("ai_cat", False, True)], "pct", "label_pos")
 
 
 def occ_automation_rank(classified: DataFrame) -> DataFrame:
@@ -117,8 +117,7 @@ def occ_automation_rank(classified: DataFrame) -> DataFrame:
     w = occ_category_wide(classified)
     col = f"pct_weighted_{STEMS[AUTOMATED]}"
     ranked = global_row_number(w.select("soc_code", "title", col),
-                               [F.col(col).desc_nulls_last(), F.col("soc_code").asc_nulls_last(),
-                                F.col("title").asc_nulls_last()], "rank")
+                               [(col, False, True), ("soc_code", True, True), ("title", True, True)], "rank")
     return ranked.select("soc_code", "title", col, "rank")
 
 
@@ -137,8 +136,8 @@ def share_box_by_group(share: DataFrame) -> DataFrame:
     group's order inside its category facet (by mean share)."""
     box = box_summary(share, ["ai_cat", "occ_group"], "pct_tasks")
     means = share.groupBy("ai_cat", "occ_group").agg(mean_strict("pct_tasks").alias("mean_value"))
-    means = rank_within(means, ["ai_cat"], [F.col("mean_value").asc_nulls_last(),
-                                            F.col("occ_group").asc_nulls_last()], "rank_in_facet")
+    means = rank_within(means, ["ai_cat"], [("mean_value", True, True), ("occ_group", True, True)],
+                        "rank_in_facet")
     from taskshift.operators.joins import join_null_safe
     return join_null_safe(box, means, ["ai_cat", "occ_group"], "left")
 
