@@ -36,6 +36,14 @@ def share_of_total(df: DataFrame, measure: str, name: str) -> DataFrame:
     return df.withColumn(name, safe_div(F.col(measure), total_of(df, measure)))
 
 
+def shares_of_totals(df: DataFrame, measures: dict[str, str]) -> DataFrame:
+    """Several whole-frame shares at once: all totals come from one
+    struct-valued scalar subquery (one extra aggregate, not one per measure)."""
+    tot = df.agg(F.struct(*[F.sum(m).alias(f"t{i}") for i, m in enumerate(measures)]).alias("t")).scalar()
+    return df.withColumns({name: safe_div(F.col(m), tot.getField(f"t{i}"))
+                           for i, (m, name) in enumerate(measures.items())})
+
+
 def threshold_summary(df: DataFrame, flag: Column, flag_name: str,
                       sums: dict[str, str], count_name: str = "count",
                       share_names: dict[str, str] | None = None) -> DataFrame:
@@ -46,10 +54,9 @@ def threshold_summary(df: DataFrame, flag: Column, flag_name: str,
     agg = df.groupBy(flag.alias(flag_name)).agg(
         F.count(F.lit(1)).alias(count_name),
         *[sum_skip(src).alias(out) for out, src in sums.items()])
-    out = share_of_total(agg, count_name, share_names.get(count_name, f"pct_{count_name.lower()}"))
-    for col in sums:
-        out = share_of_total(out, col, share_names.get(col, f"pct_{col}"))
-    return out
+    measures = {count_name: share_names.get(count_name, f"pct_{count_name.lower()}")}
+    measures.update({col: share_names.get(col, f"pct_{col}") for col in sums})
+    return shares_of_totals(agg, measures)
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:

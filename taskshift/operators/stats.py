@@ -31,29 +31,29 @@ def _qname(p: float) -> str:
 
 def cumulative_by_group(df: DataFrame, keys: Sequence[str], x: str, weight: Column | None = None) -> DataFrame:
     """Distinct (keys, x) rows with ``__c`` (weight of the value), ``__cum``
-    (cumulative weight inside the group, ascending x) and ``__n`` (group total)."""
+    (cumulative weight inside the group, ascending x) and ``__n`` (group total).
+
+    One distributed prefix sum over (keys, x) gives the running weight across
+    all groups; a group's start is the least (running weight - own weight) in
+    it, so within-group positions need no second ordered pass. The result is
+    read from the checkpointed prefix-sum table, so consumers of it never
+    recompute the input."""
     keys = list(keys)
     w = F.lit(1).cast("bigint") if weight is None else weight
     dist = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(w).alias("__c"))
-    korder = [(k, True, False) for k in keys]
+    order = [(k, True, False) for k in keys] + [(x, True, False)]
+    rows = prefix_sum(dist, order, "__c", "__cg")
     if not keys:
-        rows = prefix_sum(dist, [(x, True, False)], "__c", "__cum")
-        return rows.withColumn("__n", dist.agg(F.sum("__c")).scalar())
-    totals = dist.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    ends = prefix_sum(totals, korder, "__n", "__gend")
-    starts = ends.select(*keys, "__n", (F.col("__gend") - F.col("__n")).alias("__gstart"))
-    rows = prefix_sum(dist, korder + [(x, True, False)], "__c", "__cg")
-    rows = join_null_safe(rows, starts, keys, "inner")
+        total = rows.agg(F.sum("__c")).scalar()
+        return rows.select(x, "__c", F.col("__cg").alias("__cum"), total.alias("__n"))
+    g = rows.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.min(F.col("__cg") - F.col("__c")).alias("__gstart"))
+    rows = join_null_safe(rows, g, keys, "inner")
     return rows.select(*keys, x, "__c", (F.col("__cg") - F.col("__gstart")).alias("__cum"), "__n")
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group (type 7: the default of
-    R ``quantile``, Spark ``percentile``, DuckDB ``quantile_cont``). Missing
-    values are ignored. Output: keys, ``n``, one column per prob."""
-    names = list(names or [_qname(p) for p in probs])
-    rows = cumulative_by_group(df, keys, x)
+def quantiles_from_cumulative(rows: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
+                              names: Sequence[str]) -> DataFrame:
+    """Type-7 quantiles from a ``cumulative_by_group`` table."""
     n = F.col("__n").cast("double")
     cum, v = F.col("__cum"), F.col(x)
     aggs = [F.max("__n").alias("n")]
@@ -70,6 +70,15 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[
     return g.select(*out)
 
 
+def group_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group (type 7: the default of
+    R ``quantile``, Spark ``percentile``, DuckDB ``quantile_cont``). Missing
+    values are ignored. Output: keys, ``n``, one column per prob."""
+    names = list(names or [_qname(p) for p in probs])
+    return quantiles_from_cumulative(cumulative_by_group(df, keys, x), list(keys), x, probs, names)
+
+
 def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float],
                        names: Sequence[str] | None = None) -> DataFrame:
     """Frequency-weighted quantiles (one row).
@@ -105,22 +114,24 @@ def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float],
 def box_summary(df: DataFrame, keys: Sequence[str], x: str, coef: float = 1.5) -> DataFrame:
     """Box-plot statistics per group: n, ymin, lower, middle, upper, ymax,
     n_outliers. Whiskers reach the furthest value within ``coef`` IQR of
-    the quartiles; values beyond are counted as outliers."""
+    the quartiles; values beyond are counted as outliers. Everything is
+    computed from the distinct (group, value, count) table, never from a
+    group's raw rows gathered in one place."""
     keys = list(keys)
-    q = group_quantiles(df, keys, x, [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
+    rows = cumulative_by_group(df, keys, x)
+    q = quantiles_from_cumulative(rows, keys, x, [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
     iqr = F.col("upper") - F.col("lower")
     fences = q.select(*keys, "n", "lower", "middle", "upper",
                       (F.col("lower") - coef * iqr).alias("__lo_f"),
                       (F.col("upper") + coef * iqr).alias("__hi_f"))
-    vals = df.select(*keys, x).where(F.col(x).isNotNull())
-    j = join_null_safe(vals, fences, keys, "inner")
+    j = join_null_safe(rows.select(*keys, x, "__c"), fences, keys, "inner")
     v = F.col(x)
     inside = (v >= F.col("__lo_f")) & (v <= F.col("__hi_f"))
     g = j.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("lower").alias("lower"), F.max("middle").alias("middle"),
         F.max("upper").alias("upper"),
         F.min(F.when(inside, v)).alias("__inmin"), F.max(F.when(inside, v)).alias("__inmax"),
-        F.count(F.when(~inside, 1)).alias("n_outliers"))
+        F.coalesce(F.sum(F.when(~inside, F.col("__c"))), F.lit(0)).cast("bigint").alias("n_outliers"))
     return g.select(*keys, "n", F.least("lower", "__inmin").alias("ymin"), "lower", "middle", "upper",
                     F.greatest("upper", "__inmax").alias("ymax"), "n_outliers")
 
