@@ -32,20 +32,21 @@ def very_wide_to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str],
     return df.select(*ids, F.inline(cells))
 
 
-def pivot_agg(key: str, value: str, measure: Column, agg=F.first) -> Column:
+def pivot_agg(key: str, value: str, measure: Column, agg=F.max) -> Column:
     """One pivot cell: ``agg(measure)`` over the rows whose key equals ``value``."""
     return agg(F.when(F.col(key) == F.lit(value), measure))
 
 
 def to_wide(df: DataFrame, ids: Sequence[str], key: str, values: Sequence[str],
-            measures: dict[str, str], fill=None, agg=F.first,
+            measures: dict[str, str], fill=None, agg=F.max,
             names: dict[str, str] | None = None) -> DataFrame:
     """Long -> wide with explicit key values.
 
     ``measures`` maps a measure column to the prefix of its wide columns
     ('' for a single measure). ``names`` maps key values to column-name
     stems (default: the value itself). Absent combinations give NULL, or
-    ``fill`` when given.
+    ``fill`` when given. Each (ids, key) cell is expected to hold one value;
+    ``agg`` (default ``max``, deterministic) decides otherwise.
     """
     names = names or {}
     out = []
