@@ -49,26 +49,33 @@ def task_category(tasks: DataFrame, task_statements: DataFrame) -> DataFrame:
 
 # -- Q27 / Q29 ---------------------------------------------------------------
 
-def occ_category_counts(classified: DataFrame) -> DataFrame:
-    """One row per occupation with task count and weighted count per category.
-
-    A single aggregation (map-side partial, one shuffle on the occupation
-    keys) does what a count-then-window would do with two shuffles."""
+def category_count_aggregate(classified: DataFrame) -> DataFrame:
+    """(code, title) rows with the task count and weighted count of each
+    category: one aggregation (map-side partial, one shuffle on the
+    occupation keys) instead of a count per category followed by a window.
+    Works unchanged on a streaming frame (see streaming/)."""
     agg = []
     for c in AI_CATEGORIES:
         hit = F.col("ai_cat") == F.lit(c)
         agg.append(F.count(F.when(hit, 1)).alias(f"n_{STEMS[c]}"))
         agg.append(F.sum(F.when(hit, F.col("task_weights"))).alias(f"w_{STEMS[c]}"))
-    g = classified.groupBy("soc_code", "title").agg(*agg)
+    return classified.groupBy("soc_code", "title").agg(*agg)
+
+
+def with_category_totals(counts: DataFrame) -> DataFrame:
+    """Add per-occupation totals and the major group to category counts."""
     n_all = sum((F.col(f"n_{s}") for s in CATEGORY_COLS), F.lit(0))
     w_all = sum((F.coalesce(F.col(f"w_{s}"), F.lit(0.0)) for s in CATEGORY_COLS), F.lit(0.0))
-    return with_major_group(g.withColumn("n_total", n_all).withColumn("w_total", w_all), "soc_code")
+    return with_major_group(counts.withColumn("n_total", n_all).withColumn("w_total", w_all), "soc_code")
 
 
-def occ_category_share(classified: DataFrame) -> DataFrame:
-    """(occupation, category) rows: n, n_weighted, pct_tasks, pct_weighted.
-    Shares are within the occupation; absent categories have no row."""
-    wide = occ_category_counts(classified)
+def occ_category_counts(classified: DataFrame) -> DataFrame:
+    """One row per occupation with task count and weighted count per category."""
+    return with_category_totals(category_count_aggregate(classified))
+
+
+def share_from_counts(wide: DataFrame) -> DataFrame:
+    """Long (occupation, category) shares from ``occ_category_counts`` rows."""
     cells = F.array(*[F.struct(F.lit(c).alias("ai_cat"), F.col(f"n_{STEMS[c]}").alias("n"),
                                F.col(f"w_{STEMS[c]}").alias("n_weighted")) for c in AI_CATEGORIES])
     long = wide.select(*OCC_KEYS, "n_total", "w_total", F.inline(cells)).where(F.col("n") > 0)
@@ -77,6 +84,12 @@ def occ_category_share(classified: DataFrame) -> DataFrame:
                        safe_div("n_weighted", "w_total").alias("pct_weighted"))
 
 
+def occ_category_share(classified: DataFrame) -> DataFrame:
+    """(occupation, category) rows: n, n_weighted, pct_tasks, pct_weighted.
+    Shares are within the occupation; absent categories have no row."""
+    return share_from_counts(occ_category_counts(classified))
+
+
 def occ_category_wide(classified: DataFrame) -> DataFrame:
     """Occupation rows with ``pct_tasks_*`` and ``pct_weighted_*`` per category
     (missing where the occupation has no task of it) plus the occupation
