@@ -70,3 +70,21 @@ def test_write_table_display_names(spark):
     assert back.columns == ["SOC", "2022 Jobs"]
     p2 = sinks.write_table(df, out, "exposure_Metro")
     assert spark.read.parquet(p2).count() == 1
+
+
+def test_percent_and_comma_labels(spark):
+    from pyspark.sql import functions as F
+    from taskshift.functions.labels import comma_label, percent_label
+    df = spark.createDataFrame([(0.1234, 1234567.0)], "p double, n double")
+    r = df.select(percent_label("p").alias("a"), percent_label("p", 1).alias("b"), comma_label("n").alias("c")).first()
+    assert (r["a"], r["b"], r["c"]) == ("12.3%", "12%", "1,234,567")
+
+
+def test_publish_all(spark):
+    from taskshift.plans.publish import AUTOMATION_SHEETS, EXPOSURE_SHEETS, publish_all
+    from taskshift.sources import standin as S
+    out = tempfile.mkdtemp(prefix="taskshift-publish-")
+    paths = publish_all(S.load_all(spark, "/root/testdata/sf0.001"), out, sheets=["figure 1", "automation_Metro"])
+    assert set(paths) == {"figure 1", "automation_Metro"}
+    assert spark.read.parquet(paths["figure 1"]).count() > 0
+    assert len(EXPOSURE_SHEETS) + len(AUTOMATION_SHEETS) == 10
