@@ -34,10 +34,16 @@ def with_sector(df: DataFrame, naics6_col: str, keep_unmatched: bool = False) ->
     return out if keep_unmatched else out.where(F.col("sector").isNotNull())
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join where NULL keys match each other (group tables carry a NULL group)."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                   broadcast_right: bool = False) -> DataFrame:
+    """Equi-join where NULL keys match each other (group tables carry a NULL group).
+
+    ``broadcast_right`` only when the right side has a proven size bound
+    (e.g. one row per label of a fixed lookup); otherwise AQE decides."""
     cond = None
     r = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    if broadcast_right:
+        r = F.broadcast(r)
     for k in keys:
         e = left[k].eqNullSafe(r[f"__r_{k}"])
         cond = e if cond is None else cond & e

@@ -59,7 +59,10 @@ def threshold_summary(df: DataFrame, flag: Column, flag_name: str,
     return shares_of_totals(agg, measures)
 
 
-def attach_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
-    """Every row gets its group's aggregates (partial-aggregated, then joined back)."""
+def attach_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
+                       bounded_groups: bool = False) -> DataFrame:
+    """Every row gets its group's aggregates (partial-aggregated, then joined
+    back). ``bounded_groups``: the group keys come from a fixed lookup, so the
+    stats table is broadcast instead of shuffling rows onto a few keys."""
     stats = df.groupBy(*keys).agg(*aggs)
-    return join_null_safe(df, stats, list(keys), "left")
+    return join_null_safe(df, stats, list(keys), "left", broadcast_right=bounded_groups)

@@ -29,7 +29,8 @@ def _qname(p: float) -> str:
     return "q" + f"{p:g}".replace(".", "_")
 
 
-def cumulative_by_group(df: DataFrame, keys: Sequence[str], x: str, weight: Column | None = None) -> DataFrame:
+def cumulative_by_group(df: DataFrame, keys: Sequence[str], x: str, weight: Column | None = None,
+                        bounded_groups: bool = False) -> DataFrame:
     """Distinct (keys, x) rows with ``__c`` (weight of the value), ``__cum``
     (cumulative weight inside the group, ascending x) and ``__n`` (group total).
 
@@ -47,7 +48,7 @@ def cumulative_by_group(df: DataFrame, keys: Sequence[str], x: str, weight: Colu
         total = rows.agg(F.sum("__c")).scalar()
         return rows.select(x, "__c", F.col("__cg").alias("__cum"), total.alias("__n"))
     g = rows.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.min(F.col("__cg") - F.col("__c")).alias("__gstart"))
-    rows = join_null_safe(rows, g, keys, "inner")
+    rows = join_null_safe(rows, g, keys, "inner", broadcast_right=bounded_groups)
     return rows.select(*keys, x, "__c", (F.col("__cg") - F.col("__gstart")).alias("__cum"), "__n")
 
 
@@ -71,12 +72,13 @@ def quantiles_from_cumulative(rows: DataFrame, keys: Sequence[str], x: str, prob
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, bounded_groups: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles per group (type 7: the default of
     R ``quantile``, Spark ``percentile``, DuckDB ``quantile_cont``). Missing
     values are ignored. Output: keys, ``n``, one column per prob."""
     names = list(names or [_qname(p) for p in probs])
-    return quantiles_from_cumulative(cumulative_by_group(df, keys, x), list(keys), x, probs, names)
+    rows = cumulative_by_group(df, keys, x, bounded_groups=bounded_groups)
+    return quantiles_from_cumulative(rows, list(keys), x, probs, names)
 
 
 def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float],
@@ -111,20 +113,21 @@ def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float],
     return g.select(*out)
 
 
-def box_summary(df: DataFrame, keys: Sequence[str], x: str, coef: float = 1.5) -> DataFrame:
+def box_summary(df: DataFrame, keys: Sequence[str], x: str, coef: float = 1.5,
+                bounded_groups: bool = False) -> DataFrame:
     """Box-plot statistics per group: n, ymin, lower, middle, upper, ymax,
     n_outliers. Whiskers reach the furthest value within ``coef`` IQR of
     the quartiles; values beyond are counted as outliers. Everything is
     computed from the distinct (group, value, count) table, never from a
     group's raw rows gathered in one place."""
     keys = list(keys)
-    rows = cumulative_by_group(df, keys, x)
+    rows = cumulative_by_group(df, keys, x, bounded_groups=bounded_groups)
     q = quantiles_from_cumulative(rows, keys, x, [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
     iqr = F.col("upper") - F.col("lower")
     fences = q.select(*keys, "n", "lower", "middle", "upper",
                       (F.col("lower") - coef * iqr).alias("__lo_f"),
                       (F.col("upper") + coef * iqr).alias("__hi_f"))
-    j = join_null_safe(rows.select(*keys, x, "__c"), fences, keys, "inner")
+    j = join_null_safe(rows.select(*keys, x, "__c"), fences, keys, "inner", broadcast_right=bounded_groups)
     v = F.col(x)
     inside = (v >= F.col("__lo_f")) & (v <= F.col("__hi_f"))
     g = j.groupBy(*keys).agg(
@@ -170,7 +173,8 @@ def category_order(df: DataFrame, label: str, x: str, fn=mean_strict, name: str
 # Kernel density on a fixed grid
 # ---------------------------------------------------------------------------
 
-def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float = 3.0) -> DataFrame:
+def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float = 3.0,
+                 bounded_facets: bool = False) -> DataFrame:
     """Gaussian kernel density per facet on ``grid`` points spanning
     [min - cut*bw, max + cut*bw], bandwidth ``0.9 min(sd, IQR/1.34) n^-1/5``.
 
@@ -180,7 +184,7 @@ def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float
     masses, whatever the row count; that sum runs with numpy on one
     ``grid``-row group per facet."""
     vals = df.where(F.col(x).isNotNull()).select(facet, x)
-    q = group_quantiles(vals, [facet], x, [0.25, 0.75], ["__q1", "__q3"])
+    q = group_quantiles(vals, [facet], x, [0.25, 0.75], ["__q1", "__q3"], bounded_groups=bounded_facets)
     mom = vals.groupBy(facet).agg(F.min(x).alias("__min"), F.max(x).alias("__max"),
                                   F.stddev_samp(x).alias("__sd"))
     spread = F.least(F.col("__sd"), (F.col("__q3") - F.col("__q1")) / 1.34)
@@ -190,7 +194,7 @@ def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float
         facet, "n", "__min", "__max", bw.alias("bw"))
     par = par.select(facet, "n", "bw", (F.col("__min") - cut * F.col("bw")).alias("g_lo"),
                      ((F.col("__max") - F.col("__min") + 2 * cut * F.col("bw")) / (grid - 1)).alias("g_step"))
-    j = join_null_safe(vals, par, [facet])
+    j = join_null_safe(vals, par, [facet], broadcast_right=bounded_facets)
     pos = (F.col(x) - F.col("g_lo")) / F.col("g_step")
     left = F.floor(pos).cast("int")
     frac = pos - F.floor(pos)
@@ -198,7 +202,7 @@ def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float
         F.struct(left.alias("i"), (1 - frac).alias("m")),
         F.struct((left + 1).alias("i"), frac.alias("m")))))
     mass = cells.where((F.col("i") >= 0) & (F.col("i") < grid)).groupBy(facet, "i").agg(F.sum("m").alias("m"))
-    mass = join_null_safe(mass, par, [facet])
+    mass = join_null_safe(mass, par, [facet], broadcast_right=bounded_facets)
     schema = StructType([StructField(facet, StringType()), StructField("i", LongType()),
                          StructField("x", DoubleType()), StructField("density", DoubleType())])
 

@@ -105,7 +105,7 @@ def occ_category_wide(classified: DataFrame) -> DataFrame:
     occ = wide.select(*OCC_KEYS, *cols)
     return attach_group_stats(occ, ["occ_group"], [
         mean_skip(f"pct_tasks_{STEMS[AUTOMATED]}").alias("mean_automated"),
-        mean_skip(f"pct_weighted_{STEMS[AUTOMATED]}").alias("mean_automated_weighted")])
+        mean_skip(f"pct_weighted_{STEMS[AUTOMATED]}").alias("mean_automated_weighted")], bounded_groups=True)
 
 
 def occ_weighted_shares(classified: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def occ_automation_rank(classified: DataFrame) -> DataFrame:
 # -- Q31-Q36 -----------------------------------------------------------------
 
 def share_density(share: DataFrame) -> DataFrame:
-    return density_grid(share, "ai_cat", "pct_weighted")
+    return density_grid(share, "ai_cat", "pct_weighted", bounded_facets=True)
 
 
 def share_histogram(share: DataFrame, bins: int = 30) -> DataFrame:
@@ -147,21 +147,22 @@ def share_histogram(share: DataFrame, bins: int = 30) -> DataFrame:
 def share_box_by_group(share: DataFrame) -> DataFrame:
     """Box statistics of the task share per (category, group), with each
     group's order inside its category facet (by mean share)."""
-    box = box_summary(share, ["ai_cat", "occ_group"], "pct_tasks")
+    box = box_summary(share, ["ai_cat", "occ_group"], "pct_tasks", bounded_groups=True)
     means = share.groupBy("ai_cat", "occ_group").agg(mean_strict("pct_tasks").alias("mean_value"))
     means = rank_within(means, ["ai_cat"], [("mean_value", True, True), ("occ_group", True, True)],
                         "rank_in_facet")
     from taskshift.operators.joins import join_null_safe
-    return join_null_safe(box, means, ["ai_cat", "occ_group"], "left")
+    return join_null_safe(box, means, ["ai_cat", "occ_group"], "left", broadcast_right=True)
 
 
 def _box_by_group(classified: DataFrame, stem: str) -> DataFrame:
     from taskshift.operators.joins import join_null_safe
     w = occ_category_wide(classified)
     col = f"pct_weighted_{stem}"
-    box = box_summary(w, ["occ_group"], col)
+    box = box_summary(w, ["occ_group"], col, bounded_groups=True)
     order = category_order(w.withColumn("__m", F.col(col)), "occ_group", "__m", mean_skip, "group_order")
-    return join_null_safe(box, order.withColumnRenamed("order_value", "group_mean"), ["occ_group"], "left")
+    return join_null_safe(box, order.withColumnRenamed("order_value", "group_mean"), ["occ_group"], "left",
+                          broadcast_right=True)
 
 
 def automated_box_by_group(classified: DataFrame) -> DataFrame:

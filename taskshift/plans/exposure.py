@@ -54,9 +54,10 @@ def exposure_box_by_score(tasks: DataFrame) -> DataFrame:
     long = to_long(occ.select("occ_group", *vals), ["occ_group"], vals, "name", "value")
     fam, typ = split_last("name")
     long = long.select("occ_group", fam.alias("name"), typ.alias("type"), "value")
-    box = box_summary(long, ["occ_group", "name", "type"], "value")
+    box = box_summary(long, ["occ_group", "name", "type"], "value", bounded_groups=True)
     order = category_order(long, "occ_group", "value", mean_strict, "group_order")
-    return join_null_safe(box, order.withColumnRenamed("order_value", "group_mean"), ["occ_group"], "left")
+    return join_null_safe(box, order.withColumnRenamed("order_value", "group_mean"), ["occ_group"], "left",
+                          broadcast_right=True)
 
 
 # -- Q5 ----------------------------------------------------------------------
@@ -114,7 +115,8 @@ def group_points_ordered(score_emp: DataFrame) -> DataFrame:
     """SOC points by group, with the groups' order by mean beta."""
     s = _with_group_jobs(score_emp).select("soc", "occ_group", "gpt4_rubric1_beta", "jobs")
     order = category_order(s, "occ_group", "gpt4_rubric1_beta", mean_strict, "group_order")
-    return join_null_safe(s, order.withColumnRenamed("order_value", "group_mean"), ["occ_group"], "left")
+    return join_null_safe(s, order.withColumnRenamed("order_value", "group_mean"), ["occ_group"], "left",
+                          broadcast_right=True)
 
 
 def group_beta_wage(score_emp: DataFrame) -> DataFrame:
