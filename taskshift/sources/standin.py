@@ -51,18 +51,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """The test tables are single-row-group files, which Spark reads in one
-    task; real inputs arrive as many files. Spread such a scan (after column
-    pruning) over the session's parallelism so the stand-in behaves like a
-    multi-file source. A no-op when the scan already has enough splits."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(par)
-
-
 def occ_code(k: Column) -> Column:
     """Stand-in occupation code for an integer key: ``NN-D`` + 8-digit key."""
     return F.concat((F.lit(11) + F.lit(2) * (k % 23)).cast("string"), F.lit("-"),
@@ -74,8 +62,8 @@ def _quarters(x: Column, mod: int = 5, den: int = 4) -> Column:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _spread(_t(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus"))
+    li = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
     j = li.join(p, li.l_partkey == p.p_partkey)
     d = F.round(F.col("l_discount") * 100).cast("int")
@@ -99,8 +87,8 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _spread(_t(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_linestatus", "l_returnflag"))
+    li = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_linestatus", "l_returnflag")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
     j = li.where(F.col("l_orderkey") % UNMATCHED_STATEMENT_EVERY != 0).join(p, li.l_partkey == p.p_partkey)
     keyed = j.select(
@@ -152,7 +140,7 @@ def us_emp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metro_emp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _spread(_t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity"))
+    li = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     j = li.join(s, li.l_suppkey == s.s_suppkey)
     return (j.groupBy(occ_code(F.col("l_partkey")).alias("occupation"),
@@ -182,7 +170,7 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staffing_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide staffing matrix: label, description, one text column per industry,
     plus the stray header row the real export carries."""
-    li = _spread(_t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity"))
+    li = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
     ind = F.element_at(F.array(*[F.lit(c) for c in INDUSTRY_CODES]), (F.col("l_suppkey") % len(INDUSTRY_CODES) + 1).cast("int"))
     wide = (li.select(occ_code(F.col("l_partkey")).alias("occupation_label"), ind.alias("naics6"), "l_quantity")
             .groupBy("occupation_label").pivot("naics6", INDUSTRY_CODES).agg(F.sum("l_quantity")))
