@@ -16,7 +16,8 @@ from taskshift.operators.reshape import split_last, to_long, very_wide_to_long
 from taskshift.operators.shares import threshold_summary
 from taskshift.operators.stats import (box_summary, category_order, linear_trend, profile,
                                        weighted_quantiles)
-from taskshift.plans.automation import (ALL_SCORES, CATEGORY_COLS, EXPOSURE_SCORES, metro_join,
+from taskshift.functions.bands import AI_CATEGORIES
+from taskshift.plans.automation import (ALL_SCORES, CATEGORY_COLS, EXPOSURE_SCORES, STEMS, metro_join,
                                         occ_category_share, staffing_by_sector)
 
 WAGE = "avg_hourly_earnings"
@@ -245,17 +246,21 @@ def metro_map_table(by_metro: DataFrame, geography: DataFrame) -> DataFrame:
 def master_score(score_emp: DataFrame, classified: DataFrame) -> DataFrame:
     """SOC beta and jobs with the mean weighted share of each AI-impact
     category (absent category -> 0 inside the pivot; SOCs without any
-    category row stay missing after the left join)."""
+    category row stay missing after the left join).
+
+    The per-(SOC, category) mean and the pivot are one conditional aggregate
+    keyed by SOC (one shuffle): for each category, the mean over that
+    category's rows, missing-propagating, absent -> 0."""
     share = occ_category_share(classified)
     s = share.select(codes.soc6_collapsed("soc_code").alias("soc"), "ai_cat",
                      F.coalesce(F.col("pct_weighted"), F.lit(0.0)).alias("pct_weighted"))
-    from taskshift.functions.bands import AI_CATEGORIES
-    from taskshift.plans.automation import STEMS
-    # mean per (soc, category) is missing-propagating; absent categories are 0
-    per = s.groupBy("soc", "ai_cat").agg(mean_strict("pct_weighted").alias("m"))
-    wide = per.groupBy("soc").agg(*[
-        F.coalesce(F.max(F.when(F.col("ai_cat") == c, F.col("m"))), F.lit(0.0)).alias(STEMS[c])
-        for c in AI_CATEGORIES])
+    cells = []
+    for c in AI_CATEGORIES:
+        hit = F.col("ai_cat") == F.lit(c)
+        x = F.when(hit, F.col("pct_weighted"))
+        strict = F.when(F.count(F.when(hit, 1)) == F.count(x), F.avg(x))
+        cells.append(F.coalesce(strict, F.lit(0.0)).alias(STEMS[c]))
+    wide = s.groupBy("soc").agg(*cells)
     base = score_emp.select("soc", "description", "jobs", "gpt4_rubric1_beta")
     return base.join(wide, "soc", "left")
 
