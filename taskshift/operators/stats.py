@@ -176,38 +176,45 @@ def category_order(df: DataFrame, label: str, x: str, fn=mean_strict, name: str
 def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float = 3.0,
                  bounded_facets: bool = False) -> DataFrame:
     """Gaussian kernel density per facet on ``grid`` points spanning
-    [min - cut*bw, max + cut*bw], bandwidth ``0.9 min(sd, IQR/1.34) n^-1/5``.
-
-    The data are linearly binned onto the grid in Spark (partial
-    aggregation: each value splits its mass between its two neighbouring
-    grid points), so the kernel sum per facet only touches ``grid`` binned
-    masses, whatever the row count; that sum runs with numpy on one
+    [min - cut*bw, max + cut*bw], bandwidth ``0.9 min(sd, IQR/1.34) n^-1/5``
+    (falling back to sd, then 1, when that spread is 0).
+
+    The input is reduced once to distinct (facet, value, count) rows (the
+    checkpointed table of ``cumulative_by_group``); quartiles, min/max, the
+    two-pass standard deviation and the linear binning onto the grid (each
+    value splits its count between its two neighbouring grid points) all
+    read that table. The kernel sum per facet then touches only ``grid``
+    binned masses, whatever the row count; it runs with numpy on one
     ``grid``-row group per facet."""
-    vals = df.where(F.col(x).isNotNull()).select(facet, x)
-    q = group_quantiles(vals, [facet], x, [0.25, 0.75], ["__q1", "__q3"], bounded_groups=bounded_facets)
-    mom = vals.groupBy(facet).agg(F.min(x).alias("__min"), F.max(x).alias("__max"),
-                                  F.stddev_samp(x).alias("__sd"))
+    rows = cumulative_by_group(df.select(facet, x), [facet], x, bounded_groups=bounded_facets)
+    q = quantiles_from_cumulative(rows, [facet], x, [0.25, 0.75], ["__q1", "__q3"])
+    c, v = F.col("__c"), F.col(x)
+    m1 = rows.groupBy(facet).agg(F.min(x).alias("__min"), F.max(x).alias("__max"),
+                                 (F.sum(c * v) / F.sum(c)).alias("__mean"))
+    dev = join_null_safe(rows, m1, [facet], broadcast_right=bounded_facets).groupBy(facet).agg(
+        F.sum(c * (v - F.col("__mean")) * (v - F.col("__mean"))).alias("__ss"))
+    mom = join_null_safe(m1, dev, [facet])
     spread = F.least(F.col("__sd"), (F.col("__q3") - F.col("__q1")) / 1.34)
     spread = F.when(spread > 0, spread).when(F.col("__sd") > 0, F.col("__sd")).otherwise(F.lit(1.0))
-    bw = 0.9 * spread * F.pow(F.col("n").cast("double"), -0.2)
-    par = join_null_safe(q, mom, [facet]).select(
-        facet, "n", "__min", "__max", bw.alias("bw"))
+    par = join_null_safe(q, mom, [facet]).withColumn(
+        "__sd", F.sqrt(F.try_divide(F.col("__ss"), (F.col("n") - 1).cast("double"))))
+    par = par.select(facet, "n", "__min", "__max", (0.9 * spread * F.pow(F.col("n").cast("double"), -0.2)).alias("bw"))
     par = par.select(facet, "n", "bw", (F.col("__min") - cut * F.col("bw")).alias("g_lo"),
                      ((F.col("__max") - F.col("__min") + 2 * cut * F.col("bw")) / (grid - 1)).alias("g_step"))
-    j = join_null_safe(vals, par, [facet], broadcast_right=bounded_facets)
-    pos = (F.col(x) - F.col("g_lo")) / F.col("g_step")
+    j = join_null_safe(rows.select(facet, x, "__c"), par, [facet], broadcast_right=bounded_facets)
+    pos = (v - F.col("g_lo")) / F.col("g_step")
     left = F.floor(pos).cast("int")
     frac = pos - F.floor(pos)
     cells = j.select(facet, F.inline(F.array(
-        F.struct(left.alias("i"), (1 - frac).alias("m")),
-        F.struct((left + 1).alias("i"), frac.alias("m")))))
+        F.struct(left.alias("i"), (c * (1 - frac)).alias("m")),
+        F.struct((left + 1).alias("i"), (c * frac).alias("m")))))
     mass = cells.where((F.col("i") >= 0) & (F.col("i") < grid)).groupBy(facet, "i").agg(F.sum("m").alias("m"))
     mass = join_null_safe(mass, par, [facet], broadcast_right=bounded_facets)
     schema = StructType([StructField(facet, StringType()), StructField("i", LongType()),
                          StructField("x", DoubleType()), StructField("density", DoubleType())])
 
     def _kde(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, bw, lo, step = (float(pdf[c].iloc[0]) for c in ("n", "bw", "g_lo", "g_step"))
+        n, bw, lo, step = (float(pdf[col].iloc[0]) for col in ("n", "bw", "g_lo", "g_step"))
         m = np.zeros(grid)
         m[pdf["i"].to_numpy(dtype=int)] = pdf["m"].to_numpy(dtype=float)
         gx = lo + step * np.arange(grid)

@@ -24,9 +24,11 @@ US_EMP_TYPES = {"jobs": "double", "avg_hourly_earnings": "double", "median_hourl
 METRO_EMP_TYPES = {"area": "bigint", "jobs": "double"}
 
 
-def _text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def _text(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False) -> DataFrame:
+    """Header + text columns. ``multiline`` only for files with quoted line
+    breaks: it makes each file a single, unsplittable read."""
     return (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
-            .option("nullValue", "NA").option("emptyValue", None).option("multiLine", True)
+            .option("nullValue", "NA").option("emptyValue", None).option("multiLine", multiline)
             .option("escape", '"').csv(path))
 
 
@@ -40,15 +42,15 @@ def _typed(df: DataFrame, types: dict[str, str], prefix_types: dict[str, str] |
     return df.select(*out)
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+def read_tasks(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Task ratings CSV: one row per (occupation, task) with score columns."""
-    df = normalise_names(_text(spark, path))
+    df = normalise_names(_text(spark, path, multiline=multiline))
     return _typed(df, TASK_TYPES, {"mean_rating_": "double", "gpt4_": "double"})
 
 
-def read_task_statements(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+def read_task_statements(spark: SparkSession, path: str, sep: str = "\t", multiline: bool = False) -> DataFrame:
     """O*NET task statements (tab-delimited text)."""
-    return _typed(normalise_names(_text(spark, path, sep)), STATEMENT_TYPES)
+    return _typed(normalise_names(_text(spark, path, sep, multiline)), STATEMENT_TYPES)
 
 
 def read_us_emp(spark: SparkSession, path: str) -> DataFrame:
