@@ -23,6 +23,7 @@ from taskshift.functions.nulls import mean_strict, safe_div
 from taskshift.operators.joins import join_null_safe
 from taskshift.operators.ordering import prefix_sum
 from taskshift.operators.reshape import to_long
+from taskshift.session import cut_lineage
 
 
 def _qname(p: float) -> str:
@@ -236,35 +237,49 @@ PROFILE_COLUMNS = ["skim_type", "skim_variable", "n_missing", "complete_rate", "
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: missing count and complete rate for all; mean, sd
     and quartiles for numeric columns; distinct count, min/max length and
-    empty-string count for text columns."""
+    empty-string count for text columns.
+
+    Numeric columns: one ``rollup(variable, value)`` pass gives both the
+    per-value counts and the per-variable count / mean / sd; that table is
+    checkpointed and feeds the exact quartiles, so the input is read once.
+    Text columns: one aggregation to distinct (variable, text) counts, then
+    per-variable statistics from it."""
     num = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short")]
     txt = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    total = df.agg(F.count(F.lit(1))).scalar()
+    var = "skim_variable"
     parts = []
     if num:
-        long = to_long(df.select(*[F.col(c).cast("double").alias(c) for c in num]), [], num, "skim_variable", "v")
-        base = long.groupBy("skim_variable").agg(
-            F.count(F.when(F.col("v").isNull(), 1)).alias("n_missing"),
-            F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
-        qs = group_quantiles(long, ["skim_variable"], "v", [0, .25, .5, .75, 1],
-                             ["p0", "p25", "p50", "p75", "p100"]).drop("n")
-        nb = base.join(qs, "skim_variable", "left")
+        long = to_long(df.select(*[F.col(c).cast("double").alias(c) for c in num]), [], num, var, "v")
+        r = long.rollup(var, "v").agg(
+            F.count(F.lit(1)).alias("c"), F.count("v").alias("cv"), F.avg("v").alias("mean"),
+            F.stddev_samp("v").alias("sd"), F.grouping_id().alias("gid"))
+        r = cut_lineage(r.where(F.col("gid") < 3))
+        per_var = r.where(F.col("gid") == 1).select(var, (F.col("c") - F.col("cv")).alias("n_missing"),
+                                                    F.col("c").alias("__total"), "mean", "sd")
+        dist = r.where((F.col("gid") == 0) & F.col("v").isNotNull()).select(var, "v", "c")
+        cum = cumulative_by_group(dist, [var], "v", F.col("c"))
+        qs = quantiles_from_cumulative(cum, [var], "v", [0, .25, .5, .75, 1],
+                                       ["p0", "p25", "p50", "p75", "p100"]).drop("n")
+        nb = per_var.join(qs, var, "left")
         parts.append(nb.select(
-            F.lit("numeric").alias("skim_type"), "skim_variable", "n_missing",
-            safe_div(total - F.col("n_missing"), total).alias("complete_rate"),
+            F.lit("numeric").alias("skim_type"), var, "n_missing",
+            safe_div(F.col("__total") - F.col("n_missing"), "__total").alias("complete_rate"),
             "mean", "sd", "p0", "p25", "p50", "p75", "p100",
             F.lit(None).cast("bigint").alias("n_unique"), F.lit(None).cast("bigint").alias("min_len"),
             F.lit(None).cast("bigint").alias("max_len"), F.lit(None).cast("bigint").alias("n_empty")))
     if txt:
-        long = to_long(df.select(*txt), [], txt, "skim_variable", "s")
-        t = long.groupBy("skim_variable").agg(
-            F.count(F.when(F.col("s").isNull(), 1)).alias("n_missing"),
-            F.count_distinct("s").alias("n_unique"),
-            F.min(F.length("s")).cast("bigint").alias("min_len"), F.max(F.length("s")).cast("bigint").alias("max_len"),
-            F.count(F.when(F.col("s") == "", 1)).alias("n_empty"))
+        long = to_long(df.select(*txt), [], txt, var, "s")
+        dt = long.groupBy(var, "s").agg(F.count(F.lit(1)).alias("c"))
+        t = dt.groupBy(var).agg(
+            F.coalesce(F.sum(F.when(F.col("s").isNull(), F.col("c"))), F.lit(0)).cast("bigint").alias("n_missing"),
+            F.sum("c").alias("__total"),
+            F.count("s").alias("n_unique"),
+            F.min(F.length("s")).cast("bigint").alias("min_len"),
+            F.max(F.length("s")).cast("bigint").alias("max_len"),
+            F.coalesce(F.sum(F.when(F.col("s") == "", F.col("c"))), F.lit(0)).cast("bigint").alias("n_empty"))
         parts.append(t.select(
-            F.lit("character").alias("skim_type"), "skim_variable", "n_missing",
-            safe_div(total - F.col("n_missing"), total).alias("complete_rate"),
+            F.lit("character").alias("skim_type"), var, "n_missing",
+            safe_div(F.col("__total") - F.col("n_missing"), "__total").alias("complete_rate"),
             *[F.lit(None).cast("double").alias(c) for c in ("mean", "sd", "p0", "p25", "p50", "p75", "p100")],
             "n_unique", "min_len", "max_len", "n_empty"))
     out = parts[0]
