@@ -15,6 +15,7 @@ from taskshift.operators.ordering import global_row_number, rank_within, stacked
 from taskshift.operators.reshape import to_long, very_wide_to_long
 from taskshift.operators.shares import attach_group_stats, share_within
 from taskshift.operators.stats import box_summary, category_order, density_grid, histogram
+from taskshift.session import cut_lineage
 
 EXPOSURE_SCORES = ["mean_rating_human_alpha", "mean_rating_human_beta", "mean_rating_human_gamma",
                    "gpt4_rubric1_alpha", "gpt4_rubric1_beta", "gpt4_rubric1_gamma"]
@@ -147,6 +148,7 @@ def share_histogram(share: DataFrame, bins: int = 30) -> DataFrame:
 def share_box_by_group(share: DataFrame) -> DataFrame:
     """Box statistics of the task share per (category, group), with each
     group's order inside its category facet (by mean share)."""
+    share = cut_lineage(share)   # read by the box statistics and by the facet order
     box = box_summary(share, ["ai_cat", "occ_group"], "pct_tasks", bounded_groups=True)
     means = share.groupBy("ai_cat", "occ_group").agg(mean_strict("pct_tasks").alias("mean_value"))
     means = rank_within(means, ["ai_cat"], [("mean_value", True, True), ("occ_group", True, True)],
@@ -157,7 +159,7 @@ def share_box_by_group(share: DataFrame) -> DataFrame:
 
 def _box_by_group(classified: DataFrame, stem: str) -> DataFrame:
     from taskshift.operators.joins import join_null_safe
-    w = occ_category_wide(classified)
+    w = cut_lineage(occ_category_wide(classified))   # read by the box statistics and by the order
     col = f"pct_weighted_{stem}"
     box = box_summary(w, ["occ_group"], col, bounded_groups=True)
     order = category_order(w.withColumn("__m", F.col(col)), "occ_group", "__m", mean_skip, "group_order")

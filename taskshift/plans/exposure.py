@@ -16,6 +16,7 @@ from taskshift.operators.reshape import split_last, to_long, very_wide_to_long
 from taskshift.operators.shares import threshold_summary
 from taskshift.operators.stats import (box_summary, category_order, linear_trend, profile,
                                        weighted_quantiles)
+from taskshift.session import cut_lineage
 from taskshift.functions.bands import AI_CATEGORIES
 from taskshift.plans.automation import (ALL_SCORES, CATEGORY_COLS, EXPOSURE_SCORES, STEMS, metro_join,
                                         occ_category_share, staffing_by_sector)
@@ -50,7 +51,7 @@ def occ_mean_scores(tasks: DataFrame) -> DataFrame:
 def exposure_box_by_score(tasks: DataFrame) -> DataFrame:
     """Box statistics of each exposure score per (group, score family, type),
     with the groups' chart order (mean over all of a group's values)."""
-    occ = occ_mean_scores(tasks).drop("gpt4_automation")
+    occ = cut_lineage(occ_mean_scores(tasks).drop("gpt4_automation"))   # two consumers below
     vals = [c for c in numeric_cols(occ)]
     long = to_long(occ.select("occ_group", *vals), ["occ_group"], vals, "name", "value")
     fam, typ = split_last("name")
@@ -114,7 +115,7 @@ def _with_group_jobs(score_emp: DataFrame) -> DataFrame:
 
 def group_points_ordered(score_emp: DataFrame) -> DataFrame:
     """SOC points by group, with the groups' order by mean beta."""
-    s = _with_group_jobs(score_emp).select("soc", "occ_group", "gpt4_rubric1_beta", "jobs")
+    s = cut_lineage(_with_group_jobs(score_emp).select("soc", "occ_group", "gpt4_rubric1_beta", "jobs"))
     order = category_order(s, "occ_group", "gpt4_rubric1_beta", mean_strict, "group_order")
     return join_null_safe(s, order.withColumnRenamed("order_value", "group_mean"), ["occ_group"], "left",
                           broadcast_right=True)
