@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from taskshift.sources.lookups import occ_groups, sectors
@@ -78,3 +78,13 @@ def join_report(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
         F.coalesce(F.sum(F.when(matched, ln * rn)), F.lit(0)).cast("bigint").alias("inner_rows"),
         F.coalesce(F.sum(F.when(matched, ln * rn).when(ln > 0, ln)), F.lit(0)).cast("bigint").alias("left_join_rows"),
     )
+
+
+def audited_filter(df: DataFrame, cond: Column, name: str) -> tuple[DataFrame, Observation]:
+    """Filter that also reports rows in / kept / removed once the result is
+    computed (``Observation.get`` after an action), without an extra pass."""
+    obs = Observation(name)
+    kept = F.count(F.when(cond, 1))
+    observed = df.observe(obs, F.count(F.lit(1)).alias("rows_in"), kept.alias("rows_kept"),
+                          (F.count(F.lit(1)) - kept).alias("rows_removed"))
+    return observed.where(cond), obs

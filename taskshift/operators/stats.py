@@ -72,6 +72,17 @@ def quantiles_from_cumulative(rows: DataFrame, keys: Sequence[str], x: str, prob
     return g.select(*out)
 
 
+def approx_group_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
+                           names: Sequence[str] | None = None, accuracy: int = 10000) -> DataFrame:
+    """Approximate quantiles per group in one partial-aggregable pass
+    (``percentile_approx``: bounded-memory sketch, rank error about
+    1/``accuracy``), for when exact order statistics are not required."""
+    names = list(names or [_qname(p) for p in probs])
+    g = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(x, list(probs), accuracy).alias("__q"))
+    return g.select(*keys, "n", *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float],
                     names: Sequence[str] | None = None, bounded_groups: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles per group (type 7: the default of
@@ -115,15 +126,20 @@ def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float],
 
 
 def box_summary(df: DataFrame, keys: Sequence[str], x: str, coef: float = 1.5,
-                bounded_groups: bool = False) -> DataFrame:
+                bounded_groups: bool = False, approx: bool = False) -> DataFrame:
     """Box-plot statistics per group: n, ymin, lower, middle, upper, ymax,
     n_outliers. Whiskers reach the furthest value within ``coef`` IQR of
     the quartiles; values beyond are counted as outliers. Everything is
     computed from the distinct (group, value, count) table, never from a
-    group's raw rows gathered in one place."""
+    group's raw rows gathered in one place. ``approx`` takes the quartiles
+    from ``percentile_approx`` instead of exact order statistics."""
     keys = list(keys)
-    rows = cumulative_by_group(df, keys, x, bounded_groups=bounded_groups)
-    q = quantiles_from_cumulative(rows, keys, x, [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
+    if approx:
+        rows = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__c"))
+        q = approx_group_quantiles(df, keys, x, [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
+    else:
+        rows = cumulative_by_group(df, keys, x, bounded_groups=bounded_groups)
+        q = quantiles_from_cumulative(rows, keys, x, [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
     iqr = F.col("upper") - F.col("lower")
     fences = q.select(*keys, "n", "lower", "middle", "upper",
                       (F.col("lower") - coef * iqr).alias("__lo_f"),

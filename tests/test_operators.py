@@ -196,3 +196,21 @@ def test_profile(spark):
     assert p["x"]["n_missing"] == 1 and p["x"]["mean"] == 2.0 and p["x"]["p50"] == 2.0
     assert math.isclose(p["x"]["complete_rate"], 2 / 3)
     assert p["s"]["n_missing"] == 1 and p["s"]["n_empty"] == 1 and p["s"]["max_len"] == 2 and p["s"]["n_unique"] == 2
+
+
+def test_approx_box_close_to_exact(spark):
+    data = [("g", float(i % 97)) for i in range(2000)]
+    df = spark.createDataFrame(data, "k string, x double")
+    ex = box_summary(df, ["k"], "x").first()
+    ap = box_summary(df, ["k"], "x", approx=True).first()
+    assert ap["n"] == ex["n"] == 2000 and ap["n_outliers"] == ex["n_outliers"] == 0
+    for c in ("lower", "middle", "upper"):
+        assert abs(ap[c] - ex[c]) <= 1.0
+
+
+def test_audited_filter(spark):
+    from taskshift.operators.joins import audited_filter
+    df = spark.range(100)
+    out, obs = audited_filter(df, F.col("id") % 4 == 0, "keep_quarters")
+    assert out.count() == 25
+    assert obs.get == {"rows_in": 100, "rows_kept": 25, "rows_removed": 75}
