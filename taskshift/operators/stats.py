@@ -158,15 +158,19 @@ def box_summary(df: DataFrame, keys: Sequence[str], x: str, coef: float = 1.5,
 
 def histogram(df: DataFrame, facet: Sequence[str], x: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram with one range shared by every facet: ``bins``
-    bins over [min, max]; the maximum falls in the last bin."""
+    bins over [min, max]; the maximum falls in the last bin.
+
+    The input is reduced once to distinct (facet, value, count) rows,
+    checkpointed; the shared range and the bin counts read that table (a
+    bin depends only on the value)."""
     facet = list(facet)
-    vals = df.where(F.col(x).isNotNull())
-    rng = vals.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("r")).scalar()
+    dist = cut_lineage(df.where(F.col(x).isNotNull()).groupBy(*facet, x).agg(F.count(F.lit(1)).alias("__c")))
+    rng = dist.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("r")).scalar()
     lo, hi = rng.getField("lo"), rng.getField("hi")
     width = (hi - lo) / bins
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(x) - lo) / width), F.lit(bins - 1))).cast("int")
-    g = vals.groupBy(*facet, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    g = dist.select(*facet, b.alias("bin"), "__c").groupBy(*facet, "bin").agg(F.sum("__c").alias("count"))
     return g.select(*facet, "bin", (lo + F.col("bin") * width).alias("bin_lo"),
                     (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "count")
 

@@ -146,7 +146,9 @@ def wage_quartile_bins(us_emp: DataFrame) -> DataFrame:
     excluded), and the number of SOC rows in each bin (missing bin kept)."""
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     qs = weighted_quantiles(us_emp, WAGE, "jobs", probs, [f"b{i}" for i in range(len(probs))])
-    br = qs.select(F.array(*[f"b{i}" for i in range(len(probs))]).alias("br")).scalar()
+    # one row, materialized once: every reference to the breaks reads it
+    qs = cut_lineage(qs.select(F.array(*[f"b{i}" for i in range(len(probs))]).alias("br")))
+    br = qs.scalar()
     breaks = [F.element_at(br, i + 1) for i in range(len(probs))]
     binned = us_emp.select(interval_bin(WAGE, breaks).alias("earnings_bin"))
     g = binned.groupBy("earnings_bin").agg(F.count(F.lit(1)).alias("n"))

@@ -72,18 +72,25 @@ SECTOR_SCHEMA = StructType([StructField("naics2_code", StringType(), False),
                             StructField("naics_short_name", StringType(), False)])
 
 
+def _inline_table(spark: SparkSession, rows, schema: StructType) -> DataFrame:
+    """A literal table as an inline VALUES relation (a LocalRelation: no RDD,
+    no Python worker to read it)."""
+    cols = [f.name for f in schema.fields]
+    return spark.sql(f"SELECT * FROM {values_sql(rows, cols)}")
+
+
 def occ_groups(spark: SparkSession) -> DataFrame:
     """22-row major-group lookup, broadcast-hinted (fixed size)."""
-    return F.broadcast(spark.createDataFrame(OCC_GROUPS, OCC_GROUP_SCHEMA))
+    return F.broadcast(_inline_table(spark, OCC_GROUPS, OCC_GROUP_SCHEMA))
 
 
 def sectors(spark: SparkSession) -> DataFrame:
     """20-row sector lookup, broadcast-hinted (fixed size)."""
-    return F.broadcast(spark.createDataFrame(SECTORS, SECTOR_SCHEMA))
+    return F.broadcast(_inline_table(spark, SECTORS, SECTOR_SCHEMA))
 
 
 def values_sql(rows, cols) -> str:
-    """The same lookup as a SQL VALUES list (for the DuckDB oracle)."""
+    """A lookup as an SQL VALUES list (inline table in Spark, and in the DuckDB oracle)."""
     def q(v):
         return "'" + v.replace("'", "''") + "'"
     body = ",\n    ".join("(" + ", ".join(q(v) for v in r) + ")" for r in rows)

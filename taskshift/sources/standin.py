@@ -177,8 +177,8 @@ def staffing_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = wide.select("occupation_label",
                        F.concat(F.lit("Occupation "), F.col("occupation_label")).alias("description"),
                        *[F.coalesce(F.col(c), F.lit(0.0)).cast("string").alias(c) for c in INDUSTRY_CODES])
-    header = spark.createDataFrame([tuple(["SOC", "Description"] + [f"Industry {c}" for c in INDUSTRY_CODES])],
-                                   ["occupation_label", "description"] + INDUSTRY_CODES)
+    header = spark.range(1).select(F.lit("SOC").alias("occupation_label"), F.lit("Description").alias("description"),
+                                   *[F.lit(f"Industry {c}").alias(c) for c in INDUSTRY_CODES])
     return body.unionByName(header)
 
 
