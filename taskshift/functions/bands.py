@@ -57,6 +57,7 @@ def ai_category(automation, gamma, automation_threshold: float = AUTOMATION_THRE
 
 
 def task_weight(task_type) -> Column:
+    """Core 2, Supplemental 0.5, any other or missing type 1."""
     t = _c(task_type)
     out = F
     for label, wt in TASK_WEIGHTS.items():
@@ -70,6 +71,7 @@ def has_exposure(beta) -> Column:
 
 
 def at_least(x, t: float) -> Column:
+    """Threshold flag ``x >= t`` (missing x gives a missing flag)."""
     return _c(x) >= F.lit(t)
 
 
@@ -95,10 +97,12 @@ def _membership_bands(x, bands, default) -> Column:
 
 
 def education_band(education) -> Column:
+    """Four entry-education bands; anything else (or missing) is ``Other``."""
     return _membership_bands(education, EDUCATION_BANDS, EDUCATION_DEFAULT)
 
 
 def training_band(training) -> Column:
+    """Five on-the-job training bands; anything else (or missing) is ``Other``."""
     return _membership_bands(training, TRAINING_BANDS, TRAINING_DEFAULT)
 
 
@@ -111,6 +115,7 @@ def level_order(x, levels) -> Column:
 
 
 def demographic_type(demo) -> Column:
+    """``gender`` for the female / male groups, ``race`` otherwise."""
     return F.when(in_set(demo, GENDER_GROUPS), F.lit("gender")).otherwise(F.lit("race"))
 
 

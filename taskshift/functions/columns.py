@@ -60,10 +60,12 @@ def cols_between(df: DataFrame, first: str, last: str) -> list[str]:
 
 
 def numeric_cols(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
+    """Names of numeric columns (select by type)."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
 def cols_containing(df: DataFrame, text: str) -> list[str]:
+    """Names containing ``text``, case-insensitive (select by substring)."""
     t = text.lower()
     return [c for c in df.columns if t in c.lower()]
 

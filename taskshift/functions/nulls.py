@@ -40,24 +40,29 @@ def safe_div(a, b) -> Column:
 
 
 def mean_skip(x) -> Column:
+    """Mean skipping missing values; all missing -> NULL."""
     return F.avg(_c(x))
 
 
 def mean_strict(x) -> Column:
+    """Mean that is missing as soon as one value is missing."""
     x = _c(x)
     return F.when(F.count(x) == F.count(F.lit(1)), F.avg(x))
 
 
 def sum_skip(x) -> Column:
+    """Sum skipping missing values; all missing -> 0."""
     return F.coalesce(F.sum(_c(x)), F.lit(0).cast("double"))
 
 
 def sum_strict(x) -> Column:
+    """Sum that is missing as soon as one value is missing."""
     x = _c(x)
     return F.when(F.count(x) == F.count(F.lit(1)), F.sum(x))
 
 
 def sd_strict(x) -> Column:
+    """Sample standard deviation; one row or any missing value -> NULL."""
     x = _c(x)
     return F.when(F.count(x) == F.count(F.lit(1)), F.stddev_samp(x))
 
@@ -93,4 +98,5 @@ def agg_many(fn, cols, **kw) -> list[Column]:
 
 
 def wmean_many(cols, w, null_weight: str = "propagate") -> list[Column]:
+    """``wmean`` of several columns with one weight, keeping their names."""
     return [wmean(c, w, null_weight).alias(c) for c in cols]

@@ -44,6 +44,7 @@ def _spec(o) -> tuple[str, bool, bool]:
 
 
 def sort_cols(order: Sequence) -> list[Column]:
+    """Order specs -> sort Columns with explicit null placement."""
     out = []
     for name, asc, nl in map(_spec, order):
         c = F.col(name)

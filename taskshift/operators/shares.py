@@ -23,6 +23,7 @@ from taskshift.operators.joins import join_null_safe
 
 
 def share_within(df: DataFrame, partition: Sequence[str], measure: str, name: str) -> DataFrame:
+    """x / sum(x) inside each partition (for aggregated rows, a few per partition)."""
     return df.withColumn(name, safe_div(F.col(measure), F.sum(measure).over(Window.partitionBy(*partition))))
 
 
@@ -33,6 +34,7 @@ def total_of(df: DataFrame, measure) -> Column:
 
 
 def share_of_total(df: DataFrame, measure: str, name: str) -> DataFrame:
+    """x / sum(x) over the whole frame; the total is a scalar subquery."""
     return df.withColumn(name, safe_div(F.col(measure), total_of(df, measure)))
 
 

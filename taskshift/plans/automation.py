@@ -138,10 +138,12 @@ def occ_automation_rank(classified: DataFrame) -> DataFrame:
 # -- Q31-Q36 -----------------------------------------------------------------
 
 def share_density(share: DataFrame) -> DataFrame:
+    """Kernel density of the weighted category share, per category."""
     return density_grid(share, "ai_cat", "pct_weighted", bounded_facets=True)
 
 
 def share_histogram(share: DataFrame, bins: int = 30) -> DataFrame:
+    """30-bin histogram of the weighted category share, per category, one shared range."""
     return histogram(share, ["ai_cat"], "pct_weighted", bins)
 
 
@@ -168,10 +170,12 @@ def _box_by_group(classified: DataFrame, stem: str) -> DataFrame:
 
 
 def automated_box_by_group(classified: DataFrame) -> DataFrame:
+    """Box statistics of the weighted automated share per group, with the groups' order."""
     return _box_by_group(classified, STEMS[AUTOMATED])
 
 
 def augmented_box_by_group(classified: DataFrame) -> DataFrame:
+    """Box statistics of the weighted augmented share per group, with the groups' order."""
     return _box_by_group(classified, STEMS[AUGMENTED])
 
 
@@ -184,6 +188,7 @@ def group_category_wide(share: DataFrame) -> DataFrame:
 # -- Q37-Q41 -----------------------------------------------------------------
 
 def category_by_demographic(classified: DataFrame, us_emp: DataFrame) -> DataFrame:
+    """Weighted category shares per demographic (weight: the group's share of an occupation's jobs), long, non-minimal categories."""
     w = occ_weighted_shares(classified).withColumn("soc", codes.soc6("soc_code"))
     j = w.join(us_emp, "soc")
     demo_cols = cols_containing(us_emp, "current_year")
@@ -207,6 +212,7 @@ def staffing_by_sector(staffing_long: DataFrame) -> DataFrame:
 
 
 def category_by_sector(classified: DataFrame, staffing_long: DataFrame) -> DataFrame:
+    """Weighted category shares per industry sector (weight: staffing jobs), long, non-minimal categories."""
     w = occ_weighted_shares(classified).withColumn("occupation", codes.soc6("soc_code"))
     j = w.join(staffing_by_sector(staffing_long), "occupation")
     g = j.groupBy("naics2_code", "naics_short_name").agg(*[wmean(c, "jobs").alias(c) for c in IMPACT_COLS])
@@ -227,18 +233,21 @@ def metro_join(occ: DataFrame, metro_emp: DataFrame, metro_dim: DataFrame) -> Da
 
 
 def category_by_metro(classified: DataFrame, metro_emp: DataFrame, metro_dim: DataFrame) -> DataFrame:
+    """Weighted category shares per metro (weight: metro jobs) and the metro's jobs."""
     j = metro_join(occ_weighted_shares(classified), metro_emp, metro_dim)
     return j.groupBy("cbsa_code", "cbsa_name", "size_class").agg(
         *[wmean(c, "jobs").alias(c) for c in CATEGORY_COLS], sum_skip("jobs").alias("jobs"))
 
 
 def category_by_metro_size(by_metro: DataFrame) -> DataFrame:
+    """Metro category shares rolled up to size class (weighted by metro jobs), long."""
     g = by_metro.where(F.col("size_class").isNotNull()).groupBy("size_class").agg(
         *[wmean(c, "jobs").alias(c) for c in IMPACT_COLS])
     return to_long(g, ["size_class"], IMPACT_COLS)
 
 
 def category_map_long(by_metro: DataFrame, geography: DataFrame) -> DataFrame:
+    """Metro category shares, long, joined to the geography dimension for mapping."""
     m = by_metro.withColumnRenamed("cbsa_code", "geoid")
     long = to_long(m.select("geoid", "cbsa_name", "size_class", "jobs", *IMPACT_COLS),
                    ["geoid", "cbsa_name", "size_class", "jobs"], IMPACT_COLS)
@@ -248,6 +257,7 @@ def category_map_long(by_metro: DataFrame, geography: DataFrame) -> DataFrame:
 # -- Q42-Q47 -----------------------------------------------------------------
 
 def score_disagreement(tasks: DataFrame) -> DataFrame:
+    """Tasks rated fully automatable by the model but not exposed by either gamma rating."""
     return tasks.where((F.col("gpt4_automation") == 1) & (F.col("gpt4_rubric1_gamma") == 0)
                        & (F.col("mean_rating_human_gamma") == 0))
 
@@ -273,6 +283,7 @@ def score_mean_sd(tasks: DataFrame, scores=None) -> DataFrame:
 
 
 def automation_mean_sd(tasks: DataFrame) -> DataFrame:
+    """Mean and sd of the automation score per occupation (missing-propagating)."""
     w = _occ_mean_sd_wide(tasks, ["gpt4_automation"])
     return w.select(*OCC_KEYS, F.col("m__gpt4_automation").alias("mean_rating"),
                     F.col("s__gpt4_automation").alias("sd_rating"))
@@ -284,11 +295,13 @@ def automation_rows(tasks: DataFrame) -> DataFrame:
 
 
 def score_mean_wide(tasks: DataFrame) -> DataFrame:
+    """Mean of every score per occupation, one column per score (missing-propagating)."""
     g = tasks.groupBy("soc_code", "title").agg(*[mean_strict(s).alias(s) for s in ALL_SCORES])
     return with_major_group(g, "soc_code").select(*OCC_KEYS, *ALL_SCORES)
 
 
 def group_score_mean_sd(tasks: DataFrame, score: str = "gpt4_automation") -> DataFrame:
+    """Mean and sd of one score per occupation group (missing-propagating)."""
     g = with_major_group(tasks.select("soc_code", score), "soc_code").groupBy("occ_group").agg(
         mean_strict(score).alias("mean_rating"), sd_strict(score).alias("sd_rating"))
     return g.select("occ_group", F.lit(score).alias("name"), "mean_rating", "sd_rating")

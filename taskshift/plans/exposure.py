@@ -27,6 +27,7 @@ WAGE = "avg_hourly_earnings"
 # -- Q1-Q3 -------------------------------------------------------------------
 
 def table_profile(tasks: DataFrame) -> DataFrame:
+    """Column profile of the task table."""
     return profile(tasks)
 
 
@@ -89,11 +90,13 @@ def soc_scores_employment(tasks: DataFrame, us_emp: DataFrame) -> DataFrame:
 # -- Q7-Q9 -------------------------------------------------------------------
 
 def threshold_job_share(score_emp: DataFrame, cutoff: float = 0.5) -> DataFrame:
+    """Occupations and jobs on each side of a beta cutoff (0.5), with shares of the totals."""
     return threshold_summary(score_emp, at_least("gpt4_rubric1_beta", cutoff), "cutoff",
                              {"jobs": "jobs"}, "count", {"count": "pct_count", "jobs": "pct_jobs"})
 
 
 def threshold_gender_share(score_emp: DataFrame, cutoff: float = 0.1) -> DataFrame:
+    """Occupations and male / female jobs on each side of a beta cutoff (0.1), with shares."""
     return threshold_summary(score_emp, at_least("gpt4_rubric1_beta", cutoff), "cutoff",
                              {"male_jobs": "current_year_males", "female_jobs": "current_year_females"},
                              "count", {"count": "pct_count", "male_jobs": "pct_male_jobs",
@@ -102,6 +105,7 @@ def threshold_gender_share(score_emp: DataFrame, cutoff: float = 0.1) -> DataFra
 
 def large_exposed_occupations(score_emp: DataFrame, min_jobs: float = 1_000_000,
                               min_beta: float = 0.5) -> DataFrame:
+    """Large occupations (jobs >= 1M) with rubric-2 beta >= 0.5, most exposed first."""
     f = score_emp.where((F.col("jobs") >= min_jobs) & (F.col("gpt4_rubric2_beta") >= min_beta))
     f = front(f, ["description", "jobs", "median_hourly_earnings", "has_exposure"])
     return f.orderBy(F.col("has_exposure").desc_nulls_last())
@@ -129,6 +133,7 @@ def group_beta_wage(score_emp: DataFrame) -> DataFrame:
 
 
 def group_wage_table(score_emp: DataFrame) -> DataFrame:
+    """Per group: jobs, jobs-weighted wage and beta (the table behind the wage/exposure chart)."""
     s = _with_group_jobs(score_emp)
     return s.groupBy("short_name").agg(sum_strict("jobs").alias("jobs"), wmean(WAGE, "jobs").alias(WAGE),
                                        wmean("gpt4_rubric1_beta", "jobs").alias("gpt4_rubric1_beta"))
@@ -165,19 +170,23 @@ def _band_scores(score_emp: DataFrame, band, name: str) -> DataFrame:
 
 
 def wage_band_summary(score_emp: DataFrame) -> DataFrame:
+    """Jobs-weighted wage and exposure scores per wage band."""
     return _band_scores(score_emp, wage_band(WAGE), "earnings_cat")
 
 
 def wage_band_scores(score_emp: DataFrame) -> DataFrame:
+    """Jobs-weighted exposure scores per wage band, long."""
     return to_long(wage_band_summary(score_emp), ["earnings_cat", WAGE], EXPOSURE_SCORES)
 
 
 def education_band_scores(score_emp: DataFrame) -> DataFrame:
+    """Jobs-weighted exposure scores per entry-education band, long."""
     g = _band_scores(score_emp, education_band("education"), "edu_cat")
     return to_long(g, ["edu_cat", WAGE], EXPOSURE_SCORES)
 
 
 def training_band_scores(score_emp: DataFrame) -> DataFrame:
+    """Jobs-weighted exposure scores per training band (with the band order), long."""
     g = _band_scores(score_emp, training_band("training"), "train_cat")
     g = g.withColumn("train_order", level_order("train_cat", TRAINING_ORDER))
     return to_long(g, ["train_cat", "train_order", WAGE], EXPOSURE_SCORES)
@@ -228,6 +237,7 @@ def sector_scores(tasks: DataFrame, staffing_wide: DataFrame) -> DataFrame:
 # -- Q21-Q23 -------------------------------------------------------------------
 
 def metro_scores(tasks: DataFrame, metro_emp: DataFrame, metro_dim: DataFrame) -> DataFrame:
+    """Exposure per metro weighted by metro jobs (detailed codes x metro rows), and the metro's jobs."""
     j = metro_join(occ_mean_scores(tasks), metro_emp, metro_dim)
     return j.groupBy("cbsa_code", "cbsa_name", "size_class").agg(
         *[wmean(c, "jobs").alias(c) for c in EXPOSURE_SCORES], sum_skip("jobs").alias("jobs"))
@@ -241,6 +251,7 @@ def metro_size_scores(by_metro: DataFrame) -> DataFrame:
 
 
 def metro_map_table(by_metro: DataFrame, geography: DataFrame) -> DataFrame:
+    """Metro exposure joined to the geography dimension for mapping."""
     return by_metro.withColumnRenamed("cbsa_code", "geoid").join(geography, "geoid")
 
 
@@ -269,6 +280,7 @@ def master_score(score_emp: DataFrame, classified: DataFrame) -> DataFrame:
 
 
 def master_score_group(master: DataFrame) -> DataFrame:
+    """The master table rolled up to major groups (missing-propagating means, strict job sum)."""
     g = with_major_group(master, "soc")
     metrics = ["gpt4_rubric1_beta"] + CATEGORY_COLS
     return g.groupBy("occ_2", "occ_group").agg(*[mean_strict(c).alias(c) for c in metrics],

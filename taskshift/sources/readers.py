@@ -54,11 +54,13 @@ def read_task_statements(spark: SparkSession, path: str, sep: str = "\t", multil
 
 
 def read_us_emp(spark: SparkSession, path: str) -> DataFrame:
+    """National employment by 6-digit SOC (jobs, wages, education, training, demographics)."""
     df = normalise_names(_text(spark, path))
     return _typed(df, US_EMP_TYPES, {"current_year_": "double"})
 
 
 def read_metro_emp(spark: SparkSession, path: str) -> DataFrame:
+    """Employment by (occupation, metro area)."""
     return _typed(normalise_names(_text(spark, path)), METRO_EMP_TYPES)
 
 

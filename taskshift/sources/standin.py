@@ -62,6 +62,7 @@ def _quarters(x: Column, mod: int = 5, den: int = 4) -> Column:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in task ratings: one row per lineitem (code from part key + line number)."""
     li = _t(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -87,6 +88,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in task statements: distinct (code, id, wording) with a type; some tasks left out."""
     li = _t(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_linestatus", "l_returnflag")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -131,6 +133,7 @@ def _us_emp_cols(k: Column, soc: Column, description: Column) -> list[Column]:
 
 
 def us_emp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in national employment: one row per part, plus the collapsed teacher SOC."""
     p = _t(spark, sf_dir, "part")
     k = F.col("p_partkey")
     base = p.select(*_us_emp_cols(k, occ_code(k), F.col("p_name")))
@@ -140,6 +143,7 @@ def us_emp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metro_emp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in metro employment: quantity per (occupation, supplier nation)."""
     li = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     j = li.join(s, li.l_suppkey == s.s_suppkey)
@@ -150,6 +154,7 @@ def metro_emp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metro_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in metro dimension from nation and region (two nations left out, one NULL size class)."""
     n = _t(spark, sf_dir, "nation")
     r = _t(spark, sf_dir, "region")
     return (n.where(F.col("n_nationkey") % 12 != 11).join(r, n.n_regionkey == r.r_regionkey)
@@ -159,6 +164,7 @@ def metro_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in geography dimension (id, name, coordinates) from nation."""
     n = _t(spark, sf_dir, "nation")
     return n.where(F.col("n_nationkey") % 5 != 4).select(
         F.col("n_nationkey").cast("string").alias("geoid"),
@@ -183,6 +189,7 @@ def staffing_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All stand-in inputs by name."""
     return {
         "tasks": tasks(spark, sf_dir),
         "task_statements": task_statements(spark, sf_dir),

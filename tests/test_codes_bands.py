@@ -56,3 +56,19 @@ def test_interval_bin_right_closed_lowest_excluded(spark):
     assert got == [None, 1, 1, 2, 2, None, None]
     got = [r[0] for r in df.select(bands.interval_bin("x", br, include_lowest=True)).collect()]
     assert got[0] == 1
+
+
+def test_column_selectors_and_names(spark):
+    from taskshift.functions import columns as C
+    df = spark.createDataFrame([("a", 1.0, 2, "x", 3.0)], ["O*NET-SOC Code", "Avg. Hourly Earnings", "2022 Jobs",
+                                                          "Current Year Males", "gpt4_automation"])
+    n = C.normalise_names(df)
+    assert n.columns == ["soc_code", "avg_hourly_earnings", "jobs", "current_year_males", "gpt4_automation"]
+    assert C.snake("Typical On-The-Job Training") == "typical_on_the_job_training"
+    assert C.cols_between(n, "avg_hourly_earnings", "current_year_males") == ["avg_hourly_earnings", "jobs",
+                                                                              "current_year_males"]
+    assert C.numeric_cols(n) == ["avg_hourly_earnings", "jobs", "gpt4_automation"]
+    assert C.cols_containing(n, "CURRENT") == ["current_year_males"]
+    assert C.front(n, ["jobs"]).columns[:2] == ["jobs", "soc_code"]
+    assert C.by_position(n, 3) == ["jobs", "current_year_males", "gpt4_automation"]
+    assert C.display_names(n.select("soc_code", "jobs")).columns == ["O*NET-SOC Code", "2022 Jobs"]
