@@ -187,12 +187,12 @@ tot AS (SELECT count(*) AS total FROM tasks)""", """
       avg(v) AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.0) AS p0, quantile_cont(v, 0.25) AS p25,
       quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 1.0) AS p100,
       CAST(NULL AS BIGINT) AS n_unique, CAST(NULL AS BIGINT) AS min_len, CAST(NULL AS BIGINT) AS max_len,
-      CAST(NULL AS BIGINT) AS n_empty
+      CAST(NULL AS BIGINT) AS n_empty, CAST(NULL AS BIGINT) AS n_whitespace
     FROM nl, tot GROUP BY skim_variable
     UNION ALL
     SELECT 'character', skim_variable, count(*) - count(s), (max(total) - (count(*) - count(s))) / max(total),
       NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(DISTINCT s), min(length(s)), max(length(s)),
-      count(CASE WHEN s = '' THEN 1 END)
+      count(CASE WHEN s = '' THEN 1 END), count(CASE WHEN regexp_full_match(s, '[ \t\n\r\f]+') THEN 1 END)
     FROM tl, tot GROUP BY skim_variable""",
     ["complete_rate", "mean", "sd", "p0", "p25", "p50", "p75", "p100"])
 
@@ -419,7 +419,9 @@ dbw AS (SELECT ai_cat, n, mn, mx,
                                       THEN least(sd, (q3 - q1) / CAST(1.34 AS DOUBLE))
                                       WHEN sd > 0 THEN sd ELSE CAST(1 AS DOUBLE) END)
             * pow(CAST(n AS DOUBLE), CAST(-0.2 AS DOUBLE)) AS bw FROM dst),
-dpar AS (SELECT ai_cat, n, bw, mn - 3 * bw AS g_lo, (mx - mn + 2 * 3 * bw) / 511 AS g_step FROM dbw),
+djoint AS (SELECT avg(CASE WHEN n > 1 THEN bw END) AS bw, min(mn) AS lo, max(mx) AS hi FROM dbw),
+dpar AS (SELECT d.ai_cat, d.n, j.bw, j.lo - 3 * j.bw AS g_lo, (j.hi - j.lo + 2 * 3 * j.bw) / 511 AS g_step
+         FROM dbw d, djoint j),
 dpos AS (SELECT v.ai_cat, (v.x - p.g_lo) / p.g_step AS pos FROM dv v JOIN dpar p ON p.ai_cat = v.ai_cat),
 dcell AS (SELECT ai_cat, CAST(floor(pos) AS BIGINT) AS i, 1 - (pos - floor(pos)) AS m FROM dpos
           UNION ALL SELECT ai_cat, CAST(floor(pos) AS BIGINT) + 1, pos - floor(pos) FROM dpos),

@@ -195,10 +195,15 @@ def category_order(df: DataFrame, label: str, x: str, fn=mean_strict, name: str
 # ---------------------------------------------------------------------------
 
 def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float = 3.0,
-                 bounded_facets: bool = False) -> DataFrame:
-    """Gaussian kernel density per facet on ``grid`` points spanning
-    [min - cut*bw, max + cut*bw], bandwidth ``0.9 min(sd, IQR/1.34) n^-1/5``
-    (falling back to sd, then 1, when that spread is 0).
+                 bounded_facets: bool = False, joint: bool = True) -> DataFrame:
+    """Gaussian kernel density per facet on ``grid`` points.
+
+    Bandwidth per facet: ``0.9 min(sd, IQR/1.34) n^-1/5`` (falling back to
+    sd, then 1, when that spread is 0). With ``joint`` (the ridgeline
+    default) every facet uses the mean of the per-facet bandwidths (facets
+    with at least two values) and one shared grid from the overall
+    min - cut*bw to max + cut*bw; otherwise each facet has its own bandwidth
+    and grid.
 
     The input is reduced once to distinct (facet, value, count) rows (the
     checkpointed table of ``cumulative_by_group``); quartiles, min/max, the
@@ -217,11 +222,20 @@ def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float
     mom = join_null_safe(m1, dev, [facet])
     spread = F.least(F.col("__sd"), (F.col("__q3") - F.col("__q1")) / 1.34)
     spread = F.when(spread > 0, spread).when(F.col("__sd") > 0, F.col("__sd")).otherwise(F.lit(1.0))
-    par = join_null_safe(q, mom, [facet]).withColumn(
+    per = join_null_safe(q, mom, [facet]).withColumn(
         "__sd", F.sqrt(F.try_divide(F.col("__ss"), (F.col("n") - 1).cast("double"))))
-    par = par.select(facet, "n", "__min", "__max", (0.9 * spread * F.pow(F.col("n").cast("double"), -0.2)).alias("bw"))
-    par = par.select(facet, "n", "bw", (F.col("__min") - cut * F.col("bw")).alias("g_lo"),
-                     ((F.col("__max") - F.col("__min") + 2 * cut * F.col("bw")) / (grid - 1)).alias("g_step"))
+    per = per.select(facet, "n", "__min", "__max", (0.9 * spread * F.pow(F.col("n").cast("double"), -0.2)).alias("bw"))
+    if joint:
+        # one row: the joint bandwidth and the shared grid (facet tables are tiny)
+        shared = per.agg(F.struct(F.avg(F.when(F.col("n") > 1, F.col("bw"))).alias("bw"),
+                                  F.min("__min").alias("lo"), F.max("__max").alias("hi")).alias("s")).scalar()
+        bw = shared.getField("bw")
+        par = per.select(facet, "n", bw.alias("bw"), (shared.getField("lo") - cut * bw).alias("g_lo"),
+                         ((shared.getField("hi") - shared.getField("lo") + 2 * cut * bw) / (grid - 1)).alias("g_step"))
+    else:
+        par = per.select(facet, "n", "bw", (F.col("__min") - cut * F.col("bw")).alias("g_lo"),
+                         ((F.col("__max") - F.col("__min") + 2 * cut * F.col("bw")) / (grid - 1)).alias("g_step"))
+    par = cut_lineage(par)    # one row per facet, read by both joins below
     j = join_null_safe(rows.select(facet, x, "__c"), par, [facet], broadcast_right=bounded_facets)
     pos = (v - F.col("g_lo")) / F.col("g_step")
     left = F.floor(pos).cast("int")
@@ -251,7 +265,8 @@ def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float
 # ---------------------------------------------------------------------------
 
 PROFILE_COLUMNS = ["skim_type", "skim_variable", "n_missing", "complete_rate", "mean", "sd",
-                   "p0", "p25", "p50", "p75", "p100", "n_unique", "min_len", "max_len", "n_empty"]
+                   "p0", "p25", "p50", "p75", "p100", "n_unique", "min_len", "max_len", "n_empty",
+                   "n_whitespace"]
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -263,7 +278,8 @@ def profile(df: DataFrame) -> DataFrame:
     per-value counts and the per-variable count / mean / sd; that table is
     checkpointed and feeds the exact quartiles, so the input is read once.
     Text columns: one aggregation to distinct (variable, text) counts, then
-    per-variable statistics from it."""
+    per-variable statistics from it (``n_whitespace``: values made only of
+    blanks, tabs and line breaks)."""
     num = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short")]
     txt = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
     var = "skim_variable"
@@ -286,7 +302,8 @@ def profile(df: DataFrame) -> DataFrame:
             safe_div(F.col("__total") - F.col("n_missing"), "__total").alias("complete_rate"),
             "mean", "sd", "p0", "p25", "p50", "p75", "p100",
             F.lit(None).cast("bigint").alias("n_unique"), F.lit(None).cast("bigint").alias("min_len"),
-            F.lit(None).cast("bigint").alias("max_len"), F.lit(None).cast("bigint").alias("n_empty")))
+            F.lit(None).cast("bigint").alias("max_len"), F.lit(None).cast("bigint").alias("n_empty"),
+            F.lit(None).cast("bigint").alias("n_whitespace")))
     if txt:
         long = to_long(df.select(*txt), [], txt, var, "s")
         dt = long.groupBy(var, "s").agg(F.count(F.lit(1)).alias("c"))
@@ -296,12 +313,14 @@ def profile(df: DataFrame) -> DataFrame:
             F.count("s").alias("n_unique"),
             F.min(F.length("s")).cast("bigint").alias("min_len"),
             F.max(F.length("s")).cast("bigint").alias("max_len"),
-            F.coalesce(F.sum(F.when(F.col("s") == "", F.col("c"))), F.lit(0)).cast("bigint").alias("n_empty"))
+            F.coalesce(F.sum(F.when(F.col("s") == "", F.col("c"))), F.lit(0)).cast("bigint").alias("n_empty"),
+            F.coalesce(F.sum(F.when(F.col("s").rlike("^[ \\t\\n\\r\\f]+$"), F.col("c"))), F.lit(0))
+            .cast("bigint").alias("n_whitespace"))
         parts.append(t.select(
             F.lit("character").alias("skim_type"), var, "n_missing",
             safe_div(F.col("__total") - F.col("n_missing"), "__total").alias("complete_rate"),
             *[F.lit(None).cast("double").alias(c) for c in ("mean", "sd", "p0", "p25", "p50", "p75", "p100")],
-            "n_unique", "min_len", "max_len", "n_empty"))
+            "n_unique", "min_len", "max_len", "n_empty", "n_whitespace"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
