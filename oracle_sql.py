@@ -404,11 +404,19 @@ ORACLE["occ_automation_rank"] = q("", """
 
 ORACLE["share_histogram"] = q("""
 hr AS (SELECT min(pct_weighted) AS lo, max(pct_weighted) AS hi FROM share WHERE pct_weighted IS NOT NULL),
-hb AS (SELECT ai_cat, lo, (hi - lo) / 30 AS width,
-         CAST(CASE WHEN (hi - lo) / 30 = 0 THEN 0 ELSE least(floor((pct_weighted - lo) / ((hi - lo) / 30)), 29) END AS INTEGER) AS bin
-       FROM share, hr WHERE pct_weighted IS NOT NULL)""", """
-    SELECT ai_cat, bin, lo + bin * width AS bin_lo, lo + (bin + 1) * width AS bin_hi, count(*) AS count
-    FROM hb GROUP BY ai_cat, bin, lo, width""", ["bin_lo", "bin_hi"])
+hw AS (SELECT lo, CASE WHEN hi <= lo THEN CAST(0.1 AS DOUBLE) ELSE (hi - lo) / 29 END AS width,
+         CASE WHEN hi <= lo THEN 1 ELSE 30 END AS nbins FROM hr),
+hb AS (SELECT ai_cat,
+         CAST(CASE WHEN nbins = 1 THEN 0
+                   ELSE greatest(ceil((pct_weighted - (lo - width / 2)) / width - 1e-8) - 1, 0) END AS INTEGER) AS bin
+       FROM share, hw WHERE pct_weighted IS NOT NULL),
+hc AS (SELECT ai_cat, bin, count(*) AS count FROM hb GROUP BY ai_cat, bin),
+hall AS (SELECT f.ai_cat, CAST(g.bin AS INTEGER) AS bin
+         FROM (SELECT DISTINCT ai_cat FROM hb) f, hw, range(30) g(bin) WHERE g.bin < hw.nbins)""", """
+    SELECT a.ai_cat, a.bin, hw.lo + a.bin * hw.width AS x,
+      hw.lo + a.bin * hw.width - hw.width / 2 AS xmin, hw.lo + a.bin * hw.width + hw.width / 2 AS xmax,
+      CAST(coalesce(c.count, 0) AS BIGINT) AS count
+    FROM hall a CROSS JOIN hw LEFT JOIN hc c ON c.ai_cat = a.ai_cat AND c.bin = a.bin""", ["x", "xmin", "xmax"])
 
 ORACLE["share_density"] = q("""
 dv AS (SELECT ai_cat, pct_weighted AS x FROM share WHERE pct_weighted IS NOT NULL),

@@ -157,22 +157,33 @@ def box_summary(df: DataFrame, keys: Sequence[str], x: str, coef: float = 1.5,
 
 
 def histogram(df: DataFrame, facet: Sequence[str], x: str, bins: int = 30) -> DataFrame:
-    """Equal-width histogram with one range shared by every facet: ``bins``
-    bins over [min, max]; the maximum falls in the last bin.
+    """Histogram with one range shared by every facet, binned as the chart
+    layer does: ``bins`` bins of width w = (max - min) / (bins - 1) centred
+    on min + k w, right-closed (a value on a boundary goes to the lower bin,
+    with a 1e-8 w tolerance; the first bin also holds its left edge); a zero
+    range gives one bin of width 0.1. Every bin of every facet is reported,
+    empty ones with count 0: columns bin, x (centre), xmin, xmax, count.
 
     The input is reduced once to distinct (facet, value, count) rows,
     checkpointed; the shared range and the bin counts read that table (a
-    bin depends only on the value)."""
+    bin depends only on the value). The empty bins come from a per-facet
+    ``sequence`` (bins rows per facet), not from a join of all pairs."""
     facet = list(facet)
     dist = cut_lineage(df.where(F.col(x).isNotNull()).groupBy(*facet, x).agg(F.count(F.lit(1)).alias("__c")))
     rng = dist.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("r")).scalar()
     lo, hi = rng.getField("lo"), rng.getField("hi")
-    width = (hi - lo) / bins
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(x) - lo) / width), F.lit(bins - 1))).cast("int")
-    g = dist.select(*facet, b.alias("bin"), "__c").groupBy(*facet, "bin").agg(F.sum("__c").alias("count"))
-    return g.select(*facet, "bin", (lo + F.col("bin") * width).alias("bin_lo"),
-                    (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "count")
+    flat = hi <= lo
+    width = F.when(flat, F.lit(0.1)).otherwise((hi - lo) / (bins - 1))
+    nbins = F.when(flat, F.lit(1)).otherwise(F.lit(bins))
+    t = (F.col(x) - (lo - width / 2)) / width
+    b = F.when(flat, F.lit(0)).otherwise(F.greatest(F.ceil(t - F.lit(1e-8)) - 1, F.lit(0))).cast("int")
+    counts = dist.select(*facet, b.alias("bin"), "__c").groupBy(*facet, "bin").agg(F.sum("__c").alias("count"))
+    every = dist.select(*facet).distinct().select(*facet, F.explode(F.sequence(F.lit(0), nbins - 1)).alias("bin"))
+    g = join_null_safe(every, counts, [*facet, "bin"], "left")
+    centre = lo + F.col("bin") * width
+    return g.select(*facet, "bin", centre.alias("x"), (centre - width / 2).alias("xmin"),
+                    (centre + width / 2).alias("xmax"),
+                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
 
 
 def linear_trend(df: DataFrame, y: str, x: str) -> DataFrame:

@@ -122,11 +122,17 @@ def test_box_summary_whiskers_and_outliers(spark):
     assert r["ymin"] == 1.0 and r["ymax"] == 8.0 and r["n_outliers"] == 1 and r["n"] == 9
 
 
-def test_histogram_shared_range_last_bin_closed(spark):
-    data = [("a", 0.0), ("a", 0.5), ("b", 1.0), ("b", 0.999)]
+def test_histogram_chart_bins(spark):
+    # range [0, 1], 11 bins -> width 0.1, centres 0, 0.1, ..., 1.0; right-closed bins
+    data = [("a", 0.0), ("a", 0.05), ("a", 0.5), ("b", 1.0), ("b", 0.96), ("b", 0.25)]
     df = spark.createDataFrame(data, "f string, x double")
-    got = {(r["f"], r["bin"]): r["count"] for r in histogram(df, ["f"], "x", 10).collect()}
-    assert got == {("a", 0): 1, ("a", 5): 1, ("b", 9): 2}
+    out = histogram(df, ["f"], "x", 11).collect()
+    assert len(out) == 22                                   # every bin of every facet
+    got = {(r["f"], r["bin"]): r["count"] for r in out if r["count"] > 0}
+    # 0.05 sits on the boundary between bins 0 and 1 -> lower bin; 0.25 -> bin 2; 0.96 -> bin 10
+    assert got == {("a", 0): 2, ("a", 5): 1, ("b", 2): 1, ("b", 10): 2}
+    r = [x for x in out if x["f"] == "a" and x["bin"] == 5][0]
+    assert math.isclose(r["x"], 0.5) and math.isclose(r["xmin"], 0.45) and math.isclose(r["xmax"], 0.55)
 
 
 def test_density_grid_matches_direct_kde(spark):
