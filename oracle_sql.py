@@ -159,7 +159,9 @@ def box_sql(src: str, keys: list[str], x: str) -> str:
     return f"""(SELECT {fk}, f.n,
         least(f.lower, min(CASE WHEN {inside} THEN s.{x} END)) AS ymin, f.lower, f.middle, f.upper,
         greatest(f.upper, max(CASE WHEN {inside} THEN s.{x} END)) AS ymax,
-        count(CASE WHEN NOT ({inside}) THEN 1 END) AS n_outliers
+        count(CASE WHEN NOT ({inside}) THEN 1 END) AS n_outliers,
+        f.middle - 1.58 * (f.upper - f.lower) / sqrt(CAST(f.n AS DOUBLE)) AS notchlower,
+        f.middle + 1.58 * (f.upper - f.lower) / sqrt(CAST(f.n AS DOUBLE)) AS notchupper
       FROM (SELECT *, lower - 1.5 * (upper - lower) AS lf, upper + 1.5 * (upper - lower) AS hf
             FROM (SELECT {k}, count({x}) AS n, quantile_cont({x}, 0.25) AS lower,
                     quantile_cont({x}, 0.5) AS middle, quantile_cont({x}, 0.75) AS upper
@@ -169,7 +171,7 @@ def box_sql(src: str, keys: list[str], x: str) -> str:
       GROUP BY {fk}, f.n, f.lower, f.middle, f.upper)"""
 
 
-BOX_D = ["ymin", "lower", "middle", "upper", "ymax"]
+BOX_D = ["ymin", "lower", "middle", "upper", "ymax", "notchlower", "notchupper"]
 ORACLE: dict[str, str] = {}
 
 # -- exposure ------------------------------------------------------------------

@@ -128,7 +128,7 @@ def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float],
 def box_summary(df: DataFrame, keys: Sequence[str], x: str, coef: float = 1.5,
                 bounded_groups: bool = False, approx: bool = False) -> DataFrame:
     """Box-plot statistics per group: n, ymin, lower, middle, upper, ymax,
-    n_outliers. Whiskers reach the furthest value within ``coef`` IQR of
+    n_outliers, notchlower, notchupper (middle -/+ 1.58 IQR / sqrt(n)). Whiskers reach the furthest value within ``coef`` IQR of
     the quartiles; values beyond are counted as outliers. Everything is
     computed from the distinct (group, value, count) table, never from a
     group's raw rows gathered in one place. ``approx`` takes the quartiles
@@ -152,8 +152,10 @@ def box_summary(df: DataFrame, keys: Sequence[str], x: str, coef: float = 1.5,
         F.max("upper").alias("upper"),
         F.min(F.when(inside, v)).alias("__inmin"), F.max(F.when(inside, v)).alias("__inmax"),
         F.coalesce(F.sum(F.when(~inside, F.col("__c"))), F.lit(0)).cast("bigint").alias("n_outliers"))
+    notch = 1.58 * (F.col("upper") - F.col("lower")) / F.sqrt(F.col("n").cast("double"))
     return g.select(*keys, "n", F.least("lower", "__inmin").alias("ymin"), "lower", "middle", "upper",
-                    F.greatest("upper", "__inmax").alias("ymax"), "n_outliers")
+                    F.greatest("upper", "__inmax").alias("ymax"), "n_outliers",
+                    (F.col("middle") - notch).alias("notchlower"), (F.col("middle") + notch).alias("notchupper"))
 
 
 def histogram(df: DataFrame, facet: Sequence[str], x: str, bins: int = 30) -> DataFrame:
