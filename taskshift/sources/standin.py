@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 # Edge rows are produced by these fixed rules (see FIXTURES.md section 3).
 NULL_ALPHA_EVERY = 97        # l_orderkey % 97 == 0 -> human alpha missing
 NULL_BETA_EVERY = 13         # l_orderkey % 13 == 0 -> rubric1 beta missing
-UNMATCHED_STATEMENT_EVERY = 10   # l_orderkey % 10 == 0 -> no task statement
+REWORDED_STATEMENT_EVERY = 10    # l_orderkey % 10 == 0 -> statement wording differs (no match)
+UNLISTED_METRO_EVERY = 12        # n_nationkey % 12 == 11 -> metro code not in the employment data
+UNMAPPED_GEO_EVERY = 5           # n_nationkey % 5 == 4 -> geography id not among the metros
+CODE_SHIFT = 1000
 NULL_JOBS_EVERY = 499        # p_partkey % 499 == 0 -> jobs missing
 NULL_WAGE_EVERY = 113        # p_partkey % 113 == 0 -> wage missing
 JOBS_UNIT = 25000
@@ -92,11 +95,12 @@ def task_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_linestatus", "l_returnflag")
     p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
-    j = li.where(F.col("l_orderkey") % UNMATCHED_STATEMENT_EVERY != 0).join(p, li.l_partkey == p.p_partkey)
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    reworded = F.when(F.col("l_orderkey") % REWORDED_STATEMENT_EVERY == 0, F.lit(".")).otherwise(F.lit(""))
     keyed = j.select(
         F.concat(occ_code(F.col("l_partkey")), F.lit("."), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("soc_code"),
         F.col("l_orderkey").alias("task_id"),
-        F.concat(F.col("p_name"), F.lit(" / "), F.col("l_linestatus")).alias("task"),
+        F.concat(F.col("p_name"), F.lit(" / "), F.col("l_linestatus"), reworded).alias("task"),
         "l_returnflag")
     # least return flag of the task's rows (A < N < R), as a small integer so
     # the aggregation is hash-based
@@ -157,8 +161,9 @@ def metro_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in metro dimension from nation and region (two nations left out, one NULL size class)."""
     n = _t(spark, sf_dir, "nation")
     r = _t(spark, sf_dir, "region")
-    return (n.where(F.col("n_nationkey") % 12 != 11).join(r, n.n_regionkey == r.r_regionkey)
-            .select(F.col("n_nationkey").cast("bigint").alias("cbsa"),
+    k = F.col("n_nationkey").cast("bigint")
+    return (n.join(r, n.n_regionkey == r.r_regionkey)
+            .select(F.when(k % UNLISTED_METRO_EVERY == UNLISTED_METRO_EVERY - 1, k + CODE_SHIFT).otherwise(k).alias("cbsa"),
                     F.col("n_name").alias("cbsa_name"),
                     F.when(F.col("r_name") != "AFRICA", F.col("r_name")).alias("size_class")))
 
@@ -166,8 +171,9 @@ def metro_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in geography dimension (id, name, coordinates) from nation."""
     n = _t(spark, sf_dir, "nation")
-    return n.where(F.col("n_nationkey") % 5 != 4).select(
-        F.col("n_nationkey").cast("string").alias("geoid"),
+    k = F.col("n_nationkey").cast("bigint")
+    return n.select(
+        F.when(k % UNMAPPED_GEO_EVERY == UNMAPPED_GEO_EVERY - 1, k + CODE_SHIFT).otherwise(k).cast("string").alias("geoid"),
         F.col("n_name").alias("geo_name"),
         (F.lit(-120.0) + F.col("n_nationkey") * 2).cast("double").alias("lon"),
         (F.lit(30.0) + F.col("n_regionkey")).cast("double").alias("lat"))
@@ -259,9 +265,10 @@ tasks AS (
 task_statements AS (
     SELECT soc_code, task_id, task,
       CASE min(l_returnflag) WHEN 'A' THEN 'Core' WHEN 'R' THEN 'Supplemental' END AS task_type
-    FROM (SELECT {soc_code} AS soc_code, l_orderkey AS task_id, p_name || ' / ' || l_linestatus AS task, l_returnflag
-          FROM lineitem JOIN part ON l_partkey = p_partkey
-          WHERE l_orderkey % {UNMATCHED_STATEMENT_EVERY} <> 0) s
+    FROM (SELECT {soc_code} AS soc_code, l_orderkey AS task_id,
+            p_name || ' / ' || l_linestatus || CASE WHEN l_orderkey % {REWORDED_STATEMENT_EVERY} = 0 THEN '.' ELSE '' END AS task,
+            l_returnflag
+          FROM lineitem JOIN part ON l_partkey = p_partkey) s
     GROUP BY soc_code, task_id, task
 ),
 us_emp AS (
@@ -276,15 +283,16 @@ metro_emp AS (
     GROUP BY 1, 2, 3
 ),
 metro_dim AS (
-    SELECT CAST(n_nationkey AS BIGINT) AS cbsa, n_name AS cbsa_name,
-      CASE WHEN r_name <> 'AFRICA' THEN r_name END AS size_class
+    SELECT CASE WHEN n_nationkey % {UNLISTED_METRO_EVERY} = {UNLISTED_METRO_EVERY - 1}
+                THEN CAST(n_nationkey AS BIGINT) + {CODE_SHIFT} ELSE CAST(n_nationkey AS BIGINT) END AS cbsa,
+      n_name AS cbsa_name, CASE WHEN r_name <> 'AFRICA' THEN r_name END AS size_class
     FROM nation JOIN region ON n_regionkey = r_regionkey
-    WHERE n_nationkey % 12 <> 11
 ),
 geography AS (
-    SELECT CAST(n_nationkey AS VARCHAR) AS geoid, n_name AS geo_name,
-      CAST(-120.0 + n_nationkey * 2 AS DOUBLE) AS lon, CAST(30.0 + n_regionkey AS DOUBLE) AS lat
-    FROM nation WHERE n_nationkey % 5 <> 4
+    SELECT CAST(CASE WHEN n_nationkey % {UNMAPPED_GEO_EVERY} = {UNMAPPED_GEO_EVERY - 1}
+                     THEN CAST(n_nationkey AS BIGINT) + {CODE_SHIFT} ELSE CAST(n_nationkey AS BIGINT) END AS VARCHAR) AS geoid,
+      n_name AS geo_name, CAST(-120.0 + n_nationkey * 2 AS DOUBLE) AS lon, CAST(30.0 + n_regionkey AS DOUBLE) AS lat
+    FROM nation
 ),
 staffing_cells AS (
     SELECT {_code_sql('l_partkey')} AS occupation,
