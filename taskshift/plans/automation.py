@@ -10,7 +10,7 @@ from taskshift.functions.bands import (AI_CATEGORIES, AUGMENTED, AUTOMATED, MINI
                                        demographic_type, task_weight)
 from taskshift.functions.columns import cols_containing
 from taskshift.functions.nulls import (mean_skip, mean_strict, safe_div, sd_strict, sum_skip, wmean)
-from taskshift.operators.joins import with_major_group, with_sector
+from taskshift.operators.joins import join_null_safe, with_major_group, with_sector
 from taskshift.operators.ordering import global_row_number, rank_within, stacked_midpoint
 from taskshift.operators.reshape import to_long
 from taskshift.operators.shares import attach_group_stats, share_within
@@ -155,12 +155,10 @@ def share_box_by_group(share: DataFrame) -> DataFrame:
     means = share.groupBy("ai_cat", "occ_group").agg(mean_strict("pct_tasks").alias("mean_value"))
     means = rank_within(means, ["ai_cat"], [("mean_value", True, True), ("occ_group", True, True)],
                         "rank_in_facet")
-    from taskshift.operators.joins import join_null_safe
     return join_null_safe(box, means, ["ai_cat", "occ_group"], "left", broadcast_right=True)
 
 
 def _box_by_group(classified: DataFrame, stem: str) -> DataFrame:
-    from taskshift.operators.joins import join_null_safe
     w = cut_lineage(occ_category_wide(classified))   # read by the box statistics and by the order
     col = f"pct_weighted_{stem}"
     box = box_summary(w, ["occ_group"], col, bounded_groups=True)
