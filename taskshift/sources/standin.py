@@ -184,8 +184,9 @@ def staffing_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     plus the stray header row the real export carries."""
     li = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
     ind = F.element_at(F.array(*[F.lit(c) for c in INDUSTRY_CODES]), (F.col("l_suppkey") % len(INDUSTRY_CODES) + 1).cast("int"))
-    wide = (li.select(occ_code(F.col("l_partkey")).alias("occupation_label"), ind.alias("naics6"), "l_quantity")
-            .groupBy("occupation_label").pivot("naics6", INDUSTRY_CODES).agg(F.sum("l_quantity")))
+    cells = li.select(occ_code(F.col("l_partkey")).alias("occupation_label"), ind.alias("naics6"), "l_quantity")
+    wide = cells.groupBy("occupation_label").agg(
+        *[F.sum(F.when(F.col("naics6") == c, F.col("l_quantity"))).alias(c) for c in INDUSTRY_CODES])
     body = wide.select("occupation_label",
                        F.concat(F.lit("Occupation "), F.col("occupation_label")).alias("description"),
                        *[F.coalesce(F.col(c), F.lit(0.0)).cast("string").alias(c) for c in INDUSTRY_CODES])
