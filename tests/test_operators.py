@@ -220,3 +220,13 @@ def test_audited_filter(spark):
     out, obs = audited_filter(df, F.col("id") % 4 == 0, "keep_quarters")
     assert out.count() == 25
     assert obs.get == {"rows_in": 100, "rows_kept": 25, "rows_removed": 75}
+
+
+def test_empty_inputs(spark):
+    df = spark.createDataFrame([], "g string, x double, w double")
+    assert global_row_number(df, [("x", True, False)], "rank").count() == 0
+    assert group_quantiles(df, ["g"], "x", [0.5]).count() == 0
+    assert box_summary(df, ["g"], "x").count() == 0
+    assert histogram(df, ["g"], "x").count() == 0
+    r = weighted_quantiles(df, "x", "w", [0.0, 1.0]).collect()
+    assert len(r) == 1 and r[0][0] is None
