@@ -128,8 +128,9 @@ def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float],
 def box_summary(df: DataFrame, keys: Sequence[str], x: str, coef: float = 1.5,
                 bounded_groups: bool = False, approx: bool = False) -> DataFrame:
     """Box-plot statistics per group: n, ymin, lower, middle, upper, ymax,
-    n_outliers, notchlower, notchupper (middle -/+ 1.58 IQR / sqrt(n)). Whiskers reach the furthest value within ``coef`` IQR of
-    the quartiles; values beyond are counted as outliers. Everything is
+    n_outliers, notchlower, notchupper (middle -/+ 1.58 IQR / sqrt(n)).
+    Whiskers reach the furthest value within ``coef`` IQR of the
+    quartiles; values beyond are counted as outliers. Everything is
     computed from the distinct (group, value, count) table, never from a
     group's raw rows gathered in one place. ``approx`` takes the quartiles
     from ``percentile_approx`` instead of exact order statistics."""
