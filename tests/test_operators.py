@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from taskshift.operators.joins import join_null_safe, join_report

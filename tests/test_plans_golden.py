@@ -4,7 +4,6 @@ checked against values worked out by hand."""
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from taskshift.plans import automation as A
 from taskshift.plans import exposure as E

@@ -1,8 +1,6 @@
 """Properties from the test plan: bounds, shares summing to one, invariance
 under repartitioning. Small example budgets: every example runs Spark."""
 
-import math
-
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -73,7 +73,6 @@ def test_write_table_display_names(spark):
 
 
 def test_percent_and_comma_labels(spark):
-    from pyspark.sql import functions as F
     from taskshift.functions.labels import comma_label, percent_label
     df = spark.createDataFrame([(0.1234, 1234567.0)], "p double, n double")
     r = df.select(percent_label("p").alias("a"), percent_label("p", 1).alias("b"), comma_label("n").alias("c")).first()

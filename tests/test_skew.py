@@ -1,6 +1,5 @@
 """A hot occupation holding a third of all task rows: results stay exact."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from taskshift.plans import automation as A
