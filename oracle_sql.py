@@ -454,6 +454,13 @@ sm2 AS (SELECT *, row_number() OVER (PARTITION BY ai_cat ORDER BY mean_value ASC
     BOX_D + ["mean_value"])
 
 
+ORACLE["share_rank_in_facet"] = q(f"""
+rm AS (SELECT ai_cat, occ_group, {ms('pct_tasks')} AS mean_value FROM share GROUP BY 1, 2)""", """
+    SELECT *, row_number() OVER (PARTITION BY ai_cat ORDER BY mean_value ASC NULLS LAST,
+                                 occ_group ASC NULLS LAST) AS rank_in_facet
+    FROM rm""", ["mean_value"])
+
+
 def _box_group(stem: str) -> str:
     col = f"pct_weighted_{stem}"
     return q(f"""

@@ -147,14 +147,20 @@ def share_histogram(share: DataFrame, bins: int = 30) -> DataFrame:
     return histogram(share, ["ai_cat"], "pct_weighted", bins)
 
 
+def share_rank_in_facet(share: DataFrame) -> DataFrame:
+    """Mean task share per (category, group) and each group's rank inside its
+    category facet (ascending mean, missing last, ties by group name)."""
+    means = share.groupBy("ai_cat", "occ_group").agg(mean_strict("pct_tasks").alias("mean_value"))
+    return rank_within(means, ["ai_cat"], [("mean_value", True, True), ("occ_group", True, True)],
+                       "rank_in_facet")
+
+
 def share_box_by_group(share: DataFrame) -> DataFrame:
     """Box statistics of the task share per (category, group), with each
     group's order inside its category facet (by mean share)."""
     share = cut_lineage(share)   # read by the box statistics and by the facet order
     box = box_summary(share, ["ai_cat", "occ_group"], "pct_tasks", bounded_groups=True)
-    means = share.groupBy("ai_cat", "occ_group").agg(mean_strict("pct_tasks").alias("mean_value"))
-    means = rank_within(means, ["ai_cat"], [("mean_value", True, True), ("occ_group", True, True)],
-                        "rank_in_facet")
+    means = share_rank_in_facet(share)
     return join_null_safe(box, means, ["ai_cat", "occ_group"], "left", broadcast_right=True)
 
 
