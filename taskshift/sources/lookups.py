@@ -72,11 +72,18 @@ SECTOR_SCHEMA = StructType([StructField("naics2_code", StringType(), False),
                             StructField("naics_short_name", StringType(), False)])
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def _inline_table(spark: SparkSession, rows, schema: StructType) -> DataFrame:
     """A literal table as an inline VALUES relation (a LocalRelation: no RDD,
-    no Python worker to read it)."""
+    no Python worker to read it), built once per session."""
     cols = [f.name for f in schema.fields]
-    return spark.sql(f"SELECT * FROM {values_sql(rows, cols)}")
+    key = (id(spark), ",".join(cols))
+    hit = _TABLES.get(key)
+    if hit is None or hit.sparkSession is not spark:
+        hit = _TABLES[key] = spark.sql(f"SELECT * FROM {values_sql(rows, cols)}")
+    return hit
 
 
 def occ_groups(spark: SparkSession) -> DataFrame:

@@ -50,8 +50,18 @@ DEMOGRAPHIC_COLUMNS = ["current_year_females", "current_year_males",
 TEACHER_SOC_ROW_KEY = 1
 
 
+_READS: dict[tuple[int, str], DataFrame] = {}
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """The test table as a DataFrame; the (lazy, immutable) frame is reused
+    within a session so its file listing and footers are read once."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path)
+    hit = _READS.get(key)
+    if hit is None or hit.sparkSession is not spark:
+        hit = _READS[key] = spark.read.parquet(path)
+    return hit
 
 
 def occ_code(k: Column) -> Column:
@@ -111,11 +121,9 @@ def task_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flag == 1, "Core").when(flag == 3, "Supplemental").alias("task_type"))
 
 
-def _pick(idx: Column, values: list[str]) -> Column:
-    out = F
-    for i, v in enumerate(values):
-        out = out.when(idx == i, F.lit(v))
-    return out
+def _pick(idx_sql: str, values: list[str]) -> Column:
+    """The label at position ``idx_sql`` (an SQL expression) of a fixed list."""
+    return F.expr(_pick_sql(idx_sql, values))
 
 
 def _us_emp_cols(k: Column, soc: Column, description: Column) -> list[Column]:
@@ -127,8 +135,8 @@ def _us_emp_cols(k: Column, soc: Column, description: Column) -> list[Column]:
         jobs.alias("jobs"),
         F.when(k % NULL_WAGE_EVERY != 0, (r % 200).cast("double") / 4).alias("avg_hourly_earnings"),
         ((r % 160).cast("double") / 4).alias("median_hourly_earnings"),
-        _pick(k % 9, EDUCATION_LEVELS).alias("education"),
-        _pick(k % 8, TRAINING_LEVELS).alias("training"),
+        _pick("p_partkey % 9", EDUCATION_LEVELS).alias("education"),
+        _pick("p_partkey % 8", TRAINING_LEVELS).alias("training"),
         (jobs * (k % 5).cast("double") / 4).alias("current_year_females"),
         (jobs - jobs * (k % 5).cast("double") / 4).alias("current_year_males"),
         (jobs * (k % 3 + 1).cast("double") / 4).alias("current_year_white"),
