@@ -27,7 +27,6 @@ REWORDED_STATEMENT_EVERY = 10    # l_orderkey % 10 == 0 -> statement wording dif
 UNLISTED_METRO_EVERY = 12        # n_nationkey % 12 == 11 -> metro code not in the employment data
 UNMAPPED_GEO_EVERY = 5           # n_nationkey % 5 == 4 -> geography id not among the metros
 CODE_SHIFT = 1000
-NULL_JOBS_EVERY = 499        # p_partkey % 499 == 0 -> jobs missing
 NULL_WAGE_EVERY = 113        # p_partkey % 113 == 0 -> wage missing
 JOBS_UNIT = 25000
 
@@ -126,8 +125,8 @@ def _pick(idx_sql: str, values: list[str]) -> Column:
     return F.expr(_pick_sql(idx_sql, values))
 
 
-def _us_emp_cols(k: Column, soc: Column, description: Column) -> list[Column]:
-    jobs = F.when(k % NULL_JOBS_EVERY != 0, (F.col("p_size") * JOBS_UNIT).cast("double"))
+def _us_emp_cols(k: Column, soc: Column, description: Column, jobs_missing: bool = False) -> list[Column]:
+    jobs = F.lit(None).cast("double") if jobs_missing else (F.col("p_size") * JOBS_UNIT).cast("double")
     r = F.round(F.col("p_retailprice") * 10).cast("bigint") - 9000
     return [
         soc.alias("soc"),
@@ -150,7 +149,7 @@ def us_emp(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     base = p.select(*_us_emp_cols(k, occ_code(k), F.col("p_name")))
     teacher = p.where(k == TEACHER_SOC_ROW_KEY).select(
-        *_us_emp_cols(k, F.lit("25-1099"), F.lit("Postsecondary Teachers")))
+        *_us_emp_cols(k, F.lit("25-1099"), F.lit("Postsecondary Teachers"), jobs_missing=True))
     return base.unionByName(teacher)
 
 
@@ -233,8 +232,8 @@ def _pick_sql(idx: str, values: list[str]) -> str:
     return "CASE " + " ".join(f"WHEN {idx} = {i} THEN {_q(v)}" for i, v in enumerate(values)) + " END"
 
 
-def _us_emp_sql(soc: str, desc: str) -> str:
-    jobs = f"(CASE WHEN p_partkey % {NULL_JOBS_EVERY} <> 0 THEN CAST(p_size * {JOBS_UNIT} AS DOUBLE) END)"
+def _us_emp_sql(soc: str, desc: str, jobs_missing: bool = False) -> str:
+    jobs = "CAST(NULL AS DOUBLE)" if jobs_missing else f"CAST(p_size * {JOBS_UNIT} AS DOUBLE)"
     r = "(CAST(round(p_retailprice * 10) AS BIGINT) - 9000)"
     return f"""SELECT {soc} AS soc, {desc} AS description, {jobs} AS jobs,
       CASE WHEN p_partkey % {NULL_WAGE_EVERY} <> 0 THEN CAST({r} % 200 AS DOUBLE) / 4 END AS avg_hourly_earnings,
@@ -283,7 +282,7 @@ task_statements AS (
 us_emp AS (
     {_us_emp_sql(_code_sql('p_partkey'), 'p_name')}
     UNION ALL
-    {_us_emp_sql("'25-1099'", "'Postsecondary Teachers'")} WHERE p_partkey = {TEACHER_SOC_ROW_KEY}
+    {_us_emp_sql("'25-1099'", "'Postsecondary Teachers'", jobs_missing=True)} WHERE p_partkey = {TEACHER_SOC_ROW_KEY}
 ),
 metro_emp AS (
     SELECT {_code_sql('l_partkey')} AS occupation, CAST(s_nationkey AS BIGINT) AS area,
