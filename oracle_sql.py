@@ -385,6 +385,8 @@ jb AS (SELECT coalesce(jl.ln, 0) AS ln, coalesce(jr.rn, 0) AS rn FROM jl FULL OU
 
 ORACLE["task_category"] = q("", "SELECT * FROM classified", ["task_weights"])
 ORACLE["occ_category_share"] = q("", "SELECT * FROM share", ["n_weighted", "pct_tasks", "pct_weighted"])
+# the streamed share table must equal the batch one
+ORACLE["streamed_category_share"] = ORACLE["occ_category_share"]
 ORACLE["category_by_task_type"] = q("""
 tt AS (SELECT task_type, ai_cat, count(*) AS n FROM classified GROUP BY 1, 2),
 tp AS (SELECT *, n / sum(n) OVER (PARTITION BY task_type) AS pct FROM tt)""", """

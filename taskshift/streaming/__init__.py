@@ -9,4 +9,5 @@ occupation x category share table through ``foreachBatch`` using the same
 ``share_from_counts`` code as the batch result.
 """
 
-from taskshift.streaming.incremental import category_share_stream, start_category_share  # noqa: F401
+from taskshift.streaming.incremental import (category_share_stream, start_category_share,  # noqa: F401
+                                             streamed_category_share)
