@@ -77,14 +77,15 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in task ratings: one row per lineitem (code from part key + line number)."""
     li = _t(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus")
-    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    # the occupation code depends on the part only: built once per part row
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name", occ_code(F.col("p_partkey")).alias("pcode"))
     j = li.join(p, li.l_partkey == p.p_partkey)
     d = F.round(F.col("l_discount") * 100).cast("int")
     t = F.round(F.col("l_tax") * 100).cast("int")
     q = F.col("l_quantity").cast("int")
     ok = F.col("l_orderkey")
     return j.select(
-        F.concat(occ_code(F.col("l_partkey")), F.lit("."), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("soc_code"),
+        F.concat(F.col("pcode"), F.lit("."), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("soc_code"),
         ok.alias("task_id"),
         F.concat(F.col("p_name"), F.lit(" / "), F.col("l_linestatus")).alias("task"),
         F.concat(F.col("p_name"), F.lit(" "), F.col("l_linenumber").cast("string")).alias("title"),
@@ -103,11 +104,11 @@ def task_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in task statements: distinct (code, id, wording) with a type; some tasks left out."""
     li = _t(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_linestatus", "l_returnflag")
-    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name")
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_name", occ_code(F.col("p_partkey")).alias("pcode"))
     j = li.join(p, li.l_partkey == p.p_partkey)
     reworded = F.when(F.col("l_orderkey") % REWORDED_STATEMENT_EVERY == 0, F.lit(".")).otherwise(F.lit(""))
     keyed = j.select(
-        F.concat(occ_code(F.col("l_partkey")), F.lit("."), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("soc_code"),
+        F.concat(F.col("pcode"), F.lit("."), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("soc_code"),
         F.col("l_orderkey").alias("task_id"),
         F.concat(F.col("p_name"), F.lit(" / "), F.col("l_linestatus"), reworded).alias("task"),
         "l_returnflag")
