@@ -423,7 +423,7 @@ hall AS (SELECT f.ai_cat, CAST(g.bin AS INTEGER) AS bin
     FROM hall a CROSS JOIN hw LEFT JOIN hc c ON c.ai_cat = a.ai_cat AND c.bin = a.bin""", ["x", "xmin", "xmax"])
 
 ORACLE["share_density"] = q("""
-dv AS (SELECT ai_cat, pct_weighted AS x FROM share WHERE pct_weighted IS NOT NULL),
+dv AS (SELECT ai_cat, pct_weighted AS x FROM share WHERE pct_weighted BETWEEN 0 AND 1),
 dst AS (SELECT ai_cat, count(*) AS n, min(x) AS mn, max(x) AS mx, stddev_samp(x) AS sd,
           quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM dv GROUP BY ai_cat),
 dbw AS (SELECT ai_cat, n, mn, mx,

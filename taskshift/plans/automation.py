@@ -139,7 +139,7 @@ def occ_automation_rank(classified: DataFrame) -> DataFrame:
 
 def share_density(share: DataFrame) -> DataFrame:
     """Kernel density of the weighted category share, per category."""
-    return density_grid(share, "ai_cat", "pct_weighted", bounded_facets=True)
+    return density_grid(share, "ai_cat", "pct_weighted", bounded_facets=True, limits=(0.0, 1.0))
 
 
 def share_histogram(share: DataFrame, bins: int = 30) -> DataFrame:
