@@ -87,3 +87,23 @@ def test_publish_all(spark):
     assert set(paths) == {"figure 1", "automation_Metro"}
     assert spark.read.parquet(paths["figure 1"]).count() > 0
     assert len(EXPOSURE_SHEETS) + len(AUTOMATION_SHEETS) == 10
+
+
+def test_publish_every_sheet(spark):
+    from taskshift.plans.publish import AUTOMATION_SHEETS, EXPOSURE_SHEETS, publish_all
+    from taskshift.sources import standin as S
+    out = tempfile.mkdtemp(prefix="taskshift-publish-all-")
+    paths = publish_all(S.load_all(spark, "/root/testdata/sf0.001"), out)
+    assert set(paths) == set(EXPOSURE_SHEETS + AUTOMATION_SHEETS)
+    for p in paths.values():
+        assert spark.read.parquet(p).count() > 0
+
+
+def test_preview_is_sorted_top_n(spark):
+    from pyspark.sql import functions as F
+    from taskshift.operators.ordering import top_k
+    df = spark.range(100).select((F.col("id") * 7 % 100).alias("v"))
+    got = [r["v"] for r in top_k(df, [("v", False, True)], 5).collect()]
+    assert got == [99, 98, 97, 96, 95]
+    got = [r["v"] for r in sinks.preview(df, [F.col("v").asc()], 3).collect()]
+    assert got == [0, 1, 2]
