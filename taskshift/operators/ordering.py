@@ -55,21 +55,18 @@ def sort_cols(order: Sequence) -> list[Column]:
     return out
 
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def prefix_sum(df: DataFrame, order: Sequence, value, name: str,
                partitions: int | None = None) -> DataFrame:
     """Inclusive running total of ``value`` over a total ``order`` (distributed)."""
     val = F.col(value) if isinstance(value, str) else value
     cols = df.columns
     order_cols = sort_cols(order)
-    ranged = (df.withColumn("__v", val)
-              .repartitionByRange(_partitions(df, partitions), *order_cols)
-              .withColumn(_PID, F.spark_partition_id()))
+    base = df.withColumn("__v", val)
+    # without an explicit count AQE may merge adjacent range partitions to its
+    # advisory size; merged slices stay contiguous and in order
+    ranged = (base.repartitionByRange(*order_cols) if partitions is None
+              else base.repartitionByRange(partitions, *order_cols))
+    ranged = ranged.withColumn(_PID, F.spark_partition_id())
     ranged = cut_lineage(ranged)
     inside = Window.partitionBy(_PID).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
