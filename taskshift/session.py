@@ -42,12 +42,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def is_local(master: str) -> bool:
+    """True for ``local`` and ``local[...]``: one machine, one JVM."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests)
-    a fresh scratch folder is created and registered. The context's folder
-    is set once; later calls reuse it.
+    The cluster's setting always wins. Only when it is unset and the master
+    is ``local`` (tests) a fresh scratch folder is created and registered; on
+    a cluster a missing setting is an error, since a folder of one machine
+    would be invisible to the others. The context's folder is set once; later
+    calls reuse it.
     """
     try:
         sc = spark.sparkContext
@@ -58,6 +65,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not is_local(sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder when the master is not local")
         d = tempfile.mkdtemp(prefix="taskshift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
