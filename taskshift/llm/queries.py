@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taskshift.llm import quality_rules, source_mix
+from taskshift.llm import bpe, quality_rules, source_mix
 from taskshift.llm.common import read
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document with the word-end BPE file."""
+    return bpe.document_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first cleaning verdict and base figures of every document."""
     return quality_rules.document_quality(read(spark, sf_dir, "documents"))
@@ -22,6 +28,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bpe": op3_bpe,
         "op7_quality_rules": op7_quality_rules,
         "op10_source_mix": op10_source_mix,
     }
