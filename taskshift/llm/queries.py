@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taskshift.llm import bpe, quality_rules, source_mix
+from taskshift.llm import bpe, lsh_forest, quality_rules, source_mix
 from taskshift.llm.common import read
 
 
+def op2_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
+    return lsh_forest.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the word-end BPE file."""
     return bpe.document_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -28,6 +33,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_minhash_lsh_forest": op2_minhash_lsh_forest,
         "op3_bpe": op3_bpe,
         "op7_quality_rules": op7_quality_rules,
         "op10_source_mix": op10_source_mix,
