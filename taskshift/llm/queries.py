@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taskshift.llm import bpe, lsh_forest, quality_rules, source_mix
+from taskshift.llm import bpe, lsh_forest, quality_rules, source_mix, suffix_dedup
 from taskshift.llm.common import read
 
 
@@ -21,6 +21,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.document_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove 50-byte strings that an earlier document holds, from every document."""
+    return suffix_dedup.document_suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first cleaning verdict and base figures of every document."""
     return quality_rules.document_quality(read(spark, sf_dir, "documents"))
@@ -35,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_lsh_forest": op2_minhash_lsh_forest,
         "op3_bpe": op3_bpe,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op10_source_mix": op10_source_mix,
     }
