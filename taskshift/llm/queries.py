@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taskshift.llm import bpe, lsh_forest, quality_rules, source_mix, suffix_dedup
+from taskshift.llm import bpe, lsh_forest, quality_rules, source_mix, suffix_dedup, vp_tree
 from taskshift.llm.common import read
 
 
@@ -31,6 +32,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.document_quality(read(spark, sf_dir, "documents"))
 
 
+def op9_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every hundredth vector among all, exact (factor 1)."""
+    return vp_tree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the Sainte-Lague mix takes of every document."""
     return source_mix.document_mix(read(spark, sf_dir, "documents"))
@@ -42,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op9_vp_tree": op9_vp_tree,
         "op10_source_mix": op10_source_mix,
     }
 
