@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskshift.llm import bpe, lsh_forest, quality_rules, source_mix, suffix_dedup, vp_tree
+from taskshift.llm import bpe, lsh_forest, quality_rules, source_mix, suffix_dedup, tool_calls, vp_tree
 from taskshift.llm.common import read
 
 
@@ -32,6 +32,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.document_quality(read(spark, sf_dir, "documents"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls and results of all conversations: linked, ordered, checked, serialised."""
+    return tool_calls.link(*tool_calls.stand_in(spark, sf_dir))
+
+
 def op9_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of every hundredth vector among all, exact (factor 1)."""
     return vp_tree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_tool_calls": op8_tool_calls,
         "op9_vp_tree": op9_vp_tree,
         "op10_source_mix": op10_source_mix,
     }
