@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskshift.llm import bpe, lsh_forest, quality_rules, source_mix, suffix_dedup, token_counts, tool_calls, vp_tree
+from taskshift.llm import bpe, cotraining, lsh_forest, quality_rules, source_mix, suffix_dedup, token_counts, tool_calls, vp_tree
 from taskshift.llm.common import read
 
 
@@ -22,6 +22,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.document_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from two co-trained views."""
+    return cotraining.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token count and best score of every document over the 32k piece vocabulary."""
     return token_counts.document_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_lsh_forest": op2_minhash_lsh_forest,
         "op3_bpe": op3_bpe,
+        "op4_cotraining": op4_cotraining,
         "op5_token_counts": op5_token_counts,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_quality_rules": op7_quality_rules,
