@@ -8,10 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taskshift.llm import bpe, cotraining, lsh_forest, quality_rules, source_mix, suffix_dedup, token_counts, tool_calls, vp_tree
+import corpus_pipeline
+from taskshift.llm import bpe, cotraining, lsh_forest, quality_rules, secret_scan, source_mix, suffix_dedup, token_counts, tool_calls, vp_tree
 from taskshift.llm.common import read
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict; values as hashes."""
+    docs = read(spark, sf_dir, "documents")
+    labelled = secret_scan.stand_in_findings(docs, read(spark, sf_dir, "labels"))
+    found = secret_scan.scan(docs.withColumn("path", F.col("source")), labelled, public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "p_secret", "is_secret")
+
+
 def op2_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
     return lsh_forest.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
@@ -59,6 +68,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_secret_scan": op1_secret_scan,
         "op2_minhash_lsh_forest": op2_minhash_lsh_forest,
         "op3_bpe": op3_bpe,
         "op4_cotraining": op4_cotraining,
@@ -73,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from taskshift.llm.oracle import ORACLE
-    return dict(ORACLE)
+    return {**ORACLE, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
