@@ -19,7 +19,8 @@ VOCABULARY = "word_bpe_49k.json"
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line-first cleaning: failed lines leave the text, rejected documents go."""
-    d = quality_rules.quality(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")).where("kept")
+    judged = quality_rules.quality(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"))
+    d = quality_rules.accepted(judged)
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return d.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

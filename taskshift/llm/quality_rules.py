@@ -121,6 +121,15 @@ def quality(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) ->
     return d.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("lost"), F.lit(1.0)) <= max_lost))
 
 
+def accepted(judged: DataFrame) -> DataFrame:
+    """The rows of ``quality`` that are kept.
+
+    The row number keeps the filter above the projections; pushed through
+    them, every array would be computed anew inside the functions that walk it.
+    """
+    return judged.withColumn("__n", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("__n") >= 0)).drop("__n")
+
+
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
