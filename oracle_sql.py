@@ -66,7 +66,15 @@ def unpivot(src: str, ids: list[str], cols: list[str], name="name", value="value
     return "\n    UNION ALL ".join(f"SELECT {pre}'{c}' AS {name}, {c} AS {value} FROM {src}" for c in cols)
 
 
+def unpivot_impact(src: str, ids: list[str]) -> str:
+    """The non-minimal categories as rows, under the categories' own labels."""
+    pre = f"{', '.join(ids)}, "
+    return "\n    UNION ALL ".join(f"SELECT {pre}'{label}' AS name, {stem} AS value FROM {src}" for label, stem in CATS[1:])
+
+
 BASE = f"""{standin_sql()},
+-- not a number is missing
+tasks AS (SELECT * REPLACE ({', '.join(f"CASE WHEN NOT isnan({s}) THEN {s} END AS {s}" for s in SCORES)}) FROM tasks_given),
 occ_groups AS (SELECT * FROM {values_sql(OCC_GROUPS, ['occ_2', 'occ_group', 'short_name'])}),
 sectors AS (SELECT * FROM {values_sql(SECTORS, ['naics2_code', 'sector', 'naics_short_name'])}),
 occ_mean AS (
@@ -93,7 +101,8 @@ classified AS (
       CASE WHEN s.task_type = 'Core' THEN CAST(2 AS DOUBLE) WHEN s.task_type = 'Supplemental' THEN CAST(0.5 AS DOUBLE)
            ELSE CAST(1 AS DOUBLE) END AS task_weights
     FROM tasks t LEFT JOIN task_statements s
-      ON s.soc_code = t.soc_code AND s.task_id = t.task_id AND s.task = t.task
+      ON s.soc_code IS NOT DISTINCT FROM t.soc_code AND s.task_id IS NOT DISTINCT FROM t.task_id
+        AND s.task IS NOT DISTINCT FROM t.task
 ),
 share AS (
     SELECT g.occ_group, c.soc_code, c.title, c.ai_cat, c.n, c.n_weighted,
@@ -176,27 +185,41 @@ ORACLE: dict[str, str] = {}
 
 # -- exposure ------------------------------------------------------------------
 
-_num_union = "\n    UNION ALL ".join(
-    f"SELECT '{c}' AS skim_variable, CAST({c} AS DOUBLE) AS v FROM tasks" for c in ["task_id"] + SCORES)
-_txt_union = "\n    UNION ALL ".join(
-    f"SELECT '{c}' AS skim_variable, {c} AS s FROM tasks" for c in ["soc_code", "task", "title"])
-ORACLE["table_profile"] = q(f"""
-nl AS ({_num_union}),
-tl AS ({_txt_union}),
-tot AS (SELECT count(*) AS total FROM tasks)""", """
-    SELECT 'numeric' AS skim_type, skim_variable, count(*) - count(v) AS n_missing,
-      (max(total) - (count(*) - count(v))) / max(total) AS complete_rate,
-      avg(v) AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.0) AS p0, quantile_cont(v, 0.25) AS p25,
-      quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 1.0) AS p100,
-      CAST(NULL AS BIGINT) AS n_unique, CAST(NULL AS BIGINT) AS min_len, CAST(NULL AS BIGINT) AS max_len,
-      CAST(NULL AS BIGINT) AS n_empty, CAST(NULL AS BIGINT) AS n_whitespace
-    FROM nl, tot GROUP BY skim_variable
-    UNION ALL
-    SELECT 'character', skim_variable, count(*) - count(s), (max(total) - (count(*) - count(s))) / max(total),
-      NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(DISTINCT s), min(length(s)), max(length(s)),
-      count(CASE WHEN s = '' THEN 1 END), count(CASE WHEN regexp_full_match(s, '[ \t\n\r\f]+') THEN 1 END)
-    FROM tl, tot GROUP BY skim_variable""",
-    ["complete_rate", "mean", "sd", "p0", "p25", "p50", "p75", "p100"])
+def _profile_sql(src: str, num: list[str], txt: list[str], times: list[str]) -> tuple[str, str]:
+    """CTEs and final SELECT of a column profile."""
+    union = lambda cols, cast: "\n    UNION ALL ".join(f"SELECT '{c}' AS skim_variable, {cast.format(c)} AS v FROM {src}" for c in cols)
+    ctes = [f"tot AS (SELECT count(*) AS total FROM {src})"]
+    rate = "count(*) - count(v) AS n_missing, (max(total) - (count(*) - count(v))) / max(total) AS complete_rate"
+    stats, lens = "NULL AS mean, NULL AS sd, NULL AS p0, NULL AS p25, NULL AS p50, NULL AS p75, NULL AS p100", \
+        "CAST(NULL AS BIGINT) AS min_len, CAST(NULL AS BIGINT) AS max_len, CAST(NULL AS BIGINT) AS n_empty, CAST(NULL AS BIGINT) AS n_whitespace"
+    flags = "CAST(NULL AS BIGINT) AS n_true, CAST(NULL AS BIGINT) AS n_false"
+    dates = "CAST(NULL AS VARCHAR) AS first_at, CAST(NULL AS VARCHAR) AS middle_at, CAST(NULL AS VARCHAR) AS last_at"
+    parts = []
+    if num:
+        ctes.append(f"nl AS ({union(num, 'CAST({} AS DOUBLE)')})")
+        parts.append(f"""SELECT 'numeric' AS skim_type, skim_variable, {rate}, avg(v) AS mean, stddev_samp(v) AS sd,
+      quantile_cont(v, 0.0) AS p0, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75,
+      quantile_cont(v, 1.0) AS p100, CAST(NULL AS BIGINT) AS n_unique, {lens}, {flags}, {dates}
+    FROM nl, tot GROUP BY skim_variable""")
+    if txt:
+        ctes.append(f"tl AS ({union(txt, '{}')})")
+        parts.append(f"""SELECT 'character' AS skim_type, skim_variable, {rate}, {stats}, count(DISTINCT v) AS n_unique,
+      min(length(v)) AS min_len, max(length(v)) AS max_len, count(CASE WHEN v = '' THEN 1 END) AS n_empty,
+      count(CASE WHEN regexp_full_match(v, '[ \t\n\r\f]+') THEN 1 END) AS n_whitespace, {flags}, {dates}
+    FROM tl, tot GROUP BY skim_variable""")
+    if times:
+        ctes.append(f"dl AS ({union(times, '{}')})")
+        at = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+        parts.append(f"""SELECT 'date' AS skim_type, skim_variable, {rate}, {stats}, count(DISTINCT v) AS n_unique, {lens}, {flags},
+      {at.format('min(v)')} AS first_at, {at.format('quantile_disc(v, 0.5)')} AS middle_at, {at.format('max(v)')} AS last_at
+    FROM dl, tot GROUP BY skim_variable""")
+    return ",\n".join(ctes), "\n    UNION ALL ".join(parts)
+
+
+_PROFILE_D = ["complete_rate", "mean", "sd", "p0", "p25", "p50", "p75", "p100"]
+ORACLE["table_profile"] = q(*_profile_sql("tasks", ["task_id"] + SCORES, ["soc_code", "task", "title"], []), _PROFILE_D)
+ORACLE["orders_profile"] = q(*_profile_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"],
+                                           ["o_orderdate"]), _PROFILE_D)
 
 ORACLE["occ_task"] = q("", f"""
     SELECT t.soc_code, t.task, t.title, {', '.join('t.' + s for s in SCORES)}, {grp('t.soc_code')} AS occ_2,
@@ -262,7 +285,8 @@ ORACLE["group_beta_wage"] = q(_sg, f"""
 _gwt = f"""{_sg},
 gwt AS (SELECT short_name, {ss('jobs')} AS jobs, {wm('avg_hourly_earnings', 'jobs')} AS avg_hourly_earnings,
           {wm('gpt4_rubric1_beta', 'jobs')} AS gpt4_rubric1_beta FROM sg GROUP BY short_name)"""
-ORACLE["group_wage_table"] = q(_gwt, "SELECT * FROM gwt", ["jobs", "avg_hourly_earnings", "gpt4_rubric1_beta"])
+ORACLE["group_wage_table"] = q(_gwt, """
+    SELECT *, CASE WHEN gpt4_rubric1_beta IS NOT NULL THEN printf('%.1f%%', round(gpt4_rubric1_beta * 100, 1)) END AS beta_label FROM gwt""", ["jobs", "avg_hourly_earnings", "gpt4_rubric1_beta"])
 ORACLE["group_wage_trend"] = q(_gwt, """
     SELECT regr_slope(gpt4_rubric1_beta, avg_hourly_earnings) AS slope,
       regr_intercept(gpt4_rubric1_beta, avg_hourly_earnings) AS intercept,
@@ -336,7 +360,7 @@ _demo_union = "\n    UNION ALL ".join(
 ORACLE["demographic_scores"] = q(f"""
 ds AS (SELECT * FROM score_emp WHERE jobs IS NOT NULL),
 dl AS ({_demo_union})""", f"""
-    SELECT CASE WHEN demo IN ('females', 'males') THEN 'gender' ELSE 'race' END AS type, demo,
+    SELECT CASE WHEN demo IN ('females', 'males') THEN 'gender' ELSE 'race' END AS type, upper(demo[1]) || demo[2:] AS demo,
       {wm('has_exposure', 'value / nullif(jobs, 0)')} AS has_exposure,
       {wm('gpt4_rubric1_beta', 'value / nullif(jobs, 0)')} AS gpt4_rubric1_beta
     FROM dl GROUP BY 1, 2""", ["has_exposure", "gpt4_rubric1_beta"])
@@ -385,8 +409,6 @@ jb AS (SELECT coalesce(jl.ln, 0) AS ln, coalesce(jr.rn, 0) AS rn FROM jl FULL OU
 
 ORACLE["task_category"] = q("", "SELECT * FROM classified", ["task_weights"])
 ORACLE["occ_category_share"] = q("", "SELECT * FROM share", ["n_weighted", "pct_tasks", "pct_weighted"])
-# the streamed share table must equal the batch one
-ORACLE["streamed_category_share"] = ORACLE["occ_category_share"]
 ORACLE["category_by_task_type"] = q("""
 tt AS (SELECT task_type, ai_cat, count(*) AS n FROM classified GROUP BY 1, 2),
 tp AS (SELECT *, n / sum(n) OVER (PARTITION BY task_type) AS pct FROM tt)""", """
@@ -487,25 +509,25 @@ _cdemo_union = "\n    UNION ALL ".join(
 ORACLE["category_by_demographic"] = q(f"""
 cj AS (SELECT e.*, {', '.join('w.' + s for _, s in CATS)} FROM occ_w w JOIN us_emp e ON e.soc = {soc6('w.soc_code')}),
 cl AS ({_cdemo_union}),
-cg AS (SELECT CASE WHEN demo IN ('females', 'males') THEN 'gender' ELSE 'race' END AS type, demo,
+cg AS (SELECT CASE WHEN demo IN ('females', 'males') THEN 'gender' ELSE 'race' END AS type, upper(demo[1]) || demo[2:] AS demo,
          {', '.join(f'{wm(s, "value / nullif(jobs, 0)")} AS {s}' for s in ['avg_hourly_earnings'] + IMPACT)}
-       FROM cl GROUP BY 1, 2)""", unpivot("cg", ["type", "demo", "avg_hourly_earnings"], IMPACT),
+       FROM cl GROUP BY 1, 2)""", unpivot_impact("cg", ["type", "demo", "avg_hourly_earnings"]),
     ["avg_hourly_earnings", "value"])
 
 ORACLE["category_by_sector"] = q(f"""
 cs AS (SELECT sl.naics2_code, sc.naics_short_name, {', '.join(f'{wm("w." + s, "sl.jobs")} AS {s}' for s in IMPACT)}
        FROM occ_w w JOIN staffing_long sl ON sl.occupation = {soc6('w.soc_code')}
        JOIN sectors sc ON sc.naics2_code = sl.naics2_code
-       GROUP BY 1, 2)""", unpivot("cs", ["naics2_code", "naics_short_name"], IMPACT), ["value"])
+       GROUP BY 1, 2)""", unpivot_impact("cs", ["naics2_code", "naics_short_name"]), ["value"])
 
 ORACLE["category_by_metro"] = q("", "SELECT * FROM msa_cat", [s for _, s in CATS] + ["jobs"])
 ORACLE["category_by_metro_size"] = q(f"""
 cz AS (SELECT size_class, {', '.join(f'{wm(s, "jobs")} AS {s}' for s in IMPACT)}
-       FROM msa_cat WHERE size_class IS NOT NULL GROUP BY size_class)""", unpivot("cz", ["size_class"], IMPACT),
+       FROM msa_cat WHERE size_class IS NOT NULL GROUP BY size_class)""", unpivot_impact("cz", ["size_class"]),
     ["value"])
 ORACLE["category_map_long"] = q(f"""
 cm AS (SELECT cbsa_code AS geoid, cbsa_name, size_class, jobs, {', '.join(IMPACT)} FROM msa_cat),
-cml AS ({unpivot('cm', ['geoid', 'cbsa_name', 'size_class', 'jobs'], IMPACT)})""", """
+cml AS ({unpivot_impact('cm', ['geoid', 'cbsa_name', 'size_class', 'jobs'])})""", """
     SELECT cml.*, g.geo_name, g.lon, g.lat FROM cml JOIN geography g ON g.geoid = cml.geoid""",
     ["jobs", "value", "lon", "lat"])
 

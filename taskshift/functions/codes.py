@@ -53,6 +53,12 @@ def soc6_collapsed(code) -> Column:
     return F.when(code.startswith(POSTSECONDARY_PREFIX), F.lit(POSTSECONDARY_SOC)).otherwise(soc6(code))
 
 
+def fold_sector(naics6: str) -> str:
+    """``sector_code`` of an industry code known at plan time."""
+    two = naics6[:2]
+    return next((target for members, target in SECTOR_RANGES if two in members), two)
+
+
 def sector_code(naics6) -> Column:
     """6-digit industry code -> 2-digit sector code with range folding."""
     two = prefix(naics6, 2)

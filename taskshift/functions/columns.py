@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 # Fixed display names of the source files, mapped to engine (snake_case) names.
@@ -30,6 +31,8 @@ DISPLAY_NAMES = {
     "more_likely_augmented": "more likely augmented",
     "more_likely_automated": "more likely automated",
 }
+_STEMS = ("minimal_impact", "more_likely_augmented", "more_likely_automated")
+DISPLAY_NAMES.update({f"{kind}_{s}": f"{kind}_{DISPLAY_NAMES[s]}" for kind in ("pct_tasks", "pct_weighted") for s in _STEMS})
 
 
 def snake(name: str) -> str:
@@ -50,6 +53,19 @@ def display_names(df: DataFrame) -> DataFrame:
     return df.select(*[df[f"`{c}`"].alias(DISPLAY_NAMES.get(c, c)) for c in df.columns])
 
 
+def display_stem(col: str) -> Column:
+    """Category column names held as values, in the categories' own labels."""
+    out = F.col(col)
+    for s in _STEMS:
+        out = F.when(F.col(col) == s, F.lit(DISPLAY_NAMES[s])).otherwise(out)
+    return out
+
+
+def display_demographic(col: str) -> Column:
+    """Demographic names held as values, as the source spells them (``males`` -> ``Males``)."""
+    return F.initcap(F.regexp_replace(F.col(col), "_", " "))
+
+
 def cols_between(df: DataFrame, first: str, last: str) -> list[str]:
     """Inclusive name range in physical column order (``a:b``)."""
     cols = df.columns

@@ -12,10 +12,5 @@ def percent_label(x, accuracy: float = 0.1) -> Column:
     """``0.1234`` -> ``'12.3%'`` with ``accuracy`` in percentage points."""
     c = F.col(x) if isinstance(x, str) else x
     digits = max(0, int(round(-math.log10(accuracy)))) if accuracy < 1 else 0
-    return F.format_string(f"%.{digits}f%%", F.round(c * 100, digits))
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f%%", F.round(c * 100, digits)))
 
-
-def comma_label(x) -> Column:
-    """``1234567`` -> ``'1,234,567'``."""
-    c = F.col(x) if isinstance(x, str) else x
-    return F.format_number(c, 0)

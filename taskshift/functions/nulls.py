@@ -34,6 +34,14 @@ def nan_to_null(x) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
+def to_number(x, to: str = "double") -> Column:
+    """Text -> number: grouping marks dropped, anything else that is no number (and NaN) -> NULL."""
+    x = _c(x)
+    grouped = x.rlike(r"^\s*[-+]?\d{1,3}(,\d{3})+(\.\d*)?\s*$")
+    plain = F.when(grouped, F.regexp_replace(x, ",", "")).otherwise(x).try_cast(to)
+    return nan_to_null(plain) if to == "double" else plain
+
+
 def safe_div(a, b) -> Column:
     """Division that yields NULL (not an error, not Inf) on a zero divisor."""
     return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
@@ -91,12 +99,3 @@ def in_set(x, values) -> Column:
     """Membership that is FALSE (not NULL) for a missing value."""
     return F.coalesce(_c(x).isin(list(values)), F.lit(False))
 
-
-def agg_many(fn, cols, **kw) -> list[Column]:
-    """Apply one aggregate rule to several columns, keeping their names."""
-    return [fn(c, **kw).alias(c) if kw else fn(c).alias(c) for c in cols]
-
-
-def wmean_many(cols, w, null_weight: str = "propagate") -> list[Column]:
-    """``wmean`` of several columns with one weight, keeping their names."""
-    return [wmean(c, w, null_weight).alias(c) for c in cols]

@@ -7,13 +7,12 @@ window with an empty ``partitionBy()``, which pulls every row into one task.
 1. range-partitions the rows on the (total) sort order, so each partition
    holds one contiguous slice of it and a hot key value is split like any
    other, and stamps each row with its partition id;
-2. checkpoints that frame (reliable checkpoint in the cluster's shared
-   ``spark.checkpoint.dir``), so the partition ids are fixed data: the two
-   consumers below, and any recomputation after an executor loss, read the
-   same assignment instead of re-sampling range bounds;
-3. computes the running total inside each slice (window on the slice id),
-   and adds the total of all earlier slices, taken from a table with one
-   row per slice (its size is the partition count, a proven bound, so it is
+2. computes the running total inside each slice (window on the slice id)
+   and checkpoints that frame (reliable checkpoint in the cluster's shared
+   ``spark.checkpoint.dir``): slice ids and running totals are fixed data,
+   sorted once, for all consumers and after an executor loss;
+3. adds the total of all earlier slices, taken from a table with one row per
+   slice (its size is the partition count, a proven bound, so it is
    broadcast).
 
 The sort order must be total (add unique tie-breakers), which also makes the
@@ -67,12 +66,11 @@ def prefix_sum(df: DataFrame, order: Sequence, value, name: str,
     ranged = (base.repartitionByRange(*order_cols) if partitions is None
               else base.repartitionByRange(partitions, *order_cols))
     ranged = ranged.withColumn(_PID, F.spark_partition_id())
-    ranged = cut_lineage(ranged)
     inside = Window.partitionBy(_PID).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("__local", F.sum("__v").over(inside))
+    local = cut_lineage(ranged.withColumn("__local", F.sum("__v").over(inside)))
     earlier = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (ranged.groupBy(_PID).agg(F.sum("__v").alias("__ptot"))
+    offsets = (local.groupBy(_PID).agg(F.sum("__v").alias("__ptot"))
                .select(_PID, F.coalesce(F.sum("__ptot").over(earlier), F.lit(0)).alias("__off")))
     return (local.join(F.broadcast(offsets), _PID)
             .select(*cols, (F.col("__off") + F.col("__local")).alias(name)))

@@ -22,7 +22,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from taskshift.functions.nulls import mean_strict, safe_div
 from taskshift.operators.joins import join_null_safe
 from taskshift.operators.ordering import prefix_sum
-from taskshift.operators.reshape import to_long
+from taskshift.operators.reshape import to_long, very_wide_to_long
 from taskshift.session import cut_lineage
 
 
@@ -31,7 +31,7 @@ def _qname(p: float) -> str:
 
 
 def cumulative_by_group(df: DataFrame, keys: Sequence[str], x: str, weight: Column | None = None,
-                        bounded_groups: bool = False) -> DataFrame:
+                        bounded_groups: bool = False, distinct: bool = False) -> DataFrame:
     """Distinct (keys, x) rows with ``__c`` (weight of the value), ``__cum``
     (cumulative weight inside the group, ascending x) and ``__n`` (group total).
 
@@ -39,10 +39,12 @@ def cumulative_by_group(df: DataFrame, keys: Sequence[str], x: str, weight: Colu
     all groups; a group's start is the least (running weight - own weight) in
     it, so within-group positions need no second ordered pass. The result is
     read from the checkpointed prefix-sum table, so consumers of it never
-    recompute the input."""
+    recompute the input. ``distinct``: the rows are distinct by (keys, x)
+    already and are not grouped again."""
     keys = list(keys)
     w = F.lit(1).cast("bigint") if weight is None else weight
-    dist = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(w).alias("__c"))
+    dist = df.where(F.col(x).isNotNull())
+    dist = dist.select(*keys, x, w.alias("__c")) if distinct else dist.groupBy(*keys, x).agg(F.sum(w).alias("__c"))
     order = [(k, True, False) for k in keys] + [(x, True, False)]
     rows = prefix_sum(dist, order, "__c", "__cg")
     if not keys:
@@ -287,61 +289,97 @@ def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float
 
 PROFILE_COLUMNS = ["skim_type", "skim_variable", "n_missing", "complete_rate", "mean", "sd",
                    "p0", "p25", "p50", "p75", "p100", "n_unique", "min_len", "max_len", "n_empty",
-                   "n_whitespace"]
-
-
-def profile(df: DataFrame) -> DataFrame:
-    """One row per column: missing count and complete rate for all; mean, sd
-    and quartiles for numeric columns; distinct count, min/max length and
-    empty-string count for text columns.
-
-    Numeric columns: one ``rollup(variable, value)`` pass gives both the
-    per-value counts and the per-variable count / mean / sd; that table is
-    checkpointed and feeds the exact quartiles, so the input is read once.
-    Text columns: one aggregation to distinct (variable, text) counts, then
-    per-variable statistics from it (``n_whitespace``: values made only of
-    blanks, tabs and line breaks)."""
-    num = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short")]
-    txt = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+                   "n_whitespace", "n_true", "n_false", "first_at", "middle_at", "last_at"]
+_PROFILE_TYPES = {"double": "numeric", "float": "numeric", "byte": "numeric", "short": "numeric", "integer": "numeric", "long": "numeric",
+                  "decimal": "numeric", "string": "character", "boolean": "logical", "date": "date", "timestamp": "date", "timestamp_ntz": "date"}
+
+
+def _profile_rows(df: DataFrame, kind: str, **cols: Column) -> DataFrame:
+    """Profile rows of one kind: the given statistics, NULL for the others."""
+    types = dict.fromkeys(("mean", "sd", "p0", "p25", "p50", "p75", "p100"), "double") | dict.fromkeys(("first_at", "middle_at", "last_at"), "string")
+    own = {"skim_type": F.lit(kind), "skim_variable": F.col("skim_variable"), "n_missing": F.col("n_missing").cast("bigint"),
+           "complete_rate": safe_div(F.col("total") - F.col("n_missing"), "total")} | cols
+    return df.select(*[own.get(c, F.lit(None)).cast(types.get(c, "bigint")).alias(c) if c not in own or c in cols else own[c].alias(c)
+                       for c in PROFILE_COLUMNS])
+
+
+def profile(df: DataFrame, approx: Sequence[str] = ()) -> DataFrame:
+    """One row per column, whatever its type: missing count and complete rate
+    for all; mean, sd and exact quartiles for numeric columns (decimals as
+    doubles); distinct count, lengths and empty and blank counts for text;
+    counts of both values for logical columns; distinct count, first, middle
+    (lower median) and last for dates and timestamps.
+
+    Missing counts come from one aggregate of a single row. Numbers and dates
+    become (variable, value) counts in one aggregation, sorted once and
+    checkpointed (``cumulative_by_group``); all their statistics read that
+    table, and per-variable rows are broadcast (one per column). Numeric
+    columns named in ``approx`` (meant for nearly unique ids) are not reduced
+    to distinct values: their quartiles come from ``percentile_approx`` in the
+    first aggregate."""
     var = "skim_variable"
-    parts = []
-    if num:
-        long = to_long(df.select(*[F.col(c).cast("double").alias(c) for c in num]), [], num, var, "v")
-        r = long.rollup(var, "v").agg(
-            F.count(F.lit(1)).alias("c"), F.count("v").alias("cv"), F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("sd"), F.grouping_id().alias("gid"))
-        r = cut_lineage(r.where(F.col("gid") < 3))
-        per_var = r.where(F.col("gid") == 1).select(var, (F.col("c") - F.col("cv")).alias("n_missing"),
-                                                    F.col("c").alias("__total"), "mean", "sd")
-        dist = r.where((F.col("gid") == 0) & F.col("v").isNotNull()).select(var, "v", "c")
-        cum = cumulative_by_group(dist, [var], "v", F.col("c"))
-        qs = quantiles_from_cumulative(cum, [var], "v", [0, .25, .5, .75, 1],
-                                       ["p0", "p25", "p50", "p75", "p100"]).drop("n")
-        nb = per_var.join(qs, var, "left")
-        parts.append(nb.select(
-            F.lit("numeric").alias("skim_type"), var, "n_missing",
-            safe_div(F.col("__total") - F.col("n_missing"), "__total").alias("complete_rate"),
-            "mean", "sd", "p0", "p25", "p50", "p75", "p100",
-            F.lit(None).cast("bigint").alias("n_unique"), F.lit(None).cast("bigint").alias("min_len"),
-            F.lit(None).cast("bigint").alias("max_len"), F.lit(None).cast("bigint").alias("n_empty"),
-            F.lit(None).cast("bigint").alias("n_whitespace")))
-    if txt:
-        long = to_long(df.select(*txt), [], txt, var, "s")
-        dt = long.groupBy(var, "s").agg(F.count(F.lit(1)).alias("c"))
-        t = dt.groupBy(var).agg(
-            F.coalesce(F.sum(F.when(F.col("s").isNull(), F.col("c"))), F.lit(0)).cast("bigint").alias("n_missing"),
-            F.sum("c").alias("__total"),
-            F.count("s").alias("n_unique"),
-            F.min(F.length("s")).cast("bigint").alias("min_len"),
-            F.max(F.length("s")).cast("bigint").alias("max_len"),
-            F.coalesce(F.sum(F.when(F.col("s") == "", F.col("c"))), F.lit(0)).cast("bigint").alias("n_empty"),
-            F.coalesce(F.sum(F.when(F.col("s").rlike("^[ \\t\\n\\r\\f]+$"), F.col("c"))), F.lit(0))
-            .cast("bigint").alias("n_whitespace"))
-        parts.append(t.select(
-            F.lit("character").alias("skim_type"), var, "n_missing",
-            safe_div(F.col("__total") - F.col("n_missing"), "__total").alias("complete_rate"),
-            *[F.lit(None).cast("double").alias(c) for c in ("mean", "sd", "p0", "p25", "p50", "p75", "p100")],
-            "n_unique", "min_len", "max_len", "n_empty", "n_whitespace"))
+    of = {f.name: _PROFILE_TYPES.get(f.dataType.typeName(), "other") for f in df.schema.fields}
+    col = lambda c: F.col(f"`{c}`")
+    if not of:
+        raise ValueError("a table without columns has no profile")
+
+    def number(c: str) -> Column:
+        kind = df.schema[c].dataType.typeName()
+        if kind == "date":
+            return F.unix_date(col(c)).cast("double")
+        return F.unix_micros(col(c).cast("timestamp")).cast("double") if kind.startswith("timestamp") else col(c).cast("double")
+
+    rough = [c for c in approx if of.get(c) == "numeric"]
+    first = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(of)],
+                   *[F.count(F.when(col(c), 1)).alias(f"t{i}") for i, c in enumerate(of) if of[c] == "logical"],
+                   *[x for i, c in enumerate(of) if c in rough for x in (
+                       F.avg(number(c)).alias(f"m{i}"), F.stddev_samp(number(c)).alias(f"s{i}"),
+                       F.percentile_approx(number(c), [0.0, .25, .5, .75, 1.0]).alias(f"q{i}"))])
+    none = F.lit(None).cast("double")
+    cells = [F.struct(F.lit(c).alias(var), F.lit(of[c]).alias("kind"), "total", (F.col("total") - F.col(f"n{i}")).alias("n_missing"),
+                      (F.col(f"t{i}") if of[c] == "logical" else F.lit(None).cast("bigint")).alias("n_true"),
+                      (F.col(f"m{i}") if c in rough else none).alias("mean"), (F.col(f"s{i}") if c in rough else none).alias("sd"),
+                      (F.col(f"q{i}") if c in rough else F.lit(None).cast("array<double>")).alias("q"), F.lit(c in rough).alias("rough"))
+             for i, c in enumerate(of)]
+    per_var = cut_lineage(first.select(F.inline(F.array(*cells))))
+    # kinds without own statistics: as they are
+    here = F.col("total") - F.col("n_missing")
+    parts = [_profile_rows(per_var.where("kind = 'other'"), "other"),
+             _profile_rows(per_var.where("kind = 'logical'"), "logical", mean=safe_div("n_true", here), n_true=F.col("n_true"), n_false=here - F.col("n_true")),
+             _profile_rows(per_var.where("rough"), "numeric", mean=F.col("mean"), sd=F.col("sd"),
+                           **{p: F.get("q", i) for i, p in enumerate(("p0", "p25", "p50", "p75", "p100"))})]
+    exact = [c for c in of if of[c] in ("numeric", "date") and c not in rough]
+    text = [c for c in of if of[c] == "character"]
+    if exact:
+        long = very_wide_to_long(df.select(*[number(c).alias(c) for c in exact]), [], exact, var, "v")
+        dist = long.where(F.col("v").isNotNull()).groupBy(var, "v").agg(F.count(F.lit(1)).alias("c"))
+        rows = cumulative_by_group(dist, [var], "v", F.col("c"), bounded_groups=True, distinct=True)
+        q = quantiles_from_cumulative(rows, [var], "v", [0, .25, .5, .75, 1], ["p0", "p25", "p50", "p75", "p100"])
+        middle = rows.groupBy(var).agg(F.min(F.when(F.col("__cum") >= F.ceil(F.col("__n") / 2), F.col("v"))).alias("middle"),
+                                       F.count(F.lit(1)).alias("n_unique"), (F.sum(F.col("__c") * F.col("v")) / F.sum("__c")).alias("mean"))
+        away = rows.join(F.broadcast(middle.select(var, "mean")), var)
+        away = away.groupBy(var).agg(F.sqrt(F.try_divide(F.sum(F.col("__c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))),
+                                                         (F.max("__n") - 1).cast("double"))).alias("sd"))
+        stats = q.drop("n").join(F.broadcast(middle), var).join(F.broadcast(away), var)
+        s = per_var.drop("mean", "sd", "q").where("not rough").join(F.broadcast(stats), var, "left")
+        quartiles = {p: F.col(p) for p in ("p0", "p25", "p50", "p75", "p100")}
+        parts.append(_profile_rows(s.where("kind = 'numeric'"), "numeric", mean=F.col("mean"), sd=F.col("sd"), **quartiles))
+        days = F.col(var).isin([c for c in exact if df.schema[c].dataType.typeName() == "date"])
+        shown = lambda c: F.when(days, F.date_from_unix_date(F.col(c).cast("int")).cast("string")).otherwise(
+            F.date_format(F.timestamp_micros(F.col(c).cast("bigint")), "yyyy-MM-dd HH:mm:ss"))
+        parts.append(_profile_rows(s.where("kind = 'date'"), "date", n_unique=F.coalesce("n_unique", F.lit(0)),
+                                   first_at=shown("p0"), middle_at=shown("middle"), last_at=shown("p100")))
+    if text:
+        long = to_long(df.select(*[col(c) for c in text]), [], text, var, "s")
+        values = long.where(F.col("s").isNotNull()).groupBy(var, "s").agg(F.count(F.lit(1)).alias("c"))
+        t = values.groupBy(var).agg(
+            F.count(F.lit(1)).alias("n_unique"), F.min(F.length("s")).alias("min_len"), F.max(F.length("s")).alias("max_len"),
+            F.sum(F.when(F.col("s") == "", F.col("c")).otherwise(0)).alias("n_empty"),
+            F.sum(F.when(F.col("s").rlike("^[ \\t\\n\\r\\f]+$"), F.col("c")).otherwise(0)).alias("n_whitespace"))
+        s = per_var.where("kind = 'character'").drop("n_true").join(F.broadcast(t), var, "left")
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        parts.append(_profile_rows(s, "character", n_unique=zero("n_unique"), min_len=F.col("min_len"), max_len=F.col("max_len"),
+                                   n_empty=zero("n_empty"), n_whitespace=zero("n_whitespace")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskshift.functions import codes
 from taskshift.functions.bands import (AI_CATEGORIES, AUGMENTED, AUTOMATED, MINIMAL, ai_category,
                                        demographic_type, task_weight)
-from taskshift.functions.columns import cols_containing
-from taskshift.functions.nulls import (mean_skip, mean_strict, safe_div, sd_strict, sum_skip, wmean)
-from taskshift.operators.joins import join_null_safe, with_major_group, with_sector
+from taskshift.functions.columns import by_position, cols_containing, display_demographic, display_stem
+from taskshift.functions.nulls import (mean_skip, mean_strict, safe_div, sd_strict, sum_strict, to_number, wmean)
+from taskshift.operators.joins import join_null_safe, with_major_group
 from taskshift.operators.ordering import global_row_number, rank_within, stacked_midpoint
 from taskshift.operators.reshape import to_long
 from taskshift.operators.shares import attach_group_stats, share_within
 from taskshift.operators.stats import box_summary, category_order, density_grid, histogram
 from taskshift.session import cut_lineage
+from taskshift.sources.lookups import SECTORS
 
 EXPOSURE_SCORES = ["mean_rating_human_alpha", "mean_rating_human_beta", "mean_rating_human_gamma",
                    "gpt4_rubric1_alpha", "gpt4_rubric1_beta", "gpt4_rubric1_gamma"]
@@ -31,10 +34,11 @@ OCC_KEYS = ["occ_group", "soc_code", "title"]
 
 def classify_tasks(tasks: DataFrame, task_statements: DataFrame,
                    automation_threshold: float = 0.5, augmentation_threshold: float = 1.0) -> DataFrame:
-    """Attach the task type (left join on code, id and wording), the AI-impact
-    category and the task weight. Unmatched tasks keep a missing type (weight 1)."""
+    """Attach the task type (left join on code, id and wording; missing keys
+    match each other), the AI-impact category and the task weight. Unmatched
+    tasks keep a missing type (weight 1)."""
     st = task_statements.select("soc_code", "task_id", "task", "task_type")
-    j = tasks.join(st, ["soc_code", "task_id", "task"], "left")
+    j = join_null_safe(tasks, st, ["soc_code", "task_id", "task"], "left")
     return (j.select("soc_code", "title", "task",
                      ai_category("gpt4_automation", "gpt4_rubric1_gamma",
                                  automation_threshold, augmentation_threshold).alias("ai_cat"),
@@ -43,9 +47,10 @@ def classify_tasks(tasks: DataFrame, task_statements: DataFrame,
 
 
 def task_category(tasks: DataFrame, task_statements: DataFrame) -> DataFrame:
-    """Task-level categories, sorted by title then category (a published table)."""
+    """Task-level categories, sorted by title then category. Code and wording
+    end the order, so that one title's rows are split over several ranges."""
     return classify_tasks(tasks, task_statements).orderBy(
-        F.col("title").asc_nulls_last(), F.col("ai_cat").asc_nulls_last())
+        *[F.col(c).asc_nulls_last() for c in ("title", "ai_cat", "soc_code", "task")])
 
 
 # -- Q27 / Q29 ---------------------------------------------------------------
@@ -92,10 +97,15 @@ def occ_category_share(classified: DataFrame) -> DataFrame:
 
 
 def occ_category_wide(classified: DataFrame) -> DataFrame:
+    """Occupation rows with the categories' plain and weighted shares and the
+    group's mean automated share, from classified tasks."""
+    return wide_from_counts(occ_category_counts(classified))
+
+
+def wide_from_counts(wide: DataFrame) -> DataFrame:
     """Occupation rows with ``pct_tasks_*`` and ``pct_weighted_*`` per category
     (missing where the occupation has no task of it) plus the occupation
     group's mean automated share (plain and weighted, missing values skipped)."""
-    wide = occ_category_counts(classified)
     cols = []
     for s in CATEGORY_COLS:
         present = F.col(f"n_{s}") > 0
@@ -111,9 +121,12 @@ def occ_category_wide(classified: DataFrame) -> DataFrame:
 
 def occ_weighted_shares(classified: DataFrame) -> DataFrame:
     """Occupation rows with the weighted share of each category (missing when absent)."""
-    wide = occ_category_counts(classified)
-    return wide.select(*OCC_KEYS, *[F.when(F.col(f"n_{s}") > 0, safe_div(f"w_{s}", "w_total")).alias(s)
-                                    for s in CATEGORY_COLS])
+    return weighted_from_counts(occ_category_counts(classified))
+
+
+def weighted_from_counts(wide: DataFrame) -> DataFrame:
+    """The weighted shares from ``occ_category_counts`` rows."""
+    return wide.select(*OCC_KEYS, *[F.when(F.col(f"n_{s}") > 0, safe_div(f"w_{s}", "w_total")).alias(s) for s in CATEGORY_COLS])
 
 
 # -- Q28 / Q30 ---------------------------------------------------------------
@@ -128,8 +141,8 @@ def category_by_task_type(classified: DataFrame) -> DataFrame:
 def occ_automation_rank(classified: DataFrame) -> DataFrame:
     """Occupations ranked by weighted automated share (descending, missing last;
     ties broken by code then title). Distributed rank, no single-partition sort."""
-    w = occ_category_wide(classified)
     col = f"pct_weighted_{STEMS[AUTOMATED]}"
+    w = occ_weighted_shares(classified).withColumnRenamed(STEMS[AUTOMATED], col)
     ranked = global_row_number(w.select("soc_code", "title", col),
                                [(col, False, True), ("soc_code", True, True), ("title", True, True)], "rank")
     return ranked.select("soc_code", "title", col, "rank")
@@ -191,6 +204,11 @@ def group_category_wide(share: DataFrame) -> DataFrame:
 
 # -- Q37-Q41 -----------------------------------------------------------------
 
+def _impact_long(wide: DataFrame, ids: list[str]) -> DataFrame:
+    """Non-minimal category columns as rows, named by the categories' own labels."""
+    return to_long(wide, ids, IMPACT_COLS).withColumn("name", display_stem("name"))
+
+
 def category_by_demographic(classified: DataFrame, us_emp: DataFrame) -> DataFrame:
     """Weighted category shares per demographic (weight: the group's share of an occupation's jobs), long, non-minimal categories."""
     w = occ_weighted_shares(classified).withColumn("soc", codes.soc6("soc_code"))
@@ -202,25 +220,42 @@ def category_by_demographic(classified: DataFrame, us_emp: DataFrame) -> DataFra
             .withColumn("type", demographic_type("demo")))
     wt = safe_div("value", "jobs")
     g = long.groupBy("type", "demo").agg(*[wmean(c, wt).alias(c) for c in metrics])
-    return to_long(g.select("type", "demo", "avg_hourly_earnings", *IMPACT_COLS),
-                   ["type", "demo", "avg_hourly_earnings"], IMPACT_COLS)
+    g = g.withColumn("demo", display_demographic("demo"))
+    return _impact_long(g.select("type", "demo", "avg_hourly_earnings", *IMPACT_COLS), ["type", "demo", "avg_hourly_earnings"])
 
 
-def staffing_by_sector(staffing_long: DataFrame) -> DataFrame:
+def staffing_by_sector(staffing_wide: DataFrame) -> DataFrame:
     """Staffing jobs summed to (occupation, sector) before any join; a missing
     cell makes its (occupation, sector) total missing, as it would make any
-    weighted mean that uses it missing."""
-    s = with_sector(staffing_long, "naics6_code")
-    return s.groupBy("occupation", "naics2_code", "naics_short_name").agg(
-        F.when(F.count("jobs") == F.count(F.lit(1)), F.sum("jobs")).alias("jobs"))
-
-
-def category_by_sector(classified: DataFrame, staffing_long: DataFrame) -> DataFrame:
+    weighted mean that uses it missing.
+
+    The sector of an industry column is known from its name, so each row of
+    the wide matrix is folded to its sectors in place: one sum per sector, and
+    a row per sector instead of one per industry."""
+    label = staffing_wide.columns[0]
+    by_sector: dict[str, list[str]] = {}
+    for c in by_position(staffing_wide, 3):
+        by_sector.setdefault(codes.fold_sector(c), []).append(c)
+    cells = []
+    for code, _, short_name in SECTORS:
+        cols = by_sector.get(code)
+        if cols:
+            total = reduce(lambda a, b: a + b, [to_number(F.col(f"`{c}`")) for c in cols])
+            cells.append(F.struct(F.lit(code).alias("naics2_code"), F.lit(short_name).alias("naics_short_name"), total.alias("jobs")))
+    body = staffing_wide.where(F.col(label) != "SOC")
+    if not cells:
+        return body.select(F.col(label).alias("occupation"), F.lit("").alias("naics2_code"), F.lit("").alias("naics_short_name"),
+                           F.lit(None).cast("double").alias("jobs")).limit(0)
+    s = body.select(F.col(label).alias("occupation"), F.inline(F.array(*cells)))
+    return s.groupBy("occupation", "naics2_code", "naics_short_name").agg(sum_strict("jobs").alias("jobs"))
+
+
+def category_by_sector(classified: DataFrame, staffing_wide: DataFrame) -> DataFrame:
     """Weighted category shares per industry sector (weight: staffing jobs), long, non-minimal categories."""
     w = occ_weighted_shares(classified).withColumn("occupation", codes.soc6("soc_code"))
-    j = w.join(staffing_by_sector(staffing_long), "occupation")
+    j = w.join(staffing_by_sector(staffing_wide), "occupation")
     g = j.groupBy("naics2_code", "naics_short_name").agg(*[wmean(c, "jobs").alias(c) for c in IMPACT_COLS])
-    return to_long(g, ["naics2_code", "naics_short_name"], IMPACT_COLS)
+    return _impact_long(g, ["naics2_code", "naics_short_name"])
 
 
 def _code_text(c) -> F.Column:
@@ -228,33 +263,46 @@ def _code_text(c) -> F.Column:
     return F.col(c).cast("bigint").cast("string")
 
 
-def metro_join(occ: DataFrame, metro_emp: DataFrame, metro_dim: DataFrame) -> DataFrame:
-    """Occupation rows x metro employment x metro dimension (both inner)."""
-    j = occ.withColumn("occupation", codes.soc6("soc_code")).join(metro_emp, "occupation")
-    j = j.withColumn("cbsa_code", _code_text("area"))
-    dim = metro_dim.select(_code_text("cbsa").alias("cbsa_code"), "cbsa_name", "size_class")
-    return j.join(dim, "cbsa_code")
+def metro_weighted(occ: DataFrame, metro_emp: DataFrame, metro_dim: DataFrame, metrics: list[str]) -> DataFrame:
+    """Per metro: means of ``metrics`` over detailed occupations x metro rows,
+    weighted by metro jobs, and the jobs.
+
+    Reduced in three steps instead of joining everything first: sums and
+    counts per 6-digit SOC, their weighted sums per area (partial sums before
+    the shuffle), and only those few rows meet the metro dimension. A missing
+    weight on a row with a value makes the mean missing, as in ``wmean``."""
+    w, here = F.col("jobs"), F.col("jobs").isNotNull()
+    soc = occ.groupBy(codes.soc6("soc_code").alias("occupation")).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(f"s__{c}") for c in metrics], *[F.count(c).alias(f"n__{c}") for c in metrics])
+    j = soc.join(metro_emp.select("occupation", "area", "jobs"), "occupation")
+    sums = []
+    for c in metrics:
+        n = F.col(f"n__{c}")
+        sums += [F.sum(F.when(w != 0, F.col(f"s__{c}") * w)).alias(f"num__{c}"), F.sum(F.when(n > 0, n * w)).alias(f"den__{c}"),
+                 F.coalesce(F.bool_or((n > 0) & ~here), F.lit(False)).alias(f"bad__{c}")]
+    by_area = j.groupBy(_code_text("area").alias("cbsa_code")).agg(*sums, F.coalesce(F.sum(F.col("rows") * w), F.lit(0.0)).alias("jobs"))
+    # a repeated dimension row repeats the metro's rows: means stay, jobs add up
+    dim = metro_dim.groupBy(_code_text("cbsa").alias("cbsa_code"), "cbsa_name", "size_class").agg(F.count(F.lit(1)).alias("__k"))
+    means = [F.when(~F.col(f"bad__{c}"), F.try_divide(f"num__{c}", f"den__{c}")).alias(c) for c in metrics]
+    return by_area.join(dim, "cbsa_code").select("cbsa_code", "cbsa_name", "size_class", *means, (F.col("jobs") * F.col("__k")).alias("jobs"))
 
 
 def category_by_metro(classified: DataFrame, metro_emp: DataFrame, metro_dim: DataFrame) -> DataFrame:
     """Weighted category shares per metro (weight: metro jobs) and the metro's jobs."""
-    j = metro_join(occ_weighted_shares(classified), metro_emp, metro_dim)
-    return j.groupBy("cbsa_code", "cbsa_name", "size_class").agg(
-        *[wmean(c, "jobs").alias(c) for c in CATEGORY_COLS], sum_skip("jobs").alias("jobs"))
+    return metro_weighted(occ_weighted_shares(classified), metro_emp, metro_dim, CATEGORY_COLS)
 
 
 def category_by_metro_size(by_metro: DataFrame) -> DataFrame:
     """Metro category shares rolled up to size class (weighted by metro jobs), long."""
     g = by_metro.where(F.col("size_class").isNotNull()).groupBy("size_class").agg(
         *[wmean(c, "jobs").alias(c) for c in IMPACT_COLS])
-    return to_long(g, ["size_class"], IMPACT_COLS)
+    return _impact_long(g, ["size_class"])
 
 
 def category_map_long(by_metro: DataFrame, geography: DataFrame) -> DataFrame:
     """Metro category shares, long, joined to the geography dimension for mapping."""
     m = by_metro.withColumnRenamed("cbsa_code", "geoid")
-    long = to_long(m.select("geoid", "cbsa_name", "size_class", "jobs", *IMPACT_COLS),
-                   ["geoid", "cbsa_name", "size_class", "jobs"], IMPACT_COLS)
+    long = _impact_long(m.select("geoid", "cbsa_name", "size_class", "jobs", *IMPACT_COLS), ["geoid", "cbsa_name", "size_class", "jobs"])
     return long.join(geography, "geoid")
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from taskshift.functions import codes
 from taskshift.functions.bands import (TRAINING_ORDER, at_least, demographic_type, education_band,
                                        has_exposure, interval_bin, level_order, training_band, wage_band)
-from taskshift.functions.columns import by_position, cols_containing, front, numeric_cols
-from taskshift.functions.nulls import mean_skip, mean_strict, safe_div, sum_skip, sum_strict, wmean
+from taskshift.functions.columns import by_position, cols_containing, display_demographic, front, numeric_cols
+from taskshift.functions.labels import percent_label
+from taskshift.functions.nulls import mean_skip, mean_strict, safe_div, sum_strict, to_number, wmean
 from taskshift.operators.joins import join_null_safe, join_report, with_major_group
 from taskshift.operators.reshape import split_last, to_long, very_wide_to_long
 from taskshift.operators.shares import threshold_summary
@@ -18,7 +19,7 @@ from taskshift.operators.stats import (box_summary, category_order, linear_trend
                                        weighted_quantiles)
 from taskshift.session import cut_lineage
 from taskshift.functions.bands import AI_CATEGORIES
-from taskshift.plans.automation import (ALL_SCORES, CATEGORY_COLS, EXPOSURE_SCORES, STEMS, metro_join,
+from taskshift.plans.automation import (ALL_SCORES, CATEGORY_COLS, EXPOSURE_SCORES, STEMS, metro_weighted,
                                         occ_category_share, staffing_by_sector)
 
 WAGE = "avg_hourly_earnings"
@@ -27,7 +28,7 @@ WAGE = "avg_hourly_earnings"
 # -- Q1-Q3 -------------------------------------------------------------------
 
 def table_profile(tasks: DataFrame) -> DataFrame:
-    """Column profile of the task table."""
+    """Column profile of a table."""
     return profile(tasks)
 
 
@@ -133,7 +134,12 @@ def group_beta_wage(score_emp: DataFrame) -> DataFrame:
 
 
 def group_wage_table(score_emp: DataFrame) -> DataFrame:
-    """Per group: jobs, jobs-weighted wage and beta (the table behind the wage/exposure chart)."""
+    """Per group: jobs, jobs-weighted wage and beta, and beta's percent label
+    (the table behind the wage/exposure chart)."""
+    return _group_wage(score_emp).withColumn("beta_label", percent_label("gpt4_rubric1_beta"))
+
+
+def _group_wage(score_emp: DataFrame) -> DataFrame:
     s = _with_group_jobs(score_emp)
     return s.groupBy("short_name").agg(sum_strict("jobs").alias("jobs"), wmean(WAGE, "jobs").alias(WAGE),
                                        wmean("gpt4_rubric1_beta", "jobs").alias("gpt4_rubric1_beta"))
@@ -141,7 +147,7 @@ def group_wage_table(score_emp: DataFrame) -> DataFrame:
 
 def group_wage_trend(score_emp: DataFrame) -> DataFrame:
     """Least-squares line of group beta on group wage (one row)."""
-    return linear_trend(group_wage_table(score_emp), "gpt4_rubric1_beta", WAGE)
+    return linear_trend(_group_wage(score_emp), "gpt4_rubric1_beta", WAGE)
 
 
 # -- Q12 ---------------------------------------------------------------------
@@ -204,7 +210,7 @@ def demographic_scores(score_emp: DataFrame) -> DataFrame:
             .withColumn("type", demographic_type("demo")))
     wt = safe_div("value", "jobs")
     g = long.groupBy("type", "demo").agg(*[wmean(c, wt).alias(c) for c in metrics])
-    return g.select("type", "demo", "has_exposure", "gpt4_rubric1_beta")
+    return g.select("type", display_demographic("demo").alias("demo"), "has_exposure", "gpt4_rubric1_beta")
 
 
 # -- Q19, Q20 ------------------------------------------------------------------
@@ -220,7 +226,7 @@ def staffing_long(staffing_wide: DataFrame) -> DataFrame:
     body = staffing_wide.where(F.col(label) != "SOC")
     long = very_wide_to_long(body, [label], industries, "naics6_code", "jobs_text")
     return long.select(F.col(label).alias("occupation"), "naics6_code",
-                       F.col("jobs_text").try_cast("double").alias("jobs"))
+                       to_number("jobs_text").alias("jobs"))
 
 
 def sector_scores(tasks: DataFrame, staffing_wide: DataFrame) -> DataFrame:
@@ -229,8 +235,13 @@ def sector_scores(tasks: DataFrame, staffing_wide: DataFrame) -> DataFrame:
     Staffing is summed to (occupation, sector) before the join, so the join
     carries sectors (20) instead of industries (hundreds) per occupation.
     The weighted mean is unchanged: sum_i x*w_i = x * sum_i w_i."""
-    occ = occ_mean_scores(tasks).withColumn("occupation", codes.soc6("soc_code"))
-    j = occ.join(staffing_by_sector(staffing_long(staffing_wide)), "occupation")
+    return sector_from_means(occ_mean_scores(tasks), staffing_wide)
+
+
+def sector_from_means(occ: DataFrame, staffing_wide: DataFrame) -> DataFrame:
+    """``sector_scores`` from the occupation means."""
+    occ = occ.withColumn("occupation", codes.soc6("soc_code"))
+    j = occ.join(staffing_by_sector(staffing_wide), "occupation")
     return j.groupBy("naics2_code", "naics_short_name").agg(*[wmean(c, "jobs").alias(c) for c in EXPOSURE_SCORES])
 
 
@@ -238,9 +249,7 @@ def sector_scores(tasks: DataFrame, staffing_wide: DataFrame) -> DataFrame:
 
 def metro_scores(tasks: DataFrame, metro_emp: DataFrame, metro_dim: DataFrame) -> DataFrame:
     """Exposure per metro weighted by metro jobs (detailed codes x metro rows), and the metro's jobs."""
-    j = metro_join(occ_mean_scores(tasks), metro_emp, metro_dim)
-    return j.groupBy("cbsa_code", "cbsa_name", "size_class").agg(
-        *[wmean(c, "jobs").alias(c) for c in EXPOSURE_SCORES], sum_skip("jobs").alias("jobs"))
+    return metro_weighted(occ_mean_scores(tasks), metro_emp, metro_dim, EXPOSURE_SCORES)
 
 
 def metro_size_scores(by_metro: DataFrame) -> DataFrame:
@@ -265,7 +274,11 @@ def master_score(score_emp: DataFrame, classified: DataFrame) -> DataFrame:
     The per-(SOC, category) mean and the pivot are one conditional aggregate
     keyed by SOC (one shuffle): for each category, the mean over that
     category's rows, missing-propagating, absent -> 0."""
-    share = occ_category_share(classified)
+    return master_from_share(score_emp, occ_category_share(classified))
+
+
+def master_from_share(score_emp: DataFrame, share: DataFrame) -> DataFrame:
+    """``master_score`` from the occupation category shares."""
     s = share.select(codes.soc6_collapsed("soc_code").alias("soc"), "ai_cat",
                      F.coalesce(F.col("pct_weighted"), F.lit(0.0)).alias("pct_weighted"))
     cells = []

@@ -4,7 +4,8 @@ Headers carry display names (``O*NET-SOC Code``, ``2022 Jobs``...). Every file
 is read as text with no schema inference, names are normalised to
 snake_case once, and declared columns are then cast by name (``try_cast``:
 an unparsable cell becomes NULL, as a failed numeric parse does in the
-source). ``NA`` and empty cells are missing; ``None`` and ``N/A`` stay text
+source; a grouping mark inside a number, as in ``1,234,567``, is dropped; NaN
+becomes NULL). ``NA`` and empty cells are missing; ``None`` and ``N/A`` stay text
 because the training levels use them as labels.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskshift.functions.columns import normalise_names
+from taskshift.functions.nulls import nan_to_null, to_number
 
 TASK_TYPES = {"task_id": "bigint", "mean_rating_human_alpha": "double", "mean_rating_human_beta": "double",
               "mean_rating_human_gamma": "double", "gpt4_rubric1_alpha": "double", "gpt4_rubric1_beta": "double",
@@ -38,10 +40,17 @@ def _typed(df: DataFrame, types: dict[str, str], prefix_types: dict[str, str] |
         t = types.get(c)
         if t is None and prefix_types:
             t = next((v for p, v in prefix_types.items() if c.startswith(p)), None)
-        out.append(F.col(c).try_cast(t).alias(c) if t else F.col(c))
+        out.append(to_number(F.col(c), t).alias(c) if t else F.col(c))
     return df.select(*out)
 
 
+def intake(df: DataFrame) -> DataFrame:
+    """The frame with NaN as NULL in every floating-point column: the rule for
+    frames that do not come through a reader of this module."""
+    return df.select(*[nan_to_null(f"`{f.name}`").alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
 def read_tasks(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Task ratings CSV: one row per (occupation, task) with score columns."""
     df = normalise_names(_text(spark, path, multiline=multiline))

@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 # Edge rows are produced by these fixed rules (see FIXTURES.md section 3).
 NULL_ALPHA_EVERY = 97        # l_orderkey % 97 == 0 -> human alpha missing
 NULL_BETA_EVERY = 13         # l_orderkey % 13 == 0 -> rubric1 beta missing
+NAN_BETA_EVERY = 19          # l_orderkey % 19 == 0 -> rubric1 beta not a number
+NAN_AUTOMATION_EVERY = 37    # l_orderkey % 37 == 0 -> automation score not a number
+NULL_TASK_EVERY = 41         # l_orderkey % 41 == 0 -> wording missing, in the ratings and in the statements
 REWORDED_STATEMENT_EVERY = 10    # l_orderkey % 10 == 0 -> statement wording differs (no match)
 UNLISTED_METRO_EVERY = 12        # n_nationkey % 12 == 11 -> metro code not in the employment data
 UNMAPPED_GEO_EVERY = 5           # n_nationkey % 5 == 4 -> geography id not among the metros
@@ -87,16 +90,16 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         F.concat(F.col("pcode"), F.lit("."), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("soc_code"),
         ok.alias("task_id"),
-        F.concat(F.col("p_name"), F.lit(" / "), F.col("l_linestatus")).alias("task"),
+        F.when(ok % NULL_TASK_EVERY != 0, F.concat(F.col("p_name"), F.lit(" / "), F.col("l_linestatus"))).alias("task"),
         F.concat(F.col("p_name"), F.lit(" "), F.col("l_linenumber").cast("string")).alias("title"),
         F.when(ok % NULL_ALPHA_EVERY != 0, _quarters(q)).alias("mean_rating_human_alpha"),
         _quarters(q + d).alias("mean_rating_human_beta"),
         _quarters(q + t).alias("mean_rating_human_gamma"),
         (d % 2).cast("double").alias("gpt4_rubric1_alpha"),
-        F.when(ok % NULL_BETA_EVERY != 0, _quarters(d, 3, 2)).alias("gpt4_rubric1_beta"),
+        F.when(ok % NAN_BETA_EVERY == 0, F.lit(float("nan"))).when(ok % NULL_BETA_EVERY != 0, _quarters(d, 3, 2)).alias("gpt4_rubric1_beta"),
         (t % 2).cast("double").alias("gpt4_rubric1_gamma"),
         _quarters(d + t, 3, 2).alias("gpt4_rubric2_beta"),
-        _quarters(q * 3 + t).alias("gpt4_automation"),
+        F.when(ok % NAN_AUTOMATION_EVERY == 0, F.lit(float("nan"))).otherwise(_quarters(q * 3 + t)).alias("gpt4_automation"),
     )
 
 
@@ -110,7 +113,8 @@ def task_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = j.select(
         F.concat(F.col("pcode"), F.lit("."), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("soc_code"),
         F.col("l_orderkey").alias("task_id"),
-        F.concat(F.col("p_name"), F.lit(" / "), F.col("l_linestatus"), reworded).alias("task"),
+        F.when(F.col("l_orderkey") % NULL_TASK_EVERY != 0,
+               F.concat(F.col("p_name"), F.lit(" / "), F.col("l_linestatus"), reworded)).alias("task"),
         "l_returnflag")
     # least return flag of the task's rows (A < N < R), as a small integer so
     # the aggregation is hash-based
@@ -203,19 +207,6 @@ def staffing_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.unionByName(header)
 
 
-def load_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All stand-in inputs by name."""
-    return {
-        "tasks": tasks(spark, sf_dir),
-        "task_statements": task_statements(spark, sf_dir),
-        "us_emp": us_emp(spark, sf_dir),
-        "metro_emp": metro_emp(spark, sf_dir),
-        "metro_dim": metro_dim(spark, sf_dir),
-        "geography": geography(spark, sf_dir),
-        "staffing_wide": staffing_wide(spark, sf_dir),
-    }
-
-
 # ---------------------------------------------------------------------------
 # SQL twin (DuckDB dialect) of the builders above, as WITH-clause entries.
 # ---------------------------------------------------------------------------
@@ -257,25 +248,28 @@ def standin_sql() -> str:
     ind_list = "[" + ", ".join(_q(c) for c in INDUSTRY_CODES) + "]"
     ind_values = ", ".join(f"({_q(c)})" for c in INDUSTRY_CODES)
     return f"""
-tasks AS (
+tasks_given AS (
     SELECT {soc_code} AS soc_code, l_orderkey AS task_id,
-      p_name || ' / ' || l_linestatus AS task,
+      CASE WHEN l_orderkey % {NULL_TASK_EVERY} <> 0 THEN p_name || ' / ' || l_linestatus END AS task,
       p_name || ' ' || CAST(l_linenumber AS VARCHAR) AS title,
       CASE WHEN l_orderkey % {NULL_ALPHA_EVERY} <> 0 THEN CAST({q} % 5 AS DOUBLE) / 4 END AS mean_rating_human_alpha,
       CAST(({q} + {d}) % 5 AS DOUBLE) / 4 AS mean_rating_human_beta,
       CAST(({q} + {t}) % 5 AS DOUBLE) / 4 AS mean_rating_human_gamma,
       CAST({d} % 2 AS DOUBLE) AS gpt4_rubric1_alpha,
-      CASE WHEN l_orderkey % {NULL_BETA_EVERY} <> 0 THEN CAST({d} % 3 AS DOUBLE) / 2 END AS gpt4_rubric1_beta,
+      CASE WHEN l_orderkey % {NAN_BETA_EVERY} = 0 THEN CAST('NaN' AS DOUBLE)
+           WHEN l_orderkey % {NULL_BETA_EVERY} <> 0 THEN CAST({d} % 3 AS DOUBLE) / 2 END AS gpt4_rubric1_beta,
       CAST({t} % 2 AS DOUBLE) AS gpt4_rubric1_gamma,
       CAST(({d} + {t}) % 3 AS DOUBLE) / 2 AS gpt4_rubric2_beta,
-      CAST(({q} * 3 + {t}) % 5 AS DOUBLE) / 4 AS gpt4_automation
+      CASE WHEN l_orderkey % {NAN_AUTOMATION_EVERY} = 0 THEN CAST('NaN' AS DOUBLE)
+           ELSE CAST(({q} * 3 + {t}) % 5 AS DOUBLE) / 4 END AS gpt4_automation
     FROM lineitem JOIN part ON l_partkey = p_partkey
 ),
 task_statements AS (
     SELECT soc_code, task_id, task,
       CASE min(l_returnflag) WHEN 'A' THEN 'Core' WHEN 'R' THEN 'Supplemental' END AS task_type
     FROM (SELECT {soc_code} AS soc_code, l_orderkey AS task_id,
-            p_name || ' / ' || l_linestatus || CASE WHEN l_orderkey % {REWORDED_STATEMENT_EVERY} = 0 THEN '.' ELSE '' END AS task,
+            CASE WHEN l_orderkey % {NULL_TASK_EVERY} <> 0 THEN p_name || ' / ' || l_linestatus
+              || CASE WHEN l_orderkey % {REWORDED_STATEMENT_EVERY} = 0 THEN '.' ELSE '' END END AS task,
             l_returnflag
           FROM lineitem JOIN part ON l_partkey = p_partkey) s
     GROUP BY soc_code, task_id, task

@@ -39,26 +39,3 @@ def start_category_share(spark: SparkSession, tasks_dir: str, tasks_schema: Stru
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
-
-def streamed_category_share(spark: SparkSession, tasks: DataFrame, task_statements: DataFrame,
-                            drops: int = 3) -> DataFrame:
-    """Run the incremental job over ``tasks`` landed as ``drops`` file drops in
-    the shared checkpoint folder, to completion (``availableNow``), and return
-    the share table it published. Equal to the batch ``occ_category_share``."""
-    import os
-    import uuid
-
-    from pyspark.sql import functions as F
-
-    from taskshift.session import checkpoint_dir
-
-    root = os.path.join(checkpoint_dir(spark), f"taskshift-stream-{uuid.uuid4().hex}")
-    src = os.path.join(root, "tasks")
-    for i in range(drops):
-        tasks.where(F.pmod(F.xxhash64("soc_code", "task_id", "task"), F.lit(drops)) == i) \
-            .write.parquet(os.path.join(src, f"drop={i}"))
-    out = os.path.join(root, "share")
-    q = start_category_share(spark, os.path.join(src, "drop=*"), tasks.schema, task_statements, out,
-                             os.path.join(root, "state"), available_now=True)
-    q.awaitTermination()
-    return spark.read.parquet(out)

@@ -151,8 +151,8 @@ def test_demographic_scores(fx):
     d = {x["demo"]: x for x in E.demographic_scores(fx["score_emp"]).collect()}
     # weights: share of each SOC's jobs held by the group (jobs filter drops the 55- row)
     # females: 11-3031 0.4, 25-1099 0.5 ; beta 0.5 both -> 0.5 ; has_exposure (2/3*0.4 + 1*0.5) / 0.9
-    assert d["females"]["type"] == "gender" and d["females"]["gpt4_rubric1_beta"] == 0.5
-    assert math.isclose(d["females"]["has_exposure"], (2 / 3 * 0.4 + 0.5) / 0.9)
+    assert d["Females"]["type"] == "gender" and d["Females"]["gpt4_rubric1_beta"] == 0.5
+    assert math.isclose(d["Females"]["has_exposure"], (2 / 3 * 0.4 + 0.5) / 0.9)
 
 
 def test_wage_bands(fx):

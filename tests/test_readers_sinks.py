@@ -72,18 +72,40 @@ def test_write_table_display_names(spark):
     assert spark.read.parquet(p2).count() == 1
 
 
-def test_percent_and_comma_labels(spark):
-    from taskshift.functions.labels import comma_label, percent_label
-    df = spark.createDataFrame([(0.1234, 1234567.0)], "p double, n double")
-    r = df.select(percent_label("p").alias("a"), percent_label("p", 1).alias("b"), comma_label("n").alias("c")).first()
-    assert (r["a"], r["b"], r["c"]) == ("12.3%", "12%", "1,234,567")
+def test_category_columns_get_their_labels_in_csv(spark):
+    out = tempfile.mkdtemp(prefix="taskshift-sink-")
+    df = spark.createDataFrame([(0.5, 0.25)], "pct_tasks_more_likely_automated double, pct_weighted_minimal_impact double")
+    back = spark.read.option("header", True).csv(sinks.write_table(df, out, "automation_category_occupation", fmt="csv"))
+    assert back.columns == ["pct_tasks_more likely automated", "pct_weighted_minimal impact"]
+
+
+def test_percent_label(spark):
+    from taskshift.functions.labels import percent_label
+    df = spark.createDataFrame([(0.1234,), (None,)], "p double")
+    r = [tuple(x) for x in df.select(percent_label("p").alias("a"), percent_label("p", 1).alias("b")).collect()]
+    assert r == [("12.3%", "12%"), (None, None)]
+
+
+def test_nan_and_grouping_marks(spark):
+    d = tempfile.mkdtemp(prefix="taskshift-intake-")
+    with open(f"{d}/emp.csv", "w") as f:
+        f.write('SOC,2022 Jobs,Avg. Hourly Earnings\n11-1011,"1,234,567",NaN\n11-1012,"12,34",12.5\n11-1013,-7,"2,000.5"\n')
+    r = {x["soc"]: (x["jobs"], x["avg_hourly_earnings"]) for x in readers.read_us_emp(spark, f"{d}/emp.csv").collect()}
+    assert r == {"11-1011": (1234567.0, None), "11-1012": (None, 12.5), "11-1013": (-7.0, 2000.5)}
+    df = spark.createDataFrame([(float("nan"), 1), (2.0, None)], "x double, n int")
+    assert [tuple(x) for x in readers.intake(df).collect()] == [(None, 1), (2.0, None)]
+
+
+def _inputs(spark, sf="/root/testdata/sf0.001"):
+    from taskshift.sources import standin as S
+    names = ("tasks", "task_statements", "us_emp", "metro_emp", "metro_dim", "staffing_wide")
+    return {n: readers.intake(getattr(S, n)(spark, sf)) for n in names}
 
 
 def test_publish_all(spark):
     from taskshift.plans.publish import AUTOMATION_SHEETS, EXPOSURE_SHEETS, publish_all
-    from taskshift.sources import standin as S
     out = tempfile.mkdtemp(prefix="taskshift-publish-")
-    paths = publish_all(S.load_all(spark, "/root/testdata/sf0.001"), out, sheets=["figure 1", "automation_Metro"])
+    paths = publish_all(_inputs(spark), out, sheets=["figure 1", "automation_Metro"])
     assert set(paths) == {"figure 1", "automation_Metro"}
     assert spark.read.parquet(paths["figure 1"]).count() > 0
     assert len(EXPOSURE_SHEETS) + len(AUTOMATION_SHEETS) == 10
@@ -91,9 +113,8 @@ def test_publish_all(spark):
 
 def test_publish_every_sheet(spark):
     from taskshift.plans.publish import AUTOMATION_SHEETS, EXPOSURE_SHEETS, publish_all
-    from taskshift.sources import standin as S
     out = tempfile.mkdtemp(prefix="taskshift-publish-all-")
-    paths = publish_all(S.load_all(spark, "/root/testdata/sf0.001"), out)
+    paths = publish_all(_inputs(spark), out)
     assert set(paths) == set(EXPOSURE_SHEETS + AUTOMATION_SHEETS)
     for p in paths.values():
         assert spark.read.parquet(p).count() > 0
