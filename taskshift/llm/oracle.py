@@ -1 +1,120 @@
+"""DuckDB SQL of the training-data queries that SQL can express, in the most literal form of each rule."""
+
+from __future__ import annotations
+
+from taskshift.llm import quality_rules as Q
+from taskshift.llm import source_mix as M
+
+WORD = r"[^\x20\x09-\x0D]"
 ORACLE: dict[str, str] = {}
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _plain(regex: str) -> str:
+    """A regular expression without possessive quantifiers (DuckDB's matcher never backtracks)."""
+    return _q(regex.replace("++", "+").replace("*+", "*"))
+
+
+# -- near duplicates: all pairs over shared shingles, then the closure of the links ----------
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLE["op2_minhash_lsh_forest"] = f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{WORD}+') AS ws FROM documents
+),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS sh FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+    SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+    JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
+    WHERE 100 * both_n >= 85 * (na.n + nb.n - both_n)
+),
+reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id"""
+
+# -- quality rules ------------------------------------------------------------------------
+
+_letters, _capitals = r"len(regexp_extract_all(l, '\p{L}'))", r"len(regexp_extract_all(l, '\p{Lu}'))"
+_symbols = f"len(regexp_extract_all({{}}, {_q(Q.SYMBOLS)}))"
+_phrases = " OR ".join(f"contains(lower(l), {_q(p)})" for p in Q.BOILERPLATE)
+_fails = f"""(regexp_matches(l, {_plain(Q.NAV_LINE)}) OR {_symbols.format('l')} > {Q.MAX_SYMBOL_SHARE} * length(l)
+      OR ({_letters} >= {Q.SHOUT_MIN_LETTERS} AND {_capitals} > {Q.SHOUT_SHARE} * {_letters})
+      OR (NOT regexp_matches(l, {_plain(Q.END_MARKS)}) AND regexp_matches(l, {_plain(Q.LONG_LINE)})) OR {_phrases})"""
+ORACLE["op7_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}+') AS ws, string_split(t, chr(10)) AS every FROM d),
+l AS (SELECT *, list_filter(every, lambda l: regexp_matches(l, '{WORD}')) AS ls,
+        list_filter(every, lambda l: NOT regexp_matches(l, '{WORD}') OR NOT {_fails}) AS stay FROM w),
+win AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: struct_pack(i := i, s := array_to_string(ws[i:i + 4], ' ')))) AS x
+        FROM w WHERE len(ws) > 5),
+twice AS (SELECT doc_id, x.i AS i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x.s) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+b AS (SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST({_symbols.format('t')} AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS size, length(array_to_string(stay, chr(10))) AS stays
+      FROM l LEFT JOIN rep ON rep.doc_id = l.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {Q.BASE_MIN_WORDS} OR 100 * n_repeat_words > {Q.BASE_MAX_REPEAT_PCT} * n_words AS base_failed,
+  NOT (n_words < {Q.BASE_MIN_WORDS} OR 100 * n_repeat_words > {Q.BASE_MAX_REPEAT_PCT} * n_words)
+    AND size > 0 AND CAST(size - stays AS DOUBLE) / greatest(size, 1) <= {Q.MAX_LOST} AS kept
+FROM b"""
+
+# -- nearest neighbours: every pair ----------------------------------------------------------
+
+ORACLE["op9_vp_tree"] = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id,
+        sqrt(list_reduce(list_transform(list_zip(q.e, v.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda a, b: a + b)) AS score
+      FROM v q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+# -- source mix: water-filling, then every quotient, highest first ------------------------------
+
+_hash = "md5('{seed}:' || CAST(doc_id AS VARCHAR))".format(seed=M.SEED)
+ORACLE["op10_source_mix"] = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}+')) AS BIGINT) AS size, {_hash} AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, (source_size * {M.MAX_EPOCHS})::DOUBLE AS stop FROM s),
+u AS (SELECT *, sum(source_size) OVER () * {M.SHARE}::DOUBLE - coalesce(sum(stop) OVER up, 0) AS left_words,
+        sum(weight) OVER () - coalesce(sum(weight) OVER up, 0) AS left_weight FROM w
+      WINDOW up AS (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(left_words / left_weight, stop / weight) AS level FROM u WHERE stop > weight * (left_words / left_weight)),
+t AS (SELECT source, k, source_size, greatest(ceil(source_size / {M.SHARD_WORDS}.0), ceil(n_docs / {M.SHARD_DOCS}.0), 1)::BIGINT AS n_shards,
+        round(CASE WHEN level IS NULL THEN stop ELSE least(stop, weight * level) END, 6) AS target FROM u, f),
+seats AS (SELECT CAST(round(sum(target) / {M.BLOCK_WORDS}) AS BIGINT) AS n FROM t),
+quot AS (SELECT k, unnest(range((SELECT n FROM seats))) AS j FROM t WHERE target > 0),
+won AS (SELECT k, count(*) AS blocks FROM (SELECT q.k, row_number() OVER (ORDER BY t.target / (2 * q.j + 1) DESC, q.k, q.j) AS r
+        FROM quot q JOIN t ON t.k = q.k) WHERE r <= (SELECT n FROM seats) GROUP BY k),
+p AS (SELECT d.*, t.k, t.source_size, t.target, coalesce(won.blocks, 0) AS blocks, ('0x' || substr(h, 1, 12))::BIGINT % t.n_shards AS shard
+      FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN won ON won.k = t.k),
+sh AS (SELECT k, any_value(source) AS source, shard, sum(size)::BIGINT AS shard_size, max(blocks) AS blocks FROM p GROUP BY k, shard),
+shq AS (SELECT k, shard, unnest(range(blocks)) AS j, shard_size FROM sh WHERE shard_size > 0),
+shw AS (SELECT k, shard, count(*) AS quota FROM (SELECT q.*, row_number() OVER (PARTITION BY k ORDER BY shard_size / (2 * j + 1)::DOUBLE DESC, shard, j) AS r FROM shq q) x
+        JOIN (SELECT DISTINCT k AS k2, blocks FROM sh) y ON y.k2 = x.k WHERE r <= blocks GROUP BY k, shard),
+g AS (SELECT sh.k, sh.shard, ceil(shard_size / {M.BLOCK_WORDS}.0)::BIGINT AS n_blocks,
+        least(coalesce(quota, 0), {M.MAX_EPOCHS} * ceil(shard_size / {M.BLOCK_WORDS}.0)::BIGINT) AS quota,
+        ('0x' || substr(md5('{M.SEED}:' || coalesce(source, '') || ':' || CAST(sh.shard AS VARCHAR)), 1, 8))::BIGINT AS off
+      FROM sh LEFT JOIN shw ON shw.k = sh.k AND shw.shard = sh.shard),
+o AS (SELECT p.*, n_blocks, quota, off, [{', '.join(map(str, M.STRIDES))}][(off % {len(M.STRIDES)}) + 1]::BIGINT AS stride,
+        (sum(size) OVER (PARTITION BY p.k, p.shard ORDER BY h, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS first
+      FROM p JOIN g ON g.k = p.k AND g.shard = p.shard),
+bl AS (SELECT doc_id, h, k, size, first, quota, n_blocks, stride, off, unnest(range(first // {M.BLOCK_WORDS}, (first + size - 1) // {M.BLOCK_WORDS} + 1)) AS b FROM o WHERE size > 0),
+tk AS (SELECT doc_id, first, k, sum((least(first + size, (b + 1) * {M.BLOCK_WORDS}) - greatest(first, b * {M.BLOCK_WORDS}))
+        * (quota // n_blocks + CASE WHEN ((stride % n_blocks) * b + off) % n_blocks < quota % n_blocks THEN 1 ELSE 0 END)) AS taken FROM bl GROUP BY doc_id, first, k)
+SELECT o.doc_id, o.size, o.source_size, o.target, CAST(coalesce(tk.taken, 0) AS BIGINT) AS taken, o.source
+FROM o LEFT JOIN tk ON tk.doc_id = o.doc_id AND tk.first = o.first AND tk.k = o.k"""

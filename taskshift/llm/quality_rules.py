@@ -31,9 +31,9 @@ BASE_MIN_WORDS = 10
 BASE_MAX_REPEAT_PCT = 20
 
 #: Rules for one line.
-END_MARKS = r"""[.!?:;,"'”’»…)\]]\s*$"""
-LONG_LINE = r"^\s*+(?:\S++\s++){5}\S"
-NAV_LINE = r"(?:^|\|)(?:\s*+(?:[^\s|]++\s*+){0,4}\|){3}"
+END_MARKS = r"""[.!?:;,"'”’»…)\]][\x20\x09-\x0D]*\z"""
+LONG_LINE = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){5}[^\x20\x09-\x0D]"
+NAV_LINE = r"(?:^|\|)(?:[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D|]++[\x20\x09-\x0D]*+){0,4}\|){3}"
 MAX_SYMBOL_SHARE = 0.1
 SHOUT_MIN_LETTERS = 20
 SHOUT_SHARE = 0.6
