@@ -80,8 +80,10 @@ class MergeAutomaton:
         for t, (x, y) in enumerate(merges):
             a, b, ab = vocab[x], vocab[y], vocab[x + y]
             q = self.goal[a]
-            if self.made[ab] >= 0 or not self.leaves(q, b):
-                raise ValueError(f"merge {t} makes a symbol twice or can never apply")
+            if self.made[ab] >= 0:
+                raise ValueError(f"merge {t} makes a symbol twice")
+            if not self.leaves(q, b):          # an earlier merge always takes one of the two: no arcs
+                continue
             self.left[ab], self.made[ab] = a, t
             self.goal[ab] = self.base[ab] = q if a == b else self.goal[b]
             self.rank[a * size + b] = t
@@ -97,6 +99,8 @@ class MergeAutomaton:
             if ended:
                 signs[-1] += end
             self.span[x] = len(signs)
+            if len(signs) > 1 and self.made[x] < 0:
+                continue                        # no arc has this label
             node = self.trie
             for sign in signs:
                 node = node.setdefault(sign, {})
