@@ -51,7 +51,7 @@ _symbols = f"len(regexp_extract_all({{}}, {_q(Q.SYMBOLS)}))"
 _phrases = " OR ".join(f"contains(lower(l), {_q(p)})" for p in Q.BOILERPLATE)
 _fails = f"""(regexp_matches(l, {_plain(Q.NAV_LINE)}) OR {_symbols.format('l')} > {Q.MAX_SYMBOL_SHARE} * length(l)
       OR ({_letters} >= {Q.SHOUT_MIN_LETTERS} AND {_capitals} > {Q.SHOUT_SHARE} * {_letters})
-      OR (NOT regexp_matches(l, {_plain(Q.END_MARKS)}) AND regexp_matches(l, {_plain(Q.LONG_LINE)})) OR {_phrases})"""
+      OR (NOT regexp_matches(l, {_plain(Q.END_MARKS)}) AND regexp_matches(l, {_plain(Q.OPEN_LINE)})) OR {_phrases})"""
 ORACLE["op7_quality_rules"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}+') AS ws, string_split(t, chr(10)) AS every FROM d),

@@ -2,8 +2,9 @@
 
 Every ``\\n`` line with a word is judged on its own: a line fails when it is
 navigation (a row of short link-like pieces between bars), carries too many
-symbols, shouts in capitals, is a long line without an end mark, or holds a
-boilerplate phrase. Failed lines are removed; a document that loses more than
+symbols, shouts in capitals, is a line of 6 to 24 words without an end mark
+(a heading is shorter, unpunctuated prose longer), or holds a boilerplate
+phrase. Failed lines are removed; a document that loses more than
 ``max_lost`` of its characters is rejected. Document-wide base figures
 (words, symbols, repeated lines, repeated five-word windows) are computed on
 the whole text beside it.
@@ -32,7 +33,8 @@ BASE_MAX_REPEAT_PCT = 20
 
 #: Rules for one line.
 END_MARKS = r"""[.!?:;,"'”’»…)\]][\x20\x09-\x0D]*\z"""
-LONG_LINE = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){5}[^\x20\x09-\x0D]"
+#: 6 to 24 words: longer than a heading, shorter than a paragraph.
+OPEN_LINE = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){5,23}[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+\z"
 NAV_LINE = r"(?:^|\|)(?:[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D|]++[\x20\x09-\x0D]*+){0,4}\|){3}"
 MAX_SYMBOL_SHARE = 0.1
 SHOUT_MIN_LETTERS = 20
@@ -58,7 +60,7 @@ def line_fails(line: Column, lower: Column) -> Column:
     return (line.rlike(NAV_LINE)
             | (F.regexp_count(line, F.lit(SYMBOLS)) > MAX_SYMBOL_SHARE * F.length(line))
             | ((capitals >= SHOUT_MIN_LETTERS * SHOUT_SHARE) & (letters >= SHOUT_MIN_LETTERS) & (capitals > SHOUT_SHARE * letters))
-            | (~line.rlike(END_MARKS) & line.rlike(LONG_LINE))
+            | (~line.rlike(END_MARKS) & line.rlike(OPEN_LINE))
             | holds_boilerplate(lower))
 
 
