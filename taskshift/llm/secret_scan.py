@@ -151,14 +151,16 @@ def redact(docs: DataFrame, labelled: DataFrame, vocabulary: str, path: str) ->
     return d.select(*[out.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def stand_in_findings(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def stand_in_findings(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED) -> DataFrame:
     """Labelled findings (text, path, label) in the scan's schema: words of the labelled documents around a finding of a known kind.
 
-    The test tables hold no labelled findings, so each labelled document
-    gives one: its first words, a snippet (half of them credentials, half
-    hashes, identifiers, numbers, slugs and placeholders), its next words.
+    The test tables hold no labelled findings, so each of ``n`` labelled
+    documents, in hash order, gives one: its first words, a snippet (half of
+    them credentials, half hashes, identifiers, numbers, slugs and
+    placeholders), its next words. The ``n`` ids are broadcast (8 bytes each).
     """
-    d = docs.join(labels.select("doc_id").distinct(), "doc_id").select("doc_id", "source", "text")
+    ids = labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    d = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "source", "text")
     d = d.withColumn("w", F.slice(words_of(F.substring("text", 1, 2000)), 1, 40))
     salt = lambda k: F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string"))
     sha1, sha256 = F.sha1(salt(1)), F.sha2(salt(2), 256)
