@@ -258,7 +258,6 @@ def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float
     else:
         par = per.select(facet, "n", "bw", (F.col("__min") - cut * F.col("bw")).alias("g_lo"),
                          ((F.col("__max") - F.col("__min") + 2 * cut * F.col("bw")) / (grid - 1)).alias("g_step"))
-    par = cut_lineage(par)    # one row per facet, read by both joins below
     j = join_null_safe(rows.select(facet, x, "__c"), par, [facet], broadcast_right=bounded_facets)
     pos = (v - F.col("g_lo")) / F.col("g_step")
     left = F.floor(pos).cast("int")
@@ -294,10 +293,10 @@ _PROFILE_TYPES = {"double": "numeric", "float": "numeric", "byte": "numeric", "s
                   "decimal": "numeric", "string": "character", "boolean": "logical", "date": "date", "timestamp": "date", "timestamp_ntz": "date"}
 
 
-def _profile_rows(df: DataFrame, kind: str, **cols: Column) -> DataFrame:
-    """Profile rows of one kind: the given statistics, NULL for the others."""
+def _profile_rows(df: DataFrame, **cols: Column) -> DataFrame:
+    """Profile rows: the given statistics, NULL for the others."""
     types = dict.fromkeys(("mean", "sd", "p0", "p25", "p50", "p75", "p100"), "double") | dict.fromkeys(("first_at", "middle_at", "last_at"), "string")
-    own = {"skim_type": F.lit(kind), "skim_variable": F.col("skim_variable"), "n_missing": F.col("n_missing").cast("bigint"),
+    own = {"skim_type": F.col("kind"), "skim_variable": F.col("skim_variable"), "n_missing": F.col("n_missing").cast("bigint"),
            "complete_rate": safe_div(F.col("total") - F.col("n_missing"), "total")} | cols
     return df.select(*[own.get(c, F.lit(None)).cast(types.get(c, "bigint")).alias(c) if c not in own or c in cols else own[c].alias(c)
                        for c in PROFILE_COLUMNS])
@@ -342,33 +341,39 @@ def profile(df: DataFrame, approx: Sequence[str] = ()) -> DataFrame:
                       (F.col(f"q{i}") if c in rough else F.lit(None).cast("array<double>")).alias("q"), F.lit(c in rough).alias("rough"))
              for i, c in enumerate(of)]
     per_var = cut_lineage(first.select(F.inline(F.array(*cells))))
-    # kinds without own statistics: as they are
     here = F.col("total") - F.col("n_missing")
-    parts = [_profile_rows(per_var.where("kind = 'other'"), "other"),
-             _profile_rows(per_var.where("kind = 'logical'"), "logical", mean=safe_div("n_true", here), n_true=F.col("n_true"), n_false=here - F.col("n_true")),
-             _profile_rows(per_var.where("rough"), "numeric", mean=F.col("mean"), sd=F.col("sd"),
-                           **{p: F.get("q", i) for i, p in enumerate(("p0", "p25", "p50", "p75", "p100"))})]
+    quartiles = ("p0", "p25", "p50", "p75", "p100")
+    # logical columns, roughly profiled ones and kinds without statistics
+    parts = []
+    if any(k in ("logical", "other") for k in of.values()) or rough:
+        plain = per_var.where(F.col("kind").isin("logical", "other") | F.col("rough"))
+        parts.append(_profile_rows(plain, mean=F.coalesce("mean", safe_div("n_true", here)), sd=F.col("sd"), n_true=F.col("n_true"),
+                                   n_false=here - F.col("n_true"), **{p: F.get("q", i) for i, p in enumerate(quartiles)}))
     exact = [c for c in of if of[c] in ("numeric", "date") and c not in rough]
     text = [c for c in of if of[c] == "character"]
     if exact:
         long = very_wide_to_long(df.select(*[number(c).alias(c) for c in exact]), [], exact, var, "v")
         dist = long.where(F.col("v").isNotNull()).groupBy(var, "v").agg(F.count(F.lit(1)).alias("c"))
         rows = cumulative_by_group(dist, [var], "v", F.col("c"), bounded_groups=True, distinct=True)
-        q = quantiles_from_cumulative(rows, [var], "v", [0, .25, .5, .75, 1], ["p0", "p25", "p50", "p75", "p100"])
-        middle = rows.groupBy(var).agg(F.min(F.when(F.col("__cum") >= F.ceil(F.col("__n") / 2), F.col("v"))).alias("middle"),
-                                       F.count(F.lit(1)).alias("n_unique"), (F.sum(F.col("__c") * F.col("v")) / F.sum("__c")).alias("mean"))
-        away = rows.join(F.broadcast(middle.select(var, "mean")), var)
-        away = away.groupBy(var).agg(F.sqrt(F.try_divide(F.sum(F.col("__c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))),
-                                                         (F.max("__n") - 1).cast("double"))).alias("sd"))
-        stats = q.drop("n").join(F.broadcast(middle), var).join(F.broadcast(away), var)
-        s = per_var.drop("mean", "sd", "q").where("not rough").join(F.broadcast(stats), var, "left")
-        quartiles = {p: F.col(p) for p in ("p0", "p25", "p50", "p75", "p100")}
-        parts.append(_profile_rows(s.where("kind = 'numeric'"), "numeric", mean=F.col("mean"), sd=F.col("sd"), **quartiles))
+        n = F.col("__n").cast("double")
+        at = {p: (n - 1) * q + 1 for p, q in zip(quartiles, (0, .25, .5, .75, 1))}
+        reach = lambda h: F.min(F.when(F.col("__cum") >= h, F.col("v")))
+        stats = rows.groupBy(var).agg(
+            F.max("__n").alias("__n"), F.count(F.lit(1)).alias("n_unique"), (F.sum(F.col("__c") * F.col("v")) / F.sum("__c")).alias("mean"),
+            reach(F.ceil(F.col("__n") / 2)).alias("middle"),
+            *[x for p, h in at.items() for x in (reach(F.floor(h)).alias(f"lo_{p}"), reach(F.ceil(h)).alias(f"hi_{p}"))])
+        off = F.col("v") - F.col("mean")
+        away = rows.join(F.broadcast(stats.select(var, "mean")), var).groupBy(var).agg(
+            F.sqrt(F.try_divide(F.sum(F.col("__c") * off * off), (F.max("__n") - 1).cast("double"))).alias("sd"))
+        s = per_var.drop("mean", "sd").where(F.col("kind").isin("numeric", "date") & ~F.col("rough"))
+        s = s.join(F.broadcast(stats), var, "left").join(F.broadcast(away), var, "left")
+        number_, date_ = (lambda c: F.when(F.col("kind") == "numeric", c)), (lambda c: F.when(F.col("kind") == "date", c))
         days = F.col(var).isin([c for c in exact if df.schema[c].dataType.typeName() == "date"])
-        shown = lambda c: F.when(days, F.date_from_unix_date(F.col(c).cast("int")).cast("string")).otherwise(
-            F.date_format(F.timestamp_micros(F.col(c).cast("bigint")), "yyyy-MM-dd HH:mm:ss"))
-        parts.append(_profile_rows(s.where("kind = 'date'"), "date", n_unique=F.coalesce("n_unique", F.lit(0)),
-                                   first_at=shown("p0"), middle_at=shown("middle"), last_at=shown("p100")))
+        shown = lambda c: date_(F.when(days, F.date_from_unix_date(F.col(c).cast("int")).cast("string")).otherwise(
+            F.date_format(F.timestamp_micros(F.col(c).cast("bigint")), "yyyy-MM-dd HH:mm:ss")))
+        between = {p: number_(F.col(f"lo_{p}") + (h - F.floor(h)) * (F.col(f"hi_{p}") - F.col(f"lo_{p}"))) for p, h in at.items()}
+        parts.append(_profile_rows(s, mean=number_(F.col("mean")), sd=number_(F.col("sd")), n_unique=date_(F.coalesce("n_unique", F.lit(0))),
+                                   first_at=shown("lo_p0"), middle_at=shown("middle"), last_at=shown("hi_p100"), **between))
     if text:
         long = to_long(df.select(*[col(c) for c in text]), [], text, var, "s")
         values = long.where(F.col("s").isNotNull()).groupBy(var, "s").agg(F.count(F.lit(1)).alias("c"))
@@ -378,7 +383,7 @@ def profile(df: DataFrame, approx: Sequence[str] = ()) -> DataFrame:
             F.sum(F.when(F.col("s").rlike("^[ \\t\\n\\r\\f]+$"), F.col("c")).otherwise(0)).alias("n_whitespace"))
         s = per_var.where("kind = 'character'").drop("n_true").join(F.broadcast(t), var, "left")
         zero = lambda c: F.coalesce(c, F.lit(0))
-        parts.append(_profile_rows(s, "character", n_unique=zero("n_unique"), min_len=F.col("min_len"), max_len=F.col("max_len"),
+        parts.append(_profile_rows(s, n_unique=zero("n_unique"), min_len=F.col("min_len"), max_len=F.col("max_len"),
                                    n_empty=zero("n_empty"), n_whitespace=zero("n_whitespace")))
     out = parts[0]
     for p in parts[1:]:
