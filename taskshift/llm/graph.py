@@ -23,17 +23,13 @@ def _stars(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``links`` (a, b), for every id with a link.
 
-    Steps repeat until the table stands still (a logarithmic number for
-    chains, two for stars). Each is a plain aggregate and join, so a vertex
+    Steps repeat until all links are stars around their smallest id (a
+    logarithmic number for chains). Each is a plain aggregate and join, so a vertex
     with very many links is combined before the shuffle and split by AQE.
     """
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    links, before = materialize(links, "links"), None
-    while True:
-        mark = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        links, before = materialize(_stars(links), "stars"), mark
-    # standing still, every link leads to the smallest id of its component
+    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    # done when every link leads straight to a root: no end is a start, no start has two ends
+    while not links.join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() or links.count() > links.select("a").distinct().count():
+        links = materialize(_stars(links), "stars")
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -13,7 +13,7 @@ prefix, and its depth adapts to how crowded it is:
   crowd of near copies) and a few picked by hash;
 * what a crowded full-depth region still holds apart after that (classes
   outside its main component) is compared with all its classes, block by
-  block, by signature; the likely ones become candidates.
+  block: by signature, and then on the full sets in the same task.
 
 Candidates are confirmed on the full sets (``100 * both >= percent *
 either``). The pairs most often proposed are confirmed first; later ones only
@@ -36,11 +36,11 @@ returned; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +50,12 @@ from taskshift.llm.graph import components
 TREES, DEPTH = 12, 8
 LEVELS = (4, 6, 8)
 SMALL = 24
-HASH_PIVOTS = 2
-BLOCK = 512
+HASH_PIVOTS = 1
+BLOCK = 256
 #: Signature agreement (of TREES * DEPTH places) from which a pair of a crowded region is confirmed on full sets: about four standard errors under the threshold.
 SLACK = 4.0
 WORDS_KEPT = 400_000
+SETS_AT_ONCE = 256
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -120,15 +121,64 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, sig binary")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and the compressed text, so that less is shuffled to pick the documents with candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch, texts in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t) for t in texts], pa.binary())], names=["doc_id", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, packed binary")
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """id and the full set (sorted 64-bit hashes) of each document."""
+    """id, full set (sorted 64-bit hashes) and signature of each packed document with a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch, texts in text_batches(batches, 1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, hashes, width).tobytes() for t in texts], pa.binary())], names=["id", "set"])
+        open_ = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for start in range(0, len(whole), SETS_AT_ONCE):
+                batch = whole.slice(start, SETS_AT_ONCE)
+                sets = [shingles(open_.decompress(t), hashes, width) for t in batch.column(1).to_pylist()]
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if full:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array([sets[i].tobytes() for i in full], pa.binary()),
+                                                      pa.array(signatures([sets[i] for i in full]), pa.binary())], names=["id", "set", "sig"])
+
+    return docs.select(F.col("doc_id").alias("id"), "packed").mapInArrow(run, "id bigint, set binary, sig binary")
 
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id bigint, set binary")
+
+def least_agreement(percent: int) -> float:
+    """Places in which the signatures of a pair at the threshold agree at least, but for chance of ``SLACK`` standard errors."""
+    j = percent / 100
+    return (j - SLACK * (j * (1 - j) / (TREES * DEPTH)) ** 0.5) * TREES * DEPTH
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures agree enough to be worth fetching their full sets."""
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u4").reshape(-1, TREES * DEPTH) for c in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least, pa.bool_()))
+
+    x = sets.select(F.col("id").alias("a"), F.col("sig").alias("xa"))
+    y = sets.select(F.col("id").alias("b"), F.col("sig").alias("xb"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+
+
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    if 100 * len(p) < percent * len(q):
+        return False
+    at = np.searchsorted(q, p)
+    both = int(np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p))
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,14 +188,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                both = 0
-                if 100 * len(p) >= percent * len(q):
-                    at = np.searchsorted(q, p)
-                    both = int(np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                keep.append(alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
@@ -159,108 +202,110 @@ def _prefix(depth: int):
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """(id, tree, label, score) for every class and tree in which it shares a prefix of the least depth.
-
-    ``score`` counts, over all trees, the classes that share the full label.
-    """
+    """(id, tree, label, n) for every class and tree in which n > 1 classes share its prefix of the least depth."""
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
         t.cast("tinyint").alias("tree"), F.substring(F.col("sig"), t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("label")))
     rows = classes.select("id", F.explode(trees).alias("x")).select("id", "x.tree", "x.label").withColumn("at", _prefix(LEVELS[0]))
-    shared = rows.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at")
-    rows = materialize(rows.join(shared, "at").drop("at"), "lsh-regions")
-    full = rows.groupBy(_prefix(DEPTH).alias("at")).agg(F.count("*").alias("n"))
-    score = rows.withColumn("at", _prefix(DEPTH)).join(full, "at").groupBy("id").agg(F.sum("n").alias("score"))
-    return materialize(rows.join(score, "id"), "lsh-scored")
-
-
-def candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pivot pairs, pairs of small regions, and the crowded full-depth regions (at, n, pivot)."""
-    met, close, rest = [], [], rows
-    for depth in LEVELS:
-        r = rest.withColumn("at", _prefix(depth))
-        hashed = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"].alias(f"p{k + 1}") for k in range(HASH_PIVOTS)]
-        about = r.groupBy("at").agg(F.count("*").alias("n"), (-F.max(F.struct("score", (-F.col("id")).alias("m")))["m"]).alias("p0"), *hashed)
-        about = about.where("n > 1")
-        r = r.join(about, "at")
-        pivots = F.array_distinct(F.array(*[F.col(f"p{k}") for k in range(HASH_PIVOTS + 1)]))
-        met.append(r.where(F.col("n") > SMALL).select("id", F.explode(pivots).alias("p")).where("id <> p"))
-        small = r.where(F.col("n") <= SMALL).groupBy("at").agg(F.collect_list("id").alias("ids"))
-        small = small.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a > b")
-        close.append(small)
-        crowded = about.where(F.col("n") > SMALL).select("at", "n", F.col("p0").alias("pivot"))
-        rest = r.where(F.col("n") > SMALL).select(*rows.columns)
-    every = [d.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")) for d in met] + close
-    return reduce(DataFrame.unionAll, every).groupBy("a", "b").agg(F.count("*").alias("times")), rest, crowded
-
-
-def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    c = F.coalesce
-    x = found.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").where(c("ca", "a") != c("cb", "b")).select("a", "b")
-
-
-def crowd_pairs(rest: DataFrame, crowded: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs that crowded full-depth regions still hold apart, compared by signature block by block."""
-    j = percent / 100
-    least = (j - SLACK * (j * (1 - j) / (TREES * DEPTH)) ** 0.5) * TREES * DEPTH
-    member = rest.withColumn("at", _prefix(DEPTH)).select("id", "at").join(found, "id", "left")
-    member = member.withColumn("component", F.coalesce("component", "id"))
-    main = found.select(F.col("id").alias("pivot"), F.col("component").alias("main"))
-    where = crowded.join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-    member = member.join(where.select("at", "n", "main"), "at")
+    return rows.join(rows.groupBy("at").agg(F.count("*").alias("n")).where("n > 1"), "at").drop("at")
+
+
+def crowds(rows: DataFrame) -> DataFrame:
+    """(id, level, at, n, score) of the classes of crowded regions on every level.
+
+    ``score`` adds up, over all trees, how many share the class's full label.
+    """
+    levels = F.array(*[F.struct(F.lit(d).alias("level"), _prefix(d).alias("at")) for d in LEVELS])
+    r = rows.where(F.col("n") > SMALL).select("id", F.explode(levels).alias("x")).select("id", "x.level", "x.at")
+    r = r.join(r.groupBy("at").agg(F.count("*").alias("n")), "at")
+    score = r.where(F.col("level") == DEPTH).groupBy("id").agg(F.sum("n").alias("score"))
+    return r.join(score, "id")
+
+
+def candidates(rows: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(a, b, times): pairs of small regions, and of the classes of crowded ones with their pivots."""
+    hashed = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"].alias(f"p{k + 1}") for k in range(HASH_PIVOTS)]
+    pivots = crowd.where(F.col("n") > SMALL).groupBy("at").agg((-F.max(F.struct("score", (-F.col("id")).alias("m")))["m"]).alias("p0"), *hashed)
+    pivots = pivots.select("at", F.array_distinct(F.array(*[F.col(f"p{k}") for k in range(HASH_PIVOTS + 1)])).alias("ps"))
+    met = crowd.join(pivots, "at").select("id", F.explode("ps").alias("p")).where("id <> p")
+    small = rows.where(F.col("n") <= SMALL).select(_prefix(LEVELS[0]).alias("at"), "id").unionByName(
+        crowd.where((F.col("n") > 1) & (F.col("n") <= SMALL)).select("at", "id"))
+    small = small.groupBy("at").agg(F.collect_list("id").alias("ids"))
+    close = small.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a > b")
+    every = met.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).unionByName(close)
+    return every.groupBy("a", "b").agg(F.count("*").alias("times"))
+
+
+def hung(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose ends do not hang on one class after two steps along ``links`` (one link per ``a``)."""
+    up = links.groupBy("a").agg(F.min("b").alias("b"))
+    over = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    up = materialize(up.join(over, "b", "left").select("a", F.coalesce("c", "b").alias("root")), "lsh-roots")
+    x, y = up.select("a", F.col("root").alias("ra")), up.select(F.col("a").alias("b"), F.col("root").alias("rb"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def crowd_links(crowd: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links that crowded full-depth regions still hide: their classes outside
+    the main component against all of them, block by block. Signatures pick the
+    pairs, full sets confirm them in place, and only links leave the task, one
+    per class and component."""
+    least = least_agreement(percent)
+    member = crowd.where((F.col("level") == DEPTH) & (F.col("n") > SMALL)).join(found, "id", "left")
+    member = member.select("at", "id", "n", F.coalesce("component", "id").alias("component"))
+    sizes = member.groupBy("at", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("at").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    member = member.join(main.select("at", "main"), "at")
     lone = member.where(F.col("component") != F.col("main"))
     alone = lone.groupBy("at").agg(F.count("*").alias("n_lone"))
     blocks, lone_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("n_lone") / BLOCK).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    sig = classes.select("id", "sig")
-    x = lone.join(alone, "at").select("at", own(lone_blocks).alias("p"), every(blocks).alias("q"), "id", "component").join(sig, "id")
-    y = member.join(alone, "at").select("at", every(lone_blocks).alias("p"), own(blocks).alias("q"), "id", "component").join(sig, "id")
-    names = ["at", "p", "q", "id", "component", "sig"]
+    x = lone.join(alone, "at").select("at", own(lone_blocks).alias("p"), every(blocks).alias("q"), "id", "component").join(sets, "id")
+    y = member.join(alone, "at").select("at", every(lone_blocks).alias("p"), own(blocks).alias("q"), "id", "component").join(sets, "id")
+    names = ["at", "p", "q", "id", "component", "sig", "set"]
     x, y = x.select(*names).toDF(*[f"x_{c}" for c in names]), y.select(*names).toDF(*[f"y_{c}" for c in names])
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        read = lambda t: (np.array(t[3]), np.array(t[4]), np.frombuffer(b"".join(t[5].to_pylist()), ">u4").reshape(-1, TREES * DEPTH))
-        out_a, out_b = [], []
+        read = lambda t: (np.array(t[3]), np.array(t[4]), np.frombuffer(b"".join(t[5].to_pylist()), ">u4").reshape(-1, TREES * DEPTH), t[6])
+        out = []
         if len(x) and len(y):
-            (xi, xc, xs), (yi, yc, ys) = read(x), read(y)
+            (xi, xc, xs, xf), (yi, yc, ys, yf) = read(x), read(y)
             for k in range(len(xi)):
-                hit = ((ys == xs[k]).sum(axis=1) >= least) & (yc != xc[k])
-                out_b.append(yi[hit])
-                out_a.append(np.full(len(out_b[-1]), xi[k]))
-        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (out_a, out_b))
-        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+                linked, mine = set(), None
+                for m in np.flatnonzero(((ys == xs[k]).sum(axis=1) >= least) & (yc != xc[k])).tolist():
+                    if yc[m] not in linked:
+                        mine = np.frombuffer(xf[k].as_py(), np.uint64) if mine is None else mine
+                        if alike(mine, np.frombuffer(yf[m].as_py(), np.uint64), percent):
+                            linked.add(yc[m])
+                            out.append((int(xi[k]), int(yi[m])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    pairs = x.groupBy("x_at", "x_p", "x_q").cogroup(y.groupBy("y_at", "y_p", "y_q")).applyInArrow(run, "a bigint, b bigint")
-    return pairs.distinct()
+    return x.groupBy("x_at", "x_p", "x_q").cogroup(y.groupBy("y_at", "y_p", "y_q")).applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     feats = materialize(signed(docs, width), "lsh-signed")
     keyed = feats.where("key is not null and doc_id is not null")
-    classes = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-    classes = materialize(classes.select("key", F.col("m.doc_id").alias("id"), "m.sig"), "lsh-classes")
-    rows = regions(classes)
-    pairs, rest, crowded = candidates(rows)
-    pairs = materialize(pairs, "lsh-pairs")
+    classes = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select(F.col("m.doc_id").alias("id"), "m.sig")
+    rows = materialize(regions(classes), "lsh-regions")
+    crowd = materialize(crowds(rows), "lsh-crowds")
+    pairs = materialize(candidates(rows, crowd), "lsh-pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    reps = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("need"), "left_semi")
+    reps = packed(docs).join(need, F.col("doc_id") == F.col("need"), "left_semi")
     # repeated rows of a doc_id with different texts: one of them stands for the id
-    sets = materialize(shingle_sets(reps, width).groupBy("id").agg(F.min("set").alias("set")), "lsh-sets")
-    # the partner that most trees and levels propose, for each class
+    sets = materialize(shingle_sets(reps.groupBy("doc_id").agg(F.min("packed").alias("packed")), width), "lsh-sets")
+    # first the partner that most trees and levels propose for each class, then what that leaves apart
     best = pairs.groupBy(F.col("a").alias("x")).agg(F.max(F.struct("times", (-F.col("b")).alias("m"))).alias("m"))
     first = best.select(F.col("x").alias("a"), (-F.col("m.m")).alias("b"))
     links = materialize(confirmed(first, sets, percent), "lsh-links")
+    rest = hung(links, pairs.join(first, ["a", "b"], "left_anti"))
+    links = links.union(materialize(confirmed(likely(rest, sets, percent), sets, percent), "lsh-links"))
     found = materialize(components(links), "lsh-found")
-    more = confirmed(apart(pairs.join(first, ["a", "b"], "left_anti"), found), sets, percent)
-    links = materialize(links.union(more), "lsh-links")
-    found = materialize(components(links), "lsh-found")
-    lone = crowd_pairs(rest, crowded, classes, found, percent)
-    links = links.union(confirmed(apart(materialize(lone, "lsh-lone"), found), sets, percent))
-    found = components(links)
-    named = classes.select("key", "id").join(found, "id", "left").select("key", F.coalesce("component", "id").alias("c"))
+    late = materialize(crowd_links(crowd, sets, found, percent), "lsh-late")
+    if not late.isEmpty():
+        found = components(links.union(late))
+    ids = keyed.groupBy("key").agg(F.min("doc_id").alias("id"))
+    named = ids.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("c"))
     out = feats.join(named, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
