@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from taskshift.llm import cotraining, secret_scan, source_mix, tool_calls
-from taskshift.llm.common import read
+from taskshift.llm.common import materialize, read
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 
@@ -224,7 +224,6 @@ def test_pipeline_stages_by_brute_force(spark, sf):
 
     from test_dedup_ops import near_groups
     from taskshift.llm import quality_rules
-    from taskshift.llm.common import materialize
     docs = read(spark, sf, "documents")
     inputs, outs = [], []
     for _, stage in corpus_pipeline.STAGES:
@@ -263,7 +262,7 @@ def test_pipeline_on_odd_documents(make_docs, edge_texts, spark, sf):
     docs = make_docs(edge_texts + edge_texts[:3], ids=[*range(len(edge_texts)), None, 5, 5], extra="row kept words")
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf)
+        docs = materialize(stage(spark, docs, sf), "odd")
         assert stage(spark, empty, sf).count() == 0
         assert docs.count() > 0
         if "text" not in docs.columns:
