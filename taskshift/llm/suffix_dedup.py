@@ -4,8 +4,8 @@ Suffixes are compared by prefix polynomial hashes: the hash of any substring
 is a difference of two prefix hashes, and binary search over its length finds
 the common extension of two suffixes, so a comparison takes a logarithmic
 number of steps. ``suffix_order`` is a bottom-up mergesort with that
-comparison (vectorised; the first sixteen bytes are sorted as numbers);
-neighbours that agree by hash over the whole length are verified byte by byte.
+comparison (vectorised; the first 24 bytes are sorted as numbers). Suffixes
+that agree by hash over the whole length are verified byte by byte.
 
 Not every suffix is sorted in one place. Each window of ``length`` bytes has
 a least hash among its ``ANCHOR``-byte substrings; equal windows have equal
@@ -47,11 +47,14 @@ from taskshift.llm.common import materialize, text_batches
 
 LENGTH = 50
 ANCHOR = 16
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
+#: Buckets at least, so that small inputs are spread too.
+MIN_BUCKETS = 32
 RUN_BYTES = 1 << 20
-#: Text whose shared strings one task holds before it sends them.
-HELD_BYTES = 16 << 20
-WINDOWS_AT_ONCE = 1 << 20
+#: Text whose run hashes, or shared strings, one task holds before it sends them.
+HASHED_BYTES = 24 << 20
+HELD_BYTES = 6 << 20
+WINDOWS_AT_ONCE = 1 << 18
 
 _U = np.uint64
 _SIGN = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -116,13 +119,40 @@ def eight_bytes(data: np.ndarray) -> np.ndarray:
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts`` by their first ``length`` bytes, and which equals the one before it.
 
-    ``length`` is at least 16, and every suffix has as many bytes.
+    Suffixes whose hashes agree over the whole length, verified byte by byte,
+    are sorted as one. ``length`` is at least 24, and every suffix has as many
+    bytes.
     """
     n = len(starts)
     hashes, head = PrefixHashes(data), eight_bytes(data)
-    order = np.lexsort((head[starts + 8], head[starts]))
-    at = starts[order]
-    full = hashes.of(at, length)
+    full = hashes.of(starts, length)
+    by_hash = np.argsort(full, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = full[by_hash[1:]] != full[by_hash[:-1]]
+    first, group = by_hash[new], np.empty(n, np.int64)
+    group[by_hash] = np.cumsum(new) - 1
+    one, equal = starts[first][group], np.ones(n, bool)
+    for k in [*range(0, length - 7, 8), length - 8]:
+        equal &= head[starts + k] == head[one + k]
+    if equal.all():
+        rank = np.empty(len(first), np.int64)
+        rank[_merge_sort(data, starts[first], full[first], hashes, head, length)] = np.arange(len(first))
+        rank = rank[group]
+    else:                                      # a collision: rank by the bytes themselves
+        strings = [data[s:s + length].tobytes() for s in starts]
+        ranks = {s: k for k, s in enumerate(sorted(set(strings)))}
+        rank = np.array([ranks[s] for s in strings], np.int64)
+    order = np.argsort(rank, kind="stable")
+    same = np.zeros(n, bool)
+    same[1:] = rank[order[1:]] == rank[order[:-1]]
+    return order, same
+
+
+def _merge_sort(data: np.ndarray, starts: np.ndarray, full: np.ndarray, hashes: PrefixHashes, head: np.ndarray, length: int) -> np.ndarray:
+    """Order of different suffixes: by their first 24 bytes as numbers, ties by bottom-up mergesort over common extensions."""
+    n = len(starts)
+    order = np.lexsort((head[starts + 16], head[starts + 8], head[starts]))
+    at, full = starts[order], full[order]
 
     def before(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """-1, 0, 1: suffix x (positions in ``at``) against y."""
@@ -135,7 +165,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
         return out
 
     new = np.ones(n, bool)
-    new[1:] = (head[at[1:]] != head[at[:-1]]) | (head[at[1:] + 8] != head[at[:-1] + 8])
+    new[1:] = (head[at[1:]] != head[at[:-1]]) | (head[at[1:] + 8] != head[at[:-1] + 8]) | (head[at[1:] + 16] != head[at[:-1] + 16])
     first = np.flatnonzero(new)
     sizes = np.diff(np.append(first, n))
     base, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
@@ -161,18 +191,7 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
         merged = place.copy()
         merged[base[r] + (own // 2) * 2 * run + offset % run + (low - start)] = me
         place, run = merged, run * 2
-    order, at, full = order[place], at[place], full[place]
-    same = np.zeros(n, bool)
-    same[1:] = full[1:] == full[:-1]
-    check = np.flatnonzero(same)
-    equal = np.ones(len(check), bool)
-    for k in [*range(0, length - 7, 8), length - 8]:
-        equal &= head[at[check] + k] == head[at[check - 1] + k]
-    if not equal.all():                        # a collision: order by the bytes themselves
-        strings = [data[s:s + length].tobytes() for s in starts]
-        order = np.array(sorted(range(n), key=strings.__getitem__), np.int64)
-        same = np.array([k > 0 and strings[order[k]] == strings[order[k - 1]] for k in range(n)], bool)
-    return order, same
+    return order[place]
 
 
 class Runs:
@@ -223,15 +242,25 @@ def run_hashes(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
         def send() -> pa.RecordBatch:
             h, d, t = (np.concatenate([x[k] for x in held]) for k in range(3))
-            order = np.lexsort((d, t, h))
+            order = np.argsort(h)
             h, d, t = h[order], d[order], t[order]
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-            h, d, t = h[first], d[first], t[first]
             new = np.ones(len(h), bool)
             new[1:] = h[1:] != h[:-1]
+            lone = new & np.append(new[1:], True)
+            # only hashes that occur more than once need the other columns in order
+            several = np.flatnonzero(~lone)
+            several = several[np.lexsort((d[several], t[several], h[several]))]
+            sh, sd, st = h[several], d[several], t[several]
+            first = np.ones(len(sh), bool)
+            first[1:] = (sh[1:] != sh[:-1]) | (st[1:] != st[:-1])
+            sh, sd, st = sh[first], sd[first], st[first]
+            new = np.ones(len(sh), bool)
+            new[1:] = sh[1:] != sh[:-1]
             group = np.cumsum(new) - 1
             many = np.bincount(group, minlength=1)[group] > 1
+            h, d, t = (np.concatenate([x[lone], y]) for x, y in ((h, sh), (d, sd), (t, st)))
+            many = np.concatenate([np.zeros(len(h) - len(sh), bool), many])
+            new = np.concatenate([np.ones(len(h) - len(sh), bool), new])
             rows = []
             by = np.lexsort((d[many], t[many]))
             mh, md, mt = h[many][by], d[many][by], t[many][by]
@@ -264,7 +293,7 @@ def run_hashes(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             if len(r.hash):
                 held.append((r.hash, d[r.text], t[r.text]))
             size += len(r.data)
-            if size >= 2 * HELD_BYTES and held:
+            if size >= HASHED_BYTES and held:
                 yield send()
                 size = 0
         if held:
@@ -474,7 +503,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     ids = materialize(body.select("doc_id", "tid", F.md5("text").alias("sum"), F.octet_length("text").alias("size")), "suffix-ids")
     total = ids.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    buckets = max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
     first = ids.groupBy("sum", "size").agg(F.min("doc_id").alias("rep"))
     ranked = ids.join(first, ["sum", "size"])
     reps = ranked.where("doc_id = rep").select("doc_id", "tid").distinct()
