@@ -21,7 +21,7 @@ Texts are normalised and split as the tokenizer file says (NFC, runs of
 white space to one space, lower case; contractions, letter runs, single
 numerals, runs of other signs), with the special tokens' strings cut out
 first. Work is per document inside Arrow batches: nothing is shuffled,
-memory is bounded by one text and two tables of ``WORDS_KEPT`` entries.
+memory is bounded by one text and tables of fixed numbers of entries.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
 string; rows are independent, so repeated rows, ties and extra columns do
@@ -45,9 +45,10 @@ from pyspark.sql import functions as F
 
 from taskshift.llm.common import text_batches
 
-WORDS_KEPT = 250_000
+#: Entries of the two word tables; most words that a run misses are new themselves.
+RUNS_KEPT, WORDS_KEPT = 300_000, 50_000
 LONGEST_KEPT = 64
-TABLE_KEPT = 1_000_000
+TABLE_KEPT = 250_000
 
 _SPACE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -185,13 +186,15 @@ class MergeAutomaton:
 class Table(dict):
     """A bounded table that fills itself; long keys are not kept."""
 
+    most = WORDS_KEPT
+
     def made(self, key: str) -> tuple[bytes, str]:
         raise NotImplementedError
 
     def __missing__(self, key: str) -> tuple[bytes, str]:
         out = self.made(key)
         if len(key) <= LONGEST_KEPT:
-            if len(self) >= WORDS_KEPT:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = out
         return out
@@ -204,7 +207,8 @@ class Words(Table):
         self.automaton, self.signs = automaton, byte_symbols()
 
     def made(self, word: str) -> tuple[bytes, str]:
-        ids = self.automaton.encode("".join([self.signs[b] for b in word.encode()]))
+        plain = word.isascii() and word.isprintable()      # such bytes stand for themselves
+        ids = self.automaton.encode(word if plain else "".join([self.signs[b] for b in word.encode()]))
         return b"".join([self.automaton.id_bytes[i] for i in ids]), " ".join([self.automaton.label[i] for i in ids])
 
 
@@ -215,6 +219,8 @@ class Runs(Table):
     runs can be normalised one by one.
     """
 
+    most = RUNS_KEPT
+
     def __init__(self, words: Words):
         self.words = words
 
