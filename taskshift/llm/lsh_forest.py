@@ -7,13 +7,17 @@ label, the classes that share a prefix stand together; a region is a shared
 prefix, and its depth adapts to how crowded it is:
 
 * a region of up to ``SMALL`` classes has all its pairs as candidates;
-* a larger one is descended (``LEVELS``), so that its neighbours with longer
+* a larger one is descended (``levels``), so that its neighbours with longer
   common prefixes are compared, and on every level its classes meet its
   pivots: the class with most company at full depth (the likely origin of a
   crowd of near copies) and a few picked by hash;
-* what a crowded full-depth region still holds apart after that (classes
-  outside its main component) is compared with all its classes, block by
-  block: by signature, and then on the full sets in the same task.
+* what a crowded region of the least depth, which holds the deeper ones, still
+  keeps apart after that (classes outside its main component) is compared with
+  all its classes, block by block: by one byte of each min-hash, and what is
+  left by it on signatures and full sets in one task.
+
+The least depth is the largest of up to four at which a pair at the threshold
+shares no prefix in any tree with a probability of at most ``MISSED``.
 
 Candidates are confirmed on the full sets (``100 * both >= percent *
 either``). The pairs most often proposed are confirmed first; later ones only
@@ -23,7 +27,9 @@ reachable.
 Scale: documents are reduced to a signature row each; texts are read again
 only for classes with candidates, and one shuffle of texts picks those.
 Regions are counted before they are gathered, only ``SMALL`` ones are
-gathered, and joins with a crowded side are plain joins that AQE splits.
+gathered, and joins with a crowded side are plain joins that AQE splits. The
+blocks of a crowd whose classes are not alike grow with the square of its size;
+each is a task's bounded unit of work.
 Nothing goes through the driver but counts.
 
 Defined results: a null or empty text, or one without words, has no shingles,
@@ -48,7 +54,7 @@ from taskshift.llm.common import materialize, text_batches
 from taskshift.llm.graph import components
 
 TREES, DEPTH = 12, 8
-LEVELS = (4, 6, 8)
+MISSED = 2e-4
 SMALL = 24
 HASH_PIVOTS = 1
 BLOCK = 256
@@ -197,37 +203,43 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def levels(percent: int) -> tuple[int, ...]:
+    """Depths at which regions are formed: the least one, then in steps of two to the full one."""
+    least = max([1, *(d for d in range(1, 5) if (1 - (percent / 100) ** d) ** TREES <= MISSED)])
+    return (*range(least, DEPTH, 2), DEPTH)
+
+
 def _prefix(depth: int):
     return F.xxhash64("tree", F.substring("label", 1, 4 * depth))
 
 
-def regions(classes: DataFrame) -> DataFrame:
+def regions(classes: DataFrame, least: int) -> DataFrame:
     """(id, tree, label, n) for every class and tree in which n > 1 classes share its prefix of the least depth."""
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
         t.cast("tinyint").alias("tree"), F.substring(F.col("sig"), t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("label")))
-    rows = classes.select("id", F.explode(trees).alias("x")).select("id", "x.tree", "x.label").withColumn("at", _prefix(LEVELS[0]))
+    rows = classes.select("id", F.explode(trees).alias("x")).select("id", "x.tree", "x.label").withColumn("at", _prefix(least))
     return rows.join(rows.groupBy("at").agg(F.count("*").alias("n")).where("n > 1"), "at").drop("at")
 
 
-def crowds(rows: DataFrame) -> DataFrame:
+def crowds(rows: DataFrame, depths: tuple[int, ...]) -> DataFrame:
     """(id, level, at, n, score) of the classes of crowded regions on every level.
 
     ``score`` adds up, over all trees, how many share the class's full label.
     """
-    levels = F.array(*[F.struct(F.lit(d).alias("level"), _prefix(d).alias("at")) for d in LEVELS])
-    r = rows.where(F.col("n") > SMALL).select("id", F.explode(levels).alias("x")).select("id", "x.level", "x.at")
+    every = F.array(*[F.struct(F.lit(d).alias("level"), _prefix(d).alias("at")) for d in depths])
+    r = rows.where(F.col("n") > SMALL).select("id", F.explode(every).alias("x")).select("id", "x.level", "x.at")
     r = r.join(r.groupBy("at").agg(F.count("*").alias("n")), "at")
     score = r.where(F.col("level") == DEPTH).groupBy("id").agg(F.sum("n").alias("score"))
     return r.join(score, "id")
 
 
-def candidates(rows: DataFrame, crowd: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, crowd: DataFrame, least: int) -> DataFrame:
     """(a, b, times): pairs of small regions, and of the classes of crowded ones with their pivots."""
     hashed = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"].alias(f"p{k + 1}") for k in range(HASH_PIVOTS)]
     pivots = crowd.where(F.col("n") > SMALL).groupBy("at").agg((-F.max(F.struct("score", (-F.col("id")).alias("m")))["m"]).alias("p0"), *hashed)
     pivots = pivots.select("at", F.array_distinct(F.array(*[F.col(f"p{k}") for k in range(HASH_PIVOTS + 1)])).alias("ps"))
     met = crowd.join(pivots, "at").select("id", F.explode("ps").alias("p")).where("id <> p")
-    small = rows.where(F.col("n") <= SMALL).select(_prefix(LEVELS[0]).alias("at"), "id").unionByName(
+    small = rows.where(F.col("n") <= SMALL).select(_prefix(least).alias("at"), "id").unionByName(
         crowd.where((F.col("n") > 1) & (F.col("n") <= SMALL)).select("at", "id"))
     small = small.groupBy("at").agg(F.collect_list("id").alias("ids"))
     close = small.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a > b")
@@ -244,26 +256,58 @@ def hung(links: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def crowd_links(crowd: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links that crowded full-depth regions still hide: their classes outside
-    the main component against all of them, block by block. Signatures pick the
-    pairs, full sets confirm them in place, and only links leave the task, one
-    per class and component."""
+def sketches(sets: DataFrame) -> DataFrame:
+    """id and the last byte of each min-hash: where signatures agree, sketches do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[3::4] for s in batch.column(1).to_pylist()], pa.binary())], names=["id", "sketch"])
+
+    return sets.select("id", "sig").mapInArrow(run, "id bigint, sketch binary")
+
+
+def crowd_links(crowd: DataFrame, sets: DataFrame, found: DataFrame, percent: int, least_depth: int) -> DataFrame:
+    """Links that crowded regions of the least depth still hide: their classes
+    outside the main component against all of them, block by block. Sketches
+    pick the classes of a block that may have links in it, full sets confirm
+    them in place, and only links leave the task, one per class and component."""
     least = least_agreement(percent)
-    member = crowd.where((F.col("level") == DEPTH) & (F.col("n") > SMALL)).join(found, "id", "left")
+    member = crowd.where((F.col("level") == least_depth) & (F.col("n") > SMALL)).join(found, "id", "left")
     member = member.select("at", "id", "n", F.coalesce("component", "id").alias("component"))
     sizes = member.groupBy("at", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("at").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    member = member.join(main.select("at", "main"), "at")
+    member = materialize(member.join(main.select("at", "main"), "at"), "lsh-members")
     lone = member.where(F.col("component") != F.col("main"))
     alone = lone.groupBy("at").agg(F.count("*").alias("n_lone"))
     blocks, lone_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("n_lone") / BLOCK).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    x = lone.join(alone, "at").select("at", own(lone_blocks).alias("p"), every(blocks).alias("q"), "id", "component").join(sets, "id")
-    y = member.join(alone, "at").select("at", every(lone_blocks).alias("p"), own(blocks).alias("q"), "id", "component").join(sets, "id")
-    names = ["at", "p", "q", "id", "component", "sig", "set"]
-    x, y = x.select(*names).toDF(*[f"x_{c}" for c in names]), y.select(*names).toDF(*[f"y_{c}" for c in names])
+    held = materialize(sketches(sets.join(member.select("id").distinct(), "id", "left_semi")), "lsh-sketches")
+    x = lone.join(alone, "at").join(held, "id").select("at", own(lone_blocks).alias("p"), every(blocks).alias("q"), "id", "component", "sketch")
+    y = member.join(alone, "at").join(held, "id").select("at", every(lone_blocks).alias("p"), own(blocks).alias("q"), "id", "component", "sketch")
+    spot, names = ["at", "p", "q"], ["at", "p", "q", "id", "component"]
+
+    def met(x: DataFrame, y: DataFrame, run, schema: str) -> DataFrame:
+        x, y = x.toDF(*[f"x_{c}" for c in x.columns]), y.toDF(*[f"y_{c}" for c in y.columns])
+        return x.groupBy(*[f"x_{c}" for c in spot]).cogroup(y.groupBy(*[f"y_{c}" for c in spot])).applyInArrow(run, schema)
+
+    def near(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = []
+        if len(x) and len(y):
+            xc, yc = np.array(x[4]), np.array(y[4])
+            xs, ys = (np.frombuffer(b"".join(t[5].to_pylist()), np.uint8).reshape(-1, TREES * DEPTH) for t in (x, y))
+            hits = np.zeros(len(y), bool)
+            for k in range(len(x)):
+                hit = ((ys == xs[k]).sum(axis=1) >= least) & (yc != xc[k])
+                if hit.any():
+                    hits |= hit
+                    out.append((True, k))
+            out += [(False, int(m)) for m in np.flatnonzero(hits)]
+        kept = [t.select(range(5)).rename_columns(names).take(pa.array([k for s, k in out if s == side], pa.int64())) for side, t in ((True, x), (False, y))]
+        return pa.concat_tables(kept).append_column("lone", pa.array([s for s, _ in out], pa.bool_()))
+
+    picked = materialize(met(x, y, near, "at bigint, p int, q int, id bigint, component bigint, lone boolean"), "lsh-near")
+    x, y = (picked.where(side).join(sets, "id").select(*names, "sig", "set") for side in ("lone", "not lone"))
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         read = lambda t: (np.array(t[3]), np.array(t[4]), np.frombuffer(b"".join(t[5].to_pylist()), ">u4").reshape(-1, TREES * DEPTH), t[6])
@@ -280,7 +324,7 @@ def crowd_links(crowd: DataFrame, sets: DataFrame, found: DataFrame, percent: in
                             out.append((int(xi[k]), int(yi[m])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return x.groupBy("x_at", "x_p", "x_q").cogroup(y.groupBy("y_at", "y_p", "y_q")).applyInArrow(run, "a bigint, b bigint")
+    return met(x, y, run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -288,9 +332,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     feats = materialize(signed(docs, width), "lsh-signed")
     keyed = feats.where("key is not null and doc_id is not null")
     classes = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select(F.col("m.doc_id").alias("id"), "m.sig")
-    rows = materialize(regions(classes), "lsh-regions")
-    crowd = materialize(crowds(rows), "lsh-crowds")
-    pairs = materialize(candidates(rows, crowd), "lsh-pairs")
+    depths = levels(percent)
+    rows = materialize(regions(classes, depths[0]), "lsh-regions")
+    crowd = materialize(crowds(rows, depths), "lsh-crowds")
+    pairs = materialize(candidates(rows, crowd, depths[0]), "lsh-pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
     reps = packed(docs).join(need, F.col("doc_id") == F.col("need"), "left_semi")
     # repeated rows of a doc_id with different texts: one of them stands for the id
@@ -302,7 +347,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = hung(links, pairs.join(first, ["a", "b"], "left_anti"))
     links = links.union(materialize(confirmed(likely(rest, sets, percent), sets, percent), "lsh-links"))
     found = materialize(components(links), "lsh-found")
-    late = materialize(crowd_links(crowd, sets, found, percent), "lsh-late")
+    late = materialize(crowd_links(crowd, sets, found, percent, depths[0]), "lsh-late")
     if not late.isEmpty():
         found = components(links.union(late))
     ids = keyed.groupBy("key").agg(F.min("doc_id").alias("id"))

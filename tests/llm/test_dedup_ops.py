@@ -65,6 +65,24 @@ def test_near_duplicates_by_brute_force(make_docs, near_texts):
         assert all(r["kept"] == (r["component_id"] == d) for d, r in got.items())
 
 
+def test_near_duplicates_inside_a_crowd_of_templates(make_docs, prose):
+    """Pages of one template, not alike, hold pairs that are alike only to each other; their regions are crowded on every level."""
+    frame, texts = prose(600, 250), []
+    for k in range(150):
+        own = prose(2000 + k, 45)
+        head = own.split()[:15]
+        texts += [f"{frame} {own}", f"{frame} {' '.join(head)} {prose(4000 + k, 30)}"]
+    docs = make_docs(texts)
+    want = near_groups(list(enumerate(texts)), 5, 80)
+    assert sum(c != d for d, (_, c) in want.items()) == 150
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in lsh_forest.near_duplicates(docs).collect()} == want
+
+
+def test_pairs_at_the_threshold_share_a_prefix():
+    for percent in (70, 80, 85, 95):
+        assert (1 - (percent / 100) ** lsh_forest.levels(percent)[0]) ** lsh_forest.TREES <= lsh_forest.MISSED
+
+
 def test_near_duplicates_of_odd_rows(make_docs, prose):
     a = prose(9, 50)
     docs = make_docs([a, a, a, None, prose(10, 50), a], ids=[5, 5, 2, 9, None, None])
