@@ -6,9 +6,10 @@ serialised as canonical JSON (keys in order, no spaces), one line per
 message, so that a conversation of any length is never gathered into one row.
 
 * Linking: the first row (by turn, then content) of a call identifier is the
-  call, the first row of a result identifier its result; what repeats them is
-  reported in one row each (``rows``: how many), as is a result without a
-  call.
+  call, the first row of a result identifier its result; every row that
+  repeats them is reported with its own turn and line, repeated calls checked
+  like first ones (only wholly equal rows share one; ``rows``: how many), as is
+  a result without a call.
 * Order: ``level`` 0 for calls that refer to no other call of their
   conversation, else one more than the highest level referred to, found in
   rounds, each a join of the calls still open with those just placed. Calls
@@ -19,7 +20,9 @@ message, so that a conversation of any length is never gathered into one row.
   unknown tools are reported.
 
 Scale: joins on (conv_id, call_id) keys, which are as fine as rows, so one
-huge conversation is spread like many small ones. Tools are a table joined
+huge conversation is spread like many small ones. Rows of one identifier that
+is repeated very often are told from its first by a plain join with the
+combined minimum, which AQE splits, and grouped by all their columns. Tools are a table joined
 plainly; Spark broadcasts it by its measured size.
 
 Defined results: null text counts as empty; rows with a null conversation,
@@ -96,6 +99,14 @@ def checked(calls: DataFrame, tools: DataFrame) -> DataFrame:
     return c.withColumn("errors", errors).drop("given", "__tool", "params")
 
 
+def repeats(d: DataFrame, firsts: DataFrame, cols: list[str]) -> DataFrame:
+    """The whole rows of ``d`` that repeat an identifier of ``firsts`` (its first row and ``rows``, all it has), equal ones as one with their count."""
+    key, cols = ["conv_id", "call_id"], ["turn", *cols]
+    head = firsts.where("rows > 1").select(*key, F.struct(*cols).alias("head"))
+    same = d.where("whole").join(head, key).groupBy(*key, *cols, F.struct(*cols).eqNullSafe(F.col("head")).alias("is_first")).agg(F.count("*").alias("n"))
+    return same.withColumn("rows", F.col("n") - F.col("is_first").cast("long")).where("rows > 0").drop("n", "is_first")
+
+
 def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     """Linked, ordered, checked and serialised messages.
 
@@ -117,6 +128,8 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     first = first.join(levels(c), key, "left")
     errors = F.when(F.col("level").isNull(), F.concat(F.col("errors"), F.array(F.lit("refers in a circle")))).otherwise(F.col("errors"))
     first = materialize(first.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0), "chat-first")
+    again = checked(repeats(calls, c, ["tool", "arguments", "refs"]), tools)
+    again = materialize(again.withColumn("errors", F.concat(F.array(F.lit("repeated call")), "errors")).withColumn("valid", F.lit(False)), "chat-again")
     call_line = F.to_json(F.struct(F.col("parsed").alias("arguments"), F.col("conv_id"), F.col("call_id").alias("id"),
                                    F.lit("assistant").alias("role"), F.col("tool"), F.col("valid")), {"ignoreNullFields": "false"})
     one = F.lit(1).cast("long").alias("rows")
@@ -132,15 +145,16 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     answers = r.select("conv_id", "level", "turn", "kind", "call_id", "valid",
                        F.when(F.col("valid"), none).otherwise(F.array("kind")).alias("errors"), result_line.alias("line"), one)
 
-    def reported(d: DataFrame, kind: str, why: str, rows: Column = one) -> DataFrame:
+    extra = repeats(results, r, ["content"]).join(first.select(*key, "tool"), key, "left")
+
+    def reported(d: DataFrame, kind: str, errors: Column, line: Column = F.lit(None).cast("string"), rows: Column = one) -> DataFrame:
         return d.select("conv_id", F.lit(None).cast("int").alias("level"), "turn", F.lit(kind).alias("kind"), "call_id",
-                        F.lit(False).alias("valid"), F.array(F.lit(why)).alias("errors"), F.lit(None).cast("string").alias("line"), rows)
+                        F.lit(False).alias("valid"), errors.alias("errors"), line.alias("line"), rows)
 
-    more = (F.col("rows") - 1).alias("rows")
-    return (out.unionByName(answers).unionByName(reported(c.where("rows > 1"), "repeated call", "repeated call", rows=more))
-            .unionByName(reported(r.where("rows > 1"), "extra result", "extra result", rows=more))
-            .unionByName(reported(calls.where("not whole"), "call", "null key"))
-            .unionByName(reported(results.where("not whole"), "orphan result", "null key")))
+    return (out.unionByName(answers).unionByName(reported(again, "repeated call", F.col("errors"), call_line, F.col("rows")))
+            .unionByName(reported(extra, "extra result", F.array(F.lit("extra result")), result_line, F.col("rows")))
+            .unionByName(reported(calls.where("not whole"), "call", F.array(F.lit("null key"))))
+            .unionByName(reported(results.where("not whole"), "orphan result", F.array(F.lit("null key")))))
 
 
 TOOLS = (("search", (("query", "string", True), ("limit", "integer", False))),

@@ -153,6 +153,30 @@ def test_tool_calls_by_hand(spark, monkeypatch):
     assert tool_calls.link(c.limit(0), r.limit(0), t).count() == 0
 
 
+def test_repeated_rows_keep_what_they_hold(spark):
+    """One identifier with retried calls and a result in parts, some rows wholly equal."""
+    calls = [(1, k, "a", "search", json.dumps({"query": f"q{k}"} if k % 2 else {"limit": k}), ["b"] if k == 3 else None) for k in range(1, 30)]
+    calls += [calls[4], calls[4], calls[0], (1, 50, "a", None, None, None), (1, 1, "b", "search", '{"query":"b"}', [])]
+    results = [(1, k, "a", f"part {k}") for k in range(2, 20)] + [(1, 2, "a", "part 2"), (1, 9, "a", "part 9"), (2, 1, "o", "x"), (2, 2, "o", None)]
+    c = spark.createDataFrame(calls, "conv_id bigint, turn bigint, call_id string, tool string, arguments string, refs array<string>")
+    r = spark.createDataFrame(results, "conv_id bigint, turn bigint, call_id string, content string")
+    t = spark.createDataFrame([(n, [tuple(p) for p in ps]) for n, ps in tool_calls.TOOLS], "tool string, params array<struct<name:string,type:string,required:boolean>>")
+    tools, want = {n: ps for n, ps in tool_calls.TOOLS}, []
+    for (conv, turn, call, tool, args), n in {x[:5]: sum(y[:5] == x[:5] for y in calls) for x in calls if x[2] == "a"}.items():
+        errors, parsed = check_arguments(tool, args, tools)
+        line = {"arguments": parsed, "conv_id": conv, "id": call, "role": "assistant", "tool": tool, "valid": False}
+        if n - (turn == 1):
+            want.append((turn, ["repeated call", *errors], json.dumps(line, sort_keys=True, separators=(",", ":")), n - (turn == 1)))
+    for turn in range(2, 20):
+        n = (turn > 2) + (turn in (2, 9))
+        want.append((turn, ["extra result"], json.dumps({"content": f"part {turn}", "conv_id": 1, "id": "a", "role": "tool", "tool": "search"}, separators=(",", ":")), n)) if n else None
+    want.append((2, ["extra result"], '{"content":"","conv_id":2,"id":"o","role":"tool","tool":null}', 1))
+    rows = tool_calls.link(c, r, t).collect()
+    got = [(x["turn"], list(x["errors"]), x["line"], x["rows"]) for x in rows if x["kind"] in ("repeated call", "extra result")]
+    assert sorted(got) == sorted(want) and sum(x["rows"] for x in rows) == len(calls) + len(results)
+    assert sorted((x["kind"], x["turn"]) for x in rows if x["kind"] in ("call", "result")) == [("call", 1), ("call", 1), ("result", 2)]
+
+
 # -- source mix ------------------------------------------------------------------------------
 
 def words_in(t):
