@@ -1,10 +1,12 @@
 """Secret scans: candidates in texts, and a random forest that removes false positives.
 
 On the main path only DataFrame functions and Spark's own ML stages are used.
-A candidate is a run of 16 or more key-like signs with a digit in it, or a
-quoted value behind ``=`` or ``:``. Its figures: length, transitions between
+A candidate is a quoted value of 8 or more signs behind ``=`` or ``:``, an
+unquoted one of 5 or more behind a name that ends like a key's (``NAMES``; up to
+four blanks apart, or an option and its value), a password in a URL, or a run of
+16 or more key-like signs with a digit or ``DISTINCT`` different ones. Its figures: length, transitions between
 kinds of characters and between letters (log-likelihood under the letter
-pairs of a public vocabulary's words), share covered by dictionary words,
+pairs of a public vocabulary's words), share covered by that vocabulary's words,
 shape flags, how it is assigned, the words around it (hashed) and the words
 of its path (hashed). The forest is trained on labelled findings, at most
 ``MAX_LABELLED`` of them, taken in hash order; scanning covers every
@@ -39,28 +41,58 @@ from pyspark.sql import functions as F
 from taskshift.llm.common import materialize, words_of
 
 KEYISH = r"[A-Za-z0-9+/_=\-]"
-CANDIDATE = (r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*+[0-9])" + KEYISH + r"{16,}+"
-             r"""|(?<=[=:]["'])[^"'\s]{8,}+(?=["'])|(?<=[=:]\s["'])[^"'\s]{8,}+(?=["'])""")
+#: Ends of the names whose unquoted values are candidates.
+NAMES = ("pw", "key", "pwd", "psk", "pass", "auth", "token", "creds", "passwd", "secret", "bearer", "password", "passcode", "credential", "passphrase", "credentials")
+#: Different signs from which a key-like run without a digit is a candidate.
+DISTINCT = 8
+
+
+def _named(before: str, after: str) -> str:
+    """Lookbehinds, each of one width, for a key-like name between ``before`` and ``after``."""
+    widths = sorted({len(n) for n in NAMES})
+    return "|".join(f"(?<={before}(?i:{'|'.join(n for n in NAMES if len(n) == w)}){after})" for w in widths)
+
+
+def _assigned() -> str:
+    gaps = []
+    for blanks in range(5):
+        after = r"\s" * blanks
+        ways = "|".join(_named("", before + sign + after) for sign in ("[=:]", ":=", "=>") for before in ("", r"\s", "[\"']"))
+        gaps.append(f"(?<=[=:>]{after})(?:{ways})")
+    return "(?:" + "|".join(gaps) + "|" + _named("-", r"\s") + ")"
+
+
+def _different(n: int) -> str:
+    """``n`` different key-like signs, in the order in which they first come."""
+    out = f"({KEYISH})"
+    for k in range(2, n + 1):
+        seen = "|".join(f"\\{i}" for i in range(1, k))
+        out += f"(?:{seen}){{0,24}}+(?!{seen})({KEYISH})"
+    return out
+
+
+CANDIDATE = (r"""(?<=[=:]["'])[^"'\s]{8,}+(?=["'])|(?<=[=:]\s["'])[^"'\s]{8,}+(?=["'])"""
+             r"""|(?<=[^\s:@]:)[^\s/"'<>]{2,200}(?=@[A-Za-z0-9\[])"""
+             r"""|(?<=[=:>\s])(?=[^\s"'=:>])""" + _assigned() + r"""[^\s"'&]{4,}[^\s"'&,;)]"""
+             r"|(?<![A-Za-z0-9+/_=\-])(?=" + KEYISH + r"{16})(?![A-Za-z0-9+/_\-]*?(?i:" + "|".join(NAMES) + r""")=[^\s"'&=:>][^\s"'&]{3,}?[^\s"'&,;)])"""
+             r"(?:(?=[A-Za-z+/_=\-]*+[0-9])|(?=" + _different(DISTINCT) + "))" + KEYISH + r"{16,}+")
 MAX_LABELLED = 6_000
 TREES, TREE_DEPTH, SEED = 20, 8, 11
 THRESHOLD = 0.5
-DICTIONARY_WORDS = 5_000
 LEFT, RIGHT = 60, 30
 MARK = "<SECRET>"
-FIGURES = ("length", "kinds", "letters", "dictionary", "distinct", "digits", "capitals", "hex", "uuid", "number", "quoted", "assigned", "spread")
+FIGURES = ("length", "kinds", "letters", "dictionary", "distinct", "digits", "capitals", "hex", "uuid", "number", "quoted", "assigned", "spread", "named", "address", "placeholder")
 
 
-def dictionary(path: str, n: int = DICTIONARY_WORDS) -> tuple[list[str], list[float]]:
-    """The vocabulary's first ``n`` whole words of three or more letters, and the log-probabilities of letter pairs in them (27 x 27; 26: any other sign)."""
+def dictionary(path: str) -> tuple[list[str], list[float]]:
+    """The vocabulary's whole words of three or more letters, and the log-probabilities of letter pairs in them (27 x 27; 26: any other sign)."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     words = []
     for piece in sorted(vocab, key=vocab.get):
         w = piece.removesuffix("</w>")
         if piece.endswith("</w>") and len(w) >= 3 and w.isascii() and w.isalpha():
-            words.append(w)
-            if len(words) == n:
-                break
+            words.append(w.lower())
     counts = [[1.0] * 27 for _ in range(27)]
     for w in words:
         for a, b in zip(w.lower(), w.lower()[1:]):
@@ -92,8 +124,15 @@ def figures(found: DataFrame, words: list[str], pairs: list[float]) -> DataFrame
     table = F.lit(pairs)
     d = found.withColumn("codes", F.transform(signs, code))
     steps = F.zip_with(F.slice("codes", 1, F.size("codes") - 1), F.slice("codes", 2, F.size("codes") - 1), lambda a, b: F.get(table, a * 27 + b))
-    listed = ",".join(f"'{w}'" for w in words)
-    covered = F.expr(f"aggregate(filter(regexp_extract_all(lower(value), '[a-z]{{3,}}', 0), w -> w IN ({listed})), 0, (s, w) -> s + length(w))")
+    # the words by their first two letters, as one folded constant
+    shelves = [["", ""] for _ in range(26 * 26)]
+    for w in words:
+        shelves[(ord(w[0]) - 97) * 26 + ord(w[1]) - 97].insert(1, w)
+    listed = F.split(F.lit("\n".join("|".join(x) for x in shelves)), "\n", -1)
+    shelf = lambda w: F.get(listed, (F.ascii(w) - 97) * 26 + F.ascii(F.substring(w, 2, 1)) - 97)
+    parts = F.transform(F.regexp_extract_all("value", F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0)), F.lower)
+    known = F.filter(parts, lambda w: (F.length(w) >= 3) & F.contains(shelf(w), F.concat(F.lit("|"), w, F.lit("|"))))
+    covered = F.aggregate(known, F.lit(0), lambda s, w: s + F.length(w))
     flag = lambda c: c.cast("double")
     neighbour = lambda c: words_of(F.regexp_replace(F.lower(c), r"[^\p{L}_]+", " "))
     before = F.slice(F.reverse(neighbour(F.col("left"))), 1, 3)
@@ -105,6 +144,9 @@ def figures(found: DataFrame, words: list[str], pairs: list[float]) -> DataFrame
         "hex": flag(v.rlike("^[0-9a-fA-F]+$")), "uuid": flag(v.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         "number": flag(v.rlike("^[0-9]+$")), "quoted": flag(F.col("left").rlike("[\"']$")), "assigned": flag(F.col("left").rlike("[=:]\\s*[\"']?$")),
         "spread": F.size(F.array_distinct(F.regexp_extract_all("value", F.lit("..?"), F.lit(0)))) / n,
+        "named": flag(F.col("left").rlike(f"(?i)({'|'.join(NAMES)})[\"']?\\s*(:=|=>|[=:]|\\s)\\s*[\"']?$")),
+        "address": flag(F.col("left").rlike("://[^\\s/@]*:$") & F.col("right").startswith("@")),
+        "placeholder": flag(v.rlike("^([$<{%(\\[].*|[*xX.#]+)$")),
         "near": near, "path_words": neighbour(F.coalesce("path", F.lit("")))}).drop("codes")
 
 
@@ -178,6 +220,17 @@ def stand_in_findings(docs: DataFrame, labels: DataFrame, n: int = MAX_LABELLED)
         (0, F.concat(few, F.lit("-2019-"), few, F.lit("-0001"))), (0, quoted("name", " = ", few)), (0, F.concat(F.lit("https://example.com/"), few, F.lit("/20190412/"), few)),
         (0, quoted("token", " = ", F.concat(F.lit("your_token_here_"), F.lit("0000000000")))), (0, quoted("title", ": ", few)), (0, quoted("checksum", " = ", sha1)),
     ]
+    plain_word = F.lower(F.regexp_replace(F.concat(F.get("w", 2), F.lit("value")), "[^A-Za-z]", ""))
+    bare = lambda v: F.translate(v, "0123456789+/", "qzxjvkwyhpgu")
+    short = F.concat(F.substring(b64, 3, 4), F.lit("!"), F.substring(b64, 9, 4))
+    kinds += [
+        (1, F.concat(F.lit("password="), short)), (1, F.concat(F.lit("DB_PASSWORD: "), F.concat(F.substring(b64, 7, 6), F.lit("#9")))), (1, F.concat(F.lit("api_key="), F.substring(sha1, 1, 12))),
+        (1, F.concat(F.lit("postgres://admin:"), short, F.lit("@db.example.com:5432/main"))), (1, F.concat(F.lit("https://bot:"), F.substring(sha1, 5, 10), F.lit("@example.com/"))),
+        (1, F.concat(F.lit("Authorization: Bearer "), bare(b64))), (1, F.concat(F.lit("the key "), bare(F.substring(b64, 1, 24)))), (1, F.concat(F.lit("--token "), bare(F.substring(sha1, 1, 20)))),
+        (0, F.concat(F.lit("password: "), plain_word)), (0, F.concat(F.lit("token="), plain_word)), (0, F.concat(F.lit("key: "), plain_word)), (0, F.concat(F.lit("password=${"), F.upper(plain_word), F.lit("}"))),
+        (0, F.concat(F.lit("mailto:"), plain_word, F.lit("@example.com"))), (0, F.concat(few, F.lit("-and-other-things"))), (0, F.concat(F.lit("src/main/"), few, F.lit("/modules"))),
+        (0, F.concat(F.lit("getDefault"), F.initcap(plain_word), F.lit("FromSettings"))),
+    ]
     kind = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(len(kinds)))
     snippet, label = F.lit(None).cast("string"), F.lit(0)
     for k, (y, s) in enumerate(kinds):

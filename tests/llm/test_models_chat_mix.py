@@ -36,6 +36,24 @@ def test_candidates_by_hand(make_docs):
     assert got == want and [g[0] for g in got] == [0, 2, 5, 6, 6, 7]
 
 
+UNQUOTED = [("password=Pa55w0rd!", "Pa55w0rd!"), ("export DB_PASSWORD: Xk9!v2Lp", "Xk9!v2Lp"), ("api_key=4f9a1c7be02d", "4f9a1c7be02d"), ("postgres://user:S3c:r@t@host/db", "S3c:r@t"),
+            ("Bearer qWzxJvKwyHpguTRbnM", "qWzxJvKwyHpguTRbnM"), ("PASSWORD =   ab!cd#ef, next", "ab!cd#ef"), ("run --token tRbnM!xq now", "tRbnM!xq"), ('"secret": 71625341', "71625341")]
+
+
+def test_unquoted_values_are_candidates(make_docs):
+    docs = make_docs([t for t, _ in UNQUOTED] + ["no = such thing: here at all", "https://example.com:8080/x"]).withColumn("path", F.col("source"))
+    got = [(r["doc_id"], r["value"], r["start"]) for r in secret_scan.candidates(docs).orderBy("doc_id").collect()]
+    assert got == [(i, v, t.index(v)) for i, (t, v) in enumerate(UNQUOTED)]
+
+
+def test_unquoted_secrets_are_redacted(make_docs, labelled):
+    docs = make_docs(["words before it password=Rk7!wQ2x and words after", "see postgres://admin:Yb4!kT9s@db.example.com:5432/main for it", "in the file api_key=9c04be17a3f2 and more",
+                      "the text said password: required and no more"])
+    got = [r["text"] for r in secret_scan.redact(docs, labelled, VOCAB, "source").orderBy("doc_id").collect()]
+    assert got == ["words before it password=<SECRET> and words after", "see postgres://admin:<SECRET>@db.example.com:5432/main for it", "in the file api_key=<SECRET> and more",
+                   "the text said password: required and no more"]
+
+
 def test_forest_on_held_out_findings(labelled):
     words, pairs = secret_scan.dictionary(VOCAB)
     fold = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(4))
