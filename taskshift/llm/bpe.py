@@ -201,19 +201,19 @@ class Table(dict):
 
 
 class Words(Table):
-    """Pre-split word -> (ids as little-endian bytes, labels joined by a space)."""
+    """Pre-split word -> ids as little-endian bytes."""
 
     def __init__(self, automaton: MergeAutomaton):
         self.automaton, self.signs = automaton, byte_symbols()
 
-    def made(self, word: str) -> tuple[bytes, str]:
+    def made(self, word: str) -> bytes:
         plain = word.isascii() and word.isprintable()      # such bytes stand for themselves
         ids = self.automaton.encode(word if plain else "".join([self.signs[b] for b in word.encode()]))
-        return b"".join([self.automaton.id_bytes[i] for i in ids]), " ".join([self.automaton.label[i] for i in ids])
+        return b"".join([self.automaton.id_bytes[i] for i in ids])
 
 
 class Runs(Table):
-    """Run of signs between white space -> (ids, labels) of its pre-split words.
+    """Run of signs between white space -> ids of its pre-split words.
 
     White space neither joins a word nor composes with what follows it, so
     runs can be normalised one by one.
@@ -224,11 +224,10 @@ class Runs(Table):
     def __init__(self, words: Words):
         self.words = words
 
-    def made(self, run: str) -> tuple[bytes, str]:
+    def made(self, run: str) -> bytes:
         # lower case sign by sign: a final sigma stays the plain one
         text = unicodedata.normalize("NFC", run).replace("\u03a3", "\u03c3").lower()
-        found = [self.words[w] for w in SPLIT.findall(text)]
-        return b"".join([i for i, _ in found]), " ".join([s for _, s in found])
+        return b"".join([self.words[w] for w in SPLIT.findall(text)])
 
 
 class Encoder:
@@ -254,28 +253,31 @@ class Encoder:
         self.automaton = MergeAutomaton(vocab, merges, model["end_of_word_suffix"] or "")
         self.runs = Runs(Words(self.automaton))
         self.label = {**self.automaton.label, **{i: s for s, i in self.special.items()}}
+        self.by_id = np.full(max(self.label) + 1, None, object)
+        for i, s in self.label.items():
+            self.by_id[i] = s
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """(ids, labels) of each run of a text and of each special token."""
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Ids of each run of a text and of each special token."""
         if self.cut is None or not any(s in text for s in self.special):
             return self.plain(text)
         parts = self.cut.split(text)
         return chain.from_iterable(
-            [(np.array([self.special[p]], "<u4").tobytes(), p)] if k % 2 else self.plain(p) for k, p in enumerate(parts))
+            [np.array([self.special[p]], "<u4").tobytes()] if k % 2 else self.plain(p) for k, p in enumerate(parts))
 
-    def plain(self, text: str) -> Iterator[tuple[bytes, str]]:
+    def plain(self, text: str) -> Iterator[bytes]:
         # str.split() also splits at four control signs that are no white space here
         runs = SPACES.split(text) if NOT_SPACE.search(text) else text.split()
         return map(self.runs.__getitem__, runs)
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids of a text (little-endian 32-bit) and the text decoded from them."""
-        found = [f for f in self.pieces(text) if f[0]]
-        return b"".join([i for i, _ in found]), " ".join([s for _, s in found])
+        ids = b"".join(self.pieces(text))
+        return ids, self.decode(ids)
 
     def decode(self, ids: bytes) -> str:
         """Arc labels of the ids, joined as the tokenizer does without a decoder."""
-        return " ".join([self.label[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(self.by_id[np.frombuffer(ids, "<u4")].tolist())
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -73,6 +73,14 @@ def test_bpe_is_the_tokenizer(make_docs, edge_texts, sf, spark):
     assert bpe.document_tokens(docs.limit(0), BPE).count() == 0
 
 
+def test_decoded_text_comes_from_the_ids():
+    e = bpe.Encoder(BPE)
+    ids, id_bytes = {s: i for i, s in e.label.items()}, e.automaton.id_bytes
+    assert e.encode("hello <|endoftext|> world")[1] == "hello</w> <|endoftext|> world</w>"
+    id_bytes[ids["house</w>"]] = id_bytes[ids["world</w>"]]          # a wrong id shows in the decoded text
+    assert e.encode("house")[1] == "world</w>"
+
+
 def test_merge_gadgets_on_a_small_alphabet():
     """All words up to seven signs, against merging by rank, for merges with doubled and nested symbols."""
     from itertools import product
