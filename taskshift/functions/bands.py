@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from taskshift.functions.nulls import if_else, in_set
+from taskshift.functions.nulls import if_else, in_set, nan_to_null
 
 # ---------------------------------------------------------------------------
 # Fixed values from the analysed scripts (labels, thresholds, weights).
@@ -50,8 +50,8 @@ def _c(x) -> Column:
 
 def ai_category(automation, gamma, automation_threshold: float = AUTOMATION_THRESHOLD,
                 augmentation_threshold: float = AUGMENTATION_THRESHOLD) -> Column:
-    """Automated if automation > threshold, else augmented if gamma == threshold, else minimal."""
-    return (F.when(_c(automation) > F.lit(automation_threshold), F.lit(AUTOMATED))
+    """Automated if automation > threshold, else augmented if gamma == threshold, else minimal (NaN is missing)."""
+    return (F.when(nan_to_null(_c(automation)) > F.lit(automation_threshold), F.lit(AUTOMATED))
             .when(_c(gamma) == F.lit(augmentation_threshold), F.lit(AUGMENTED))
             .otherwise(F.lit(MINIMAL)))
 
@@ -66,18 +66,18 @@ def task_weight(task_type) -> Column:
 
 
 def has_exposure(beta) -> Column:
-    """1 when beta > 0, 0 when not, missing when beta is missing."""
-    return if_else(_c(beta) > 0, F.lit(1.0), F.lit(0.0))
+    """1 when beta > 0, 0 when not, missing when beta is missing or NaN."""
+    return if_else(nan_to_null(_c(beta)) > 0, F.lit(1.0), F.lit(0.0))
 
 
 def at_least(x, t: float) -> Column:
-    """Threshold flag ``x >= t`` (missing x gives a missing flag)."""
-    return _c(x) >= F.lit(t)
+    """Threshold flag ``x >= t`` (missing or NaN x gives a missing flag)."""
+    return nan_to_null(_c(x)) >= F.lit(t)
 
 
 def wage_band(wage) -> Column:
-    """Half-open wage bands; a missing wage gives a missing band."""
-    w = _c(wage)
+    """Half-open wage bands; a missing or NaN wage gives a missing band."""
+    w = nan_to_null(_c(wage))
     out = F
     for label, lo, hi in WAGE_BANDS:
         cond = F.lit(True)
@@ -121,8 +121,8 @@ def demographic_type(demo) -> Column:
 
 def interval_bin(x, breaks: list[Column], include_lowest: bool = False) -> Column:
     """Right-closed interval index (1-based) for ``breaks``; the lowest break is
-    excluded unless ``include_lowest``; values outside -> NULL."""
-    x = _c(x)
+    excluded unless ``include_lowest``; values outside, and NaN -> NULL."""
+    x = nan_to_null(_c(x))
     out = F
     for i in range(len(breaks) - 1):
         lo, hi = breaks[i], breaks[i + 1]

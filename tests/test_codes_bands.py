@@ -72,3 +72,14 @@ def test_column_selectors_and_names(spark):
     assert C.front(n, ["jobs"]).columns[:2] == ["jobs", "soc_code"]
     assert C.by_position(n, 3) == ["jobs", "current_year_males", "gpt4_automation"]
     assert C.display_names(n.select("soc_code", "jobs")).columns == ["O*NET-SOC Code", "2022 Jobs"]
+
+
+def test_nan_is_missing_in_every_comparison(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan, 1.0), (2, nan, 0.0), (3, 0.9, 1.0), (4, None, 1.0)], "k int, a double, g double")
+    got = {r["k"]: r for r in df.select(
+        "k", bands.ai_category("a", "g").alias("cat"), bands.has_exposure("a").alias("exposed"), bands.at_least("a", 0.5).alias("flag"),
+        bands.wage_band("a").alias("wage"), bands.interval_bin("a", [F.lit(0.0), F.lit(1.0), F.lit(9.0)]).alias("bin")).collect()}
+    assert [got[k]["cat"] for k in (1, 2, 3, 4)] == [bands.AUGMENTED, bands.MINIMAL, bands.AUTOMATED, bands.AUGMENTED]
+    for name in ("exposed", "flag", "wage", "bin"):
+        assert [got[k][name] is None for k in (1, 2, 3, 4)] == [True, True, False, True], name
