@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from taskshift.llm import quality_rules as Q
+from taskshift.llm import range_shards as R
 from taskshift.llm import source_mix as M
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -118,3 +119,29 @@ tk AS (SELECT doc_id, first, k, sum((least(first + size, (b + 1) * {M.BLOCK_WORD
         * (quota // n_blocks + CASE WHEN ((stride % n_blocks) * b + off) % n_blocks < quota % n_blocks THEN 1 ELSE 0 END)) AS taken FROM bl GROUP BY doc_id, first, k)
 SELECT o.doc_id, o.size, o.source_size, o.target, CAST(coalesce(tk.taken, 0) AS BIGINT) AS taken, o.source
 FROM o LEFT JOIN tk ON tk.doc_id = o.doc_id AND tk.first = o.first AND tk.k = o.k"""
+
+# -- crc32, bit by bit ------------------------------------------------------------------------
+
+
+def _crc32(hexed: str) -> str:
+    """Unsigned CRC-32 (reflected polynomial EDB88320) of the octets in the column ``hexed`` of hex digits; ``crc_table`` must be joined."""
+    octets = f"list_prepend(4294967295::BIGINT, list_transform(range(1, length({hexed}), 2), lambda i: ('0x' || substr({hexed}, i, 2))::BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY k) AS crc_t FROM range(256) r(k))"""
+
+# -- shards: running bytes over all documents in key order ---------------------------------------
+
+ORACLE["op13_range_shards"] = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS h, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size FROM documents),
+o AS (SELECT *, sum(size) OVER all_before - size AS own, row_number() OVER all_before AS place, sum(size) OVER () AS total,
+        sum(size) OVER (PARTITION BY h) AS bytes, count(*) OVER (PARTITION BY h) AS n
+      FROM d WINDOW all_before AS (ORDER BY h, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+u AS (SELECT *, CASE WHEN n > 1 AND bytes * {R.N_SHARDS * R.HEAVY} > total THEN 2 * own + size ELSE 2 * min(own) OVER (PARTITION BY h) + bytes END AS middle FROM o),
+s AS (SELECT *, CAST(least({R.N_SHARDS - 1}, ({R.N_SHARDS} * middle) // (2 * total)) AS INTEGER) AS shard FROM u)
+SELECT doc_id, size, {_crc32('hx')} AS text_crc32, 'bytes' AS law, shard,
+  CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM (SELECT *, hex(encode(t)) AS hx FROM s), crc_table"""

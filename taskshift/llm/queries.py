@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taskshift.llm import bpe, cotraining, lsh_forest, quality_rules, secret_scan, source_mix, suffix_dedup, token_counts, tool_calls, vp_tree
+from taskshift.llm import bpe, cotraining, lsh_forest, quality_rules, range_shards, secret_scan, source_mix, suffix_dedup, token_counts, tool_calls, vp_tree
 from taskshift.llm.common import read
 
 
@@ -66,6 +66,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.document_mix(read(spark, sf_dir, "documents"))
 
 
+def op13_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document: eight shards of near-equal bytes by sampled splitters."""
+    return range_shards.document_shards(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tool_calls": op8_tool_calls,
         "op9_vp_tree": op9_vp_tree,
         "op10_source_mix": op10_source_mix,
+        "op13_range_shards": op13_range_shards,
     }
 
 

@@ -114,11 +114,11 @@ def shards(docs: DataFrame, n_shards: int = N_SHARDS, carry: bool = False) -> Da
     inside = Window.partitionBy("range").orderBy("text_md5", F.asc_nulls_first("doc_id"), "nth")
     d = d.withColumn("start", F.col("bytes_before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     d = d.withColumn("place", F.col("rows_before") + F.row_number().over(inside) - 1)
-    # copies of a text that is not heavy: one unit, less than 1 / HEAVY of a shard
-    unit = Window.partitionBy("range", F.when(F.col("heavy").isNull(), F.col("text_md5")), F.when(F.col("heavy").isNotNull(), F.col("nth")))
-    middle = 2 * F.min("start").over(unit) + F.sum("size").over(unit)
-    d = d.withColumn("shard", F.expr(f"least({n_shards} - 1, ({n_shards} * __middle) div {2 * total})").cast("int")) if False else d.withColumn("__middle", middle)
-    d = d.withColumn("shard", F.expr(f"least({n_shards - 1}, ({n_shards} * __middle) div {2 * total})").cast("int"))
+    # copies of a text that is not heavy are one unit, less than 1 / HEAVY of a shard; all of them lie in one range
+    unit = Window.partitionBy("range", "text_md5")
+    light = F.col("heavy").isNull()
+    d = d.withColumn("twice_middle", F.when(light, 2 * F.min("start").over(unit) + F.sum("size").over(unit)).otherwise(2 * F.col("start") + F.col("size")))
+    d = d.withColumn("shard", F.expr(f"least({n_shards - 1}, ({n_shards} * twice_middle) div {2 * total})").cast("int"))
     placed = materialize(d.select("doc_id", "size", "text_crc32", "shard", "place", *["row"] * carry), "shard-placed")
     first = placed.groupBy("shard").agg(F.min("place").alias("first")).select(F.col("shard").alias("s"), "first")
     out = placed.join(F.broadcast(first), F.col("shard") == F.col("s"))
@@ -126,10 +126,10 @@ def shards(docs: DataFrame, n_shards: int = N_SHARDS, carry: bool = False) -> Da
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS) -> None:
-    """Write the documents, all columns, to Parquet folders ``shard=0`` to ``shard=n-1`` under ``path``."""
+    """Write the documents, all columns, to Parquet folders ``shard=0`` to ``shard=n-1`` under ``path`` (as the struct ``row`` if one of them is named shard)."""
     d = shards(docs, n_shards, carry=True)
     clash = "shard" in docs.columns
-    d.select("row.*" if not clash else F.col("row"), F.col("shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    d.select("row" if clash else "row.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def document_shards(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
