@@ -5,6 +5,7 @@ from __future__ import annotations
 from taskshift.llm import quality_rules as Q
 from taskshift.llm import range_shards as R
 from taskshift.llm import source_mix as M
+from taskshift.llm import spelling_variants as V
 
 WORD = r"[^\x20\x09-\x0D]"
 ORACLE: dict[str, str] = {}
@@ -145,3 +146,23 @@ s AS (SELECT *, CAST(least({R.N_SHARDS - 1}, ({R.N_SHARDS} * middle) // (2 * tot
 SELECT doc_id, size, {_crc32('hx')} AS text_crc32, 'bytes' AS law, shard,
   CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM (SELECT *, hex(encode(t)) AS hx FROM s), crc_table"""
+
+# -- spelling variants: equal after one code point is left out or masked ------------------------
+
+ORACLE["op12_spelling_variants"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+each AS (SELECT id, run, count(*) AS c, any_value(hex(encode(id || ':' || run))) AS hx FROM runs WHERE length(run) >= {V.LEAST_LENGTH} GROUP BY id, run),
+hashed AS (SELECT run, c, {_crc32('hx')} AS h FROM each, crc_table),
+ws AS (SELECT CASE WHEN h % {V.SPOILED} = 0 THEN run[:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, c FROM hashed),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM ws WHERE length(word) >= {V.LEAST_LENGTH} GROUP BY word HAVING sum(c) >= {V.LEAST_N}),
+cut AS (SELECT word, i, word[:i - 1] AS a, word[i + 1:] AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+swapped AS (SELECT x.word, y.word AS near FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word),
+longer AS (SELECT DISTINCT c.word, v.word AS near FROM cut c JOIN v ON v.word = c.a || c.b),
+pairs AS (SELECT word, near FROM swapped UNION SELECT word, near FROM longer UNION SELECT near, word FROM longer),
+best AS (SELECT p.word, count(*) AS n_near, arg_min(p.near, (-v.n, p.near)) AS near, max(v.n) AS near_n FROM pairs p JOIN v ON v.word = p.near GROUP BY p.word),
+f AS (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN near_n >= {V.RATIO} * v.n THEN near END AS form,
+        CASE WHEN near_n >= {V.RATIO} * v.n THEN near_n END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+walk AS (SELECT word, word AS at_word FROM f UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON f.word = w.at_word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at_word AS root, f.n, f.n_near, f.form_n
+FROM f JOIN walk w ON w.word = f.word JOIN f last ON last.word = w.at_word AND last.form IS NULL"""

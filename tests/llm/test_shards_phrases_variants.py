@@ -1,11 +1,14 @@
 """Sharding, collocations, spelling variants: against brute force."""
 
 import hashlib
+import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 
-from taskshift.llm import range_shards
+from taskshift.llm import range_shards, spelling_variants
 
 
 def brute_shards(rows, n_shards):
@@ -64,3 +67,85 @@ def test_written_shards_hold_the_whole_rows(spark, make_docs, prose, tmp_path):
     assert sorted(map(tuple, back.drop("shard").collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
     want = {(r["doc_id"], r["shard"]) for r in range_shards.shards(docs, 4).collect()}
     assert {(r["doc_id"], r["shard"]) for r in back.collect()} == want
+
+
+def one_edit(x, y):
+    """True if one inserted, deleted or replaced code point turns x into y."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) == len(y):
+        return sum(a != b for a, b in zip(x, y)) == 1
+    return len(y) == len(x) + 1 and any(y[:i] + y[i + 1:] == x for i in range(len(y)))
+
+
+def brute_variants(rows):
+    count = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            count[run[:h % len(run)] + run[h % len(run) + 1:] if h % 31 == 0 else run] += 1
+    n = {w: c for w, c in count.items() if len(w) >= 7 and c >= 2}
+    near = {w: [x for x in n if abs(len(x) - len(w)) < 2 and one_edit(w, x)] for w in n}
+    form = {}
+    for w, xs in near.items():
+        best = min(xs, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] is not None else None))
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def misspelt():
+    """Texts over words of one stem, with edits at every place, some a hundred times as frequent as others."""
+    rng = random.Random(11)
+    stems = ["abcdefg", "ébéàüöñstraße", "processing", "aaaaaaaaaa", "zzzzzzz", "x" * 300]
+    forms = []
+    for s in stems:
+        forms += [(s, 400), (s + "ing", 30)]
+        for i in range(len(s) if len(s) < 20 else 5):
+            forms += [(s[:i] + s[i + 1:], 3), (s[:i] + "q" + s[i:], 2), (s[:i] + "é" + s[i + 1:], rng.choice([1, 2, 30]))]
+    forms += [("stem" + "".join(rng.choice("ab") for _ in range(5)), rng.choice([2, 25, 300])) for _ in range(60)]
+    flat = [w for w, c in forms for _ in range(c)]
+    rng.shuffle(flat)
+    return [" ".join(flat[i:i + 50]) for i in range(0, len(flat), 50)] + [None, "", "Processing, PROCESSING\nÉBÉÀÜÖÑSTRASSE x÷y ×× 漢字processing"]
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_variants_by_brute_force(make_docs, misspelt, monkeypatch, block):
+    """Also with halves cut into very small blocks, and tiles compared as matrices."""
+    monkeypatch.setattr(spelling_variants, "BLOCK", block)
+    ids = [None if i % 40 == 39 else i for i in range(len(misspelt))]
+    docs = make_docs(misspelt, ids=ids, extra="word n m first half tile side form").repartition(5)
+    got = sorted(tuple(r) for r in spelling_variants.variants(docs).collect())
+    assert got == brute_variants(list(zip(ids, misspelt)))
+    assert sum(r[1] is not None for r in got) > 30
+
+
+def test_variants_chain_and_empty_table(spark, make_docs):
+    assert spelling_variants.variants(make_docs([])).collect() == [] and spelling_variants.variants(make_docs([None, "short"])).collect() == []
+    steps = [("aaaaaaab" + "c" * k, "aaaaaaab" + "c" * (k + 1)) for k in range(13)]
+    forms = spark.createDataFrame([*steps, ("lone1", "lone2")], "word string, form string")
+    assert {tuple(r) for r in spelling_variants.roots(forms).collect()} == {(w, steps[-1][1]) for w, _ in steps} | {("lone1", "lone2")}
+
+
+def test_a_tile_is_cut_where_batches_end(spark, monkeypatch):
+    """Chunks are compared when whole tiles fill them, whatever batches they come in."""
+    monkeypatch.setattr(spelling_variants, "CHUNK", 64)
+    monkeypatch.setattr(spelling_variants, "SMALL", 3)
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(7, 9))) for _ in range(300)})
+    df = spark.createDataFrame([(w, 2) for w in words], "word string, n bigint").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [(r["word"], r["near"]) for r in spelling_variants.near_pairs(df, 16).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(a, b) for a in words for b in words if a != b and abs(len(a) - len(b)) < 2 and one_edit(a, b)}
+    assert len(got) == len(set(got)) and set(got) == want
