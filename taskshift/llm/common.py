@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +54,11 @@ def text_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) ->
     working arrays stay small whatever the batch holds. One text is never cut.
     """
     for batch in batches:
-        texts = [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= max_bytes:
-                yield batch.slice(start, i + 1 - start), texts[start:i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(batch):
+            done = int(upto[start - 1]) if start else 0
+            end = min(len(batch), int(np.searchsorted(upto, done + max_bytes)) + 1)
+            yield batch.slice(start, end - start), [t or b"" for t in texts.slice(start, end - start).to_pylist()]
+            start = end

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from taskshift.llm import collocations as C
 from taskshift.llm import quality_rules as Q
 from taskshift.llm import range_shards as R
 from taskshift.llm import source_mix as M
@@ -166,3 +167,23 @@ f AS (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WH
 walk AS (SELECT word, word AS at_word FROM f UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON f.word = w.at_word WHERE f.form IS NOT NULL)
 SELECT f.word, f.form, w.at_word AS root, f.n, f.n_near, f.form_n
 FROM f JOIN walk w ON w.word = f.word JOIN f last ON last.word = w.at_word AND last.form IS NULL"""
+
+# -- collocations: every phrase of every piece ---------------------------------------------------
+
+ORACLE["op11_collocations"] = f"""
+WITH pieces AS (SELECT coalesce(lang, '{C.NO_LANG}') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS ws FROM w, range(1, {C.LONGEST + 1}) r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, ws, count(*) AS a FROM grams GROUP BY lang, k, ws HAVING count(*) >= {C.LEAST}),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+cuts AS (SELECT c.lang, c.k, c.ws, c.a, j, l.a AS l, r.a AS r, (CAST({C.SCALE} AS HUGEINT) * c.a) // (l.a + r.a) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c
+    JOIN f l ON l.lang = c.lang AND l.ws = c.ws[1:c.j] JOIN f r ON r.lang = c.lang AND r.ws = c.ws[c.j + 1:]),
+weak AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, j) = 1),
+inner_parts AS (SELECT lang, ws[i:i + m - 1] AS ws, max(a) AS most FROM f, range(1, {C.LONGEST}) i(i), range(2, {C.LONGEST}) m(m)
+    WHERE k > m AND i + m - 1 <= k GROUP BY 1, 2),
+stay AS (SELECT w.* FROM weak w LEFT JOIN inner_parts p ON p.lang = w.lang AND p.ws = w.ws WHERE p.most IS NULL OR 100 * p.most < {C.COVERED_PERCENT} * w.a),
+named AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM stay),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM named)
+SELECT lang, rank, phrase, a, l, r, n.n, score FROM ranked JOIN n USING (lang) WHERE rank <= {C.TOP}"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taskshift.llm import bpe, cotraining, lsh_forest, quality_rules, range_shards, secret_scan, source_mix, spelling_variants, suffix_dedup, token_counts, tool_calls, vp_tree
+from taskshift.llm import bpe, collocations, cotraining, lsh_forest, quality_rules, range_shards, secret_scan, source_mix, spelling_variants, suffix_dedup, token_counts, tool_calls, vp_tree
 from taskshift.llm.common import read
 
 
@@ -66,6 +66,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.document_mix(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to four words of every language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words, form and root of every word of all documents."""
     return spelling_variants.variants(read(spark, sf_dir, "documents"))
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tool_calls": op8_tool_calls,
         "op9_vp_tree": op9_vp_tree,
         "op10_source_mix": op10_source_mix,
+        "op11_collocations": op11_collocations,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_range_shards": op13_range_shards,
     }

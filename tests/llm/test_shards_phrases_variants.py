@@ -7,8 +7,9 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from taskshift.llm import range_shards, spelling_variants
+from taskshift.llm import collocations, range_shards, spelling_variants
 
 
 def brute_shards(rows, n_shards):
@@ -149,3 +150,86 @@ def test_a_tile_is_cut_where_batches_end(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want = {(a, b) for a in words for b in words if a != b and abs(len(a) - len(b)) < 2 and one_edit(a, b)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def brute_collocations(rows, least, longest, top):
+    f, n = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        c = f.setdefault(lang, Counter())
+        for piece in re.split("[.,;:!?\\n\\x0b\\x0c\\r]", "".join(x.lower() if x.isascii() else x for x in text or "")):
+            ws = tuple(re.findall("[^ \\t]+", piece))
+            n[lang] += len(ws)
+            for k in range(1, longest + 1):
+                c.update(ws[i:i + k] for i in range(len(ws) - k + 1))
+    out = []
+    for lang, c in f.items():
+        cand = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        covered = set()
+        for p, a in cand.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    if 100 * a >= 80 * c[p[i:i + m]]:
+                        covered.add(p[i:i + m])
+        ranked = []
+        for p, a in cand.items():
+            if p not in covered:
+                score, k = min((2_000_000 * a // (c[p[:k]] + c[p[k:]]), k) for k in range(1, len(p)))
+                ranked.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        for rank, (s, a, phrase, left, right) in enumerate(sorted(ranked)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -s))
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def spoken():
+    """Texts of few words in three languages and none, with set phrases, a hot one, and odd signs."""
+    rng = random.Random(21)
+    words = ["alpha", "beta", "Gamma", "délta", "中文", "e\u0301", "zeta", "ETA", "x\x00y", "θ"]
+    fixed = ["new york city", "the the the the", "of course,", "as well as Gamma", "beta\talpha beta", "end. new start"]
+    rows = []
+    for i in range(240):
+        t = " ".join(rng.choice(fixed) if rng.random() < 0.4 else rng.choice(words) + rng.choice(["", "", "", ",", " .", "\n", "\x0b"]) for _ in range(rng.randint(0, 60)))
+        rows.append((rng.choice(["en", "de", None, "und"]), t))
+    return rows + [("en", "hot phrase here")] * 120 + [("en", None), (None, ""), ("fr", "rare words only"), ("de", "long " * 30_000)]
+
+
+def test_collocations_by_brute_force(spark, spoken, monkeypatch):
+    """Also with very small runs, counts handed on early, and word tables that are emptied all the time."""
+    df = spark.createDataFrame([(i, lang, t, "x", "y") for i, (lang, t) in enumerate(spoken)], "doc_id bigint, lang string, text string, id string, f string").repartition(5)
+    want = brute_collocations(spoken, 30, 4, 2000)
+    assert [r for r in want if r[0] == "und"] and any(r[2] == "new york city" for r in want) and not any(r[2] == "new york" for r in want)
+    assert sorted(tuple(r) for r in collocations.collocations(df).collect()) == want
+    for name, value in (("HELD", 50), ("RUN", 7), ("WORDS_KEPT", 5)):
+        monkeypatch.setattr(collocations, name, value)
+    assert sorted(tuple(r) for r in collocations.collocations(df, 12, 3, 40).collect()) == brute_collocations(spoken, 12, 3, 40)
+
+
+def test_collocations_with_ids_that_clash_and_empty_table(spark, make_docs, spoken, monkeypatch):
+    """Hashes of few values clash under the first seed; another seed gives the exact result."""
+    few = [r for r in spoken if r[0] == "de"][:30]
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(few)], "doc_id bigint, lang string, text string")
+    tries = []
+    first = collocations.phrase_tables
+
+    def clash(docs, least, longest, seed):
+        tries.append(seed)
+        if seed == 0:
+            w = collocations.word_counts(docs, seed).withColumn("id", F.lit(7).cast("long"))
+            with monkeypatch.context() as m:
+                m.setattr(collocations, "word_counts", lambda *_: w)
+                return first(docs, least, longest, seed)
+        return first(docs, least, longest, seed)
+
+    monkeypatch.setattr(collocations, "phrase_tables", clash)
+    assert sorted(tuple(r) for r in collocations.collocations(df, 5).collect()) == brute_collocations(few, 5, 4, 2000)
+    assert tries == [0, 1]
+    monkeypatch.undo()
+    assert collocations.collocations(make_docs([])).collect() == [] and collocations.collocations(make_docs([None, "a b"])).collect() == []
+
+
+def test_score_arithmetic_passes_64_bits(spark):
+    big = 2**61
+    row = spark.createDataFrame([(1, "en", big, 2, 3, "a b", "b", [big + 7], [2**62 - 1])], "id long, lang string, f long, left long, right long, phrase string, last string, begins array<long>, ends array<long>")
+    got = collocations.scored(row, None, 2).collect()[0]
+    assert got["score"] == 2_000_000 * big // (big + 7 + 2**62 - 1)
