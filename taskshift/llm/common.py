@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,28 +21,77 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 _CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writers: list[str] = []
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While any write runs in here, shuffle files go when their query ends; then the session's own setting is back."""
+    with _lock:
+        if not _writers:
+            _writers.append(spark.conf.get(_CLEANUP, "false"))
+            spark.conf.set(_CLEANUP, "true")
+        _writers.append("")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers.pop()
+            if len(_writers) == 1:
+                spark.conf.set(_CLEANUP, _writers.pop())
+
+
+def written(df: DataFrame, tag: str) -> str:
+    """Path of ``df``, written to the cluster's shared checkpoint folder; it goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    fs, at = _folder(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the cluster's shared checkpoint folder and read it back.
 
     Cuts lineage (a lost executor costs only a re-read) and lets several
     consumers share one computation. The shuffle files of the write are
-    dropped when it ends.
+    dropped when it ends, the table when the application ends, or with ``scratch``.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    path = written(df, tag)
+    if (tables := _scratch.get()) is not None:
+        tables.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop file system and path of a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes in here are deleted at the end, also after an error."""
+    token = _scratch.set([])
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        for path in _scratch.get():
+            delete(spark, path)
+        _scratch.reset(token)
 
 
 def words_of(text: Column) -> Column:

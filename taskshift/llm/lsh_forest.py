@@ -12,9 +12,11 @@ prefix, and its depth adapts to how crowded it is:
   pivots: the class with most company at full depth (the likely origin of a
   crowd of near copies) and a few picked by hash;
 * what a crowded region of the least depth, which holds the deeper ones, still
-  keeps apart after that (classes outside its main component) is compared with
-  all its classes, block by block: by one byte of each min-hash, and what is
-  left by it on signatures and full sets in one task.
+  keeps apart after that (classes outside its main component) is found by an
+  exact index: sets that are alike share one of their rarest shingles. Classes
+  that only share shingles of more than ``LIST`` of them are compared block by block: by one
+  byte of each min-hash, and what is left by it on signatures and full sets in
+  one task.
 
 The least depth is the largest of up to four at which a pair at the threshold
 shares no prefix in any tree with a probability of at most ``MISSED``.
@@ -27,16 +29,19 @@ reachable.
 Scale: documents are reduced to a signature row each; texts are read again
 only for classes with candidates, and one shuffle of texts picks those.
 Regions are counted before they are gathered, only ``SMALL`` ones are
-gathered, and joins with a crowded side are plain joins that AQE splits. The
-blocks of a crowd whose classes are not alike grow with the square of its size;
-each is a task's bounded unit of work.
+gathered, and joins with a crowded side are plain joins that AQE splits. The index
+of a crowd grows with its shingles. Only pages so alike that what they do not share
+is less than the similarity leaves open, yet not alike, still meet in
+blocks, whose number grows with the square of theirs; each is a task's
+bounded unit of work.
 Nothing goes through the driver but counts.
 
 Defined results: a null or empty text, or one without words, has no shingles,
 component_id = doc_id and is kept; fewer words than a shingle make one
-shingle of all of them; a row with a null doc_id stands alone (component_id
-null, kept); repeated rows of one doc_id fall in one component and each is
-returned; an empty table gives an empty result; extra columns are ignored.
+shingle of all of them; rows with a null or a repeated doc_id link by their own
+texts (``near_groups``), and in ``near_duplicates`` a null doc_id has a null
+component_id and is kept; every row of a repeated doc_id is returned; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskshift.llm.common import materialize, text_batches
@@ -60,10 +65,15 @@ HASH_PIVOTS = 1
 BLOCK = 256
 #: Signature agreement (of TREES * DEPTH places) from which a pair of a crowded region is confirmed on full sets: about four standard errors under the threshold.
 SLACK = 4.0
+#: Classes that share a rare shingle are paired up to this number, compared in blocks beyond it.
+LIST = 64
+#: Slots in which the shingles of crowds are counted.
+SLOTS = 1 << 20
 WORDS_KEPT = 250_000
 SETS_AT_ONCE = 256
 
 _U = np.uint64
+_SLOT = _U(64 - SLOTS.bit_length() + 1)
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * _U(2) + _U(1)
 _ADD = _RNG.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -109,8 +119,13 @@ def signatures(sets: list[np.ndarray]) -> list[bytes]:
     return [row.tobytes() for row in out]
 
 
+def text_md5() -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("text_md5")
+
+
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (128-bit hash of the set; null without one) and signature of every document."""
+    """doc_id, text_md5, n_shingles, key (128-bit hash of the set; null without one) and signature of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -121,21 +136,21 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             if full:
                 for i, sig in zip(full, signatures([sets[i] for i in full])):
                     sigs[i], keys[i] = sig, xxhash.xxh3_128_digest(sets[i].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                                              pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
+                                              pa.array(sigs, pa.binary())], names=["doc_id", "text_md5", "n_shingles", "key", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, sig binary")
+    return docs.select("doc_id", text_md5(), "text").mapInArrow(run, "doc_id bigint, text_md5 binary, n_shingles bigint, key binary, sig binary")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text, so that less is shuffled to pick the documents with candidates."""
+    """doc_id, text_md5 and the compressed text, so that less is shuffled to pick the documents with candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch, texts in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t) for t in texts], pa.binary())], names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(t) for t in texts], pa.binary())], names=["doc_id", "text_md5", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, packed binary")
+    return docs.select("doc_id", text_md5(), "text").mapInArrow(run, "doc_id bigint, text_md5 binary, packed binary")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -153,7 +168,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array([sets[i].tobytes() for i in full], pa.binary()),
                                                       pa.array(signatures([sets[i] for i in full]), pa.binary())], names=["id", "set", "sig"])
 
-    return docs.select(F.col("doc_id").alias("id"), "packed").mapInArrow(run, "id bigint, set binary, sig binary")
+    return docs.select("id", "packed").mapInArrow(run, "id bigint, set binary, sig binary")
 
 
 def least_agreement(percent: int) -> float:
@@ -266,25 +281,85 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.select("id", "sig").mapInArrow(run, "id bigint, sketch binary")
 
 
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in the sets, by hash slot: ``SLOTS`` numbers whatever the sets hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for s in batch.column(0):
+                counts += 0 if not s.is_valid else np.bincount(np.frombuffer(s.as_buffer(), np.uint64) >> _SLOT, minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["slot", "n"])
+
+    got = sets.select("set").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int32)
+    counts[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**31 - 1)
+    return counts
+
+
+def rare_keys(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(key, id, lone, component): the rarest shingles of each set, so many that two sets alike share one of them.
+
+    Sets that are alike share at least ``percent`` of the larger one. So in one order of
+    all shingles, here rarest slot first, they meet within the first
+    ``size - percent of size + 1`` of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), SETS_AT_ONCE):
+                batch = whole.slice(start, SETS_AT_ONCE)
+                keys = []
+                for s in batch.column(3):
+                    s = np.frombuffer(s.as_buffer(), np.uint64)
+                    keys.append(s[np.lexsort((s, counts[s >> _SLOT]))[:len(s) - -(-percent * len(s) // 100) + 1]])
+                row = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[batch.column(c).take(row) for c in range(3)]],
+                                                 names=["key", "id", "lone", "component"])
+
+    return sets.select("id", "lone", "component", "set").mapInArrow(run, "key bigint, id bigint, lone boolean, component bigint")
+
+
 def crowd_links(crowd: DataFrame, sets: DataFrame, found: DataFrame, percent: int, least_depth: int) -> DataFrame:
     """Links that crowded regions of the least depth still hide: their classes
-    outside the main component against all of them, block by block. Sketches
-    pick the classes of a block that may have links in it, full sets confirm
-    them in place, and only links leave the task, one per class and component."""
-    least = least_agreement(percent)
+    outside the main component ("lone") against all of them.
+
+    An index of rare shingles finds them: alike sets share one of their rarest. Lists of up to
+    ``LIST`` classes give candidate pairs; classes that meet in longer
+    lists are compared in blocks, region by region."""
     member = crowd.where((F.col("level") == least_depth) & (F.col("n") > SMALL)).join(found, "id", "left")
-    member = member.select("at", "id", "n", F.coalesce("component", "id").alias("component"))
+    member = member.select("at", "id", F.coalesce("component", "id").alias("component"))
     sizes = member.groupBy("at", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("at").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    member = materialize(member.join(main.select("at", "main"), "at"), "lsh-members")
-    lone = member.where(F.col("component") != F.col("main"))
-    alone = lone.groupBy("at").agg(F.count("*").alias("n_lone"))
+    member = materialize(member.join(main.select("at", "main"), "at").select("at", "id", "component", (F.col("component") != F.col("main")).alias("lone")), "lsh-members")
+    classes = member.groupBy("id").agg(F.max("lone").alias("lone"), F.min("component").alias("component"))
+    held = sets.select("id", "set").join(classes, "id")
+    keys = materialize(rare_keys(held, rarity(held), percent), "lsh-keys")
+    lists = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.max("lone").alias("some")).where("n > 1 and some").select("key", "n"), "lsh-lists")
+    short = keys.join(lists.where(F.col("n") <= LIST), "key").groupBy("key").agg(F.collect_list(F.struct("id", "lone", "component")).alias("xs"))
+    pairs = short.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y"))
+    pairs = pairs.where("x.id > y.id and (x.lone or y.lone) and x.component <> y.component").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = materialize(pairs, "lsh-rare")
+    links = confirmed(likely(pairs, sets, percent), sets, percent)
+    hot = keys.join(lists.where(F.col("n") > LIST), "key", "left_semi").select("id").distinct()
+    return links.union(block_links(member.join(hot, "id", "left_semi"), sets, percent))
+
+
+def block_links(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the lone classes of each region ``at`` with all its classes, block by block.
+
+    Sketches pick the classes of a block that may have links in it, full sets confirm
+    them in place, and only links leave the task, one per class and component."""
+    least = least_agreement(percent)
+    counts = member.groupBy("at").agg(F.count("*").alias("n"), F.count_if("lone").alias("n_lone")).where("n_lone > 0")
+    member = materialize(member.join(counts, "at"), "lsh-hot")
     blocks, lone_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("n_lone") / BLOCK).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     held = materialize(sketches(sets.join(member.select("id").distinct(), "id", "left_semi")), "lsh-sketches")
-    x = lone.join(alone, "at").join(held, "id").select("at", own(lone_blocks).alias("p"), every(blocks).alias("q"), "id", "component", "sketch")
-    y = member.join(alone, "at").join(held, "id").select("at", every(lone_blocks).alias("p"), own(blocks).alias("q"), "id", "component", "sketch")
+    x = member.where("lone").join(held, "id").select("at", own(lone_blocks).alias("p"), every(blocks).alias("q"), "id", "component", "sketch")
+    y = member.join(held, "id").select("at", every(lone_blocks).alias("p"), own(blocks).alias("q"), "id", "component", "sketch")
     spot, names = ["at", "p", "q"], ["at", "p", "q", "id", "component"]
 
     def met(x: DataFrame, y: DataFrame, run, schema: str) -> DataFrame:
@@ -327,19 +402,24 @@ def crowd_links(crowd: DataFrame, sets: DataFrame, found: DataFrame, percent: in
     return met(x, y, run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_md5, n_shingles, component_id, stays for every document.
+
+    Rows are told apart by doc_id and text, so that rows with a repeated or a null
+    doc_id link by their own texts. ``component_id`` is the least doc_id of the group (null if
+    none has one); ``stays`` marks the (doc_id, text) that stands for it: the least, null ids last.
+    """
     feats = materialize(signed(docs, width), "lsh-signed")
-    keyed = feats.where("key is not null and doc_id is not null")
-    classes = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select(F.col("m.doc_id").alias("id"), "m.sig")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5", "sig"))
+    classes = feats.where("key is not null").groupBy("key").agg(first.alias("m")).select("key", "m.*", F.monotonically_increasing_id().alias("id"))
+    classes = materialize(classes, "lsh-classes")
     depths = levels(percent)
     rows = materialize(regions(classes, depths[0]), "lsh-regions")
     crowd = materialize(crowds(rows, depths), "lsh-crowds")
     pairs = materialize(candidates(rows, crowd, depths[0]), "lsh-pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    reps = packed(docs).join(need, F.col("doc_id") == F.col("need"), "left_semi")
-    # repeated rows of a doc_id with different texts: one of them stands for the id
-    sets = materialize(shingle_sets(reps.groupBy("doc_id").agg(F.min("packed").alias("packed")), width), "lsh-sets")
+    need = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", F.col("doc_id").alias("of"), F.col("text_md5").alias("md5"))
+    reps = packed(docs).join(need, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_md5") == F.col("md5")))
+    sets = materialize(shingle_sets(reps.groupBy("id").agg(F.min("packed").alias("packed")), width), "lsh-sets")
     # first the partner that most trees and levels propose for each class, then what that leaves apart
     best = pairs.groupBy(F.col("a").alias("x")).agg(F.max(F.struct("times", (-F.col("b")).alias("m"))).alias("m"))
     first = best.select(F.col("x").alias("a"), (-F.col("m.m")).alias("b"))
@@ -350,7 +430,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     late = materialize(crowd_links(crowd, sets, found, percent, depths[0]), "lsh-late")
     if not late.isEmpty():
         found = components(links.union(late))
-    ids = keyed.groupBy("key").agg(F.min("doc_id").alias("id"))
-    named = ids.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("c"))
-    out = feats.join(named, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    grouped = classes.drop("sig").join(found, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    heads = grouped.groupBy("group").agg(F.min(F.struct("none", "doc_id", "text_md5")).alias("head"))
+    named = grouped.select("key", "group").join(heads, "group").select(F.col("key").alias("of"), "head")
+    out = feats.join(named, F.col("key") == F.col("of"), "left")
+    stays = F.col("head").isNull() | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_md5") == F.col("head.text_md5")))
+    return out.select("doc_id", "text_md5", "n_shingles", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; one without a doc_id has no component_id and is kept."""
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return near_groups(docs, width, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -93,6 +93,15 @@ def test_near_duplicates_of_odd_rows(make_docs, prose):
     assert lsh_forest.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_groups_tell_rows_of_one_id_apart(make_docs, prose):
+    """A repeated or a null doc_id: every text links as its own, and one (doc_id, text) of a group stays."""
+    a, b, c = prose(9, 50), prose(10, 50), prose(11, 50)
+    docs = make_docs([a, b, a, None, c, c, b, "", ""], ids=[1, 1, 5, 9, None, None, None, None, 1], extra="id key sig m head")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["stays"]) for r in lsh_forest.near_groups(docs).collect()), key=repr)
+    assert got == sorted([(1, 46, 1, True), (1, 46, 1, True), (5, 46, 1, False), (9, 0, 9, True), (None, 46, None, True), (None, 46, None, True),
+                          (None, 46, 1, False), (None, 0, None, True), (1, 0, 1, True)], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(600, 700)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)]

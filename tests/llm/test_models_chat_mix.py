@@ -310,3 +310,31 @@ def test_pipeline_on_odd_documents(make_docs, edge_texts, spark, sf):
         if "text" not in docs.columns:
             break
         assert set(docs.columns) == set(empty.columns)
+
+
+def test_dedup_stage_on_repeated_ids_and_map_columns(spark, make_docs, prose, sf):
+    """One row of each group stays, whatever ids and other columns hold; rows without words all stay."""
+    from pyspark.sql import functions as F
+    a, b, c = prose(9, 50), prose(10, 50), prose(11, 50)
+    docs = make_docs([a, b, a, c, c, b, b, "", None, None], ids=[1, 1, 5, None, None, None, 1, 1, 1, None], sources=[f"s{9 - i}" for i in range(10)])
+    docs = docs.withColumn("tags", F.create_map(F.lit("k"), "source")).withColumn("row", F.lit(1)).repartition(3)
+    out = corpus_pipeline.dedup_stage(spark, docs, sf)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"], r["source"], r["tags"]["k"]) for r in out.collect()), key=repr)
+    assert got == sorted([(1, a, "s9", "s9"), (1, b, "s3", "s3"), (None, c, "s5", "s5"), (1, "", "s2", "s2"), (1, None, "s1", "s1"), (None, None, "s0", "s0")], key=repr)
+
+
+def test_scratch_tables_go(spark, make_docs):
+    from taskshift.llm import common
+    inside = []
+    before = spark.conf.get(common._CLEANUP, "false")
+    with common.scratch(spark):
+        inside.append(materialize(make_docs(["a"]), "gone").inputFiles()[0])
+        with common.scratch(spark):
+            inside.append(materialize(make_docs(["b"]), "gone").inputFiles()[0])
+        kept = common.written(make_docs(["c"]), "stays")
+        assert spark.conf.get(common._CLEANUP, "false") == before
+    for path in inside:
+        fs, at = common._folder(spark, path)
+        assert not fs.exists(at.getParent())
+    assert spark.read.parquet(kept).count() == 1
