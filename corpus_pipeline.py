@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskshift.llm import bpe, lsh_forest, quality_rules, secret_scan, source_mix
-from taskshift.llm.common import materialize, read
+from taskshift.llm.common import WORD, delete, read, scratch, written
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -26,16 +26,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: the document with the smallest doc_id of each group stays (five-word shingles, similarity 0.8).
+    """Near-dedup (five-word shingles, similarity 0.8): one document of each group stays, the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document; the least of them stays. Rows
-    without a doc_id stay.
+    Rows are told apart by doc_id and text: rows that share a doc_id but not
+    their text are judged by their texts, rows without a doc_id come after all
+    others of their group. Of rows that share both, one stays, the least by its
+    other columns. Documents without words all stay. Columns may be of any type.
     """
-    kept = lsh_forest.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
+    groups = lsh_forest.near_groups(docs)
+    kept = groups.where("stays and n_shingles > 0").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    d = docs.select("doc_id", row.alias("row")).where("doc_id is not null")
-    d = d.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
-    return d.unionByName(docs.where("doc_id is null"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    d = docs.select("doc_id", lsh_forest.text_md5(), row.alias("row"), (F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("")).alias("rest"), F.col("text").rlike(WORD).alias("words"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_md5") == F.col("__md5"))
+    one = d.where("words").join(kept, same, "left_semi").groupBy("doc_id", "text_md5").agg(F.min_by("row", "rest").alias("row")).select("row.*")
+    return one.unionByName(d.where(~F.coalesce("words", F.lit(False))).select("row.*"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +73,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` table."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the ``documents`` table. What a stage wrote for itself goes when its result is written, a result when the next one is."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            path = written(out, f"pipeline-{k}")
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
