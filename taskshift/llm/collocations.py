@@ -79,17 +79,18 @@ class WordIds(dict):
     """Id of a word in one language; 0 for end marks and, with a bit map, for words outside it."""
 
     def __init__(self, lang: str, seed: int, bits: np.ndarray | None = None):
-        self.lang, self.seed, self.bits = lang.encode(), seed, bits
+        self.lang, self.seed, self.bits = lang.encode() + b"\0", seed, bits
+        self.shift = 0 if bits is None else 65 - len(bits).bit_length()
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
         h = 0
         if word != b"\xff":
-            h = xxhash.xxh3_64_intdigest(self.lang + b"\0" + word, self.seed) or 1
-            if self.bits is not None and not passed(np.array([h], _U), self.bits)[0]:
+            h = xxhash.xxh3_64_intdigest(self.lang + word, self.seed) or 1
+            if self.bits is not None and not self.bits.item(h >> self.shift) >> (h & 63) & 1:
                 h = 0
-        self[word] = h
+        # the frequent words come early; what is rare is looked up again
+        if len(self) < WORDS_KEPT:
+            self[word] = h
         return h
 
 
