@@ -195,23 +195,31 @@ def _profile_sql(src: str, num: list[str], txt: list[str], times: list[str]) ->
     flags = "CAST(NULL AS BIGINT) AS n_true, CAST(NULL AS BIGINT) AS n_false"
     dates = "CAST(NULL AS VARCHAR) AS first_at, CAST(NULL AS VARCHAR) AS middle_at, CAST(NULL AS VARCHAR) AS last_at"
     parts = []
+    none = "CAST(NULL AS VARCHAR)"
     if num:
         ctes.append(f"nl AS ({union(num, 'CAST({} AS DOUBLE)')})")
+        ctes.append("""nb AS (SELECT skim_variable, CASE WHEN hi <= lo THEN 4 ELSE greatest(1, least(8, ceil((v - lo) / (hi - lo) * 8))) END AS bin
+    FROM (SELECT *, min(v) OVER (PARTITION BY skim_variable) AS lo, max(v) OVER (PARTITION BY skim_variable) AS hi FROM nl WHERE v IS NOT NULL)),
+nh AS (SELECT skim_variable AS hv, string_agg(substr('▁▂▃▅▆▇', greatest(1, (6 * c + most - 1) // most)::INTEGER, 1), '' ORDER BY k) AS hist
+    FROM (SELECT *, max(c) OVER (PARTITION BY skim_variable) AS most FROM (SELECT n.skim_variable, k, count(b.bin) AS c
+        FROM (SELECT DISTINCT skim_variable FROM nb) n CROSS JOIN range(1, 9) r(k) LEFT JOIN nb b ON b.skim_variable = n.skim_variable AND b.bin = k GROUP BY 1, 2)) GROUP BY 1)""")
         parts.append(f"""SELECT 'numeric' AS skim_type, skim_variable, {rate}, avg(v) AS mean, stddev_samp(v) AS sd,
       quantile_cont(v, 0.0) AS p0, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75,
-      quantile_cont(v, 1.0) AS p100, CAST(NULL AS BIGINT) AS n_unique, {lens}, {flags}, {dates}
-    FROM nl, tot GROUP BY skim_variable""")
+      quantile_cont(v, 1.0) AS p100, CAST(NULL AS BIGINT) AS n_unique, {lens}, {flags}, {dates}, max(hist) AS hist, {none} AS top_counts
+    FROM tot, nl LEFT JOIN nh ON hv = skim_variable GROUP BY skim_variable""")
     if txt:
         ctes.append(f"tl AS ({union(txt, '{}')})")
+        ctes.append("""tt AS (SELECT skim_variable AS tv, string_agg(v || ': ' || c, ', ' ORDER BY c DESC, v) AS top FROM (SELECT skim_variable, v, count(*) AS c FROM tl
+    WHERE v IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY skim_variable ORDER BY count(*) DESC, v) <= 4) GROUP BY 1)""")
         parts.append(f"""SELECT 'character' AS skim_type, skim_variable, {rate}, {stats}, count(DISTINCT v) AS n_unique,
       min(length(v)) AS min_len, max(length(v)) AS max_len, count(CASE WHEN v = '' THEN 1 END) AS n_empty,
-      count(CASE WHEN regexp_full_match(v, '[ \t\n\r\f]+') THEN 1 END) AS n_whitespace, {flags}, {dates}
-    FROM tl, tot GROUP BY skim_variable""")
+      count(CASE WHEN regexp_full_match(v, '[ \t\n\r\f]+') THEN 1 END) AS n_whitespace, {flags}, {dates}, {none} AS hist, coalesce(max(top), '') AS top_counts
+    FROM tot, tl LEFT JOIN tt ON tv = skim_variable GROUP BY skim_variable""")
     if times:
         ctes.append(f"dl AS ({union(times, '{}')})")
         at = "strftime({}, '%Y-%m-%d %H:%M:%S')"
         parts.append(f"""SELECT 'date' AS skim_type, skim_variable, {rate}, {stats}, count(DISTINCT v) AS n_unique, {lens}, {flags},
-      {at.format('min(v)')} AS first_at, {at.format('quantile_disc(v, 0.5)')} AS middle_at, {at.format('max(v)')} AS last_at
+      {at.format('min(v)')} AS first_at, {at.format('quantile_disc(v, 0.5)')} AS middle_at, {at.format('max(v)')} AS last_at, {none} AS hist, {none} AS top_counts
     FROM dl, tot GROUP BY skim_variable""")
     return ",\n".join(ctes), "\n    UNION ALL ".join(parts)
 
@@ -220,6 +228,11 @@ _PROFILE_D = ["complete_rate", "mean", "sd", "p0", "p25", "p50", "p75", "p100"]
 ORACLE["table_profile"] = q(*_profile_sql("tasks", ["task_id"] + SCORES, ["soc_code", "task", "title"], []), _PROFILE_D)
 ORACLE["orders_profile"] = q(*_profile_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"],
                                            ["o_orderdate"]), _PROFILE_D)
+# the sketches' errors are within their bounds: exact figures, and TRUE
+_audit = lambda sql: f"""SELECT skim_variable, skim_type, n_missing, n_unique, p0, p100, CASE WHEN n_unique IS NOT NULL THEN true END AS distinct_ok,
+    CASE WHEN skim_type = 'numeric' THEN true END AS rank_ok, true AS exact_ok FROM ({sql})"""
+_ctes, _rows = _profile_sql("tasks", ["task_id"] + SCORES, ["soc_code", "task", "title"], [])
+ORACLE["profile_sketch_audit"] = q(_ctes, _audit(_rows), ["p0", "p100"])
 
 ORACLE["occ_task"] = q("", f"""
     SELECT t.soc_code, t.task, t.title, {', '.join('t.' + s for s in SCORES)}, {grp('t.soc_code')} AS occ_2,

@@ -288,18 +288,46 @@ def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float
 
 PROFILE_COLUMNS = ["skim_type", "skim_variable", "n_missing", "complete_rate", "mean", "sd",
                    "p0", "p25", "p50", "p75", "p100", "n_unique", "min_len", "max_len", "n_empty",
-                   "n_whitespace", "n_true", "n_false", "first_at", "middle_at", "last_at"]
+                   "n_whitespace", "n_true", "n_false", "first_at", "middle_at", "last_at", "hist", "top_counts"]
+#: Bins and signs of the small histogram, and how many of the most frequent texts are listed.
+HIST_BINS, BARS, TOP = 8, "▁▂▃▅▆▇", 4
 _PROFILE_TYPES = {"double": "numeric", "float": "numeric", "byte": "numeric", "short": "numeric", "integer": "numeric", "long": "numeric",
                   "decimal": "numeric", "string": "character", "boolean": "logical", "date": "date", "timestamp": "date", "timestamp_ntz": "date"}
 
 
-def _profile_rows(df: DataFrame, **cols: Column) -> DataFrame:
-    """Profile rows: the given statistics, NULL for the others."""
-    types = dict.fromkeys(("mean", "sd", "p0", "p25", "p50", "p75", "p100"), "double") | dict.fromkeys(("first_at", "middle_at", "last_at"), "string")
+def profile_kind(data_type) -> str:
+    """How a column of this type is profiled."""
+    return _PROFILE_TYPES.get(data_type.typeName(), "other")
+
+
+def profile_number(field: StructField) -> Column:
+    """A numeric column as a double; a date as its day, a timestamp as its microsecond."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return c.cast("double")
+
+
+def bars(counts: Sequence[Column]) -> Column:
+    """Counts of bins as a row of bars, the highest for the largest count (NULL without rows)."""
+    most = F.greatest(*counts)
+    return F.when(most > 0, F.concat(*[F.substring(F.lit(BARS), F.greatest(F.lit(1), F.ceil(len(BARS) * c / most)).cast("int"), F.lit(1)) for c in counts]))
+
+
+def hist_bin(v: Column, lo: Column, hi: Column) -> Column:
+    """Bin 1 to HIST_BINS of a value: equal widths from lo to hi, closed on the right, the lowest value in the first; one value alone in a middle bin."""
+    return F.when(hi <= lo, F.lit(HIST_BINS // 2)).otherwise(F.greatest(F.lit(1), F.least(F.lit(HIST_BINS), F.ceil((v - lo) / (hi - lo) * HIST_BINS)))).cast("int")
+
+
+def profile_rows(df: DataFrame, keep: Sequence[str] = (), **cols: Column) -> DataFrame:
+    """Profile rows: the given statistics, NULL for the others; columns in ``keep`` go first."""
+    types = dict.fromkeys(("mean", "sd", "p0", "p25", "p50", "p75", "p100"), "double") | dict.fromkeys(("first_at", "middle_at", "last_at", "hist", "top_counts"), "string")
     own = {"skim_type": F.col("kind"), "skim_variable": F.col("skim_variable"), "n_missing": F.col("n_missing").cast("bigint"),
            "complete_rate": safe_div(F.col("total") - F.col("n_missing"), "total")} | cols
-    return df.select(*[own.get(c, F.lit(None)).cast(types.get(c, "bigint")).alias(c) if c not in own or c in cols else own[c].alias(c)
-                       for c in PROFILE_COLUMNS])
+    return df.select(*keep, *[own.get(c, F.lit(None)).cast(types.get(c, "bigint")).alias(c) if c not in own or c in cols else own[c].alias(c)
+                              for c in PROFILE_COLUMNS])
 
 
 def profile(df: DataFrame, approx: Sequence[str] = ()) -> DataFrame:
@@ -307,7 +335,10 @@ def profile(df: DataFrame, approx: Sequence[str] = ()) -> DataFrame:
     for all; mean, sd and exact quartiles for numeric columns (decimals as
     doubles); distinct count, lengths and empty and blank counts for text;
     counts of both values for logical columns; distinct count, first, middle
-    (lower median) and last for dates and timestamps.
+    (lower median) and last for dates and timestamps. ``hist`` shows the
+    shape of a numeric column in HIST_BINS bars, ``top_counts`` the TOP most frequent
+    texts with their counts (ties: smaller first). ``sketches.profile_sketch`` gives
+    the same columns from one scan, with stated errors.
 
     Missing counts come from one aggregate of a single row. Numbers and dates
     become (variable, value) counts in one aggregation, sorted once and
@@ -317,17 +348,12 @@ def profile(df: DataFrame, approx: Sequence[str] = ()) -> DataFrame:
     to distinct values: their quartiles come from ``percentile_approx`` in the
     first aggregate."""
     var = "skim_variable"
-    of = {f.name: _PROFILE_TYPES.get(f.dataType.typeName(), "other") for f in df.schema.fields}
+    of = {f.name: profile_kind(f.dataType) for f in df.schema.fields}
     col = lambda c: F.col(f"`{c}`")
     if not of:
         raise ValueError("a table without columns has no profile")
 
-    def number(c: str) -> Column:
-        kind = df.schema[c].dataType.typeName()
-        if kind == "date":
-            return F.unix_date(col(c)).cast("double")
-        return F.unix_micros(col(c).cast("timestamp")).cast("double") if kind.startswith("timestamp") else col(c).cast("double")
-
+    number = lambda c: profile_number(df.schema[c])
     rough = [c for c in approx if of.get(c) == "numeric"]
     first = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(of)],
                    *[F.count(F.when(col(c), 1)).alias(f"t{i}") for i, c in enumerate(of) if of[c] == "logical"],
@@ -347,7 +373,7 @@ def profile(df: DataFrame, approx: Sequence[str] = ()) -> DataFrame:
     parts = []
     if any(k in ("logical", "other") for k in of.values()) or rough:
         plain = per_var.where(F.col("kind").isin("logical", "other") | F.col("rough"))
-        parts.append(_profile_rows(plain, mean=F.coalesce("mean", safe_div("n_true", here)), sd=F.col("sd"), n_true=F.col("n_true"),
+        parts.append(profile_rows(plain, mean=F.coalesce("mean", safe_div("n_true", here)), sd=F.col("sd"), n_true=F.col("n_true"),
                                    n_false=here - F.col("n_true"), **{p: F.get("q", i) for i, p in enumerate(quartiles)}))
     exact = [c for c in of if of[c] in ("numeric", "date") and c not in rough]
     text = [c for c in of if of[c] == "character"]
@@ -363,8 +389,10 @@ def profile(df: DataFrame, approx: Sequence[str] = ()) -> DataFrame:
             reach(F.ceil(F.col("__n") / 2)).alias("middle"),
             *[x for p, h in at.items() for x in (reach(F.floor(h)).alias(f"lo_{p}"), reach(F.ceil(h)).alias(f"hi_{p}"))])
         off = F.col("v") - F.col("mean")
-        away = rows.join(F.broadcast(stats.select(var, "mean")), var).groupBy(var).agg(
-            F.sqrt(F.try_divide(F.sum(F.col("__c") * off * off), (F.max("__n") - 1).cast("double"))).alias("sd"))
+        into = hist_bin(F.col("v"), F.col("lo_p0"), F.col("hi_p100"))
+        away = rows.join(F.broadcast(stats.select(var, "mean", "lo_p0", "hi_p100")), var).groupBy(var).agg(
+            F.sqrt(F.try_divide(F.sum(F.col("__c") * off * off), (F.max("__n") - 1).cast("double"))).alias("sd"),
+            *[F.sum(F.when(into == i + 1, F.col("__c")).otherwise(0)).alias(f"bin{i}") for i in range(HIST_BINS)])
         s = per_var.drop("mean", "sd").where(F.col("kind").isin("numeric", "date") & ~F.col("rough"))
         s = s.join(F.broadcast(stats), var, "left").join(F.broadcast(away), var, "left")
         number_, date_ = (lambda c: F.when(F.col("kind") == "numeric", c)), (lambda c: F.when(F.col("kind") == "date", c))
@@ -372,7 +400,7 @@ def profile(df: DataFrame, approx: Sequence[str] = ()) -> DataFrame:
         shown = lambda c: date_(F.when(days, F.date_from_unix_date(F.col(c).cast("int")).cast("string")).otherwise(
             F.date_format(F.timestamp_micros(F.col(c).cast("bigint")), "yyyy-MM-dd HH:mm:ss")))
         between = {p: number_(F.col(f"lo_{p}") + (h - F.floor(h)) * (F.col(f"hi_{p}") - F.col(f"lo_{p}"))) for p, h in at.items()}
-        parts.append(_profile_rows(s, mean=number_(F.col("mean")), sd=number_(F.col("sd")), n_unique=date_(F.coalesce("n_unique", F.lit(0))),
+        parts.append(profile_rows(s, mean=number_(F.col("mean")), sd=number_(F.col("sd")), hist=number_(bars([F.col(f"bin{i}") for i in range(HIST_BINS)])), n_unique=date_(F.coalesce("n_unique", F.lit(0))),
                                    first_at=shown("lo_p0"), middle_at=shown("middle"), last_at=shown("hi_p100"), **between))
     if text:
         long = to_long(df.select(*[col(c) for c in text]), [], text, var, "s")
@@ -381,10 +409,13 @@ def profile(df: DataFrame, approx: Sequence[str] = ()) -> DataFrame:
             F.count(F.lit(1)).alias("n_unique"), F.min(F.length("s")).alias("min_len"), F.max(F.length("s")).alias("max_len"),
             F.sum(F.when(F.col("s") == "", F.col("c")).otherwise(0)).alias("n_empty"),
             F.sum(F.when(F.col("s").rlike("^[ \\t\\n\\r\\f]+$"), F.col("c")).otherwise(0)).alias("n_whitespace"))
-        s = per_var.where("kind = 'character'").drop("n_true").join(F.broadcast(t), var, "left")
+        first = Window.partitionBy(var).orderBy(F.desc("c"), "s")
+        most = values.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= TOP).groupBy(var).agg(
+            F.sort_array(F.collect_list(F.struct("__r", F.concat("s", F.lit(": "), F.col("c").cast("string")).alias("t")))).alias("top"))
+        s = per_var.where("kind = 'character'").drop("n_true").join(F.broadcast(t), var, "left").join(F.broadcast(most), var, "left")
         zero = lambda c: F.coalesce(c, F.lit(0))
-        parts.append(_profile_rows(s, n_unique=zero("n_unique"), min_len=F.col("min_len"), max_len=F.col("max_len"),
-                                   n_empty=zero("n_empty"), n_whitespace=zero("n_whitespace")))
+        parts.append(profile_rows(s, n_unique=zero("n_unique"), min_len=F.col("min_len"), max_len=F.col("max_len"),
+                                  n_empty=zero("n_empty"), n_whitespace=zero("n_whitespace"), top_counts=F.coalesce(F.array_join(F.col("top.t"), ", "), F.lit(""))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

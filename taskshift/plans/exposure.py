@@ -12,6 +12,7 @@ from taskshift.functions.bands import (TRAINING_ORDER, at_least, demographic_typ
 from taskshift.functions.columns import by_position, cols_containing, display_demographic, front, numeric_cols
 from taskshift.functions.labels import percent_label
 from taskshift.functions.nulls import mean_skip, mean_strict, safe_div, sum_strict, to_number, wmean
+from taskshift.operators import sketches
 from taskshift.operators.joins import join_null_safe, join_report, with_major_group
 from taskshift.operators.reshape import split_last, to_long, very_wide_to_long
 from taskshift.operators.shares import threshold_summary
@@ -32,6 +33,16 @@ def table_profile(tasks: DataFrame) -> DataFrame:
     return profile(tasks)
 
 
+def table_profile_sketch(tasks: DataFrame) -> DataFrame:
+    """Column profile of a table from one scan, with stated errors (operators/sketches.py)."""
+    return sketches.profile_sketch(tasks)
+
+
+def profile_sketch_audit(tasks: DataFrame) -> DataFrame:
+    """Whether the sketch profile of a table, made in parts and merged, is within its stated errors."""
+    return sketches.sketch_audit(tasks)
+
+
 def occ_task(tasks: DataFrame) -> DataFrame:
     """Task rows (id dropped) with their major group attached."""
     return with_major_group(tasks.drop("task_id"), "soc_code")

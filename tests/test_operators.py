@@ -3,6 +3,8 @@
 import math
 import random
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -229,3 +231,19 @@ def test_empty_inputs(spark):
     assert histogram(df, ["g"], "x").count() == 0
     r = weighted_quantiles(df, "x", "w", [0.0, 1.0]).collect()
     assert len(r) == 1 and r[0][0] is None
+
+
+def test_profile_histogram_and_top_counts(spark):
+    rng = np.random.default_rng(4)
+    x = [float(v) for v in rng.integers(0, 50, 400)] + [None, 49.0, 0.0]
+    t = [["pear", "fig", "", "kiwi", "plum", None][i % 6] if i % 7 else "pear" for i in range(len(x))]
+    df = spark.createDataFrame([(a, b, 5.0, None) for a, b in zip(x, t)], "x double, t string, one double, none double")
+    p = {r["skim_variable"]: r for r in profile(df).collect()}
+    v = np.array([a for a in x if a is not None])
+    # published rule: bins of equal width, closed on the right, the lowest value in the first; bars by sixths of the highest
+    bins = np.maximum(1, np.ceil((v - v.min()) / (v.max() - v.min()) * 8)).astype(int)
+    counts = [int((bins == k + 1).sum()) for k in range(8)]
+    assert p["x"]["hist"] == "".join("▁▂▃▅▆▇"[max(1, -(-6 * c // max(counts))) - 1] for c in counts)
+    assert p["one"]["hist"] == "▁▁▁▇▁▁▁▁" and p["none"]["hist"] is None and p["t"]["hist"] is None
+    top = sorted(Counter(b for b in t if b is not None).items(), key=lambda kv: (-kv[1], kv[0]))[:4]
+    assert p["t"]["top_counts"] == ", ".join(f"{k}: {n}" for k, n in top) and p["x"]["top_counts"] is None
