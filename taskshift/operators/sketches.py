@@ -100,14 +100,17 @@ def merge_sketches(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     all_n, all_sum = F.sum("n"), F.sum(n * mean)
     # sum of squares about the common mean: own ones, and the means' about theirs
     apart = F.sum(n * mean * mean) - safe_div(all_sum * all_sum, F.sum(F.when(mean.isNotNull(), n)))
-    has_top = rows.schema["top"].dataType.typeName() == "struct"
-    items = F.max("top.maxItemsTracked")
-    merged = rows.groupBy(*by, VAR, "kind").agg(
-        F.max("days").alias("days"), F.sum("total").alias("total"), all_n.alias("n"), F.sum("n_true").alias("n_true"),
-        safe_div(all_sum, F.sum(F.when(mean.isNotNull(), n))).alias("mean"), (F.sum("m2") + F.greatest(apart, F.lit(0.0))).alias("m2"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("min_len").alias("min_len"), F.max("max_len").alias("max_len"),
-        F.sum("n_empty").alias("n_empty"), F.sum("n_whitespace").alias("n_whitespace"), F.hll_union_agg("hll").alias("hll"),
-        F.kll_merge_agg_double("kll").alias("kll"), (F.expr("approx_top_k_combine(top)") if has_top else F.first("top")).alias("top"))
+    aggs = [F.max("days").alias("days"), F.sum("total").alias("total"), all_n.alias("n"), F.sum("n_true").alias("n_true"),
+            safe_div(all_sum, F.sum(F.when(mean.isNotNull(), n))).alias("mean"), (F.sum("m2") + F.greatest(apart, F.lit(0.0))).alias("m2"),
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("min_len").alias("min_len"), F.max("max_len").alias("max_len"),
+            F.sum("n_empty").alias("n_empty"), F.sum("n_whitespace").alias("n_whitespace"), F.hll_union_agg("hll").alias("hll"),
+            F.kll_merge_agg_double("kll").alias("kll")]
+    # states of frequent items are combined where there are some: the function takes no nulls
+    none = F.lit(None).cast(rows.schema["top"].dataType)
+    merged = rows.where("top is null").groupBy(*by, VAR, "kind").agg(*aggs, F.first(none).alias("top"))
+    if rows.schema["top"].dataType.typeName() == "struct":
+        texts = rows.where("top is not null").groupBy(*by, VAR, "kind").agg(*aggs, F.expr("approx_top_k_combine(top)").alias("top"))
+        merged = merged.unionByName(texts)
     return merged.select(*by, *[c for c in rows.columns if c in merged.columns and c not in by])
 
 
