@@ -20,9 +20,13 @@ from taskshift.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
+#: In writes shuffle files go when their query ends, and Arrow batches of long rows stay small on both sides.
 _CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+_IN_WRITES = {_CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 _lock = threading.Lock()
-_writers: list[str] = []
+_writers: list[dict[str, str]] = []
+# workers give freed batches back to the system
+pa.set_memory_pool(pa.system_memory_pool())
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
@@ -31,27 +35,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """While any write runs in here, shuffle files go when their query ends; then the session's own setting is back."""
+def write_settings(spark: SparkSession) -> Iterator[None]:
+    """While any write runs in here its settings hold; after the last one the session's own are back."""
     with _lock:
         if not _writers:
-            _writers.append(spark.conf.get(_CLEANUP, "false"))
-            spark.conf.set(_CLEANUP, "true")
-        _writers.append("")
+            _writers.append({k: spark.conf.get(k) for k in _IN_WRITES})
+            for k, v in _IN_WRITES.items():
+                spark.conf.set(k, v)
+        _writers.append({})
     try:
         yield
     finally:
         with _lock:
             _writers.pop()
             if len(_writers) == 1:
-                spark.conf.set(_CLEANUP, _writers.pop())
+                for k, v in _writers.pop().items():
+                    spark.conf.set(k, v)
 
 
 def written(df: DataFrame, tag: str) -> str:
     """Path of ``df``, written to the cluster's shared checkpoint folder; it goes when the application ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
+    with write_settings(spark):
         df.write.parquet(path)
     fs, at = _folder(spark, path)
     fs.deleteOnExit(at)
