@@ -467,19 +467,22 @@ dbw AS (SELECT ai_cat, n, mn, mx,
                                       WHEN sd > 0 THEN sd ELSE CAST(1 AS DOUBLE) END)
             * pow(CAST(n AS DOUBLE), CAST(-0.2 AS DOUBLE)) AS bw FROM dst),
 djoint AS (SELECT avg(CASE WHEN n > 1 THEN bw END) AS bw, min(mn) AS lo, max(mx) AS hi FROM dbw),
-dpar AS (SELECT d.ai_cat, d.n, j.bw, j.lo - 3 * j.bw AS g_lo, (j.hi - j.lo + 2 * 3 * j.bw) / 511 AS g_step
+dpar AS (SELECT d.ai_cat, d.n, j.bw, j.lo - 3 * j.bw AS g_lo, (j.hi - j.lo + 2 * 3 * j.bw) / 511 AS g_step,
+           j.lo - 7 * j.bw AS b_lo, (j.hi - j.lo + 2 * 7 * j.bw) / 511 AS b_step
          FROM dbw d, djoint j),
-dpos AS (SELECT v.ai_cat, (v.x - p.g_lo) / p.g_step AS pos FROM dv v JOIN dpar p ON p.ai_cat = v.ai_cat),
+dpos AS (SELECT v.ai_cat, (v.x - p.b_lo) / p.b_step AS pos FROM dv v JOIN dpar p ON p.ai_cat = v.ai_cat),
 dcell AS (SELECT ai_cat, CAST(floor(pos) AS BIGINT) AS i, 1 - (pos - floor(pos)) AS m FROM dpos
           UNION ALL SELECT ai_cat, CAST(floor(pos) AS BIGINT) + 1, pos - floor(pos) FROM dpos),
 dmass AS (SELECT ai_cat, i, sum(m) AS m FROM dcell WHERE i >= 0 AND i < 512 GROUP BY ai_cat, i),
-dgrid AS (SELECT p.ai_cat, g.i, p.g_lo + p.g_step * g.i AS x, p.n, p.bw, p.g_lo, p.g_step
+-- the convolution of the binned masses, summed out on the same grid
+dconv AS (SELECT p.ai_cat, g.i, sum(d.m * exp(-0.5 * ((g.i - d.i) * p.b_step / p.bw) * ((g.i - d.i) * p.b_step / p.bw)))
+            / (p.n * p.bw * sqrt(2 * pi())) AS y
+          FROM dpar p, range(512) g(i), dmass d WHERE d.ai_cat = p.ai_cat GROUP BY p.ai_cat, g.i, p.n, p.bw),
+dgrid AS (SELECT p.ai_cat, g.i, p.g_lo + p.g_step * g.i AS x, (p.g_lo + p.g_step * g.i - p.b_lo) / p.b_step AS at_pos
           FROM dpar p, range(512) g(i))""", """
-    SELECT g.ai_cat, g.i, g.x,
-      sum(d.m * exp(-0.5 * ((g.x - (g.g_lo + g.g_step * d.i)) / g.bw) * ((g.x - (g.g_lo + g.g_step * d.i)) / g.bw)))
-        / (g.n * g.bw * sqrt(2 * pi())) AS density
-    FROM dgrid g JOIN dmass d ON d.ai_cat = g.ai_cat
-    GROUP BY g.ai_cat, g.i, g.x, g.n, g.bw""", ["x", "density"])
+    SELECT g.ai_cat, g.i, g.x, a.y + (g.at_pos - floor(g.at_pos)) * (b.y - a.y) AS density
+    FROM dgrid g JOIN dconv a ON a.ai_cat = g.ai_cat AND a.i = CAST(floor(g.at_pos) AS BIGINT)
+    JOIN dconv b ON b.ai_cat = g.ai_cat AND b.i = CAST(floor(g.at_pos) AS BIGINT) + 1""", ["x", "density"])
 
 ORACLE["share_box_by_group"] = q(f"""
 sm AS (SELECT ai_cat, occ_group, {ms('pct_tasks')} AS mean_value FROM share GROUP BY 1, 2),
@@ -571,3 +574,60 @@ ORACLE["group_score_mean_sd"] = q("", f"""
     SELECT g.occ_group, 'gpt4_automation' AS name, {ms('t.gpt4_automation')} AS mean_rating,
       {sds('t.gpt4_automation')} AS sd_rating
     {_occ_join} GROUP BY g.occ_group""", ["mean_rating", "sd_rating"])
+
+# -- audits: every step counted on its own -------------------------------------------------
+
+_N = "CAST(NULL AS BIGINT)"
+
+
+def _step(k: int, name: str, kind: str, rows_in, right=_N, matched=_N, unmatched=_N, right_only=_N, dropped=_N, rows_out=_N) -> str:
+    cells = zip((rows_in, right, matched, unmatched, right_only, dropped, rows_out), ("rows_in", "rows_right", "matched", "unmatched", "right_only", "dropped", "rows_out"))
+    return f"SELECT {k} AS step, '{name}' AS name, '{kind}' AS kind, " + ", ".join(f"{c if c == _N else f'CAST(({c}) AS BIGINT)'} AS {n}" for c, n in cells)
+
+
+_count = "SELECT count(*) FROM {}".format
+_soc_steps = [
+    _step(1, "mean per SOC", "group", _count("tasks"), rows_out=_count("au_soc")),
+    _step(2, "national employment", "inner join", _count("au_soc"), _count("us_emp"), _count("score_emp"),
+          _count("au_soc WHERE soc NOT IN (SELECT soc FROM us_emp)"), _count("us_emp WHERE soc NOT IN (SELECT soc FROM au_soc)"),
+          _count("au_soc WHERE soc NOT IN (SELECT soc FROM us_emp)"), _count("score_emp"))]
+_au_soc = f"au_soc AS (SELECT DISTINCT {soc6c('soc_code')} AS soc FROM tasks)"
+ORACLE["audit_group_beta_wage"] = q(f"""{_au_soc},
+au_sg AS (SELECT se.*, g.occ_2 IS NOT NULL AS known, g.short_name FROM score_emp se LEFT JOIN occ_groups g ON g.occ_2 = {grp('se.soc')})""", "\n    UNION ALL ".join([
+    *_soc_steps,
+    _step(3, "occupation group", "left join", _count("score_emp"), _count("occ_groups"), _count("au_sg WHERE known"), _count("au_sg WHERE NOT known"),
+          dropped="0", rows_out=_count("au_sg")),
+    _step(4, "jobs known", "filter", _count("au_sg"), dropped=_count("au_sg WHERE jobs IS NULL"), rows_out=_count("au_sg WHERE jobs IS NOT NULL")),
+    _step(5, "mean per group", "group", _count("au_sg WHERE jobs IS NOT NULL"), rows_out=_count("(SELECT DISTINCT short_name FROM au_sg WHERE jobs IS NOT NULL)"))]), [])
+ORACLE["audit_master_score"] = q(f"""{_au_soc},
+au_st AS (SELECT s.soc_code IS NOT NULL AS known FROM tasks t LEFT JOIN task_statements s
+    ON s.soc_code IS NOT DISTINCT FROM t.soc_code AND s.task_id IS NOT DISTINCT FROM t.task_id AND s.task IS NOT DISTINCT FROM t.task),
+au_wide AS (SELECT DISTINCT {soc6c('soc_code')} AS soc FROM share)""", "\n    UNION ALL ".join([
+    *_soc_steps,
+    _step(3, "task statements", "left join", _count("tasks"), _count("task_statements"), _count("au_st WHERE known"), _count("au_st WHERE NOT known"),
+          _count("(SELECT s.* FROM task_statements s WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE s.soc_code IS NOT DISTINCT FROM t.soc_code AND s.task_id IS NOT DISTINCT FROM t.task_id AND s.task IS NOT DISTINCT FROM t.task))"),
+          "0", _count("au_st")),
+    _step(4, "category shares per occupation", "group", _count("classified"), rows_out=_count("share")),
+    _step(5, "shares per SOC, wide", "group", _count("share"), rows_out=_count("au_wide")),
+    _step(6, "category shares", "left join", _count("score_emp"), _count("au_wide"), _count("score_emp WHERE soc IN (SELECT soc FROM au_wide)"),
+          _count("score_emp WHERE soc NOT IN (SELECT soc FROM au_wide)"), _count("au_wide WHERE soc NOT IN (SELECT soc FROM score_emp)"), "0", _count("score_emp"))]), [])
+
+# -- failed cells: every cell of the exported matrix, its stray header row included ----------
+
+ORACLE["staffing_failed_cells"] = q("""
+cells AS (SELECT naics6_code AS industry, CAST(jobs AS VARCHAR) AS cell FROM staffing_long_src
+          UNION ALL SELECT DISTINCT naics6_code, 'Industry ' || naics6_code FROM staffing_long_src)""", """
+    SELECT industry AS "column", 'double' AS "type", count(cell) AS cells, count(CASE WHEN try_cast(cell AS DOUBLE) IS NULL THEN 1 END) AS failed,
+      string_agg(CASE WHEN try_cast(cell AS DOUBLE) IS NULL THEN cell END, '; ') AS sample
+    FROM cells GROUP BY industry""", [])
+
+# -- written as delimited text by the sink, read again with a guessed delimiter ----------------
+
+ORACLE["statements_round_trip"] = q("", "SELECT soc_code, task_id, task, task_type FROM task_statements", [])
+
+# -- weighted quartiles of a summary: their weighted ranks are within the stated error ---------
+
+ORACLE["wage_quartile_sketch_audit"] = q("", """
+    SELECT p AS prob, (SELECT count(*) FROM us_emp WHERE avg_hourly_earnings IS NOT NULL AND jobs > 0) AS n_rows,
+      (SELECT sum(jobs) FROM us_emp WHERE avg_hourly_earnings IS NOT NULL AND jobs > 0) AS total, true AS rank_ok
+    FROM (VALUES (CAST(0.0 AS DOUBLE)), (0.25), (0.5), (0.75), (1.0)) v(p)""", ["prob", "total"])

@@ -14,14 +14,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from taskshift.operators.audit import Audit
 from taskshift.sources.lookups import occ_groups, sectors
 from taskshift.functions import codes
 
 
-def with_major_group(df: DataFrame, code_col: str) -> DataFrame:
+def with_major_group(df: DataFrame, code_col: str, audit: Audit | None = None) -> DataFrame:
     """Add ``occ_2`` from a code column and left-join the major-group lookup."""
-    spark = df.sparkSession
-    return df.withColumn("occ_2", codes.major_group(code_col)).join(occ_groups(spark), "occ_2", "left")
+    coded, groups = df.withColumn("occ_2", codes.major_group(code_col)), occ_groups(df.sparkSession)
+    if audit:
+        return audit.join(coded, groups, ["occ_2"], "left", "occupation group", right_only=False)
+    return coded.join(groups, "occ_2", "left")
 
 
 def with_sector(df: DataFrame, naics6_col: str, keep_unmatched: bool = False) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from taskshift.functions.nulls import mean_strict, safe_div
+from taskshift.operators import weighted_sketch
 from taskshift.operators.joins import join_null_safe
 from taskshift.operators.ordering import prefix_sum
 from taskshift.operators.reshape import to_long, very_wide_to_long
@@ -96,9 +97,12 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Sequence[
 
 
 def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float],
-                       names: Sequence[str] | None = None) -> DataFrame:
+                       names: Sequence[str] | None = None, sketch: int | None = None) -> DataFrame:
     """Frequency-weighted quantiles (one row).
 
+    ``sketch`` (a size) takes them from a mergeable summary of bounded memory
+    instead of the sorted values; ``weighted_sketch`` states its rank error.
+
     Rows with a missing value or weight are dropped, and so are zero
     weights. With distinct values sorted and cumulative weights ``cum``
     (total ``n``), for each prob ``p``: ``pos = 1 + (n-1) p``,
@@ -107,6 +111,10 @@ def weighted_quantiles(df: DataFrame, x: str, w: str, probs: Sequence[float],
     ``(1 - frac(pos)) v(low) + frac(pos) v(high)``.
     """
     names = list(names or [_qname(p) for p in probs])
+    if sketch:
+        made = weighted_sketch.weighted_sketch(df, [], x, w, sketch)
+        # a table without rows has no summary, and one row of missing quantiles
+        return weighted_sketch.quantiles_from_sketch(made, [], probs, names).agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in names])
     clean = df.where(F.col(x).isNotNull() & F.col(w).isNotNull() & (F.col(w) > 0))
     rows = cumulative_by_group(clean, [], x, F.col(w).cast("double"))
     n = F.col("__n").cast("double")
@@ -225,41 +233,53 @@ def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float
     min - cut*bw to max + cut*bw; otherwise each facet has its own bandwidth
     and grid.
 
+    Values are binned linearly onto ``grid`` points from 4 bandwidths below the
+    evaluation grid to 4 above (each value splits its count between its two
+    neighbours), the bins are convolved with the kernel by FFT on a doubled
+    grid, so that nothing wraps round, and the result is interpolated linearly
+    at the evaluation points: the charting library's way of computing it.
+
     The input is reduced once to distinct (facet, value, count) rows (the
-    checkpointed table of ``cumulative_by_group``); quartiles, min/max, the
-    two-pass standard deviation and the linear binning onto the grid (each
-    value splits its count between its two neighbouring grid points) all
-    read that table. The kernel sum per facet then touches only ``grid``
-    binned masses, whatever the row count; it runs with numpy on one
-    ``grid``-row group per facet."""
+    checkpointed table of ``cumulative_by_group``). Counts, range, quartiles and
+    mean come from one aggregate of it, the two-pass standard deviation from a
+    second; the facets' parameters (one row each) are checkpointed, so that
+    binning reads the two tables and nothing else. Only binned masses
+    (``grid`` rows per facet) reach numpy, whatever the row count."""
     src = df.select(facet, x)
     if limits is not None:
         src = src.where(F.col(x).between(limits[0], limits[1]))
     rows = cumulative_by_group(src, [facet], x, bounded_groups=bounded_facets)
-    q = quantiles_from_cumulative(rows, [facet], x, [0.25, 0.75], ["__q1", "__q3"])
-    c, v = F.col("__c"), F.col(x)
-    m1 = rows.groupBy(facet).agg(F.min(x).alias("__min"), F.max(x).alias("__max"),
-                                 (F.sum(c * v) / F.sum(c)).alias("__mean"))
-    dev = join_null_safe(rows, m1, [facet], broadcast_right=bounded_facets).groupBy(facet).agg(
-        F.sum(c * (v - F.col("__mean")) * (v - F.col("__mean"))).alias("__ss"))
-    mom = join_null_safe(m1, dev, [facet])
-    spread = F.least(F.col("__sd"), (F.col("__q3") - F.col("__q1")) / 1.34)
+    c, v, n = F.col("__c"), F.col(x), F.col("__n").cast("double")
+    at = {name: (n - 1) * p + 1 for name, p in (("q1", 0.25), ("q3", 0.75))}
+    reach = lambda h: F.min(F.when(F.col("__cum") >= h, v))
+    first = rows.groupBy(facet).agg(F.max("__n").alias("n"), F.min(x).alias("__min"), F.max(x).alias("__max"), (F.sum(c * v) / F.sum(c)).alias("__mean"),
+                                    *[a for name, h in at.items() for a in (reach(F.floor(h)).alias(f"__lo_{name}"), reach(F.ceil(h)).alias(f"__hi_{name}"))])
+    off = v - F.col("__mean")
+    whole = join_null_safe(rows, first.select(facet, "__mean"), [facet], broadcast_right=bounded_facets)
+    dev = whole.groupBy(facet).agg(F.sum(c * off * off).alias("__ss"))
+    per = join_null_safe(first, dev, [facet])
+    quart = {}
+    for name, p in (("q1", 0.25), ("q3", 0.75)):
+        h = (F.col("n").cast("double") - 1) * p + 1
+        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        quart[name] = lo + (h - F.floor(h)) * (hi - lo)
+    per = per.withColumn("__sd", F.sqrt(F.try_divide(F.col("__ss"), (F.col("n") - 1).cast("double"))))
+    spread = F.least(F.col("__sd"), (quart["q3"] - quart["q1"]) / 1.34)
     spread = F.when(spread > 0, spread).when(F.col("__sd") > 0, F.col("__sd")).otherwise(F.lit(1.0))
-    per = join_null_safe(q, mom, [facet]).withColumn(
-        "__sd", F.sqrt(F.try_divide(F.col("__ss"), (F.col("n") - 1).cast("double"))))
-    per = per.select(facet, "n", "__min", "__max", (0.9 * spread * F.pow(F.col("n").cast("double"), -0.2)).alias("bw"))
+    per = cut_lineage(per.select(facet, "n", "__min", "__max", (0.9 * spread * F.pow(F.col("n").cast("double"), -0.2)).alias("bw")))
     if joint:
-        # one row: the joint bandwidth and the shared grid (facet tables are tiny)
-        shared = per.agg(F.struct(F.avg(F.when(F.col("n") > 1, F.col("bw"))).alias("bw"),
-                                  F.min("__min").alias("lo"), F.max("__max").alias("hi")).alias("s")).scalar()
-        bw = shared.getField("bw")
-        par = per.select(facet, "n", bw.alias("bw"), (shared.getField("lo") - cut * bw).alias("g_lo"),
-                         ((shared.getField("hi") - shared.getField("lo") + 2 * cut * bw) / (grid - 1)).alias("g_step"))
+        # one row: the joint bandwidth and the range of all facets
+        shared = per.agg(F.struct(F.avg(F.when(F.col("n") > 1, F.col("bw"))).alias("bw"), F.min("__min").alias("lo"), F.max("__max").alias("hi")).alias("s")).scalar()
+        par = per.withColumn("__s", shared).select(facet, "n", F.col("__s.bw").alias("bw"), F.col("__s.lo").alias("lo"), F.col("__s.hi").alias("hi"))
     else:
-        par = per.select(facet, "n", "bw", (F.col("__min") - cut * F.col("bw")).alias("g_lo"),
-                         ((F.col("__max") - F.col("__min") + 2 * cut * F.col("bw")) / (grid - 1)).alias("g_step"))
+        par = per.select(facet, "n", "bw", F.col("__min").alias("lo"), F.col("__max").alias("hi"))
+    par = par.select(facet, "n", "bw", (F.col("lo") - cut * F.col("bw")).alias("g_lo"),
+                     ((F.col("hi") - F.col("lo") + 2 * cut * F.col("bw")) / (grid - 1)).alias("g_step"),
+                     (F.col("lo") - (cut + 4) * F.col("bw")).alias("b_lo"),
+                     ((F.col("hi") - F.col("lo") + 2 * (cut + 4) * F.col("bw")) / (grid - 1)).alias("b_step"))
+    par = cut_lineage(par)
     j = join_null_safe(rows.select(facet, x, "__c"), par, [facet], broadcast_right=bounded_facets)
-    pos = (v - F.col("g_lo")) / F.col("g_step")
+    pos = (v - F.col("b_lo")) / F.col("b_step")
     left = F.floor(pos).cast("int")
     frac = pos - F.floor(pos)
     cells = j.select(facet, F.inline(F.array(
@@ -271,15 +291,24 @@ def density_grid(df: DataFrame, facet: str, x: str, grid: int = 512, cut: float
                          StructField("x", DoubleType()), StructField("density", DoubleType())])
 
     def _kde(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, bw, lo, step = (float(pdf[col].iloc[0]) for col in ("n", "bw", "g_lo", "g_step"))
+        n, bw, g_lo, g_step, b_lo, b_step = (float(pdf[col].iloc[0]) for col in ("n", "bw", "g_lo", "g_step", "b_lo", "b_step"))
         m = np.zeros(grid)
         m[pdf["i"].to_numpy(dtype=int)] = pdf["m"].to_numpy(dtype=float)
-        gx = lo + step * np.arange(grid)
-        z = (gx[:, None] - gx[None, :]) / bw
-        dens = (np.exp(-0.5 * z * z) @ m) / (n * bw * np.sqrt(2 * np.pi))
+        gx = g_lo + g_step * np.arange(grid)
+        dens = np.interp(gx, b_lo + b_step * np.arange(grid), gaussian_convolution(m / n, b_step, bw))
         return pd.DataFrame({facet: pdf[facet].iloc[0], "i": np.arange(grid), "x": gx, "density": dens})
 
-    return mass.select(facet, "i", "m", "n", "bw", "g_lo", "g_step").groupBy(facet).applyInPandas(_kde, schema)
+    cols = [facet, "i", "m", "n", "bw", "g_lo", "g_step", "b_lo", "b_step"]
+    return mass.select(*cols).groupBy(facet).applyInPandas(_kde, schema)
+
+
+def gaussian_convolution(mass: np.ndarray, step: float, bw: float) -> np.ndarray:
+    """Masses on an even grid convolved with a Gaussian kernel, by FFT on a grid twice as long (negative noise set to 0)."""
+    n = len(mass)
+    k = np.arange(2 * n)
+    z = np.minimum(k, 2 * n - k) * step / bw
+    kernel = np.exp(-0.5 * z * z) / (bw * np.sqrt(2 * np.pi))
+    return np.maximum(0.0, np.fft.irfft(np.fft.rfft(mass, 2 * n) * np.fft.rfft(kernel), 2 * n)[:n])
 
 
 # ---------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from taskshift.functions.bands import (AI_CATEGORIES, AUGMENTED, AUTOMATED, MINI
                                        demographic_type, task_weight)
 from taskshift.functions.columns import by_position, cols_containing, display_demographic, display_stem
 from taskshift.functions.nulls import (mean_skip, mean_strict, safe_div, sd_strict, sum_strict, to_number, wmean)
+from taskshift.operators.audit import Audit
 from taskshift.operators.joins import join_null_safe, with_major_group
 from taskshift.operators.ordering import global_row_number, rank_within, stacked_midpoint
 from taskshift.operators.reshape import to_long
@@ -33,12 +34,13 @@ OCC_KEYS = ["occ_group", "soc_code", "title"]
 # -- Q26 ---------------------------------------------------------------------
 
 def classify_tasks(tasks: DataFrame, task_statements: DataFrame,
-                   automation_threshold: float = 0.5, augmentation_threshold: float = 1.0) -> DataFrame:
+                   automation_threshold: float = 0.5, augmentation_threshold: float = 1.0, audit: Audit | None = None) -> DataFrame:
     """Attach the task type (left join on code, id and wording; missing keys
     match each other), the AI-impact category and the task weight. Unmatched
     tasks keep a missing type (weight 1)."""
     st = task_statements.select("soc_code", "task_id", "task", "task_type")
-    j = join_null_safe(tasks, st, ["soc_code", "task_id", "task"], "left")
+    keys = ["soc_code", "task_id", "task"]
+    j = audit.join(tasks, st, keys, "left", "task statements", null_safe=True) if audit else join_null_safe(tasks, st, keys, "left")
     return (j.select("soc_code", "title", "task",
                      ai_category("gpt4_automation", "gpt4_rubric1_gamma",
                                  automation_threshold, augmentation_threshold).alias("ai_cat"),

@@ -3,6 +3,8 @@ demographic, sector and metro roll-ups; plus the published master tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +14,22 @@ from taskshift.functions.bands import (TRAINING_ORDER, at_least, demographic_typ
 from taskshift.functions.columns import by_position, cols_containing, display_demographic, front, numeric_cols
 from taskshift.functions.labels import percent_label
 from taskshift.functions.nulls import mean_skip, mean_strict, safe_div, sum_strict, to_number, wmean
+from taskshift.operators import audit as steps
 from taskshift.operators import sketches
+from taskshift.operators.audit import Audit
 from taskshift.operators.joins import join_null_safe, join_report, with_major_group
 from taskshift.operators.reshape import split_last, to_long, very_wide_to_long
 from taskshift.operators.shares import threshold_summary
 from taskshift.operators.stats import (box_summary, category_order, linear_trend, profile,
                                        weighted_quantiles)
-from taskshift.session import cut_lineage
+from taskshift.operators.weighted_sketch import quantiles_from_sketch, weighted_sketch
+from taskshift.session import checkpoint_dir, cut_lineage
 from taskshift.functions.bands import AI_CATEGORIES
 from taskshift.plans.automation import (ALL_SCORES, CATEGORY_COLS, EXPOSURE_SCORES, STEMS, metro_weighted,
-                                        occ_category_share, staffing_by_sector)
+                                        classify_tasks, occ_category_share, staffing_by_sector)
+from taskshift.sources.readers import read_task_statements
+from taskshift.sources.reports import failed_cells
+from taskshift.sources.sinks import write_table
 
 WAGE = "avg_hourly_earnings"
 
@@ -89,14 +97,14 @@ def group_weighted_scores(tasks: DataFrame, us_emp: DataFrame) -> DataFrame:
 
 # -- Q6 ----------------------------------------------------------------------
 
-def soc_scores_employment(tasks: DataFrame, us_emp: DataFrame) -> DataFrame:
+def soc_scores_employment(tasks: DataFrame, us_emp: DataFrame, audit: Audit | None = None) -> DataFrame:
     """Scores averaged to the 6-digit SOC (teacher codes collapsed) *before*
     the employment join, so jobs count once per SOC."""
     t = tasks.select(codes.soc6_collapsed("soc_code").alias("soc"), *ALL_SCORES,
                      has_exposure("gpt4_rubric1_beta").alias("has_exposure"))
     metrics = ALL_SCORES + ["has_exposure"]
-    g = t.groupBy("soc").agg(*[mean_skip(c).alias(c) for c in metrics])
-    return g.join(us_emp, "soc")
+    g = steps.into(audit, t, "mean per SOC").groupBy("soc").agg(*[mean_skip(c).alias(c) for c in metrics])
+    return steps.join_step(audit, steps.out(audit, g, "mean per SOC"), us_emp, ["soc"], "inner", "national employment")
 
 
 # -- Q7-Q9 -------------------------------------------------------------------
@@ -125,8 +133,8 @@ def large_exposed_occupations(score_emp: DataFrame, min_jobs: float = 1_000_000,
 
 # -- Q10, Q11, Q15 -------------------------------------------------------------
 
-def _with_group_jobs(score_emp: DataFrame) -> DataFrame:
-    return with_major_group(score_emp, "soc").where(F.col("jobs").isNotNull())
+def _with_group_jobs(score_emp: DataFrame, audit: Audit | None = None) -> DataFrame:
+    return steps.where_step(audit, with_major_group(score_emp, "soc", audit), F.col("jobs").isNotNull(), "jobs known")
 
 
 def group_points_ordered(score_emp: DataFrame) -> DataFrame:
@@ -137,9 +145,9 @@ def group_points_ordered(score_emp: DataFrame) -> DataFrame:
                           broadcast_right=True)
 
 
-def group_beta_wage(score_emp: DataFrame) -> DataFrame:
+def group_beta_wage(score_emp: DataFrame, audit: Audit | None = None) -> DataFrame:
     """Jobs-weighted wage and beta exposure by occupation group."""
-    s = _with_group_jobs(score_emp)
+    s = steps.into(audit, _with_group_jobs(score_emp, audit), "mean per group")
     return s.groupBy("short_name").agg(wmean(WAGE, "jobs").alias(WAGE),
                                        wmean("gpt4_rubric1_beta", "jobs").alias("gpt4_rubric1_beta"))
 
@@ -288,9 +296,9 @@ def master_score(score_emp: DataFrame, classified: DataFrame) -> DataFrame:
     return master_from_share(score_emp, occ_category_share(classified))
 
 
-def master_from_share(score_emp: DataFrame, share: DataFrame) -> DataFrame:
+def master_from_share(score_emp: DataFrame, share: DataFrame, audit: Audit | None = None) -> DataFrame:
     """``master_score`` from the occupation category shares."""
-    s = share.select(codes.soc6_collapsed("soc_code").alias("soc"), "ai_cat",
+    s = steps.into(audit, share, "shares per SOC, wide").select(codes.soc6_collapsed("soc_code").alias("soc"), "ai_cat",
                      F.coalesce(F.col("pct_weighted"), F.lit(0.0)).alias("pct_weighted"))
     cells = []
     for c in AI_CATEGORIES:
@@ -298,9 +306,9 @@ def master_from_share(score_emp: DataFrame, share: DataFrame) -> DataFrame:
         x = F.when(hit, F.col("pct_weighted"))
         strict = F.when(F.count(F.when(hit, 1)) == F.count(x), F.avg(x))
         cells.append(F.coalesce(strict, F.lit(0.0)).alias(STEMS[c]))
-    wide = s.groupBy("soc").agg(*cells)
+    wide = steps.out(audit, s.groupBy("soc").agg(*cells), "shares per SOC, wide")
     base = score_emp.select("soc", "description", "jobs", "gpt4_rubric1_beta")
-    return base.join(wide, "soc", "left")
+    return steps.join_step(audit, base, wide, ["soc"], "left", "category shares")
 
 
 def master_score_group(master: DataFrame) -> DataFrame:
@@ -317,3 +325,55 @@ def employment_join_report(tasks: DataFrame, us_emp: DataFrame) -> DataFrame:
     """Row accounting of the detailed-occupation x national-employment join."""
     occ = occ_mean_scores(tasks).select(codes.soc6("soc_code").alias("soc"))
     return join_report(occ, us_emp.select("soc"), ["soc"])
+
+
+def audit_group_beta_wage(tasks: DataFrame, us_emp: DataFrame) -> DataFrame:
+    """Rows of every step of the wage and beta table, from the run that makes it."""
+    audit = Audit()
+    out = group_beta_wage(soc_scores_employment(tasks, us_emp, audit), audit)
+    return steps.run_report(steps.out(audit, out, "mean per group"), audit)
+
+
+def audit_master_score(tasks: DataFrame, task_statements: DataFrame, us_emp: DataFrame) -> DataFrame:
+    """Rows of every step of the master table, from the run that makes it."""
+    audit = Audit()
+    score_emp = soc_scores_employment(tasks, us_emp, audit)
+    classified = steps.into(audit, classify_tasks(tasks, task_statements, audit=audit), "category shares per occupation")
+    share = steps.out(audit, occ_category_share(classified), "category shares per occupation")
+    return steps.run_report(master_from_share(score_emp, share, audit), audit)
+
+
+# -- failed cells ----------------------------------------------------------------
+
+def staffing_failed_cells(staffing_wide: DataFrame) -> DataFrame:
+    """Cells of the staffing matrix, as exported, that are not numbers: per industry column, how many and which."""
+    found = failed_cells(staffing_wide, dict.fromkeys(staffing_wide.columns[2:], "double"))
+    return found.withColumn("sample", F.array_join("sample", "; "))
+
+
+# -- weighted quartiles from a summary --------------------------------------------
+
+def wage_quartile_sketch_audit(us_emp: DataFrame, size: int = 200) -> DataFrame:
+    """Whether the jobs-weighted wage quartiles of a bounded summary have the weighted ranks they stand for, within its stated error."""
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    clean = us_emp.where(F.col(WAGE).isNotNull() & (F.col("jobs") > 0))
+    made = quantiles_from_sketch(weighted_sketch(us_emp, [], WAGE, "jobs", size), [], probs, [f"q{i}" for i in range(len(probs))])
+    made = cut_lineage(made.select("levels", F.posexplode(F.array(*[f"q{i}" for i in range(len(probs))])).alias("i", "q")))     # one row per prob
+    one = made.agg(F.collect_list(F.struct("i", "q", "levels")).alias("qs")).scalar()
+    rows = clean.select(WAGE, "jobs", F.explode(one).alias("x"))
+    below, upto = F.sum(F.when(F.col(WAGE) < F.col("x.q"), F.col("jobs"))), F.sum(F.when(F.col(WAGE) <= F.col("x.q"), F.col("jobs")))
+    g = rows.groupBy(F.col("x.i").alias("i"), F.col("x.levels").alias("levels")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("jobs").alias("total"), F.coalesce(below, F.lit(0.0)).alias("below"), F.coalesce(upto, F.lit(0.0)).alias("upto"))
+    p = F.get(F.array(*[F.lit(x) for x in probs]), F.col("i"))
+    slack = F.col("total") * F.col("levels") / size + 1
+    return g.select(p.alias("prob"), "n_rows", "total", ((F.col("below") - slack <= p * F.col("total")) & (p * F.col("total") <= F.col("upto") + slack)).alias("rank_ok"))
+
+
+# -- delimited text, there and back -------------------------------------------------
+
+def statements_round_trip(task_statements: DataFrame) -> DataFrame:
+    """The task statements, written as delimited text by the sink and read again with a guessed delimiter."""
+    spark = task_statements.sparkSession
+    out = f"{checkpoint_dir(spark).rstrip('/')}/statements-{uuid.uuid4().hex}"
+    path = write_table(task_statements, out, "task statements", fmt="csv", sep="|")
+    return read_task_statements(spark, path, sep=None).select("soc_code", "task_id", "task", "task_type")

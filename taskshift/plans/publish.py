@@ -2,7 +2,7 @@
 
 Sheet names are the fixed names used by the analysed scripts. Each table is
 computed by the result functions in ``exposure`` / ``automation`` and
-written (overwrite) as ``out_dir/<sheet>``; nothing passes through the
+written (overwrite, one commit for all) under ``out_dir/<sheet>``; nothing passes through the
 driver. The occupation tables that several sheets share (mean scores, SOC
 scores with employment, category counts) are checkpointed once per run, so the
 statement join runs once.
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from taskshift.plans import automation as A
 from taskshift.plans import exposure as E
 from taskshift.session import cut_lineage
-from taskshift.sources.sinks import write_table
+from taskshift.sources.sinks import write_tables
 
 # Sheet names of the published tables.
 EXPOSURE_SHEETS = ["gender", "figure 1", "figure 2", "Occupation", "Occupation Groups",
@@ -47,7 +47,8 @@ def published_tables(inputs: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def publish_all(inputs: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
                 sheets: list[str] | None = None) -> dict[str, str]:
-    """Write every (or the listed) published table; returns sheet -> path."""
+    """Write every (or the listed) published table, all in one commit; returns sheet -> path.
+
+    ``sinks.read_table`` gives a sheet's current version; if one sheet fails, all keep their old one."""
     tables = published_tables(inputs)
-    names = sheets or list(tables)
-    return {n: write_table(tables[n], out_dir, n, fmt=fmt) for n in names}
+    return write_tables({n: tables[n] for n in sheets or list(tables)}, out_dir, fmt=fmt)

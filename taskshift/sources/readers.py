@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from taskshift.functions.columns import normalise_names
 from taskshift.functions.nulls import nan_to_null, to_number
+from taskshift.sources.reports import ReadReport
+from taskshift.sources.sniff import MAX_LINES, sniff, typed_cell
 
 TASK_TYPES = {"task_id": "bigint", "mean_rating_human_alpha": "double", "mean_rating_human_beta": "double",
               "mean_rating_human_gamma": "double", "gpt4_rubric1_alpha": "double", "gpt4_rubric1_beta": "double",
@@ -34,14 +36,13 @@ def _text(spark: SparkSession, path: str, sep: str = ",", multiline: bool = Fals
             .option("escape", '"').csv(path))
 
 
-def _typed(df: DataFrame, types: dict[str, str], prefix_types: dict[str, str] | None = None) -> DataFrame:
-    out = []
-    for c in df.columns:
-        t = types.get(c)
-        if t is None and prefix_types:
-            t = next((v for p, v in prefix_types.items() if c.startswith(p)), None)
-        out.append(to_number(F.col(c), t).alias(c) if t else F.col(c))
-    return df.select(*out)
+def _typed(df: DataFrame, types: dict[str, str], prefix_types: dict[str, str] | None = None, report: ReadReport | None = None,
+           reader: str = "") -> DataFrame:
+    """Declared columns cast by name. With a report, cells that fail are counted in the same pass."""
+    declared = {c: types.get(c) or next((v for p, v in (prefix_types or {}).items() if c.startswith(p)), None) for c in df.columns}
+    if report:
+        df = report.watch(df, {c: t for c, t in declared.items() if t}, reader)
+    return df.select(*[to_number(F.col(f"`{c}`"), t).alias(c) if t else F.col(f"`{c}`") for c, t in declared.items()])
 
 
 def intake(df: DataFrame) -> DataFrame:
@@ -51,34 +52,56 @@ def intake(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def read_tasks(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_tasks(spark: SparkSession, path: str, multiline: bool = False, report: ReadReport | None = None) -> DataFrame:
     """Task ratings CSV: one row per (occupation, task) with score columns."""
     df = normalise_names(_text(spark, path, multiline=multiline))
-    return _typed(df, TASK_TYPES, {"mean_rating_": "double", "gpt4_": "double"})
+    return _typed(df, TASK_TYPES, {"mean_rating_": "double", "gpt4_": "double"}, report, "tasks")
 
 
-def read_task_statements(spark: SparkSession, path: str, sep: str = "\t", multiline: bool = False) -> DataFrame:
-    """O*NET task statements (tab-delimited text)."""
-    return _typed(normalise_names(_text(spark, path, sep, multiline)), STATEMENT_TYPES)
+def read_task_statements(spark: SparkSession, path: str, sep: str | None = "\t", multiline: bool = False,
+                         report: ReadReport | None = None) -> DataFrame:
+    """O*NET task statements (tab-delimited text; ``sep=None``: the delimiter is guessed)."""
+    if sep is None:
+        guess = sniff(spark, path)
+        sep, multiline = guess.sep, multiline or guess.multiline
+    return _typed(normalise_names(_text(spark, path, sep, multiline)), STATEMENT_TYPES, None, report, "task_statements")
 
 
-def read_us_emp(spark: SparkSession, path: str) -> DataFrame:
+def read_us_emp(spark: SparkSession, path: str, report: ReadReport | None = None) -> DataFrame:
     """National employment by 6-digit SOC (jobs, wages, education, training, demographics)."""
     df = normalise_names(_text(spark, path))
-    return _typed(df, US_EMP_TYPES, {"current_year_": "double"})
+    return _typed(df, US_EMP_TYPES, {"current_year_": "double"}, report, "us_emp")
 
 
-def read_metro_emp(spark: SparkSession, path: str) -> DataFrame:
+def read_metro_emp(spark: SparkSession, path: str, report: ReadReport | None = None) -> DataFrame:
     """Employment by (occupation, metro area)."""
-    return _typed(normalise_names(_text(spark, path)), METRO_EMP_TYPES)
+    return _typed(normalise_names(_text(spark, path)), METRO_EMP_TYPES, None, report, "metro_emp")
 
 
-def read_staffing(spark: SparkSession, path: str) -> DataFrame:
+def read_staffing(spark: SparkSession, path: str, report: ReadReport | None = None) -> DataFrame:
     """Wide staffing matrix, every column kept as text (cells are converted
-    after the unpivot). The first column is renamed ``occupation_label``."""
+    after the unpivot). The first column is renamed ``occupation_label``; a report
+    counts the cells of the industry columns (the third on) that are not numbers."""
     df = _text(spark, path)
-    first = df.columns[0]
-    return df.withColumnRenamed(first, "occupation_label")
+    df = df.withColumnRenamed(df.columns[0], "occupation_label")
+    return report.watch(df, dict.fromkeys(df.columns[2:], "double"), "staffing") if report else df
+
+
+def read_delimited(spark: SparkSession, path: str, types: dict[str, str] | None = None, max_lines: int | None = None,
+                   report: ReadReport | None = None) -> DataFrame:
+    """Any delimited text file: delimiter, quoted line breaks and, unless declared, column types are guessed.
+
+    ``types`` (by snake_case name) wins over a guess; a type guessed from the
+    file's first lines may not hold further on, which a report shows.
+    """
+    guess = sniff(spark, path, max_lines or MAX_LINES)
+    raw = _text(spark, path, guess.sep, guess.multiline)
+    named = normalise_names(raw)
+    by_name = dict(zip(named.columns, guess.types)) | (types or {})
+    numbers = {c: t for c, t in by_name.items() if t in ("bigint", "double")}
+    if report:
+        named = report.watch(named, numbers, path)
+    return named.select(*[typed_cell(c, by_name.get(c, "string")).alias(c) for c in named.columns])
 
 
 def read_metro_json(spark: SparkSession, path: str) -> DataFrame:
