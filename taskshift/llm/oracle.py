@@ -88,7 +88,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 # -- source mix: water-filling, then every quotient, highest first ------------------------------
 
-_hash = "md5('{seed}:' || CAST(doc_id AS VARCHAR))".format(seed=M.SEED)
+_hash = "md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')))".format(seed=M.SEED)
+_block = "CASE " + " ".join(f"WHEN target >= {M.LEAST_BLOCKS * b} THEN {b}" for b in reversed(M.BLOCKS)) + " ELSE 1 END::BIGINT"
 ORACLE["op10_source_mix"] = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}+')) AS BIGINT) AS size, {_hash} AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
@@ -97,27 +98,27 @@ u AS (SELECT *, sum(source_size) OVER () * {M.SHARE}::DOUBLE - coalesce(sum(stop
         sum(weight) OVER () - coalesce(sum(weight) OVER up, 0) AS left_weight FROM w
       WINDOW up AS (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(left_words / left_weight, stop / weight) AS level FROM u WHERE stop > weight * (left_words / left_weight)),
-t AS (SELECT source, k, source_size, greatest(ceil(source_size / {M.SHARD_WORDS}.0), ceil(n_docs / {M.SHARD_DOCS}.0), 1)::BIGINT AS n_shards,
+tt AS (SELECT source, k, source_size, greatest(ceil(source_size / {M.SHARD_WORDS}.0), ceil(n_docs / {M.SHARD_DOCS}.0), 1)::BIGINT AS n_shards,
         round(CASE WHEN level IS NULL THEN stop ELSE least(stop, weight * level) END, 6) AS target FROM u, f),
-seats AS (SELECT CAST(round(sum(target) / {M.BLOCK_WORDS}) AS BIGINT) AS n FROM t),
-quot AS (SELECT k, unnest(range((SELECT n FROM seats))) AS j FROM t WHERE target > 0),
-won AS (SELECT k, count(*) AS blocks FROM (SELECT q.k, row_number() OVER (ORDER BY t.target / (2 * q.j + 1) DESC, q.k, q.j) AS r
-        FROM quot q JOIN t ON t.k = q.k) WHERE r <= (SELECT n FROM seats) GROUP BY k),
-p AS (SELECT d.*, t.k, t.source_size, t.target, coalesce(won.blocks, 0) AS blocks, ('0x' || substr(h, 1, 12))::BIGINT % t.n_shards AS shard
+t AS (SELECT *, {_block} AS block FROM tt),
+seats AS (SELECT block, CAST(round(sum(target) / block) AS BIGINT) AS n FROM t GROUP BY block),
+quot AS (SELECT t.k, t.block, t.target, n, unnest(range(n)) AS j FROM t JOIN seats USING (block) WHERE target > 0),
+won AS (SELECT k, count(*) AS blocks FROM (SELECT k, n, row_number() OVER (PARTITION BY block ORDER BY target / (2 * j + 1) DESC, k, j) AS r FROM quot) WHERE r <= n GROUP BY k),
+p AS (SELECT d.*, t.k, t.source_size, t.target, t.block, coalesce(won.blocks, 0) AS blocks, ('0x' || substr(h, 1, 12))::BIGINT % t.n_shards AS shard
       FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN won ON won.k = t.k),
-sh AS (SELECT k, any_value(source) AS source, shard, sum(size)::BIGINT AS shard_size, max(blocks) AS blocks FROM p GROUP BY k, shard),
+sh AS (SELECT k, any_value(source) AS source, shard, sum(size)::BIGINT AS shard_size, max(blocks) AS blocks, max(block) AS block FROM p GROUP BY k, shard),
 shq AS (SELECT k, shard, unnest(range(blocks)) AS j, shard_size FROM sh WHERE shard_size > 0),
 shw AS (SELECT k, shard, count(*) AS quota FROM (SELECT q.*, row_number() OVER (PARTITION BY k ORDER BY shard_size / (2 * j + 1)::DOUBLE DESC, shard, j) AS r FROM shq q) x
         JOIN (SELECT DISTINCT k AS k2, blocks FROM sh) y ON y.k2 = x.k WHERE r <= blocks GROUP BY k, shard),
-g AS (SELECT sh.k, sh.shard, ceil(shard_size / {M.BLOCK_WORDS}.0)::BIGINT AS n_blocks,
-        least(coalesce(quota, 0), {M.MAX_EPOCHS} * ceil(shard_size / {M.BLOCK_WORDS}.0)::BIGINT) AS quota,
+g AS (SELECT sh.k, sh.shard, ceil(shard_size / block::DOUBLE)::BIGINT AS n_blocks,
+        least(coalesce(quota, 0), {M.MAX_EPOCHS} * ceil(shard_size / block::DOUBLE)::BIGINT) AS quota,
         ('0x' || substr(md5('{M.SEED}:' || coalesce(source, '') || ':' || CAST(sh.shard AS VARCHAR)), 1, 8))::BIGINT AS off
       FROM sh LEFT JOIN shw ON shw.k = sh.k AND shw.shard = sh.shard),
 o AS (SELECT p.*, n_blocks, quota, off, [{', '.join(map(str, M.STRIDES))}][(off % {len(M.STRIDES)}) + 1]::BIGINT AS stride,
         (sum(size) OVER (PARTITION BY p.k, p.shard ORDER BY h, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS first
       FROM p JOIN g ON g.k = p.k AND g.shard = p.shard),
-bl AS (SELECT doc_id, h, k, size, first, quota, n_blocks, stride, off, unnest(range(first // {M.BLOCK_WORDS}, (first + size - 1) // {M.BLOCK_WORDS} + 1)) AS b FROM o WHERE size > 0),
-tk AS (SELECT doc_id, first, k, sum((least(first + size, (b + 1) * {M.BLOCK_WORDS}) - greatest(first, b * {M.BLOCK_WORDS}))
+bl AS (SELECT doc_id, h, k, size, first, block, quota, n_blocks, stride, off, unnest(range(first // block, (first + size - 1) // block + 1)) AS b FROM o WHERE size > 0),
+tk AS (SELECT doc_id, first, k, sum((least(first + size, (b + 1) * block) - greatest(first, b * block))
         * (quota // n_blocks + CASE WHEN ((stride % n_blocks) * b + off) % n_blocks < quota % n_blocks THEN 1 ELSE 0 END)) AS taken FROM bl GROUP BY doc_id, first, k)
 SELECT o.doc_id, o.size, o.source_size, o.target, CAST(coalesce(tk.taken, 0) AS BIGINT) AS taken, o.source
 FROM o LEFT JOIN tk ON tk.doc_id = o.doc_id AND tk.first = o.first AND tk.k = o.k"""

@@ -19,8 +19,8 @@ table have fixed bounds.
 
 Defined results: a null or empty text has no candidates; a null path has no
 words; repeated rows are scanned each; redaction replaces a document's secret
-values wherever they are candidates in rows of that doc_id, and leaves rows
-with a null doc_id as they are; without labelled findings of both classes no
+values wherever they are candidates in rows of that doc_id and text, a null doc_id
+included; without labelled findings of both classes no
 forest can be fitted, so no candidate is a false positive (``p_secret`` null,
 ``is_secret`` true); an empty table gives an empty result; extra columns are
 ignored (redaction passes them through).
@@ -179,10 +179,12 @@ def scan(docs: DataFrame, labelled: DataFrame, vocabulary: str) -> DataFrame:
 
 def redact(docs: DataFrame, labelled: DataFrame, vocabulary: str, path: str) -> DataFrame:
     """``docs`` with the secret values in ``text`` replaced by ``MARK``; ``n_chars`` is counted anew."""
-    found = scan(docs.select("doc_id", F.col(path).alias("path"), "text"), labelled, vocabulary).where("is_secret and doc_id is not null")
+    # rows are told apart by doc_id and text: a repeated or null doc_id is no hindrance
+    key = F.struct("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("md5"))
+    found = scan(docs.select(key.alias("doc_id"), F.col(path).alias("path"), "text"), labelled, vocabulary).where("is_secret")
     secrets = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("value").alias("__secrets"))
-    d = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("__row")
-    d = d.join(secrets, F.col("__row.doc_id") == F.col("__id"), "left")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key"))
+    d = d.join(secrets, F.col("__key") == F.col("__id"), "left")
     body = F.col("__row.text")
     d = d.withColumn("__values", F.when(F.col("__id").isNotNull(), F.regexp_extract_all(body, F.lit(CANDIDATE), 0)))
     safe = F.transform(F.concat("__values", F.array(F.lit(""))), lambda v: F.when(F.array_contains("__secrets", v), F.lit(MARK)).otherwise(v))

@@ -71,7 +71,8 @@ def test_redaction(make_docs, labelled):
     docs = make_docs(texts, ids=[0, 1, 2, 3, 4, None], extra="__text path")
     got = {r["doc_id"]: r for r in secret_scan.redact(docs, labelled, VOCAB, "source").collect()}
     assert got[0]["text"] == 'some words before token = "<SECRET>" and words after' and got[0]["n_chars"] == len(got[0]["text"])
-    assert got[1]["text"] == texts[1] and got[3]["text"] is None and secret not in got[4]["text"] and got[None]["text"] == texts[5]
+    assert got[1]["text"] == texts[1] and got[3]["text"] is None and secret not in got[4]["text"]
+    assert got[None]["text"] == 'token = "<SECRET>"'             # a missing doc_id does not keep a secret in the text
     assert got[0]["path"] == "given" and docs.columns == secret_scan.redact(docs, labelled, VOCAB, "source").columns
     assert secret_scan.redact(docs.limit(0), labelled, VOCAB, "source").count() == 0
 
@@ -231,6 +232,24 @@ def test_mix_targets_and_limits(make_docs, prose, monkeypatch):
         assert abs(taken[s] - target[s]) <= max(0.03 * target[s], 300), s
 
 
+def test_small_sources_reach_their_targets(make_docs, prose):
+    """Forty sources of 20 words beside one of 2,000: every source ends within a few words of its target."""
+    texts = [prose(k, 20) for k in range(40)] + [prose(100 + k, 100) for k in range(20)] + [prose(300, 3), "", None]       # 44 sources with the null one
+    sources = [f"s{k:02d}" for k in range(40)] + ["big"] * 20 + ["tiny", "none", None]
+    docs = make_docs(texts, sources=sources, ids=[None if k % 9 == 0 else k for k in range(len(texts))])
+    got = source_mix.document_mix(docs).collect()
+    target, taken, size = {}, defaultdict(int), {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        target[r["source"]], size[r["source"]] = r["target"], r["source_size"]
+        taken[r["source"]] += r["taken"]
+    assert size["s00"] == 20 and target["s00"] == 40 and len(target) == 44
+    for s, t in target.items():
+        block = max([b for b in (1, *source_mix.BLOCKS) if t >= 64 * b or b == 1])
+        assert abs(taken[s] - t) <= 2 * block, (s, t, taken[s])
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, source_mix.document_mix(docs.repartition(5)).collect()), key=repr)
+
+
 def test_apportionment_is_highest_quotients(spark):
     import random
     rng = random.Random(6)
