@@ -10,9 +10,10 @@ calibrated log-odds are added, the prior counted once, to score every
 document.
 
 Scale: features of all documents are computed once, in DataFrame functions,
-and written; a round reads that narrow table. Training sets are samples
-bounded by ``MAX_LABELLED`` rows and ``MAX_PSEUDO`` per round, view and class,
-taken in hash order of doc_id; scoring covers all rows.
+and written; a round reads that narrow table. Labelled rows are a sample bounded
+by ``MAX_LABELLED``, taken in hash order of doc_id; pseudo-labels are all that a view is
+sure of, however many, and count together as much as the labelled rows do, so
+that they neither vanish nor drown them. Fits are distributed; scoring covers all rows.
 
 Defined results: null or empty text has zero figures, null source or language
 are values of their own; documents with several labels count by majority
@@ -34,7 +35,6 @@ from pyspark.sql import functions as F
 from taskshift.llm.common import materialize, words_of
 
 MAX_LABELLED = 20_000
-MAX_PSEUDO = 2_000
 ROUNDS = 2
 SURE = 0.95
 FOLDS = 5
@@ -63,7 +63,7 @@ def classifier(view: str) -> Pipeline:
         first = [VectorAssembler(inputCols=list(TEXT), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]
     else:
         first = [FeatureHasher(inputCols=list(META), outputCol="x", numFeatures=128, categoricalCols=["source", "lang"])]
-    return Pipeline(stages=[*first, LogisticRegression(featuresCol="x", labelCol="label", regParam=0.01, maxIter=30)])
+    return Pipeline(stages=[*first, LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=0.01, maxIter=30)])
 
 
 def scored(model: PipelineModel, rows: DataFrame, out: str) -> DataFrame:
@@ -87,7 +87,8 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFr
     """doc_id, p_text, p_meta, score (probabilities of good quality), kept for every document."""
     f = materialize(features(docs), "cotrain-features")
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    known = materialize(f.dropDuplicates(["doc_id"]).join(truth, "doc_id"), "cotrain-labelled")
+    least = f.groupBy("doc_id").agg(F.min(F.struct(*[c for c in f.columns if c != "doc_id"])).alias("x")).select("doc_id", "x.*")
+    known = materialize(least.join(truth, "doc_id").withColumn("weight", F.lit(1.0)), "cotrain-labelled")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS))
     train = materialize(sampled(known.where(fold > 0), MAX_LABELLED), "cotrain-train")
     held = materialize(sampled(known.where(fold == 0), MAX_LABELLED), "cotrain-held")
@@ -96,17 +97,16 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFr
         return f.select("doc_id", none.alias("p_text"), none.alias("p_meta"), none.alias("score"), F.lit(True).alias("kept"))
 
     free = f.join(known.select("doc_id"), "doc_id", "left_anti").where("doc_id is not null")
-    sets = {"text": train, "meta": train}
-    models = {v: classifier(v).fit(sets[v]) for v in sets}
+    models = {v: classifier(v).fit(train) for v in ("text", "meta")}
+    n_train = train.count()
     sure = F.log(F.lit(SURE / (1 - SURE)))
     for _ in range(rounds):
-        told = {}
+        sets = {}
         for view, other in (("text", "meta"), ("meta", "text")):
-            s = scored(models[view], free, "odds")
-            told[other] = [materialize(sampled(s.where(c), MAX_PSEUDO).drop("odds").withColumn("label", F.lit(y)), "cotrain-pseudo")
-                           for c, y in ((F.col("odds") >= sure, 1.0), (F.col("odds") <= -sure, 0.0))]
-        for view, (good, bad) in told.items():
-            sets[view] = train.unionByName(good).unionByName(bad)
+            s = scored(models[view], free, "odds").where(F.abs("odds") >= sure)
+            told = materialize(s.withColumn("label", (F.col("odds") > 0).cast("double")).drop("odds"), "cotrain-pseudo")
+            told = told.withColumn("weight", F.lit(n_train / max(n_train, told.count())))
+            sets[other] = train.unionByName(told)
         models = {v: classifier(v).fit(sets[v]) for v in sets}
 
     views = lambda d: scored(models["meta"], scored(models["text"], d, "text_odds"), "meta_odds")

@@ -151,10 +151,13 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
         return d.select("conv_id", F.lit(None).cast("int").alias("level"), "turn", F.lit(kind).alias("kind"), "call_id",
                         F.lit(False).alias("valid"), errors.alias("errors"), line.alias("line"), rows)
 
+    # what names no conversation, turn or call cannot be linked, but keeps all it holds
+    lost = checked(calls.where("not whole"), tools)
+    lost = lost.withColumn("errors", F.concat(F.array(F.lit("null key")), "errors")).withColumn("valid", F.lit(False))
     return (out.unionByName(answers).unionByName(reported(again, "repeated call", F.col("errors"), call_line, F.col("rows")))
             .unionByName(reported(extra, "extra result", F.array(F.lit("extra result")), result_line, F.col("rows")))
-            .unionByName(reported(calls.where("not whole"), "call", F.array(F.lit("null key"))))
-            .unionByName(reported(results.where("not whole"), "orphan result", F.array(F.lit("null key")))))
+            .unionByName(reported(lost, "call", F.col("errors"), call_line))
+            .unionByName(reported(results.where("not whole").withColumn("tool", F.lit(None).cast("string")), "orphan result", F.array(F.lit("null key")), result_line)))
 
 
 TOOLS = (("search", (("query", "string", True), ("limit", "integer", False))),
@@ -184,5 +187,6 @@ def stand_in(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     refs = F.when((earlier < F.col("turn")) & (pick % 2 == 0), F.array(name(earlier.cast("long")))).otherwise(F.array().cast("array<string>"))
     calls = t.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), tool.alias("tool"), args.alias("arguments"), refs.alias("refs"))
     results = t.where("role = 'user' and turn > 1").select("conv_id", "turn", name(F.col("turn") - F.when(pick == 3, 2).otherwise(1)).alias("call_id"), F.col("text").alias("content"))
-    tools = spark.createDataFrame([(n, [tuple(p) for p in ps]) for n, ps in TOOLS], "tool string, params array<struct<name:string,type:string,required:boolean>>")
-    return calls, results, tools
+    param = lambda n, t, r: F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(r).alias("required"))
+    known = F.array(*[F.struct(F.lit(n).alias("tool"), F.array(*[param(*p) for p in ps]).alias("params")) for n, ps in TOOLS])
+    return calls, results, spark.range(1).select(F.inline(known))

@@ -155,7 +155,11 @@ def test_tool_calls_by_hand(spark, monkeypatch):
     for conv, turn, call, tool, args, refs in sorted((x for x in calls if x[0] is not None and x[2] is not None), key=lambda x: x[1]):
         named.setdefault((conv, call), (turn, tool, args, refs or []))
     levels = by_level({k: v[3] for k, v in named.items()})
-    got = {(x["conv_id"], x["call_id"]): x for x in rows if x["kind"] == "call" and x["line"] is not None}
+    lost = [(x["conv_id"], x["call_id"], x["kind"], list(x["errors"]), x["line"]) for x in rows if "null key" in x["errors"]]
+    line = '{"arguments":{},"conv_id":%s,"id":%s,"role":"assistant","tool":"search","valid":false}'
+    assert sorted(lost, key=repr) == sorted([(None, "q", "call", ["null key", "missing query"], line % ("null", '"q"')), (4, None, "call", ["null key", "missing query"], line % ("4", "null")),
+                                             (None, "a", "orphan result", ["null key"], '{"content":"?","conv_id":null,"id":"a","role":"tool","tool":null}')], key=repr)
+    got = {(x["conv_id"], x["call_id"]): x for x in rows if x["kind"] == "call" and "null key" not in x["errors"]}
     assert set(got) == set(named)
     for k, (turn, tool, args, _) in named.items():
         errors, parsed = check_arguments(tool, args, tools)
