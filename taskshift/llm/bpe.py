@@ -49,6 +49,8 @@ from taskshift.llm.common import text_batches
 RUNS_KEPT, WORDS_KEPT = 300_000, 50_000
 LONGEST_KEPT = 64
 TABLE_KEPT = 250_000
+#: Bytes of text encoded at once; ids and decoded text take several times as many.
+BATCH_BYTES = 512 << 10
 
 _SPACE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -286,11 +288,14 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, BATCH_BYTES):
             got = [encoder.encode(t.decode()) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([i for i, _ in got], pa.binary()), pa.array([len(i) // 4 for i, _ in got], pa.int64()),
                  pa.array([s for _, s in got], pa.string())], names=[*batch.schema.names, "ids", "n_tokens", "decoded"])
+            del got, texts
+            # what a batch has freed goes back to the system
+            pa.default_memory_pool().release_unused()
 
     d = docs.select(*[F.col(f"`{c}`") for c in rest])
     return d.mapInArrow(run, _schema(d) + "ids binary, n_tokens bigint, decoded string")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -54,6 +55,20 @@ def test_quality_has_no_python_and_empty_table(make_docs):
     assert d.count() == 0 and "Python" not in d._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bpe_encodes_small_runs_of_a_batch(make_docs, monkeypatch):
+    """A batch of long texts is encoded and handed on piece by piece, with the same rows."""
+    made, d = [], make_docs(["x"])
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, run, schema: made.append(run))
+    bpe.encode_documents(d, BPE)
+    texts = [f"Some words of text {i}, " * 100 for i in range(1000)] + [None, "x" * (1 << 20)]
+    out = list(made[0](iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])])))
+    assert all(sum(len(t or "") for t in b.column(0).to_pylist()[:-1]) <= 512 << 10 for b in out)
+    assert [t for b in out for t in b.column(0).to_pylist()] == texts
+    e = bpe.Encoder.of(BPE)
+    got = [r for b in out for r in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+    assert got[0] == e.encode(texts[0]) and got[999] == e.encode(texts[999]) and got[1000] == (b"", "")
+
+
 def test_bpe_is_the_tokenizer(make_docs, edge_texts, sf, spark):
     t = Tokenizer.from_file(BPE)
     texts = edge_texts + ["<|endoftext|>", "a<|startoftext|>b <|endoftext|> c", "I'm sure they'LL don't 's", "ΑΣ ΣΑΣ İstanbul", "a" * 300, "½²٣ ख़ \x85"]
