@@ -9,15 +9,17 @@ starts. So relations are sorted by (document, piece, position) as they are writt
 * R_1 holds the words with at least ``LEAST`` occurrences.
 * Merge join: phrases of k + 1 words are the pairs (left, right) of R_k at adjacent
   positions of one piece; both parts are frequent by construction.
-* Group count: pairs are counted by id, combined in the tasks before the shuffle.
+* Group count: pairs are counted by id, combined in the tasks before the shuffle. A
+  pair's left part goes with its count; the id and the left part give the right one.
 * Semi-join: R_{k+1} keeps the positions of frequent pairs and is written before
   the next length. The frequent ids come as a bit map of at most ``MOST_BITS``
   bits, whatever their number; ids that it lets pass wrongly only cost room, as
   the exact counts decide at every length.
 
-An id is a 64-bit hash (of language and word, then of the two parts' ids). Each
-frequent id is checked to stand for one pair, and for one word; if two share one,
-the run is repeated with other hashes, so counts are exact.
+An id is a 64-bit hash (of language and word, then of the two parts' ids; for each
+left part one to one in the right part). Each frequent id is checked to have one left
+part, so to stand for one pair, and to stand for one word; if two share one, the run
+is repeated with other hashes, so counts are exact.
 
 A frequent phrase knows its two parts, so its words, and the counts of all its
 beginnings and ends, follow from joins with the phrases one word shorter. That gives
@@ -61,6 +63,7 @@ WORDS_KEPT = 200_000
 HELD, RUN = 2 << 20, 1 << 19
 
 _U = np.uint64
+_RIGHT = _U(0xC2B2AE3D27D4EB4F)
 #: Piece ends become an octet that UTF-8 never holds; tabs are blanks; A-Z are lower-cased.
 _END = 0xFF
 _TABLE = bytes(_END if chr(i) in ".,;:!?\n\x0b\x0c\r" else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -113,10 +116,26 @@ def bit_map(ids: DataFrame) -> np.ndarray:
 def joined(ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which two ids are adjacent, and the ids of the pairs there."""
     at = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
-    pair = mixed(ids[at] * _U(0x9E3779B97F4A7C15 + 2 * seed) + mixed(ids[at + 1] ^ _U(0xC2B2AE3D27D4EB4F)))
+    pair = mixed(ids[at] * _left_factor(seed) + mixed(ids[at + 1] ^ _RIGHT))
     return at, np.where(pair == 0, _U(1), pair)
 
 
+def right_part(pair: np.ndarray, left: np.ndarray, seed: int) -> np.ndarray:
+    """The right ids of pairs, from the pairs' ids and their left ids."""
+    return unmixed(unmixed(pair) - left * _left_factor(seed)) ^ _RIGHT
+
+
+def unmixed(h: np.ndarray) -> np.ndarray:
+    """What ``mixed`` made ``h`` from."""
+    h = (h ^ (h >> _U(31)) ^ (h >> _U(62))) * _U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    h = (h ^ (h >> _U(27)) ^ (h >> _U(54))) * _U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return h ^ (h >> _U(30)) ^ (h >> _U(60))
+
+
+def _left_factor(seed: int) -> np.uint64:
+    return _U(0x9E3779B97F4A7C15 + 2 * seed)
+
+
 def id_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of whole rows of a relation with about ``RUN`` ids: the rows, their ids end to end, and where rows begin. Rows end in 0, so none meets the next."""
     for batch in batches:
@@ -178,60 +197,59 @@ def word_relation(docs: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
 
 
 def pair_counts(relation: DataFrame, seed: int) -> DataFrame:
-    """(id, f) of every pair of adjacent ids: counted in the tasks, then in all."""
+    """(id, f, left) of every pair of adjacent ids: counted in the tasks, then in all; ``others`` tells if an id stands for two pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_ids, held_n = np.empty(0, _U), np.empty(0, np.int64)
-        fresh: list[np.ndarray] = []
+        held = np.empty(0, _U), np.empty(0, _U), np.empty(0, np.int64)
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
 
         def combine():
-            nonlocal held_ids, held_n
-            ids, n = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (np.empty(0, _U), np.empty(0, np.int64))
+            nonlocal held
+            n = np.ones(len(held[0]) + sum(len(x) for x, _ in fresh), np.int64)
+            n[:len(held[0])] = held[2]
+            ids, left = (np.concatenate([held[k], *[x[k] for x in fresh]]) for k in (0, 1))
+            held = ()
             fresh.clear()
-            every, counts = np.concatenate([held_ids, ids]), np.concatenate([held_n, n])
-            order = np.argsort(every, kind="stable")
-            every, counts = every[order], counts[order]
-            new = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, int)
-            held_ids, held_n = every[new], np.add.reduceat(counts, new) if len(new) else counts
+            order = np.argsort(ids, kind="stable")
+            # one by one: few copies at a time
+            ids = ids[order]
+            left = left[order]
+            n = n[order]
+            del order
+            new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (left[1:] != left[:-1]))) if len(ids) else np.empty(0, int)
+            held = ids[new], left[new], np.add.reduceat(n, new) if len(new) else n
 
         def batch_out():
-            return pa.RecordBatch.from_arrays([pa.array(held_ids.view(np.int64)), pa.array(held_n, pa.int64())], names=["id", "f"])
+            # equal left parts stand together, which packs well
+            order = np.argsort(held[1], kind="stable")
+            ids, left, n = (x[order] for x in held)
+            return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(left.view(np.int64)), pa.array(n, pa.int64())], names=["id", "left", "f"])
 
         for _, ids, _ in id_runs(batches):
-            fresh.append(joined(ids, seed)[1])
-            if sum(map(len, fresh)) >= HELD:
+            at, pair = joined(ids, seed)
+            fresh.append((pair, ids[at]))
+            if sum(len(x) for x, _ in fresh) >= HELD:
                 combine()
-                if len(held_ids) >= HELD:
+                if len(held[0]) >= HELD:
                     yield batch_out()
-                    held_ids, held_n = held_ids[:0], held_n[:0]
+                    held = tuple(x[:0] for x in held)
         combine()
         yield batch_out()
 
-    return relation.select("ids").mapInArrow(run, "id bigint, f bigint").groupBy("id").agg(F.sum("f").alias("f"))
+    d = relation.select("ids").mapInArrow(run, "id bigint, left bigint, f bigint")
+    others = F.min("left") != F.max("left")
+    return d.groupBy("id").agg(F.sum("f").alias("f"), F.min("left").alias("left"), others.alias("others"))
 
 
-def pair_parts(relation: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
-    """(id, lang, left, right) of the pairs in the bit map; ``others`` tells if an id stands for two pairs."""
+def pair_parts(counts: DataFrame, seed: int) -> DataFrame:
+    """Counted pairs with their right parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, _U)
-        for batch, ids, starts in id_runs(batches):
-            at, pair = joined(ids, seed)
-            ok = passed(pair, bits)
-            at, pair = at[ok], pair[ok]
-            # every pair once a run, and not again what the task has told of already
-            check, one = np.unique(mixed(pair ^ mixed(ids[at] + mixed(ids[at + 1]))), return_index=True)
-            new = ~np.isin(check, seen, assume_unique=True)
-            check, at, pair = check[new], at[one[new]], pair[one[new]]
-            seen = np.concatenate([seen, check]) if len(seen) < HELD else check
-            langs = batch.column(0).take(pa.array(np.searchsorted(starts, at, side="right") - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), langs, pa.array(ids[at].view(np.int64)),
-                                              pa.array(ids[at + 1].view(np.int64))], names=["id", "lang", "left", "right"])
-
-    d = relation.select("lang", "ids").mapInArrow(run, "id bigint, lang string, left bigint, right bigint")
-    one = [F.min(c).alias(c) for c in ("left", "right")]
-    others = (F.min("left") != F.max("left")) | (F.min("right") != F.max("right"))
-    return d.groupBy("id", "lang").agg(*one, others.alias("others"))
+        for batch in batches:
+            pair, left = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).view(_U) for c in ("id", "left"))
+            yield batch.append_column("right", pa.array(right_part(pair, left, seed).view(np.int64)))
+
+    return counts.select("id", "f", "left", "others").mapInArrow(run, "id bigint, f bigint, left bigint, others boolean, right bigint")
 
 
 def pair_relation(relation: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
@@ -249,12 +267,11 @@ def pair_relation(relation: DataFrame, bits: np.ndarray, seed: int) -> DataFrame
     return relation.select("lang", "ids").mapInArrow(run, "lang string, ids array<bigint>")
 
 
-def longer(counts: DataFrame, parts: DataFrame, shorter: DataFrame) -> DataFrame:
+def longer(pairs: DataFrame, shorter: DataFrame) -> DataFrame:
     """The frequent phrases one word longer than ``shorter``: words, count, and the counts of their beginnings and ends by length."""
     side = lambda x, *c: shorter.select(F.col("id").alias(x), *[F.col(k).alias(f"{x}_{k}") for k in c])
-    d = counts.join(parts.select("id", "left", "right", "lang"), "id")
-    d = d.join(side("left", "phrase", "f", "begins"), "left").join(side("right", "last", "f", "ends"), "right")
-    return d.select("id", "lang", "f", "left", "right", F.concat_ws(" ", "left_phrase", "right_last").alias("phrase"), F.col("right_last").alias("last"),
+    d = pairs.join(side("left", "lang", "phrase", "f", "begins"), "left").join(side("right", "last", "f", "ends"), "right")
+    return d.select("id", F.col("left_lang").alias("lang"), "f", "left", "right", F.concat_ws(" ", "left_phrase", "right_last").alias("phrase"), F.col("right_last").alias("last"),
                     F.concat("left_begins", F.array("left_f")).alias("begins"), F.concat("right_ends", F.array("right_f")).alias("ends"))
 
 
@@ -269,14 +286,14 @@ def phrase_tables(docs: DataFrame, least: int, longest: int, seed: int) -> tuple
                                                                    none.alias("begins"), none.alias("ends")), "setm-phrases")]
     relation = materialize(word_relation(docs, bit_map(tables[0]), seed), "setm-relation")
     for k in range(2, longest + 1):
-        counts = materialize(pair_counts(relation, seed).where(F.col("f") >= least), "setm-counts")
-        bits = bit_map(counts)
-        parts = materialize(pair_parts(relation, bits, seed).join(counts.select("id"), "id", "left_semi"), "setm-parts")
-        if not parts.where("others").isEmpty() or parts.count() != counts.count():
+        pairs = materialize(pair_parts(pair_counts(relation, seed).where(F.col("f") >= least), seed), "setm-counts")
+        if not pairs.where("others").isEmpty():
+            raise SharedId
+        tables.append(materialize(longer(pairs, tables[-1]), "setm-phrases"))
+        if tables[-1].count() != pairs.count():
             raise SharedId
-        tables.append(materialize(longer(counts, parts, tables[-1]), "setm-phrases"))
         if k < longest:
-            relation = materialize(pair_relation(relation, bits, seed), "setm-relation")
+            relation = materialize(pair_relation(relation, bit_map(pairs), seed), "setm-relation")
     return totals, tables
 
 

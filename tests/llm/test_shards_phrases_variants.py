@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,29 @@ def test_collocations_with_ids_that_clash_and_empty_table(spark, make_docs, spok
     assert collocations.collocations(make_docs([])).collect() == [] and collocations.collocations(make_docs([None, "a b"])).collect() == []
 
 
+@pytest.mark.parametrize("tasks", [1, 12])
+def test_parts_of_a_pair_come_once_whatever_the_tasks(spark, spoken, tasks):
+    """Every task counts; a frequent pair's parts are told by its id and left part, not by each task that meets it."""
+    df = spark.createDataFrame([r for r in spoken if r[0] == "de"] * 4, "lang string, text string").repartition(tasks)
+    relation = collocations.word_relation(df, np.full(1 << 14, 2**64 - 1, np.uint64), 3)
+    want = Counter()
+    for r in relation.collect():
+        ids = np.array(r["ids"], np.int64)
+        want.update((a, b) for a, b in zip(ids[:-1].tolist(), ids[1:].tolist()) if a and b)
+    want = {p: n for p, n in want.items() if n >= 30}
+    got = collocations.pair_parts(collocations.pair_counts(relation, 3).where("f >= 30"), 3).collect()
+    assert len(got) == len(want) > 1 and {(r["left"], r["right"]): r["f"] for r in got} == want
+    assert not any(r["others"] for r in got) and len({r["id"] for r in got}) == len(got)
+    for r in got:
+        assert collocations.joined(np.array([r["left"], r["right"]], np.int64).view(np.uint64), 3)[1].view(np.int64)[0] == r["id"]
+
+
+def test_pairs_that_share_an_id_are_told(spark, monkeypatch):
+    relation = spark.createDataFrame([("de", [1, 2, 0]), ("de", [1, 2, 3, 0]), ("de", [5, 7, 0])], "lang string, ids array<bigint>").repartition(2)
+    monkeypatch.setattr(collocations, "joined", lambda ids, seed: ((at := np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))), np.where(ids[at] == 5, 8, 9).astype(np.uint64)))
+    assert sorted(tuple(r) for r in collocations.pair_counts(relation, 0).select("id", "f", "others").collect()) == [(8, 1, False), (9, 3, True)]
+
+
 def test_score_arithmetic_passes_64_bits(spark):
     big = 2**61
     row = spark.createDataFrame([(1, "en", big, 2, 3, "a b", "b", [big + 7], [2**62 - 1])], "id long, lang string, f long, left long, right long, phrase string, last string, begins array<long>, ends array<long>")
