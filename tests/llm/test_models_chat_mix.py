@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 from collections import defaultdict
 
@@ -36,6 +37,36 @@ def test_candidates_by_hand(make_docs):
     assert got == want and [g[0] for g in got] == [0, 2, 5, 6, 6, 7]
 
 
+def test_candidates_search_each_text_once(make_docs):
+    docs = make_docs(["a"]).withColumn("path", F.col("source"))
+    plan = secret_scan.candidates(docs)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    searched = [x.strip(" :+-") for x in plan if "{16,}+" in x]
+    assert not [x for x in searched if x.startswith("Filter")]
+    assert len([x for x in searched if "regexp_replace" in x]) == 1
+    assert all("CASE WHEN Contains(text" in x for x in searched if "regexp_replace" not in x)
+
+
+def test_candidates_of_odd_texts(make_docs):
+    rng = random.Random(3)
+    parts = ["pw", "key", "Token", "PASSWORD", "-", "=", ":", ":=", "=>", ">", " ", "  ", "    ", "\t", "\n", '"', "'", "&", ",", ")", "@", "@h", "/", "<", "a", "9", "_", "x1", "abcdefgh", "ijklmnop", "qrstuvwx",
+             "12345678", "é", "😀", "\x01", "!", "hunter2!", "abc123def456", "user:", "http://", "=="]
+    texts = []
+    for _ in range(600):
+        some = rng.sample(parts, rng.randint(2, 20))
+        texts.append("".join(rng.choice(some) for _ in range(rng.randint(1, 40))))
+    texts += ["\x01", " ".join(f"w é😀 a{i:015d}" for i in range(700)), " ".join(f"key={i}x!yz" for i in range(600)) + "\x01"]   # more than two blocks of candidates
+    docs = make_docs(texts).withColumn("path", F.col("source"))
+    got = sorted((r["doc_id"], r["start"], r["value"], r["left"], r["right"]) for r in secret_scan.candidates(docs).collect())
+    want = []
+    for i, t in enumerate(texts):
+        found = [m.span() for m in re.finditer(secret_scan.CANDIDATE, t, re.ASCII)]
+        ends, starts = [0] + [b for _, b in found], [a for a, _ in found] + [len(t)]
+        want += [(i, a, t[a:b], t[ends[k]:a][-secret_scan.LEFT:], t[b:starts[k + 1]][:secret_scan.RIGHT]) for k, (a, b) in enumerate(found)]
+    assert got == want and len(want) > 1500 and any("\x01" in x[2] for x in want)
+    bare = [i for i, t in enumerate(texts) if any(x[0] == i for x in want) and not re.search(r"[=:>-]", t)]
+    assert len(bare) > 10                                            # texts that hold runs only
+
+
 UNQUOTED = [("password=Pa55w0rd!", "Pa55w0rd!"), ("export DB_PASSWORD: Xk9!v2Lp", "Xk9!v2Lp"), ("api_key=4f9a1c7be02d", "4f9a1c7be02d"), ("postgres://user:S3c:r@t@host/db", "S3c:r@t"),
             ("Bearer qWzxJvKwyHpguTRbnM", "qWzxJvKwyHpguTRbnM"), ("PASSWORD =   ab!cd#ef, next", "ab!cd#ef"), ("run --token tRbnM!xq now", "tRbnM!xq"), ('"secret": 71625341', "71625341")]
 
